@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup
+from tessera.llm import exact_dedup, pieces
 
-QUERIES = {"op6_exact_dedup": exact_dedup.op6_exact_dedup}
+QUERIES = {"op2_sentencepiece": pieces.op2_sentencepiece, "op6_exact_dedup": exact_dedup.op6_exact_dedup}
 ORACLES = {"op6_exact_dedup": exact_dedup.OP6_SQL}
