@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, pieces
+from tessera.llm import exact_dedup, near_dup, pieces
 
-QUERIES = {"op2_sentencepiece": pieces.op2_sentencepiece, "op6_exact_dedup": exact_dedup.op6_exact_dedup}
+QUERIES = {
+    "op2_sentencepiece": pieces.op2_sentencepiece,
+    "op5_near_dup": near_dup.op5_near_dup,
+    "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+}
 ORACLES = {"op6_exact_dedup": exact_dedup.OP6_SQL}
