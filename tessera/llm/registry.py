@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, near_dup, pieces
+from tessera.llm import exact_dedup, near_dup, pieces, toxicity
 
 QUERIES = {
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op5_near_dup": near_dup.op5_near_dup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
 }
 ORACLES = {"op6_exact_dedup": exact_dedup.OP6_SQL}

@@ -48,8 +48,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z hash as a-z
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _pow: dict[str, np.ndarray] = {}
 
 
@@ -67,10 +67,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hash_slice(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of ``data`` in order and each word's byte position; no word crosses ``starts``."""
+def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(total, down) such that ``(total[j] - total[i]) * down[i]`` hashes ``data[i:j]`` wherever it stands."""
     up, down = _tables(len(data) + 1)
-    word = ~_SPACE[data]
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    return total, down
+
+
+def hash_slice(data: np.ndarray, starts: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of ``data`` in order and each word's byte position; no word crosses ``starts``."""
+    word = ~space[data]
     begin = np.empty(len(data), bool)
     begin[0], begin[1:] = True, ~word[:-1]
     cut = starts[starts < len(data)]
@@ -78,8 +85,7 @@ def _hash_slice(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     end = np.empty(len(data), bool)
     end[-1], end[:-1] = True, begin[1:] | ~word[1:]
     first, last = np.flatnonzero(word & begin), np.flatnonzero(word & end) + 1
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    total, down = prefix_sums(data)
     return mix((total[last] - total[first]) * down[first]), first
 
 
@@ -92,6 +98,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets.astype(np.int64), np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
 
 
+def row_slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about SLICE_BYTES; a longer row is a run of its own."""
+    row, rows = 0, len(offsets) - 1
+    while row < rows:
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1)
+        yield row, stop
+        row = stop
+
+
 def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yields (first row, offsets, hashes) for runs of rows: row ``first + i`` of the column has the word
     hashes ``hashes[offsets[i]:offsets[i + 1]]``.
@@ -100,29 +115,27 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
     longer than ``SLICE_BYTES`` is hashed in pieces cut at white space, so temporaries stay small.
     """
     offsets, data = text_buffers(column)
-    row, rows = 0, len(offsets) - 1
-    while row < rows:
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1)
+    for row, stop in row_slices(offsets):
         begin, end = int(offsets[row]), int(offsets[stop])
         if begin == end:
             yield row, np.zeros(stop - row + 1, np.int64), np.zeros(0, np.uint64)
         elif stop - row == 1 and end - begin > SLICE_BYTES:
-            found = [_hash_slice(piece, np.zeros(1, np.int64))[0] for piece in _pieces(data[begin:end])]
+            found = [hash_slice(piece, np.zeros(1, np.int64))[0] for piece in pieces_at(data[begin:end])]
             hashes = np.concatenate(found)
             yield row, np.array([0, len(hashes)], np.int64), hashes
         else:
             starts = offsets[row : stop + 1] - begin
-            hashes, at = _hash_slice(data[begin:end], starts)
+            hashes, at = hash_slice(data[begin:end], starts)
             yield row, np.searchsorted(at, starts), hashes
-        row = stop
 
 
-def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
+def pieces_at(data: np.ndarray, ends: np.ndarray = SPACE) -> Iterator[np.ndarray]:
+    """Pieces of about SLICE_BYTES that end behind a byte of ``ends``, or wherever the next one is."""
     at = 0
     while at < len(data):
         end = min(at + SLICE_BYTES, len(data))
         while end < len(data):
-            spaces = np.flatnonzero(_SPACE[data[at:end]])
+            spaces = np.flatnonzero(ends[data[at:end]])
             if len(spaces):
                 end = at + int(spaces[-1]) + 1
                 break
