@@ -4,7 +4,7 @@ Every document gets one sketch of its word shingles: ``REGISTERS`` buckets by th
 holding the leading-zero count and ``MANTISSA`` further bits of the smallest hash in it. Documents with
 the same shingle set collapse into one class before anything else, so groups of exact copies cost one
 row. Bands of registers propose candidates; the collision-corrected register agreement estimates the
-similarity; what is within ``MARGIN`` of the threshold is confirmed on the full shingle sets.
+similarity; what the estimate can't rule out is confirmed on the full shingle sets.
 
 No bucket is expanded into all its pairs. First every member is held against its bucket's smallest id
 only. Confirmed links form components, and a bucket whose members are in one component is done. In the
@@ -25,13 +25,13 @@ from pyspark.sql import types as T
 from tessera.llm.shared import checkpointed, mix, shingle_set, word_hashes
 from tessera.session import table
 
-BITS = 8
+BITS = 9
 REGISTERS = 1 << BITS
 MANTISSA = 10
 #: Two sets of similarity 0.75 share no band with probability (1 - 0.75 ** ROWS) ** BANDS, about 2.5e-7.
 BANDS, ROWS = 40, 4
-#: Four standard deviations of the estimate at 0.75 over all registers.
-MARGIN = 0.11
+#: Standard deviations of the estimate that a pair may fall short of the threshold before it is ruled out.
+DEVIATIONS = 4.5
 #: Sketches compared with one another in one group; a larger bucket is dealt out in pairs of blocks.
 BLOCK = 2048
 #: Ids sent to every task to pick out the texts to confirm; more are joined by a shuffle.
@@ -58,27 +58,30 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def dense(registers: np.ndarray) -> np.ndarray:
-    """Registers (rows x REGISTERS) with the empty ones filled, so that each agrees with chance about J."""
-    out = registers.copy()
+    """The banded registers (rows x BANDS * ROWS) with the empty ones filled from others of the row, so that
+    each agrees with a chance of about J."""
+    out = registers[:, : BANDS * ROWS].copy()
     for row in range(len(out)):
-        empty = np.flatnonzero(registers[row] == 0)
-        if len(empty) and len(empty) < REGISTERS:
-            donors = registers[row][_DONORS[empty]]
-            out[row, empty] = donors[np.arange(len(empty)), (donors > 0).argmax(1)]
+        empty = np.flatnonzero(out[row] == 0)
+        for tries in (32, REGISTERS):
+            if len(empty):
+                donors = registers[row][_DONORS[empty, :tries]]
+                out[row, empty] = donors[np.arange(len(empty)), (donors > 0).argmax(1)]
+                empty = empty[out[row, empty] == 0]
     return out
 
 
 def band_keys(registers: np.ndarray) -> np.ndarray:
     """BANDS keys of each row of dense registers."""
-    parts = registers[:, : BANDS * ROWS].reshape(len(registers), BANDS, ROWS).astype(np.uint64)
+    parts = registers.reshape(len(registers), BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2]).copy()
     for k in range(ROWS):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
     return key.view(np.int64)
 
 
-def estimate(one: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Jaccard estimates of one sketch against rows of others.
+def estimate(one: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard estimates of one sketch against rows of others, and the registers that each rests on.
 
     Registers that agree by chance are taken off: two unlike minima of a filled bucket agree with
     probability about 2 ** -MANTISSA / 3 (same octave, 1/3, and same mantissa).
@@ -86,7 +89,19 @@ def estimate(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     chance = 2.0**-MANTISSA / 3
     used = np.count_nonzero((one > 0) | (others > 0), axis=1)
     same = np.count_nonzero((one == others) & (one > 0), axis=1)
-    return np.clip((same / np.maximum(used, 1) - chance) / (1 - chance), 0, 1)
+    return np.clip((same / np.maximum(used, 1) - chance) / (1 - chance), 0, 1), used
+
+
+def plausible(one: np.ndarray, n_one: int, others: np.ndarray, n_others: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the others may reach the threshold with one.
+
+    The minima of the used registers are a sample without replacement of the union, so at the threshold the
+    estimate's variance is hypergeometric: nothing is left to chance once each element has its own bucket.
+    """
+    guess, used = estimate(one, others)
+    union = np.maximum((n_one + n_others) / (1 + threshold), used + 1)
+    deviation = np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1) * (union - used) / (union - 1).clip(1))
+    return guess >= threshold - DEVIATIONS * deviation - 2 / np.maximum(used, 1)
 
 
 def _kind(df: DataFrame, name: str) -> T.DataType:
@@ -149,12 +164,12 @@ def _plausible(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                guess = np.concatenate(
-                    [estimate(x, y[None]) for x, y in zip(_registers(batch.column(2)), _registers(batch.column(3)), strict=True)]
-                )
-                yield batch.filter(pa.array(guess >= threshold - MARGIN)).select(["a", "b"])
+                one, other = _registers(batch.column(2)), _registers(batch.column(3))
+                n_one, n_other = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+                ok = [plausible(one[k], n_one[k], other[k : k + 1], n_other[k : k + 1], threshold)[0] for k in range(len(batch))]
+                yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    return wide.select("a", "b", "sig_a", "sig_b").mapInArrow(run, schema)
+    return wide.select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(run, schema)
 
 
 def _open_pairs(members: DataFrame, threshold: float) -> DataFrame:
@@ -175,8 +190,7 @@ def _open_pairs(members: DataFrame, threshold: float) -> DataFrame:
         order = np.argsort(rep, kind="stable")
         rep, comp, n, own = rep[order], comp[order], n[order], own[order]
         registers = _registers(group.column("sig"))[order]
-        filled = dense(registers)
-        keys = band_keys(filled)
+        keys = band_keys(dense(registers))
         across = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
         for i in range(len(rep) - 1):
             rest = np.arange(i + 1, len(rep))
@@ -184,7 +198,7 @@ def _open_pairs(members: DataFrame, threshold: float) -> DataFrame:
             if across:
                 ok &= own[rest] != own[i]
             rest = rest[ok]
-            rest = rest[estimate(registers[i], registers[rest]) >= threshold - MARGIN]
+            rest = rest[plausible(registers[i], n[i], registers[rest], n[rest], threshold)]
             if len(rest):
                 first = keys[i][(keys[rest] == keys[i]).argmax(1)]
                 rest = rest[first == band[0]]
@@ -256,7 +270,7 @@ def near_duplicates(
     integers; rows that repeat an id and text share one component. A row without an id is linked with
     nothing: its component is null and it is kept. Texts of any length are read whole, other columns are
     ignored, an empty table gives an empty result. A link of similarity 0.75 is overlooked with a
-    probability of about 3e-7 (no shared band) plus 3e-5 (estimate off by four deviations), less above it.
+    probability of about 3e-7 (no shared band) plus 3e-6 (estimate off by DEVIATIONS), less above it.
     """
     threshold = percent / 100
     drawn = checkpointed(sketches(docs, id_col, text_col, words))

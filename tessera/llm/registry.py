@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, near_dup, pieces, toxicity
+from tessera.llm import exact_dedup, katz, near_dup, pieces, toxicity
 
 QUERIES = {
     "op2_sentencepiece": pieces.op2_sentencepiece,
+    "op3_katz": katz.op3_katz,
     "op5_near_dup": near_dup.op5_near_dup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
