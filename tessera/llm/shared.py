@@ -15,11 +15,20 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLICE_BYTES = 1 << 20
 
 
+#: Where tables are shared when a session names no folder, as in tests.
+TEST_FOLDER = "/tmp/tessera-checkpoints"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it; a test folder only where unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or TEST_FOLDER
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` in the folder the cluster names; a test folder only where none is set."""
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir("/tmp/tessera-checkpoints")
+        context.setCheckpointDir(TEST_FOLDER)
     return df.checkpoint()
 
 
@@ -155,6 +164,15 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def token_windows(tokens: np.ndarray, n: int) -> np.ndarray:
+    """Karp-Rabin hashes of all runs of ``n`` tokens, rolled along in one pass whatever ``n`` is."""
+    up, down = _tables(len(tokens) + 1)
+    total = np.zeros(len(tokens) + 1, np.uint64)
+    np.cumsum(tokens * up[: len(tokens)], out=total[1:])
+    size = max(0, len(tokens) - n + 1)
+    return (total[n : n + size] - total[:size]) * down[:size]
+
+
 def shingle_set(hashes: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct shingles of ``n`` words; a shorter text is one shingle, an empty one none."""
     if len(hashes) == 0:
