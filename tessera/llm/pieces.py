@@ -292,12 +292,14 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def digests(encoded: DataFrame, id_col: str = "doc_id", also: tuple[str, ...] = ()) -> DataFrame:
+    """Lengths and hashes of ``encode_decode``'s rows, and the columns named in ``also``."""
     return encoded.select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *also,
     )
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, katz, near_dup, pieces, toxicity
+from tessera.llm import decontamination, exact_dedup, html_text, katz, licenses, near_dup, pieces, preferences, resampling, toxicity
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_katz": katz.op3_katz,
+    "op4_html_text": html_text.op4_html_text,
     "op5_near_dup": near_dup.op5_near_dup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_licenses": licenses.op8_licenses,
+    "op9_resampling": resampling.op9_resampling,
+    "op10_preferences": preferences.op10_preferences,
 }
-ORACLES = {"op6_exact_dedup": exact_dedup.OP6_SQL}
+ORACLES = {"op6_exact_dedup": exact_dedup.OP6_SQL, "op10_preferences": preferences.OP10_SQL}

@@ -233,15 +233,11 @@ def learn_forms(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     return np.sort(np.array(marks, np.int64).view(np.uint64))
 
 
-def clause_counts(
-    docs: DataFrame, id_col: str, text_col: str, lexicon: dict[str, str] = LEXICON, learnt: np.ndarray | None = None
-) -> DataFrame:
-    """The id and one count per emission of the grammar over all clauses of the whole text."""
-    schema = T.StructType([docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in EMITTED)])
+def clause_counter(lexicon: dict[str, str], learnt: np.ndarray) -> Callable[[pa.RecordBatch], np.ndarray]:
+    """A function that counts each emission of the grammar over all clauses of the texts in a batch's second column."""
     keys, symbols = _lexicon_table(lexicon)
-    marks = learnt if learnt is not None else np.zeros(0, np.uint64)
     arcs, start = grammar().table("ITSYNR" + OTHER)
-    among = _Among(marks)
+    among = _Among(learnt)
 
     def count(data: np.ndarray, starts: np.ndarray, out: np.ndarray) -> None:
         forms = word_forms(data, starts)
@@ -249,7 +245,7 @@ def clause_counts(
         if not len(words):
             return
         symbol = np.full(len(words), OTHER)
-        for _, word, hashes in chain([(at, np.arange(len(words)), words)], forms) if len(marks) else ():
+        for _, word, hashes in chain([(at, np.arange(len(words)), words)], forms) if len(learnt) else ():
             symbol[word[among(hashes)]] = "S"
         where = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
         symbol = np.where(keys[where] == words, symbols[where], symbol)
@@ -267,12 +263,26 @@ def clause_counts(
                 for feature, step in _FEATURE.get(emitted, ()):
                     out[row[left[k]], feature] += step
 
+    def counts(batch: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros((len(batch), len(EMITTED)), np.int64)
+        for first, data, starts in _runs_of(batch):
+            count(data, starts, out[first:])
+        return out
+
+    return counts
+
+
+def clause_counts(
+    docs: DataFrame, id_col: str, text_col: str, lexicon: dict[str, str] = LEXICON, learnt: np.ndarray | None = None
+) -> DataFrame:
+    """The id and one count per emission of the grammar over all clauses of the whole text."""
+    schema = T.StructType([docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in EMITTED)])
+    marks = learnt if learnt is not None else np.zeros(0, np.uint64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = clause_counter(lexicon, marks)
         for batch in batches:
-            counts = np.zeros((len(batch), len(EMITTED)), np.int64)
-            for first, data, starts in _runs_of(batch):
-                count(data, starts, counts[first:])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in counts.T)], [id_col, *EMITTED])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in counter(batch).T)], [id_col, *EMITTED])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -323,15 +333,7 @@ def toxicity(
     """
     learnt = learn_forms(docs, labels, id_col, text_col, label_col)
     counts = checkpointed(clause_counts(docs, id_col, text_col, lexicon, learnt))
-    known = labels.select(F.col(id_col).alias("_label_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isNotNull())
-    train = counts.where(~held_out(id_col)).join(known, F.col(id_col) == F.col("_label_id"))
-    names = [f"f{k}" for k in range(2 * len(EMITTED))]
-    grouped = train.select(*_features(), F.col("_y")).groupBy(*names, "_y").count().collect()
-    if grouped:
-        rows = np.array([[r[c] for c in names] for r in grouped], float)
-        weights = fit(rows, np.array([float(r["_y"] > 0) for r in grouped]), np.array([float(r["count"]) for r in grouped]))
-    else:
-        weights = list(PRIOR)
+    weights = _fitted(counts, labels, id_col, label_col)
     total = sum((F.lit(w) * f for w, f in zip(weights[1:], _features(), strict=True)), F.lit(weights[0]))
     return (
         counts.withColumn("score", 1 / (1 + F.exp(-total)))
@@ -340,5 +342,46 @@ def toxicity(
     )
 
 
+def _fitted(counts: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> list[float]:
+    """Weights (bias first) from the clause counts of the labelled rows that are not held out."""
+    known = labels.select(F.col(id_col).alias("_label_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isNotNull())
+    train = counts.where(~held_out(id_col)).join(known, F.col(id_col) == F.col("_label_id"))
+    names = [f"f{k}" for k in range(2 * len(EMITTED))]
+    grouped = train.select(*_features(), F.col("_y")).groupBy(*names, "_y").count().collect()
+    if not grouped:
+        return list(PRIOR)
+    rows = np.array([[r[c] for c in names] for r in grouped], float)
+    return fit(rows, np.array([float(r["_y"] > 0) for r in grouped]), np.array([float(r["count"]) for r in grouped]))
+
+
+def drop_toxic(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    lexicon: dict[str, str] = LEXICON,
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below the threshold.
+
+    As ``toxicity``, but the weights are fitted on the labelled rows alone and whole rows are then filtered in
+    the tasks that read them, so that no text is shuffled.
+    """
+    learnt = learn_forms(docs, labels, id_col, text_col, label_col)
+    labelled = docs.select(id_col, text_col).join(labels.select(id_col).distinct(), id_col, "left_semi")
+    weights = np.array(_fitted(clause_counts(labelled, id_col, text_col, lexicon, learnt), labels, id_col, label_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = clause_counter(lexicon, learnt)
+        for batch in batches:
+            counts = counter(pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(text_col)], ["id", "text"])).clip(0)
+            level = np.minimum(np.ceil(np.log2(counts + 1)), LEVELS)
+            features = np.stack([level > 0, level], axis=2).reshape(len(batch), -1)
+            yield batch.filter(pa.array(1 / (1 + np.exp(-(weights[0] + features @ weights[1:]))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
