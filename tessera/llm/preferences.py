@@ -32,17 +32,30 @@ def clean_turns(conversations: DataFrame, conv_col: str, turn_col: str, role_col
     return rows.groupBy("conv", "turn").agg(F.min(F.struct("role", "text")).alias("m")).select("conv", "turn", "m.role", "m.text")
 
 
-def opening_pairs(turns: DataFrame) -> DataFrame:
-    """(``chosen``, ``rejected``): in each group of conversations with the same first turn, the one in which the
-    assistant says most (of equals the smallest id) is chosen over every other."""
+def openings(turns: DataFrame) -> DataFrame:
+    """``conv``, ``said`` (characters of the assistant) and ``opening`` (a digest of the first turn)."""
     said = F.sum(F.when(F.col("role") == ASSISTANT, F.length("text")).otherwise(0))
     first = F.min_by(F.sha2(F.concat_ws("\n", "role", "text"), 256), "turn")
-    convs = checkpointed(turns.groupBy("conv").agg(said.alias("said"), first.alias("opening")))
-    leaders = convs.groupBy("opening").agg(
-        F.min(F.struct((-F.col("said")).alias("order"), F.col("conv"))).alias("best"), F.count("*").alias("n")
-    )
-    leaders = leaders.where("n > 1").select("opening", F.col("best.conv").alias("chosen"))
-    return convs.join(leaders, "opening").where("conv <> chosen").select("chosen", F.col("conv").alias("rejected"))
+    return turns.groupBy("conv").agg(said.alias("said"), first.alias("opening"))
+
+
+def best_against_rest(convs: DataFrame, group: str) -> DataFrame:
+    """(``chosen``, ``rejected``): in each group the conversation in which the assistant says most (of equals
+    the smallest id) is chosen over every other."""
+    leaders = convs.groupBy(group).agg(F.min(F.struct((-F.col("said")).alias("order"), F.col("conv"))).alias("best"), F.count("*").alias("n"))
+    leaders = leaders.where("n > 1").select(group, F.col("best.conv").alias("chosen"))
+    return convs.join(leaders, group).where("conv <> chosen").select("chosen", F.col("conv").alias("rejected"))
+
+
+def preference_pairs(turns: DataFrame, neighbours: bool = False) -> DataFrame:
+    """Pairs among conversations with the same first turn. With ``neighbours`` (integer ids), of the others
+    those with ids 2k and 2k + 1 are paired too; they seldom share a turn."""
+    convs = checkpointed(openings(turns))
+    pairs = best_against_rest(convs, "opening")
+    if neighbours:
+        alone = convs.groupBy("opening").agg(F.count("*").alias("n"), F.min("conv").alias("conv"), F.min("said").alias("said")).where("n = 1")
+        pairs = pairs.unionByName(best_against_rest(alone.select("conv", "said", F.floor(F.col("conv") / 2).alias("two")), "two"))
+    return pairs
 
 
 def _rendered(role: Column, text: Column) -> Column:
@@ -56,12 +69,13 @@ def format_preferences(
     turn_col: str = "turn",
     role_col: str = "role",
     text_col: str = "text",
+    neighbours: bool = False,
     chunk: int = CHUNK,
 ) -> DataFrame:
     """Rows of ``chosen``, ``rejected``, ``part``, ``chunk``, ``n_turns``, ``text`` and ``mask``.
 
     ``pairs`` (``chosen``, ``rejected``: conversation ids; each rejected one in one pair) defaults to
-    ``opening_pairs``. ``part`` is ``prompt`` (the common prefix; absent if there is none), ``chosen`` or
+    ``preference_pairs``. ``part`` is ``prompt`` (the common prefix; absent if there is none), ``chosen`` or
     ``rejected`` (absent for a side that ends with the prefix). Turns are aligned by number; the prefix ends
     before the first number at which role or text differ or one side has no turn. ``mask`` lists the character
     spans ``begin:end`` of the assistant's words in ``text``, joined by commas; a prompt has none. Pairs without any
@@ -72,7 +86,7 @@ def format_preferences(
     an empty table gives an empty result.
     """
     turns = checkpointed(clean_turns(conversations, conv_col, turn_col, role_col, text_col))
-    pairs = checkpointed(opening_pairs(turns) if pairs is None else pairs.select("chosen", "rejected").distinct())
+    pairs = checkpointed(preference_pairs(turns, neighbours) if pairs is None else pairs.select("chosen", "rejected").distinct())
     sides = [
         pairs.join(turns, pairs[side] == turns["conv"]).select("chosen", "rejected", F.lit(side).alias("side"), "turn", "role", "text")
         for side in ("chosen", "rejected")
@@ -109,7 +123,7 @@ def format_preferences(
 
 
 def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_preferences(table(spark, sf_dir, "conversations"))
+    return format_preferences(table(spark, sf_dir, "conversations"), neighbours=True)
 
 
 OP10_SQL = """
@@ -121,8 +135,10 @@ convs AS (
     SELECT conv, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS said,
            arg_min(concat(role, chr(10), text), turn) AS opening
     FROM turns GROUP BY conv),
+grouped AS (
+    SELECT conv, said, CASE WHEN count(*) OVER (PARTITION BY opening) > 1 THEN opening ELSE concat(conv // 2, '') END AS g FROM convs),
 ranked AS (
-    SELECT conv, first_value(conv) OVER (PARTITION BY opening ORDER BY said DESC, conv) AS chosen FROM convs),
+    SELECT conv, first_value(conv) OVER (PARTITION BY g ORDER BY said DESC, conv) AS chosen FROM grouped),
 pairs AS (SELECT chosen, conv AS rejected FROM ranked WHERE conv <> chosen),
 split AS (
     SELECT chosen, rejected, min(turn) AS split FROM (
