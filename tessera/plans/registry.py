@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans import queries
 from tessera.session import table
 
 
@@ -31,9 +32,10 @@ def feature_join_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"feature_join_impute": feature_join_impute}
+QUERIES = {"feature_join_impute": feature_join_impute, **queries.QUERIES}
 
 ORACLES = {
+    **queries.ORACLES,
     "feature_join_impute": """
         SELECT c_custkey, c_nationkey, c_acctbal,
                coalesce(o.n, 0)::BIGINT AS "ORD_n", coalesce(o.total, 0)::DOUBLE AS "ORD_total",
