@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, exact_dedup, near_dup, pieces, toxicity
 from tessera.llm.shared import checkpointed, shared_folder
@@ -17,8 +18,12 @@ from tessera.session import table
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is not among ``dropped`` (``doc_id``); Spark picks the join by size."""
-    return docs.join(checkpointed(dropped.select("doc_id").where("doc_id IS NOT NULL").distinct()), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose id is not among ``dropped`` (``doc_id``). Up to BROADCAST_IDS ids, counted
+    first, are broadcast, so that texts stay where they are; more are joined by a shuffle."""
+    ids = checkpointed(dropped.select("doc_id").where("doc_id IS NOT NULL").distinct())
+    if ids.count() <= near_dup.BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

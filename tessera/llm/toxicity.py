@@ -369,7 +369,10 @@ def drop_toxic(
     the tasks that read them, so that no text is shuffled.
     """
     learnt = learn_forms(docs, labels, id_col, text_col, label_col)
-    labelled = docs.select(id_col, text_col).join(labels.select(id_col).distinct(), id_col, "left_semi")
+    ids = checkpointed(labels.select(id_col).distinct())
+    if ids.count() <= BROADCAST_LABELS:
+        ids = F.broadcast(ids)
+    labelled = docs.select(id_col, text_col).join(ids, id_col, "left_semi")
     weights = np.array(_fitted(clause_counts(labelled, id_col, text_col, lexicon, learnt), labels, id_col, label_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
