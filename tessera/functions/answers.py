@@ -28,9 +28,9 @@ def normalize_answer(text: Column) -> Column:
 def final_answer(text: Column) -> Column:
     """The last non-blank boxed segment, else the last number, else the last non-blank line; null if none."""
     text = F.coalesce(text, F.lit(""))
-    boxed = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\\boxed\{([^\n}]*)\}"), 1), F.trim), lambda x: x != "")
+    boxed = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\\boxed\{([^\n}]*)\}"), 1), lambda x: F.trim(x)), lambda x: x != "")
     number = F.regexp_extract_all(text, F.lit(r"(-?\d+(?:\.\d+)?)"), 1)
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     last = lambda a: F.try_element_at(a, F.lit(-1))
     return F.coalesce(last(boxed), last(number), last(lines))
 

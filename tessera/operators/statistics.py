@@ -13,7 +13,7 @@ def correlation(a: str, b: str) -> Column:
     """Pearson correlation of the rows where both are present; null without variance."""
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
     x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-    return F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -202,7 +202,7 @@ def _hourly(spark: SparkSession, d: str) -> DataFrame:
 
 def gap_fill(spark: SparkSession, d: str) -> DataFrame:
     rows = _hourly(spark, d).withColumn("v", F.when(F.pmod("hour", F.lit(3)) != 0, F.col("v")))
-    return signals.gaps_filled(rows, ["event_type"], "hour", "v").select("event_type", "hour", F.round("filled", 4).alias("filled"))
+    return signals.gaps_filled(rows, ["event_type"], "hour", "v").select("event_type", "hour", F.round("filled", 6).alias("filled"))
 
 
 def local_maxima(spark: SparkSession, d: str) -> DataFrame:
@@ -309,7 +309,7 @@ ORACLES = {
                      first_value(CASE WHEN v IS NOT NULL THEN hour END IGNORE NULLS) OVER q AS ah, first_value(v IGNORE NULLS) OVER q AS av
               FROM g WINDOW p AS (PARTITION BY event_type ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
                             q AS (PARTITION BY event_type ORDER BY hour ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-        SELECT event_type, hour, round(coalesce(v, bv + (av - bv) * ((hour - bh) / (ah - bh)), bv, av), 4) AS filled FROM w""",
+        SELECT event_type, hour, round(coalesce(v, bv + (av - bv) * ((hour - bh) / (ah - bh)), bv, av), 6) AS filled FROM w""",
     "local_maxima": f"""WITH {_HOURLY} SELECT event_type, hour, n FROM h WINDOW w AS (PARTITION BY event_type ORDER BY hour)
         QUALIFY n >= coalesce(lag(n) OVER w, n) AND n >= coalesce(lead(n) OVER w, n)""",
     "threshold_runs": f"""WITH {_HOURLY}, r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY hour) - row_number() OVER (PARTITION BY event_type, n >= 2 ORDER BY hour) AS g FROM h)

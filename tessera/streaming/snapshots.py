@@ -20,7 +20,8 @@ def read_events(spark: SparkSession, path: str, glob: str = "events.parquet") ->
 def windowed_counts(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     """Events and their sum by window and type, rows later than ``late`` left out."""
     return (
-        events.withWatermark("ts", late)
+        events.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", late)
         .groupBy(F.window("ts", window).alias("w"), "event_type")
         .agg(F.count("*").alias("n"), F.sum("value").alias("total"))
         .select(F.col("w.start").alias("start"), "event_type", "n", "total")
