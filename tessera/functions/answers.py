@@ -19,20 +19,118 @@ def infer_family(text: Column, rules: Sequence[tuple[str, str]] = FAMILY_RULES,
     return out
 
 
-def normalize_answer(text: Column) -> Column:
-    """Without surrounding space and back-ticks, white space joined, without dots at the ends, lower case."""
-    out = F.trim(F.btrim(F.trim(F.coalesce(text, F.lit(""))), F.lit("`")))
-    return F.lower(F.btrim(F.regexp_replace(out, r"\s+", " "), F.lit(".")))
+#: Phrases that announce an answer. The first phrase that occurs decides, by its last occurrence.
+ANSWER_PHRASES = (
+    r"The final answer is:\s*([^\n]+)",
+    r"Final answer is:\s*([^\n]+)",
+    r"Final answer\s*[:：]\s*([^\n]+)",
+)
+#: Fixed value: a label before the answer in a text's last line.
+ANSWER_LABEL = r"(?i)^(final answer|answer|assistant)\s*[:\-]\s*"
 
 
-def final_answer(text: Column) -> Column:
-    """The last non-blank boxed segment, else the last number, else the last non-blank line; null if none."""
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def normalize_answer(text: Column, lower: bool = True) -> Column:
+    """Without surrounding space and back-ticks, white space joined, without dots at the ends; null becomes empty."""
+    out = stripped(F.btrim(stripped(F.coalesce(text, F.lit(""))), F.lit("`")))
+    out = F.btrim(F.regexp_replace(out, r"(?U)\s+", " "), F.lit("."))
+    return F.lower(out) if lower else out
+
+
+def final_answer(text: Column, lower: bool = False) -> Column:
+    r"""The normalised answer of a text, empty if it has none.
+
+    Where ``\boxed{`` occurs, the last segment that isn't blank decides, cut at its last brace. Else an announcing
+    phrase, else the last number, else the last line without its label.
+    """
     text = F.coalesce(text, F.lit(""))
-    boxed = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\\boxed\{([^\n}]*)\}"), 1), lambda x: F.trim(x)), lambda x: x != "")
-    number = F.regexp_extract_all(text, F.lit(r"(-?\d+(?:\.\d+)?)"), 1)
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     last = lambda a: F.try_element_at(a, F.lit(-1))
-    return F.coalesce(last(boxed), last(number), last(lines))
+    parts = F.split(text, r"\\boxed\{")
+    cut = lambda x: F.when(F.contains(x, F.lit("}")), F.regexp_extract(x, r"(?s)^(.*)\}", 1)).otherwise(x)
+    segments = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), cut)
+    boxed = F.coalesce(last(F.filter(segments, lambda x: stripped(x) != "")), last(segments))
+    phrases = [last(F.regexp_extract_all(text, F.lit("(?i)" + phrase), 1)) for phrase in ANSWER_PHRASES]
+    number = last(F.regexp_extract_all(text, F.lit(r"(-?\d+(?:\.\d+)?)"), 1))
+    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0B\x0C]"), lambda x: stripped(F.regexp_replace(stripped(x), ANSWER_LABEL, "")))
+    return normalize_answer(F.coalesce(boxed, *phrases, number, last(F.filter(lines, lambda x: x != ""))), lower)
+
+
+def training_answer(answer: Column, style: str = "raw") -> Column:
+    """The target text: the answer as it is (``raw``) or in a box (``boxed``)."""
+    if style not in ("raw", "boxed"):
+        raise ValueError(f"unknown answer style {style!r}")
+    plain = stripped(F.coalesce(answer.cast("string"), F.lit("")))
+    return plain if style == "raw" else F.concat(F.lit("\\boxed{"), normalize_answer(plain, lower=False), F.lit("}"))
+
+
+def prompt_text(system: str, prompt: Column) -> Column:
+    return F.concat(F.lit(f"System:\n{system}\n\nUser:\n"), F.coalesce(prompt, F.lit("")), F.lit("\n\nAssistant:\n"))
+
+
+def training_text(system: str, prompt: Column, answer: Column, style: str = "raw") -> Column:
+    """The prompt and its target, one text."""
+    return F.concat(prompt_text(system, prompt), training_answer(answer, style))
+
+
+def point_label(code: Column, step: Column) -> Column:
+    """``code-step-N``, or the code alone where there is no step."""
+    return F.when(step.isNull(), code).otherwise(F.concat(code, F.lit("-step-"), step.cast("string")))
+
+
+def custom_rank(value: Column, order: Sequence[str], other: int = 999) -> Column:
+    """The position of a value in a list, ``other`` if it isn't there; to sort by."""
+    at = F.array_position(F.lit(list(order)), value)
+    return F.when(at > 0, at - 1).otherwise(other)
+
+
+def first_filled(*values: Column) -> Column:
+    """The first value that is neither null nor empty text."""
+    return F.coalesce(*(F.nullif(v.cast("string"), F.lit("")) for v in values))
+
+
+def cipher_trace(prompt: Column, answer: Column) -> Column:
+    """``Trace: word->plain; ...`` for a substitution cipher with worked examples, or null.
+
+    Lines ``cipher -> plain`` give word pairs (the last one of a word counts) and, where a pair's words are equally
+    long, letter pairs. A letter with two meanings makes the result null. A word that stays partly unknown takes the
+    word at its place in ``answer``.
+    """
+    words = lambda x: F.filter(F.split(stripped(x), r"(?U)\s+"), lambda w: w != "")
+    last = lambda a: F.try_element_at(a, F.lit(-1))
+    whole = lambda a: F.filter(a, lambda p: p["c"].isNotNull() & p["p"].isNotNull())
+    letter = lambda x: x.rlike(r"^\p{L}$")
+
+    def zipped(a: Column, b: Column) -> Column:
+        return whole(F.zip_with(a, b, lambda x, y: F.struct(x.alias("c"), y.alias("p"))))
+
+    def of_line(line: Column) -> Column:
+        left = F.regexp_replace(F.substring_index(line, "->", 1), r"^\s*[-*?]?\s*", "")
+        right = F.substr(line, F.instr(line, "->") + 2)
+        return zipped(words(left), words(right))
+
+    lines = F.filter(F.split(F.coalesce(prompt, F.lit("")), r"\r\n|[\n\r]"), lambda x: F.contains(x, F.lit("->")))
+    pairs = F.flatten(F.transform(lines, of_line))
+    even = F.filter(pairs, lambda w: F.length(w["c"]) == F.length(w["p"]))
+    letters = F.flatten(F.transform(even, lambda w: zipped(F.split(w["c"], ""), F.split(w["p"], ""))))
+    letters = F.array_distinct(F.filter(letters, lambda x: letter(x["c"]) & letter(x["p"])))
+    known = lambda x: last(F.filter(letters, lambda y: y["c"] == x))["p"]
+    clash = F.size(letters) > F.size(F.array_distinct(F.transform(letters, lambda x: x["c"])))
+    query = words(F.regexp_extract(prompt, r"(?i)decrypt the following text:\s*([^\n.]+)", 1))
+    gold = words(F.coalesce(answer, F.lit("")))
+
+    def decoded(word: Column, place: Column) -> Column:
+        seen = last(F.filter(pairs, lambda w: w["c"] == word))["p"]
+        spelt = F.transform(F.split(word, ""), lambda x: F.when(letter(x), F.coalesce(known(x), F.lit("?"))).otherwise(x))
+        spelt = F.array_join(spelt, "")
+        return F.coalesce(seen, F.when(F.contains(spelt, F.lit("?")), F.get(gold, place)), spelt)
+
+    steps = F.transform(query, lambda w, k: F.concat(w, F.lit("->"), decoded(w, k)))
+    usable = F.contains(F.lower(prompt), F.lit("secret encryption rules")) & (F.size(pairs) > 0) & ~clash & (F.size(query) > 0)
+    return F.when(usable, F.concat(F.lit("Trace: "), F.array_join(steps, "; "), F.lit(".")))
 
 
 def to_number(text: Column) -> Column:

@@ -67,3 +67,22 @@ def grouped_with_total(df: DataFrame, key: str, aggs: Sequence[Column], label: s
         .withColumn(key, F.when(F.col("_g") == 1, F.lit(label)).otherwise(F.col(key)))
         .drop("_g")
     )
+
+
+def merged(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which nulls match nulls; the keys stand once, from the left."""
+    other = right.select(*(F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns))
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(other, same, how).drop(*(f"_r_{k}" for k in keys))
+
+
+def sized(values: Column, size: int) -> Column:
+    """An array of exactly ``size`` numbers: cut, or padded with 0. Null counts as empty."""
+    values = F.coalesce(values, F.array().cast("array<double>"))
+    return F.concat(F.slice(values, 1, size), F.array_repeat(F.lit(0.0), F.greatest(F.lit(size) - F.size(values), F.lit(0))))
+
+
+def spacing(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """(keys, median_gap): median of the steps between neighbours, null for a single row."""
+    gaps = df.withColumn("_gap", F.col(order) - F.lag(order).over(Window.partitionBy(*keys).orderBy(order)))
+    return gaps.groupBy(*keys).agg(F.percentile("_gap", 0.5).alias("median_gap"))

@@ -30,3 +30,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One fixture table. The path goes to Spark unread, so any store Spark can open will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Where tables are cut when a session names no folder, as in tests.
+TEST_FOLDER = "/tmp/tessera-checkpoints"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` in the folder that the cluster names in ``spark.checkpoint.dir``; a test folder only where unset."""
+    context = df.sparkSession.sparkContext
+    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
+        context.setCheckpointDir(TEST_FOLDER)
+    return df.checkpoint()

@@ -3,6 +3,7 @@
 import glob
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -15,7 +16,8 @@ SF = "/root/testdata/sf0.001"
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    clean = lambda x: round(float(x), 5) if isinstance(x, float) and x == x else None if x is None or x != x else str(x)
+    number = lambda x: isinstance(x, (int, float, np.number)) and not isinstance(x, bool)
+    clean = lambda x: None if x is None or x is pd.NA or x != x else round(float(x), 5) if number(x) else str(x)
     return sorted((tuple(clean(x) for x in r) for r in df.astype(object).itertuples(index=False)), key=str)
 
 
@@ -38,12 +40,6 @@ def test_correlation_of_a_constant_column_is_null(spark):
     assert {(r.a, r.b): r.r for r in statistics.correlation_matrix(df, ["a", "b"]).collect()}[("a", "b")] is None
 
 
-def test_final_answer_rules(spark):
-    texts = [(r"x \boxed{ } y \boxed{41}",), ("so 3 and -4.5 it is",), ("only words\n\n last ",), ("",), (None,)]
-    got = [r[0] for r in spark.createDataFrame(texts, "t string").select(answers.final_answer(answers.F.col("t"))).collect()]
-    assert got == ["41", "-4.5", "last", None, None]
-
-
 def test_spaced_peaks_against_a_loop(spark):
     scores = [3, 9, 8, 1, 7, 7, 2, 9]
     df = spark.createDataFrame([("a", i, s) for i, s in enumerate(scores)], "k string, p int, s int")
