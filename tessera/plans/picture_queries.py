@@ -100,7 +100,7 @@ def _features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def feature_scaling(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
     (out,) = learning.standardised(e)
-    return out.select("vec_id", F.posexplode(F.slice("features", 1, 4)).alias("k", "z")).select("vec_id", F.col("k").cast("long").alias("k"), F.round("z", 5).alias("z"))
+    return out.select("vec_id", F.posexplode("features").alias("k", "z")).select("vec_id", F.col("k").cast("long").alias("k"), F.round("z", 5).alias("z"))
 
 
 def pca_variance(spark: SparkSession, d: str) -> DataFrame:
@@ -181,5 +181,5 @@ ORACLES = {
         WHERE abs((theta - plain + 270) % 180 - 90) <= 10 GROUP BY 1""",
     "nearest_bin": "SELECT event_id, greatest(0, least(39, ceil((value - 2.0::DOUBLE) / 7.5::DOUBLE - 0.5::DOUBLE)))::BIGINT AS bin FROM events",
     "feature_scaling": """WITH r AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings)
-        SELECT vec_id, k, round((v - avg(v) OVER w) / coalesce(nullif(stddev_pop(v) OVER w, 0), 1), 5) AS z FROM r WHERE k < 4 WINDOW w AS (PARTITION BY k)""",
+        SELECT vec_id, k, round((v - avg(v) OVER w) / coalesce(nullif(stddev_pop(v) OVER w, 0), 1), 5) AS z FROM r WINDOW w AS (PARTITION BY k)""",
 }

@@ -150,10 +150,11 @@ def topk_stable(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answer_functions(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").where("turn = 1")
+    c = table(spark, d, "conversations")
     raw = F.concat(F.lit("  `"), F.col("text"), F.lit("`. \\boxed{"), F.col("conv_id").cast("string"), F.lit("}"))
     return c.select(
         "conv_id",
+        "turn",
         answers.final_answer(raw).alias("final"),
         answers.final_answer(F.col("text")).alias("plain"),
         F.md5(answers.normalize_answer(raw)).alias("normalized"),
@@ -169,7 +170,7 @@ def coerce_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dft_magnitude(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").where("vec_id < 50").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     return e.select("vec_id", F.posexplode(signals.dft_magnitude(F.col("x"), 8)).alias("k", "m")).select("vec_id", F.col("k").cast("long").alias("k"), F.round("m", 5).alias("magnitude"))
 
 
@@ -294,7 +295,7 @@ ORACLES = {
     "coerce_values": """SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN try_cast(json_extract_string(props, '$.k') AS DOUBLE) END AS number,
         lower(json_extract_string(props, '$.k')) IN ('true', '1', 'yes') AS flag FROM events""",
     "dft_magnitude": """WITH r AS (SELECT vec_id, k, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) - 1 AS i, len(embedding) AS n
-            FROM embeddings, range(8) t(k) WHERE vec_id < 50)
+            FROM embeddings, range(8) t(k))
         SELECT vec_id, k, round(sqrt(pow(sum(v * cos(-2 * pi() * k * i / n)), 2) + pow(sum(v * sin(-2 * pi() * k * i / n)), 2)), 5) AS magnitude FROM r GROUP BY 1, 2""",
     "snr_gain": f"""WITH {_PAIRS}, r AS (SELECT series, unnest(a) AS a, unnest(b) AS b FROM s)
         SELECT series, round(10 * log10((sum(a * a) + 1e-12) / (sum((a - b) * (a - b)) + 1e-12)), 5) AS snr_db,

@@ -50,7 +50,7 @@ def run_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_points(spark: SparkSession, d: str) -> DataFrame:
-    return runs.run_points(_evaluations(spark, d).where("run <> 'r0' OR step = 1"))
+    return runs.run_points(_evaluations(spark, d).withColumn("step", F.when(F.col("run") == "r0", F.lit(1)).otherwise(F.col("step")).cast("long")))
 
 
 def run_latest(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +109,7 @@ def custom_rank_sort(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pad_truncate(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").where("vec_id < 100").select("vec_id", tables.sized(F.slice(F.col("embedding").cast("array<double>"), 1, F.expr("cast(pmod(vec_id, 9) AS INT)")), 6).alias("v"))
+    e = table(spark, d, "embeddings").select("vec_id", tables.sized(F.slice(F.col("embedding").cast("array<double>"), 1, F.expr("cast(pmod(vec_id, 9) AS INT)")), 6).alias("v"))
     rows = e.select(F.posexplode("v").alias("i", "value"), "vec_id")
     return rows.select(F.concat_ws("_", "vec_id", "i", F.lit("II")).alias("id"), "value")
 
@@ -128,14 +128,14 @@ def weighted_centroid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sft_text(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").where("turn = 1")
+    c = table(spark, d, "conversations")
     text = answers.training_text("Answer in a box.", F.col("text"), F.col("conv_id"), "boxed")
-    return c.select("conv_id", F.md5(text).alias("digest"), answers.point_label(F.col("role"), F.col("conv_id")).alias("label"))
+    return c.select("conv_id", "turn", F.md5(text).alias("digest"), answers.point_label(F.col("role"), F.col("conv_id")).alias("label"))
 
 
 def final_answers(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").where("turn = 1").select("conv_id", F.concat(F.lit("Final answer: x\n\\boxed{ "), F.col("conv_id").cast("string"), F.lit("}} then \\boxed{ }")).alias("t"))
-    return c.select("conv_id", answers.final_answer(F.col("t")).alias("answer"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("Final answer: x\n\\boxed{ "), F.col("conv_id").cast("string"), F.lit("}} then \\boxed{ }")).alias("t"))
+    return c.select("conv_id", "turn", answers.final_answer(F.col("t")).alias("answer"))
 
 
 def coalesce_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -173,7 +173,7 @@ ORACLES = {
     "dedupe_precedence": f"""WITH {_EVALUATIONS} SELECT run, step, phase, event_id FROM e QUALIFY row_number() OVER (PARTITION BY run, step
         ORDER BY CASE phase WHEN 'view' THEN 0 WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 5 END, event_id) = 1""",
     "run_rates": f"WITH {_EVALUATIONS} SELECT run, phase, count(*) AS n, sum(correct)::BIGINT AS matches, round(100.0::DOUBLE * sum(correct) / count(*), 6) AS percent FROM e GROUP BY 1, 2",
-    "run_points": f"""WITH {_EVALUATIONS}, f AS (SELECT run, step FROM e WHERE run <> 'r0' OR step = 1), n AS (SELECT run, count(DISTINCT step) AS n FROM f GROUP BY 1)
+    "run_points": f"""WITH {_EVALUATIONS}, f AS (SELECT run, CASE WHEN run = 'r0' THEN 1 ELSE step END AS step FROM e), n AS (SELECT run, count(DISTINCT step) AS n FROM f GROUP BY 1)
         SELECT DISTINCT run, CASE WHEN n > 1 THEN step END AS step, CASE WHEN n > 1 THEN run || '-step-' || step ELSE run END AS label FROM f JOIN n USING (run)""",
     "run_latest": f"""WITH {_EVALUATIONS}, u AS (SELECT run, step, event_id, 0 AS k, high AS v FROM e UNION ALL SELECT run, step, event_id, 1, low FROM e)
         SELECT run, arg_max(v, (step, event_id, k)) AS value FROM u WHERE v IS NOT NULL GROUP BY 1""",
@@ -193,14 +193,14 @@ ORACLES = {
         SELECT run, quantile_cont(gap, 0.5)::DOUBLE AS median_gap FROM g GROUP BY 1""",
     "percent_limit": "SELECT o_orderkey FROM orders QUALIFY row_number() OVER (ORDER BY o_orderkey) <= floor(count(*) OVER () * 0.03::DOUBLE)",
     "custom_rank_sort": "SELECT o_orderkey, CASE o_orderpriority WHEN '5-LOW' THEN 0 WHEN '1-URGENT' THEN 1 ELSE 999 END::BIGINT AS rank FROM orders",
-    "pad_truncate": """SELECT concat(vec_id, '_', i, '_II') AS id, CASE WHEN i < vec_id % 9 THEN embedding[i + 1]::DOUBLE ELSE 0 END AS value FROM embeddings, range(6) t(i) WHERE vec_id < 100""",
+    "pad_truncate": """SELECT concat(vec_id, '_', i, '_II') AS id, CASE WHEN i < vec_id % 9 THEN embedding[i + 1]::DOUBLE ELSE 0 END AS value FROM embeddings, range(6) t(i)""",
     "argmax_onehot": """SELECT vec_id, (c = 0)::INT AS code_0, (c = 1)::INT AS code_1, (c = 2)::INT AS code_2 FROM (
         SELECT vec_id, list_position(embedding[1:3], list_max(embedding[1:3])) - 1 AS c FROM embeddings)""",
     "weighted_centroid": """SELECT event_type, x, CASE WHEN sum(p * p) > 0.05::DOUBLE THEN round(sum(p * p * y) / (sum(p * p) + 1e-8), 6) END AS y FROM (
         SELECT event_type, event_id % 32 AS x, user_id % 50 AS y, value / 500 AS p FROM events) GROUP BY 1, 2""",
-    "sft_text": """SELECT conv_id, md5(concat('System:', chr(10), 'Answer in a box.', chr(10), chr(10), 'User:', chr(10), text, chr(10), chr(10), 'Assistant:', chr(10), '\\boxed{', conv_id, '}')) AS digest,
-        concat(role, '-step-', conv_id) AS label FROM conversations WHERE turn = 1""",
-    "final_answers": "SELECT conv_id, concat(conv_id, '}') AS answer FROM conversations WHERE turn = 1",
+    "sft_text": """SELECT conv_id, turn, md5(concat('System:', chr(10), 'Answer in a box.', chr(10), chr(10), 'User:', chr(10), text, chr(10), chr(10), 'Assistant:', chr(10), '\\boxed{', conv_id, '}')) AS digest,
+        concat(role, '-step-', conv_id) AS label FROM conversations""",
+    "final_answers": "SELECT conv_id, turn, concat(conv_id, '}') AS answer FROM conversations",
     "coalesce_keys": "SELECT o_orderkey, CASE WHEN o_totalprice > 2e5 THEN 'high' ELSE o_orderstatus END AS first FROM orders",
     "cipher_trace": f"""SELECT p_partkey, concat('Trace: ', list_aggregate(list_transform(str_split(lower(p_name), ' '), lambda w: concat(translate(w, '{LETTERS}', '{TURNED}'), '->', w)), 'string_agg', '; '), '.') AS trace FROM part""",
 }
