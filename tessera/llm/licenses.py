@@ -45,6 +45,8 @@ CUE = r"licen[cs]|copyright|spdx|permission is hereby|redistribut|public domain|
 FILE_NAME = r"(?i)(^|/)(un)?licen[cs]e|(^|/)copying|(^|/)notice(\.[a-z]+)?$"
 #: Segments of at least this cosine to a template bear its licence.
 THRESHOLD = 0.7
+#: Places in which the files of one directory meet its licence.
+SHARES = 32
 
 
 def _terms(text: Column) -> Column:
@@ -158,8 +160,11 @@ def license_scan(
         .agg(F.max_by(F.struct("from_license", "from_cosine"), "depth").alias("best"))
         .select(F.col("below").alias("directory"), "best.from_license", "best.from_cosine")
     )
+    # a directory may hold a large share of all files: its files meet its one row in SHARES places
+    owned = owned.withColumn("share", F.pmod(F.xxhash64("_id"), F.lit(SHARES)))
+    inherited = inherited.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)).cast("array<bigint>")))
     origin = F.when(F.col("license").isNotNull(), "file").when(F.col("from_license").isNotNull(), "inherited").otherwise("none")
-    return owned.join(inherited, "directory", "left").select(
+    return owned.join(inherited, ["directory", "share"], "left").select(
         F.col("_id").alias(id_col),
         "directory",
         F.coalesce("license", "from_license").alias("license"),
