@@ -92,6 +92,11 @@ def first_filled(*values: Column) -> Column:
     return F.coalesce(*(F.nullif(v.cast("string"), F.lit("")) for v in values))
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)``, with the value worked out once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def cipher_trace(prompt: Column, answer: Column) -> Column:
     """``Trace: word->plain; ...`` for a substitution cipher with worked examples, or null.
 
@@ -112,25 +117,31 @@ def cipher_trace(prompt: Column, answer: Column) -> Column:
         right = F.substr(line, F.instr(line, "->") + 2)
         return zipped(words(left), words(right))
 
-    lines = F.filter(F.split(F.coalesce(prompt, F.lit("")), r"\r\n|[\n\r]"), lambda x: F.contains(x, F.lit("->")))
-    pairs = F.flatten(F.transform(lines, of_line))
-    even = F.filter(pairs, lambda w: F.length(w["c"]) == F.length(w["p"]))
-    letters = F.flatten(F.transform(even, lambda w: zipped(F.split(w["c"], ""), F.split(w["p"], ""))))
-    letters = F.array_distinct(F.filter(letters, lambda x: letter(x["c"]) & letter(x["p"])))
-    known = lambda x: last(F.filter(letters, lambda y: y["c"] == x))["p"]
-    clash = F.size(letters) > F.size(F.array_distinct(F.transform(letters, lambda x: x["c"])))
+    def meanings(pairs: Column) -> Column:
+        even = F.filter(pairs, lambda w: F.length(w["c"]) == F.length(w["p"]))
+        letters = F.flatten(F.transform(even, lambda w: zipped(F.split(w["c"], ""), F.split(w["p"], ""))))
+        return F.array_distinct(F.filter(letters, lambda x: letter(x["c"]) & letter(x["p"])))
+
     query = words(F.regexp_extract(prompt, r"(?i)decrypt the following text:\s*([^\n.]+)", 1))
     gold = words(F.coalesce(answer, F.lit("")))
 
-    def decoded(word: Column, place: Column) -> Column:
-        seen = last(F.filter(pairs, lambda w: w["c"] == word))["p"]
-        spelt = F.transform(F.split(word, ""), lambda x: F.when(letter(x), F.coalesce(known(x), F.lit("?"))).otherwise(x))
-        spelt = F.array_join(spelt, "")
-        return F.coalesce(seen, F.when(F.contains(spelt, F.lit("?")), F.get(gold, place)), spelt)
+    def trace(pairs: Column, letters: Column) -> Column:
+        known = lambda x: last(F.filter(letters, lambda y: y["c"] == x))["p"]
+        spelt = lambda w: F.array_join(F.transform(F.split(w, ""), lambda x: F.when(letter(x), F.coalesce(known(x), F.lit("?"))).otherwise(x)), "")
 
-    steps = F.transform(query, lambda w, k: F.concat(w, F.lit("->"), decoded(w, k)))
-    usable = F.contains(F.lower(prompt), F.lit("secret encryption rules")) & (F.size(pairs) > 0) & ~clash & (F.size(query) > 0)
-    return F.when(usable, F.concat(F.lit("Trace: "), F.array_join(steps, "; "), F.lit(".")))
+        def decoded(word: Column, place: Column) -> Column:
+            seen = last(F.filter(pairs, lambda w: w["c"] == word))["p"]
+            guess = _bound(spelt(word), lambda s: F.coalesce(F.when(F.contains(s, F.lit("?")), F.get(gold, place)), s))
+            return F.coalesce(seen, guess)
+
+        steps = F.transform(query, lambda w, k: F.concat(w, F.lit("->"), decoded(w, k)))
+        clash = F.size(letters) > F.size(F.array_distinct(F.transform(letters, lambda x: x["c"])))
+        usable = (F.size(pairs) > 0) & ~clash & (F.size(query) > 0)
+        return F.when(usable, F.concat(F.lit("Trace: "), F.array_join(steps, "; "), F.lit(".")))
+
+    lines = F.filter(F.split(F.coalesce(prompt, F.lit("")), r"\r\n|[\n\r]"), lambda x: F.contains(x, F.lit("->")))
+    whole_trace = _bound(F.flatten(F.transform(lines, of_line)), lambda pairs: _bound(meanings(pairs), lambda letters: trace(pairs, letters)))
+    return F.when(F.contains(F.lower(prompt), F.lit("secret encryption rules")), whole_trace)
 
 
 def to_number(text: Column) -> Column:
