@@ -4,11 +4,13 @@ A word's probability after a word is its Good-Turing discounted relative frequen
 else the backoff weight of the first word times the probability of the second alone, which in turn is
 discounted if seen and shares the unseen mass if not. Weights are computed so that each history sums to 1.
 
-Frequent words (``shortlist``, at most that many, so their table is small enough to broadcast whatever
-the corpus) are classes of their own in the pair model; all other words share one class in it and are told
-apart by their own counts, so every count of the corpus enters. Pairs and rare words live in tables dealt
-by hash, and a very frequent first word is dealt over several partitions by the second. Tokens travel to
-the tables as sorted, packed arrays rather than rows; partial sums return packed by slice of documents.
+All words and pairs of the training texts are in the model. What is kept of the most frequent words
+(``shortlist``, at most that many, whatever the corpus) is broadcast, which saves sending it and changes no
+result; they are told by numbers, all other words by their 64-bit hashes. Pairs of two listed words are dealt
+by the first, and a very frequent one over several partitions by the second. A pair with an unlisted second
+word stands in that word's partition, where its count is known too, and a pair with an unlisted first word
+(also) in that one's, with its backoff weight: so each term of a probability is found in one place. Tokens
+travel to the tables as sorted, packed arrays rather than rows; partial sums return packed by slice.
 """
 
 from __future__ import annotations
@@ -34,8 +36,9 @@ RELIABLE = 5
 #: Tokens packed together, and (about) tokens to one partition of the tables.
 SLICE_TOKENS, PART_TOKENS = 400_000, 1_000_000
 END = np.uint64(0x9D39247E33776D41)
-RARE, BEGIN, FIRST = 0, 1, 2  # class numbers: the shared class, the start of a text, then the shortlist
+RARE, BEGIN, FIRST = 0, 1, 2  # class numbers: all that is not listed, the start of a text, then the shortlist
 _WIDTH = np.uint64(20)
+LISTED = np.uint64(1 << 20)  # codes below are class numbers, others are hashes
 
 
 # --- packed arrays -----------------------------------------------------------------------------
@@ -70,6 +73,54 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[at], np.add.reduceat(counts, at)
 
 
+def _pack_pairs(keys: np.ndarray, others: np.ndarray, values: np.ndarray) -> dict[str, bytes]:
+    """Ascending keys as differences, and a code and one uint32 for each."""
+    return {"keys": _planes(np.diff(keys, prepend=np.uint64(0))), "vals": _planes(others) + _planes(values.astype(np.uint32))}
+
+
+def _pairs_of(keys: bytes, vals: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _keys(keys), _unplanes(vals[: len(keys)], np.uint64), _unplanes(vals[len(keys) :], np.uint32).astype(np.int64)
+
+
+def _summed_pairs(keys: np.ndarray, others: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order with the sums of their counts."""
+    if not len(keys):
+        return keys, others, counts
+    order = np.lexsort((others, keys))
+    keys, others, counts = keys[order], others[order], counts[order]
+    at = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (others[1:] != others[:-1])]))
+    return keys[at], others[at], np.add.reduceat(counts, at)
+
+
+def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each key its place in an ascending table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+class _PairTable:
+    """Counts of distinct pairs in order, by both parts, and of their keys alone."""
+
+    def __init__(self, keys: np.ndarray, others: np.ndarray, counts: np.ndarray):
+        self.keys, self.others, self.n = np.unique(keys), np.unique(others), counts
+        self.both = self._code(np.searchsorted(self.keys, keys), np.searchsorted(self.others, others))
+        self.of_key = np.bincount(np.searchsorted(self.keys, keys), counts, len(self.keys)).astype(np.int64)
+
+    @staticmethod
+    def _code(key: np.ndarray, other: np.ndarray) -> np.ndarray:
+        return key.astype(np.uint64) << np.uint64(32) | other.astype(np.uint64)
+
+    def count(self, keys: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the pairs, and of the keys."""
+        if not len(self.n):
+            return np.zeros((2, len(keys)), np.int64)
+        (k, has_key), (o, has_other) = _found(self.keys, keys), _found(self.others, others)
+        at, has = _found(self.both, self._code(k, o))
+        return np.where(has & has_key & has_other, self.n[at], 0), np.where(has_key, self.of_key[k], 0)
+
+
 # --- discounts ---------------------------------------------------------------------------------
 
 
@@ -101,7 +152,7 @@ def _discounted(counts: np.ndarray, discounts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class KatzModel:
-    """Small arrays by class (bounded by the shortlist), and the paths of the partitioned tables."""
+    """Small arrays by class (bounded by the shortlist and BEGIN), and the paths of the partitioned tables."""
 
     words: np.ndarray  # hashes of the shortlist, ascending
     counts: np.ndarray  # their training counts
@@ -112,12 +163,13 @@ class KatzModel:
     word_discounts: np.ndarray
     pair_discounts: np.ndarray
     alone: np.ndarray  # by class: probability without a history
+    shrink: float  # factor of the other words' discounted frequencies
     unseen: float  # probability of the one unseen word type
     history: np.ndarray  # by class: tokens after it in training
     gain: np.ndarray  # by class: factor of the discounted frequencies
     back: np.ndarray  # by class: backoff weight
     pairs_path: str
-    rare_path: str
+    histories_path: str
 
 
 def _slices(batches: Iterator[pa.RecordBatch], id_column: int, text_column: int):
@@ -146,18 +198,38 @@ def _joined(held):
     return pa.Table.from_batches([b for b, _, _ in held]), np.concatenate([t for _, t, _ in held]), begins
 
 
-def _classes(tokens: np.ndarray, words: np.ndarray) -> np.ndarray:
-    if not len(words):
-        return np.zeros(len(tokens), np.uint64)
-    at = np.minimum(np.searchsorted(words, tokens), len(words) - 1)
-    return np.where(words[at] == tokens, at + FIRST, RARE).astype(np.uint64)
+def _codes(tokens: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Class numbers of listed words, else the hashes."""
+    at, listed = _found(words, tokens)
+    return np.where(listed, (at + FIRST).astype(np.uint64), tokens)
 
 
-def _pairs(classes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    before = np.empty_like(classes)
-    before[1:] = classes[:-1]
+def _before(codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    before = np.empty_like(codes)
+    before[1:] = codes[:-1]
     before[begins] = BEGIN
-    return before, before << _WIDTH | classes
+    return before
+
+
+def _word_part(codes: np.ndarray, parts: int) -> np.ndarray:
+    return codes.view(np.int64) % np.int64(parts)  # as pmod
+
+
+def _unlisted(before: np.ndarray, codes: np.ndarray):
+    """(kind, places, keys, others) of the pairs that are dealt by an unlisted word, second or first."""
+    for kind, key, other in (("second", codes, before), ("first", before, codes)):
+        at = np.flatnonzero(key >= LISTED)
+        yield kind, at, key[at], other[at]
+
+
+def _weights(n: np.ndarray, kept: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Factors of the discounted frequencies and backoff weights of histories seen ``n`` times."""
+    seen = np.maximum(n, 1)
+    left = 1 - after  # probability, without a history, of what was not seen after this one
+    full = left <= 1e-9
+    reserve = np.where(full, 0.0, np.maximum(1 - kept / seen, 1 / (seen + 1)))
+    gain = np.where(n > 0, (1 - reserve) / np.maximum(kept / seen, 1e-300), 0.0)
+    return gain, np.where(n > 0, reserve / np.where(full, 1.0, left), 1.0)
 
 
 def _part_of(before: np.ndarray, classes: np.ndarray, salt: np.ndarray, parts: int) -> np.ndarray:
@@ -165,9 +237,9 @@ def _part_of(before: np.ndarray, classes: np.ndarray, salt: np.ndarray, parts: i
     return ((mix(before) + spread) % np.uint64(parts)).astype(np.int64)
 
 
-def _dealt(part: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _dealt(part: np.ndarray, keys: np.ndarray, *then: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(partition, indices in key order) of each partition that has any."""
-    order = np.lexsort((keys, part))
+    order = np.lexsort((*then, keys, part))
     cut = np.flatnonzero(np.diff(part[order])) + 1
     for own in np.split(order, cut):
         if len(own):
@@ -228,26 +300,36 @@ def train(texts: DataFrame, text_col: str, shortlist: int = SHORTLIST) -> KatzMo
 
     word_discounts = good_turing({int(r["least"]): int(r["types"]) for r in levels if r["least"] <= RELIABLE + 1})
     lost = sum(r["tokens"] * (1 - word_discounts[r["least"]]) for r in levels if r["least"] <= RELIABLE)
-    unseen = max(lost, 1.0) / max(total, 1) if total else 1.0
-    shrink = 1.0 if lost >= 1 else 1 - unseen  # only where no count is discounted
+    shrink = 1.0 if lost >= 1 else 1 - 1 / max(total, 1)  # where hardly any count is discounted
+    unseen = 1 - shrink * (1 - lost / total) if total else 1.0
     alone = np.concatenate([[0.0, 0.0], shrink * _discounted(own, word_discounts) / max(total, 1)])
     alone[RARE] = max(0.0, 1 - alone.sum())
 
-    rare = words.where(F.col("c") < least)
-    rare_path = _store(_packed_words(rare, parts), "rare")
-
     def count_pairs(batches):
         for _, _, tokens, begins in _slices(batches, 0, 0):
-            before, keys = _pairs(_classes(tokens, listed_words.value), begins)
-            keys, n = np.unique(keys, return_counts=True)
-            part = _part_of(keys >> _WIDTH, keys & np.uint64((1 << 20) - 1), salts.value, parts)
-            yield _rows([{"part": p, "kind": "pairs", "slice": 0, **_pack(keys[i], n[i])} for p, i in _dealt(part, keys)], _SCHEMA)
+            codes = _codes(tokens, listed_words.value)
+            before = _before(codes, begins)
+            both = (before < LISTED) & (codes < LISTED)
+            keys, n = np.unique(before[both] << _WIDTH | codes[both], return_counts=True)
+            part = _part_of(keys >> _WIDTH, keys & (LISTED - np.uint64(1)), salts.value, parts)
+            rows = [{"part": p, "kind": "pairs", "slice": 0, **_pack(keys[i], n[i])} for p, i in _dealt(part, keys)]
+            for kind, at, key, other in _unlisted(before, codes):
+                key, other, n = _summed_pairs(key, other, np.ones(len(at), np.int64))
+                rows += [{"part": p, "kind": kind, "slice": 0, **_pack_pairs(key[i], other[i], n[i])} for p, i in _dealt(_word_part(key, parts), key, other)]
+            yield _rows(rows, _SCHEMA)
 
     def merge_pairs(group: pa.Table) -> pa.Table:
-        keys = np.concatenate([_keys(x) for x in group.column("keys").to_pylist()])
-        n = np.concatenate([_unplanes(x, np.uint32) for x in group.column("vals").to_pylist()]).astype(np.int64)
-        row = {"part": group.column("part")[0].as_py(), "kind": "pairs", "slice": 0, **_pack(*_summed(keys, n))}
-        return pa.Table.from_batches([_rows([row], _SCHEMA)])
+        rows, part = group.select(["kind", "keys", "vals"]).to_pylist(), group.column("part")[0].as_py()
+        out = []
+        for kind in ("pairs", "second", "first"):
+            own = [r for r in rows if r["kind"] == kind]
+            if own and kind == "pairs":
+                n = np.concatenate([_unplanes(r["vals"], np.uint32) for r in own]).astype(np.int64)
+                out.append({"part": part, "kind": kind, "slice": 0, **_pack(*_summed(np.concatenate([_keys(r["keys"]) for r in own]), n))})
+            elif own:
+                columns = map(np.concatenate, zip(*(_pairs_of(r["keys"], r["vals"]) for r in own), strict=True))
+                out.append({"part": part, "kind": kind, "slice": 0, **_pack_pairs(*_summed_pairs(*columns))})
+        return pa.Table.from_batches([_rows(out, _SCHEMA)])
 
     listed_words, salts = spark.sparkContext.broadcast(hashes), spark.sparkContext.broadcast(salt)
     pairs = texts.select(text_col).mapInArrow(count_pairs, _PACKED).groupBy("part").applyInArrow(merge_pairs, _PACKED)
@@ -256,55 +338,64 @@ def train(texts: DataFrame, text_col: str, shortlist: int = SHORTLIST) -> KatzMo
     def count_counts(batches):
         for batch in batches:
             n = np.zeros(RELIABLE + 2, np.int64)
-            for raw in batch.column(0).to_pylist():
-                found = _unplanes(raw, np.uint32)
+            for kind, keys, vals in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == "pairs":
+                    found = _unplanes(vals, np.uint32)
+                else:
+                    _, other, found = _pairs_of(keys, vals)
+                    found = found if kind == "second" else found[other < LISTED]  # pairs of two unlisted words stand in both
                 n += np.bincount(np.minimum(found, RELIABLE + 2), minlength=RELIABLE + 3)[: RELIABLE + 2]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["r", "types"])
 
-    seen = _stored(spark, pairs_path).select("vals").mapInArrow(count_counts, "r long, types long")
+    seen = _stored(spark, pairs_path).select("kind", "keys", "vals").mapInArrow(count_counts, "r long, types long")
     seen = {r["r"]: r["n"] for r in seen.groupBy("r").agg(F.sum("types").alias("n")).collect() if r["r"]}
     pair_discounts = good_turing(seen)
     probabilities = spark.sparkContext.broadcast(alone)
 
     def histories(batches):
         for batch in batches:
-            for raw, vals in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys, n = _keys(raw), _unplanes(vals, np.uint32).astype(np.int64)
-                before = (keys >> _WIDTH).astype(np.int64)
+            for kind, raw, vals in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == "pairs":
+                    keys, n = _keys(raw), _unplanes(vals, np.uint32).astype(np.int64)
+                    before, after = keys >> _WIDTH, probabilities.value[(keys & (LISTED - np.uint64(1))).astype(np.int64)]
+                elif kind == "second":
+                    word, before, n = _pairs_of(raw, vals)
+                    own = _PairTable(word, before, n).count(word, before)[1]  # each token of the word has one pair
+                    after = shrink * _discounted(own, word_discounts) / total
+                    n = np.where(before < LISTED, n, 0)  # else "first" has it
+                else:
+                    before, word, n = _pairs_of(raw, vals)
+                    after = np.where(word < LISTED, probabilities.value[np.where(word < LISTED, word, 0).astype(np.int64)], 0.0)
+                order = np.argsort(before, kind="stable")
+                before = before[order]
                 at = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]])) if len(before) else np.zeros(0, np.int64)
-                after = probabilities.value[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)]
-                sums = [np.add.reduceat(x, at) if len(at) else np.zeros(0) for x in (n.astype(float), _discounted(n, pair_discounts), after)]
-                yield pa.RecordBatch.from_arrays([pa.array(before[at]), *map(pa.array, sums)], ["h", "n", "kept", "after"])
+                sums = [np.add.reduceat(x[order], at) if len(at) else np.zeros(0) for x in (n.astype(float), _discounted(n, pair_discounts), after)]
+                yield pa.RecordBatch.from_arrays([pa.array(before[at].view(np.int64)), *map(pa.array, sums)], ["h", "n", "kept", "after"])
 
-    sums = _stored(spark, pairs_path).select("keys", "vals").mapInArrow(histories, "h long, n double, kept double, after double")
-    sums = sums.groupBy("h").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept"), F.sum("after").alias("after")).toPandas()
+    def pack(group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("h").to_numpy().view(np.uint64))
+        n, kept, after = (group.column(c).to_numpy()[order] for c in ("n", "kept", "after"))
+        gain, back = _weights(n, kept, after)
+        keys = group.column("h").to_numpy().view(np.uint64)[order]
+        row = {"part": group.column("part")[0].as_py(), "kind": "histories", "slice": 0, "keys": _planes(np.diff(keys, prepend=np.uint64(0)))}
+        return pa.Table.from_batches([_rows([row | {"vals": np.concatenate([gain / np.maximum(n, 1), back]).tobytes()}], _SCHEMA)])
+
+    sums = _stored(spark, pairs_path).select("kind", "keys", "vals").mapInArrow(histories, "h long, n double, kept double, after double")
+    sums = checkpointed(sums.groupBy("h").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept"), F.sum("after").alias("after")))
+    of_list = F.col("h").between(0, int(LISTED) - 1)
+    others = sums.where(~of_list).withColumn("part", F.pmod(F.col("h"), F.lit(parts)).cast("int"))
+    histories_path = _store(others.groupBy("part").applyInArrow(pack, _PACKED).select("kind", "keys", "vals", "part"), "histories")
+    head = sums.where(of_list).toPandas()
     history, kept, after = (np.zeros(len(alone)) for _ in range(3))
     for out, name in ((history, "n"), (kept, "kept"), (after, "after")):
-        out[sums["h"].to_numpy(np.int64)] = sums[name].to_numpy(float)
-    n = np.maximum(history, 1)
-    left = 1 - after  # probability, without a history, of what was not seen after this one
-    full = left <= 1e-9
-    reserve = np.where(full, 0.0, np.maximum(1 - kept / n, 1 / (n + 1)))
-    gain = np.where(history > 0, (1 - reserve) / np.maximum(kept / n, 1e-300), 0.0)
-    back = np.where(history > 0, reserve / np.where(full, 1.0, left), 1.0)
+        out[head["h"].to_numpy(np.int64)] = head[name].to_numpy(float)
+    gain, back = _weights(history, kept, after)
     return KatzModel(
-        hashes, own, int(total), int(types), parts, salt, word_discounts, pair_discounts, alone, float(unseen),
-        history, gain, back, pairs_path, rare_path,
+        hashes, own, int(total), int(types), parts, salt, word_discounts, pair_discounts, alone, float(shrink), float(unseen),
+        history, gain, back, pairs_path, histories_path,
     )
 
 
-def _packed_words(rare: DataFrame, parts: int) -> DataFrame:
-    """Rare words and their counts, packed by partition."""
-
-    def pack(group: pa.Table) -> pa.Table:
-        keys, n = _summed(group.column("w").to_numpy().view(np.uint64), group.column("c").to_numpy())
-        row = {"part": group.column("part")[0].as_py(), "kind": "rare", "slice": 0, **_pack(keys, n)}
-        return pa.Table.from_batches([_rows([row], _SCHEMA)])
-
-    part = F.pmod(F.col("w"), F.lit(parts)).cast("int")
-    return rare.withColumn("part", part).groupBy("part").applyInArrow(pack, _PACKED).select("kind", "keys", "vals", "part")
-
-
 def score(texts: DataFrame, model: KatzModel, id_col: str, text_col: str) -> DataFrame:
     """One row per input row: id, ``n_tokens``, ``n_known``, ``base_score`` and ``score``."""
     spark = texts.sparkSession
@@ -316,11 +407,11 @@ def score(texts: DataFrame, model: KatzModel, id_col: str, text_col: str) -> Dat
         m = sent.value
         log_floor = math.log10(m.total + m.types + 1)
         for number, held, tokens, begins in _slices(batches, 0, 1):
-            classes = _classes(tokens, m.words)
-            before, keys = _pairs(classes, begins)
+            codes = _codes(tokens, m.words)
+            before = _before(codes, begins)
             doc = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(tokens))))
-            known = np.where(classes >= FIRST, classes - np.uint64(FIRST), 0).astype(np.int64)
-            listed = classes >= FIRST
+            listed = codes < LISTED
+            known = np.where(listed, codes - np.uint64(FIRST), 0).astype(np.int64)
             count = m.counts[known] if len(m.counts) else np.zeros(len(tokens))
             base = np.where(listed, np.log10(count + 1) - log_floor, 0.0)
             sink = pa.BufferOutputStream()
@@ -329,22 +420,25 @@ def score(texts: DataFrame, model: KatzModel, id_col: str, text_col: str) -> Dat
                 out.write_table(ids)
             facts = np.stack([np.bincount(doc, minlength=len(begins)), np.bincount(doc, listed, len(begins)), np.bincount(doc, base, len(begins))])
             yield _rows([{"part": number % m.parts, "kind": "documents", "slice": number, "keys": sink.getvalue().to_pybytes(), "vals": facts.astype(float).tobytes()}], _SCHEMA)
-            part = _part_of(before, classes, m.salt, m.parts)
-            for p, own in _dealt(part, keys):
-                yield _rows([{"part": p, "kind": "tokens", "slice": number, **_pack(keys[own], doc[own])}], _SCHEMA)
-            strange = np.flatnonzero(~listed)
-            part = (tokens[strange].view(np.int64) % np.int64(m.parts)).astype(np.int64)  # as pmod
-            for p, own in _dealt(part, tokens[strange]):
-                yield _rows([{"part": p, "kind": "strange", "slice": number, **_pack(tokens[strange][own], doc[strange][own])}], _SCHEMA)
+            both = np.flatnonzero(listed & (before < LISTED))
+            keys = before[both] << _WIDTH | codes[both]
+            for p, own in _dealt(_part_of(before[both], codes[both], m.salt, m.parts), keys):
+                yield _rows([{"part": p, "kind": "tokens", "slice": number, **_pack(keys[own], doc[both[own]])}], _SCHEMA)
+            for kind, at, key, other in _unlisted(before, codes):
+                for p, own in _dealt(_word_part(key, m.parts), key, other):
+                    yield _rows([{"part": p, "kind": f"{kind} tokens", "slice": number, **_pack_pairs(key[own], other[own], doc[at[own]])}], _SCHEMA)
 
     def evaluate(group: pa.Table) -> pa.Table:
         m = sent.value
         log_floor = math.log10(m.total + m.types + 1)
         rows = group.to_pylist()
-        tables = {}
-        for kind in ("pairs", "rare"):
-            own = [(_keys(r["keys"]), _unplanes(r["vals"], np.uint32).astype(np.int64)) for r in rows if r["kind"] == kind]
-            tables[kind] = own[0] if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        stored = {r["kind"]: r for r in rows if r["kind"] in ("pairs", "second", "first", "histories")}
+        none = {"keys": b"", "vals": b""}
+        raw = stored.get("pairs", none)
+        pairs, counts = _keys(raw["keys"]), _unplanes(raw["vals"], np.uint32).astype(np.int64)
+        tables = {kind: _PairTable(*_pairs_of(*(stored.get(kind, none)[c] for c in ("keys", "vals")))) for kind in ("second", "first")}
+        raw = stored.get("histories", none)
+        first, (share, weight) = _keys(raw["keys"]), np.frombuffer(raw["vals"]).reshape(2, -1)
         out = []
         with np.errstate(divide="ignore"):
             log_back, log_alone = np.log10(m.back), np.log10(m.alone)
@@ -352,26 +446,36 @@ def score(texts: DataFrame, model: KatzModel, id_col: str, text_col: str) -> Dat
             if r["kind"] == "documents":
                 out.append({"slice": r["slice"], "ids": r["keys"], "sums": r["vals"]})
                 continue
-            if r["kind"] not in ("tokens", "strange"):
+            if not r["kind"].endswith("tokens"):
                 continue
-            keys, doc = _keys(r["keys"]), _unplanes(r["vals"], np.uint32)
-            known, counts = tables["pairs" if r["kind"] == "tokens" else "rare"]
-            if len(known):
-                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                n = np.where(known[at] == keys, counts[at], 0)
-            else:
-                n = np.zeros(len(keys), np.int64)
-            sums = np.zeros((4, int(doc.max()) + 1))
             if r["kind"] == "tokens":
-                h, w = (keys >> _WIDTH).astype(np.int64), (keys & np.uint64((1 << 20) - 1)).astype(np.int64)
-                seen = m.gain[h] * _discounted(n, m.pair_discounts) / np.maximum(m.history[h], 1)
-                logs = np.where(n > 0, np.log10(np.where(n > 0, seen, 1.0)), log_back[h] + log_alone[w])
-                sums[3] = np.bincount(doc, logs, sums.shape[1])
+                keys, doc = _keys(r["keys"]), _unplanes(r["vals"], np.uint32)
+                at, has = _found(pairs, keys)
+                n = np.where(has, counts[at], 0) if len(pairs) else np.zeros(len(keys), np.int64)
+                h, w = (keys >> _WIDTH).astype(np.int64), (keys & (LISTED - np.uint64(1))).astype(np.int64)
+                factor, missed = m.gain[h] / np.maximum(m.history[h], 1), log_back[h] + log_alone[w]
             else:
-                p = np.where(n > 0, _discounted(n, m.word_discounts) / max(m.total, 1), m.unseen)
-                sums[1] = np.bincount(doc, n > 0, sums.shape[1])
-                sums[2] = np.bincount(doc, np.log10(n + 1) - log_floor, sums.shape[1])
-                sums[3] = np.bincount(doc, np.log10(p) - log_alone[RARE], sums.shape[1])
+                key, other, doc = _pairs_of(r["keys"], r["vals"])
+                n, own = tables[r["kind"].split()[0]].count(key, other)
+                listed = other < LISTED
+                number = np.where(listed, other, 0).astype(np.int64)
+                if r["kind"] == "second tokens":  # of an unlisted history, "first tokens" has the rest
+                    p = np.where(own > 0, m.shrink * _discounted(own, m.word_discounts) / max(m.total, 1), m.unseen)
+                    factor = m.gain[number] / np.maximum(m.history[number], 1)
+                    missed = np.where(listed, log_back[number], 0.0) + np.log10(p)
+                else:
+                    at, has = _found(first, key)
+                    factor, back = (np.where(has, x[at], 1.0) if len(first) else np.ones(len(key)) for x in (share, weight))
+                    listed_word, listed = listed, np.ones(len(key), bool)
+                    with np.errstate(divide="ignore"):
+                        missed = np.log10(back) + np.where(listed_word, log_alone[number], 0.0)
+            sums = np.zeros((4, int(doc.max()) + 1))
+            seen = factor * _discounted(n, m.pair_discounts)
+            hits = np.log10(np.where(n > 0, seen, 1.0)) if r["kind"] == "tokens" else np.log10(np.where((n > 0) & listed, seen, 1.0))
+            sums[3] = np.bincount(doc, np.where(n > 0, hits, missed), sums.shape[1])
+            if r["kind"] == "second tokens":
+                sums[1] = np.bincount(doc, own > 0, sums.shape[1])
+                sums[2] = np.bincount(doc, np.log10(own + 1) - log_floor, sums.shape[1])
             out.append({"slice": r["slice"], "ids": None, "sums": sums[1:].tobytes()})
         return pa.Table.from_pylist(out, pa.schema([("slice", pa.int64()), ("ids", pa.binary()), ("sums", pa.binary())]))
 
@@ -393,7 +497,7 @@ def score(texts: DataFrame, model: KatzModel, id_col: str, text_col: str) -> Dat
         )
 
     dealt = texts.select(id_col, text_col).mapInArrow(deal, _PACKED)
-    for path in (model.pairs_path, model.rare_path):
+    for path in (model.pairs_path, model.histories_path):
         dealt = dealt.unionByName(_stored(spark, path).withColumn("slice", F.lit(0).cast("long")))
     partial = dealt.groupBy("part").applyInArrow(evaluate, "slice long, ids binary, sums binary")
     return partial.groupBy("slice").applyInArrow(total, result)
@@ -409,7 +513,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Tokens are words between white space, lower-cased A-Z, and one end for each text; a null or empty text
     is its end alone. Texts are read whole, repeated rows all count, a null id is a training row, other
-    columns are ignored. Without any training row every word is the one unseen type.
+    columns are ignored. Without any training row every word is the one unseen type. ``shortlist`` changes no result.
     """
     model = train(docs.where(~held_out(id_col)), text_col, shortlist)
     return score(docs, model, id_col, text_col).select(

@@ -107,6 +107,45 @@ def test_katz_weights_normalise_and_counts_are_exact(spark, docs, nothing):
     assert katz.katz_scores(nothing).count() == 0
 
 
+def test_katz_equals_a_dictionary_model_whatever_is_listed(spark, docs):
+    rows = [(r.doc_id, [None, *words(r.text), None]) for r in docs.collect()]  # None: begin and end
+    train = [t for i, t in rows if i is None or __import__("zlib").crc32(str(i).encode()) % 7 != 2]
+    word, pair = ({}, {})
+    for t in train:
+        for h, w in zip(t, t[1:], strict=False):
+            word[w] = word.get(w, 0) + 1
+            pair.setdefault(h, {})
+            pair[h][w] = pair[h].get(w, 0) + 1
+    total = sum(word.values())
+
+    def discounts(counts):
+        of = {}
+        for n in counts:
+            of[n] = of.get(n, 0) + 1
+        d = katz.good_turing(of)
+        return lambda n: n * (d[n] if n <= katz.RELIABLE else 1)
+
+    of_word, of_pair = discounts(word.values()), discounts(n for x in pair.values() for n in x.values())
+    lost = sum(n - of_word(n) for n in word.values())
+    alone = {w: (1 if lost >= 1 else 1 - 1 / total) * of_word(n) / total for w, n in word.items()}
+    unseen = 1 - sum(alone.values())
+
+    def p(h, w):
+        if h not in pair:
+            return alone.get(w, unseen)
+        n, kept = sum(pair[h].values()), sum(map(of_pair, pair[h].values()))
+        reserve = max(1 - kept / n, 1 / (n + 1))
+        if w in pair[h]:
+            return (1 - reserve) * of_pair(pair[h][w]) / kept
+        return reserve * alone.get(w, unseen) / (1 - sum(alone[x] for x in pair[h]))
+
+    assert sum(p("w1", w) for w in word) + p("w1", "never") == pytest.approx(1)
+    want = sorted((i or -1, sum(np.log10(p(h, w)) for h, w in zip(t, t[1:], strict=False))) for i, t in rows)
+    for shortlist in (0, 20, 200, 1 << 18):
+        got = sorted((r.doc_id or -1, r.score) for r in katz.katz_scores(docs, shortlist=shortlist).collect())
+        assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want])
+
+
 def test_html_rules():
     page = """<html><head><title>t</title><style>p{}</style></head><body><nav><a href=1>Home</a></nav><div class="cookie-notice">We use cookies</div>
     <article><h1>Head &amp; line</h1><p>First <b>bold</b>
