@@ -3,8 +3,8 @@
 Built from DataFrame functions only. A file's segments are its lines that speak of a licence, the blank-line
 separated paragraphs around such lines, and its whole text if it has such a line or is named as a licence
 file. A file whose whole text matches a template is a licence file. Each segment is a
-sparse TF-IDF vector; its cosine to every template is a join on shared terms and a sum. Term frequencies of
-documents are counted over all files, for the terms of the templates. A file without a licence of its own
+sparse TF-IDF vector; its cosine to every template is a join on shared terms and a sum. Document frequencies
+of all terms are counted over all files. A file without a licence of its own
 takes that of the nearest ancestor directory in which a licence file stands, by a join on directory paths.
 """
 
@@ -47,6 +47,8 @@ FILE_NAME = r"(?i)(^|/)(un)?licen[cs]e|(^|/)copying|(^|/)notice(\.[a-z]+)?$"
 THRESHOLD = 0.7
 #: Places in which the files of one directory meet its licence.
 SHARES = 32
+#: Terms in at least one of so many files have their weights broadcast: at most as many as these files have terms.
+COMMON = 100
 
 
 def _terms(text: Column) -> Column:
@@ -107,7 +109,7 @@ def license_scan(
 
     ``origin`` is ``file`` (a segment of its own text), ``inherited`` (from a licence file's directory, itself or
     the nearest above) or ``none``. Of several licences the largest cosine counts, then the first name. Term
-    weights are ``ln((1 + files) / (1 + files with the term)) + 1``; words of no template count as in no file.
+    weights are ``ln((1 + files) / (1 + files with the term)) + 1``.
     Null and empty texts have no segment, null paths stand at the top. Files are told apart by id: rows that repeat
     one share the licence of their texts, and each is returned. A row without an id has no licence of its own.
     Other columns are ignored; an empty table gives an empty result.
@@ -117,23 +119,25 @@ def license_scan(
     rows = files.select(F.col(id_col).alias("_id"), F.coalesce(path, F.lit("")).alias("path"), text.alias("text"))
     vectors = template_vectors(spark, templates)
     vocabulary = sorted({r["term"] for r in vectors.select("term").distinct().collect()})  # of the templates, not of the files
-    listed = F.array(*map(F.lit, vocabulary))
-    seen = rows.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect(_terms(F.col("text")), listed))).alias("term"))
-    counts = {r["term"]: r["count"] for r in seen.groupBy("term").count().collect()}
-    total = counts.pop("", 0)
-    idf = spark.createDataFrame([(t, counts.get(t, 0)) for t in vocabulary], "term string, df long")
-    idf = idf.select("term", (F.log((1 + total) / (1 + F.col("df"))) + 1).alias("idf"))
-    strange = F.log(F.lit(1.0 + total)) + 1
-    weighted = vectors.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    total = files.count()
+    counts = rows.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    counts = checkpointed(counts)
+    known = {r["term"]: r["df"] for r in counts.where(F.col("term").isin(vocabulary)).collect()}
+    listed = spark.createDataFrame([(t, known.get(t, 0)) for t in vocabulary], "term string, df long")
+    idf = (F.log((1 + total) / (1 + F.col("df"))) + 1).alias("idf")
+    weighted = vectors.join(listed.select("term", idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    # one row per term, so that a segment's term meets it once: its weight and what it adds to each template
-    postings = weighted.join(norms, "template").groupBy("term", "idf").agg(
+    # one row per term, so that a segment's term meets it once: what it adds to each template
+    postings = weighted.join(norms, "template").groupBy("term").agg(
         F.collect_list(F.struct("template", "license", (F.col("w") / F.col("norm")).alias("w"))).alias("postings")
     )
     found = segments(rows.where(F.col("_id").isNotNull())).withColumn("seg", F.md5("segment"))
     terms = found.select("_id", "whole", "seg", F.explode(_terms(F.col("segment"))).alias("term"))
-    terms = terms.groupBy("_id", "whole", "seg", "term").agg(F.count("*").alias("tf"))
-    weights = terms.join(postings, "term", "left").withColumn("v", F.col("tf") * F.coalesce("idf", strange))
+    terms = checkpointed(terms.groupBy("_id", "whole", "seg", "term").agg(F.count("*").alias("tf")))
+    # a common term stands in a large share of the segments: those don't meet at it, the others are dealt by term
+    common = F.broadcast(counts.where(F.col("df") * COMMON >= total).select("term", idf))
+    others = terms.join(common.select("term"), "term", "left_anti").join(counts.where(F.col("df") * COMMON < total).select("term", idf), "term")
+    weights = terms.join(common, "term").unionByName(others).join(F.broadcast(postings), "term", "left").withColumn("v", F.col("tf") * F.col("idf"))
     scores = weights.groupBy("_id", "whole", "seg").agg(
         F.sum(F.col("v") * F.col("v")).alias("square"),
         F.flatten(F.collect_list(F.transform("postings", lambda p: F.struct(p["license"].alias("license"), p["template"].alias("template"), (p["w"] * F.col("v")).alias("x"))))).alias("parts"),

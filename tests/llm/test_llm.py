@@ -217,6 +217,15 @@ def test_licenses(spark, nothing):
     assert licenses.license_scan(nothing, "doc_id", nothing["words"]).count() == 0
 
 
+def test_licenses_weigh_every_word_by_its_files(spark):
+    texts = ["These tools were released under the MIT License."] + ["Released under the MIT License."] * 20 + ["these tools were made"] * 1979
+    df = spark.createDataFrame([(k, f"d{k}/x", t) for k, t in enumerate(texts)], "id long, path string, text string")
+    got = licenses.license_scan(df, "id", df["path"]).where("id = 0").first()
+    rare, often = np.log(2001 / 22) + 1, np.log(2001 / 1981) + 1  # files with the term, and one more
+    assert (got.license, got.origin) == ("MIT", "file")
+    assert got.cosine == pytest.approx(np.sqrt(5 * rare**2 / (5 * rare**2 + 3 * often**2)), abs=1e-4)
+
+
 def test_resampling_keeps_the_largest_keys(spark, nothing):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
