@@ -2,7 +2,8 @@
 
 Built from DataFrame functions only. A file's segments are its lines that speak of a licence, the blank-line
 separated paragraphs around such lines, and its whole text if it has such a line or is named as a licence
-file. A file whose whole text matches a template is a licence file. Each segment is a
+file. A file whose whole text matches a template is a licence file, and so is one that is named as the text of a
+licence (LICENSE, COPYING) if any of its segments matches. Each segment is a
 sparse TF-IDF vector; its cosine to every template is a join on shared terms and a sum. Document frequencies
 of all terms are counted over all files. A file without a licence of its own
 takes that of the nearest ancestor directory in which a licence file stands, by a join on directory paths.
@@ -16,7 +17,10 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import checkpointed, lower_az
 from tessera.session import table
 
-#: (licence, template). Notices and opening clauses as their publishers word them.
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: {}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. {}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_3 = "{}Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+#: (licence, template). Notices, titles, opening clauses and short bodies as their publishers word them.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT license. See LICENSE file in the project root for full license information."),
@@ -39,10 +43,24 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    # how the publishers' full texts begin, or all of the short ones
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("BSD-3-Clause", _BSD.format("", "") + _BSD_3.format("") + _BSD_END),
+    ("BSD-3-Clause", _BSD.format("1. ", "2. ") + _BSD_3.format("3. ") + _BSD_END),
+    ("BSD-2-Clause", _BSD.format("", "") + _BSD_END),
+    ("BSD-2-Clause", _BSD.format("1. ", "2. ") + _BSD_END),
 )
 #: What a line must hold to be a segment, and what makes a file name a licence file.
 CUE = r"licen[cs]|copyright|spdx|permission is hereby|redistribut|public domain|free software|warrant|waived all"
 FILE_NAME = r"(?i)(^|/)(un)?licen[cs]e|(^|/)copying|(^|/)notice(\.[a-z]+)?$"
+#: Names of files that hold the text of a licence, but no source code.
+DECLARING = r"(?i)(^|/)(?![^/]*\.(c|cc|cpp|h|hpp|cs|css|go|java|js|json|kt|php|pl|py|rb|rs|scala|sh|sql|swift|ts|xml|ya?ml)$)((un)?licen[cs]es?|copying)([-_.][^/]*)?$"
 #: Segments of at least this cosine to a template bear its licence.
 THRESHOLD = 0.7
 #: Places in which the files of one directory meet its licence.
@@ -152,9 +170,9 @@ def license_scan(
         .select("_id", *_unranked("best"), F.col("whole_best").isNotNull().alias("licence_file"))
     )
     best = checkpointed(best)
-    owned = rows.select("_id", _parent(F.col("path")).alias("directory")).join(best, "_id", "left")
+    owned = rows.select("_id", _parent(F.col("path")).alias("directory"), F.col("path").rlike(DECLARING).alias("named")).join(best, "_id", "left")
     owned = checkpointed(owned)
-    declared = owned.where("licence_file").groupBy("directory").agg(F.min(_rank()).alias("best"))
+    declared = owned.where("licence_file OR named AND license IS NOT NULL").groupBy("directory").agg(F.min(_rank()).alias("best"))
     declared = declared.select("directory", *_unranked("best", "from_"))
     above = owned.select("directory").distinct().select(F.col("directory").alias("below"), F.explode(_ancestors(F.col("directory"))).alias("a"))
     inherited = (

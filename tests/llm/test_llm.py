@@ -226,6 +226,23 @@ def test_licenses_weigh_every_word_by_its_files(spark):
     assert got.cosine == pytest.approx(np.sqrt(5 * rare**2 / (5 * rare**2 + 3 * often**2)), abs=1e-4)
 
 
+def test_full_licence_texts_are_inherited(spark):
+    rng = random.Random(3)
+    body = "\n\n".join(" ".join(rng.choices([f"clause{k}" for k in range(300)], k=60)) for _ in range(20))
+    apache = f"Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\n{body}"
+    notice = f"{licenses.TEMPLATES[4][1]}\n\n{body}"
+    bsd2 = "Copyright (c) 2020, Acme\n\n" + licenses._BSD.format("1. ", "\n2. ").replace("met: ", "met:\n\n") + "\n\n" + licenses._BSD_END
+    bsd3 = bsd2.replace("THIS SOFTWARE IS PROVIDED", "3. Neither the name of Acme nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS PROVIDED")
+    files = [
+        ("a/LICENSE", apache), ("b/COPYING", f"GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n{body}"), ("c/LICENSE-APACHE.txt", notice),
+        ("d/main.c", notice), ("e/license.py", notice), ("f/LICENCE.md", bsd2), ("g/License.txt", bsd3), ("h/LICENSE", body),
+    ]
+    df = spark.createDataFrame([(k, *f) for k, f in enumerate([*files, *((f"{d}/sub/x.c", "int main") for d in "abcdefgh")])], "id long, path string, text string")
+    got = {r.directory[0]: (r.license, r.origin) for r in licenses.license_scan(df, "id", df["path"]).where(f"id >= {len(files)}").collect()}
+    want = {"a": "Apache-2.0", "b": "GPL-3.0", "c": "Apache-2.0", "d": None, "e": None, "f": "BSD-2-Clause", "g": "BSD-3-Clause", "h": None}
+    assert got == {d: (x, "inherited" if x else "none") for d, x in want.items()}
+
+
 def test_resampling_keeps_the_largest_keys(spark, nothing):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
