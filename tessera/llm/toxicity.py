@@ -4,8 +4,9 @@ Words become symbols (insult, learnt insult, threat verb, target, negation, repo
 transducers rewrite the symbols of one clause: negation and reported speech tame what follows them,
 the target transducer tells directed insults and threats from loose ones. Their composition is one
 machine; what it emits for each clause is counted per document, and the weights of the emissions are a
-logistic regression on the labelled training rows. Isolated words never score by themselves: only the
-class of the clause match that they end up in has a weight.
+logistic regression on the labelled training rows. Only the class of the clause match that a word ends up in
+has a weight; but loose insults, threat verbs and learnt insults are classes too, so that these words score
+without a target, unless a negation or report tames them.
 
 The lexicon has a fixed part and a learnt one: words and word beginnings that training rows marked toxic
 hold far more often than the others. Texts are read in the tasks that scan them; only counts move on.
