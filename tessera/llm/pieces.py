@@ -6,15 +6,15 @@ tokens back. Where nothing fits, the position is marked in a bitfield as failed
 is shortened. The result equals merging the whole text by score, without the quadratic merge loop.
 
 Texts are cut where no vocabulary piece can span (a white-space mark after another character, or a
-line end outside the vocabulary), and each distinct stretch is encoded once per worker through a bounded
-cache. Rows never shuffle: a document is encoded in the task that read it.
+line end outside the vocabulary). What a worker remembers of words, stretches and token pairs is bounded in
+bytes. Rows never shuffle: a document is encoded in the task that read it.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,26 +25,33 @@ from pyspark.sql import types as T
 from tessera.session import table
 
 MARK = "▁"
-#: Entries of a worker's cache of encoded stretches; it is emptied when full. Longer stretches bypass it.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
-PAIR_ENTRIES = 1_000_000
+#: Bytes (about) of one generation of each of a worker's caches, of which it keeps two; longer keys bypass them.
+CACHE_BYTES, CACHE_CHARS = 20 << 20, 48
+#: What an entry takes besides its key's characters and its tokens, about.
+ENTRY_BYTES = 200
 _LETTER = r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]"
 #: Characters of text for one result batch.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 
 class _Cache(dict):
-    """What ``make`` gives for a key, kept while there is room; emptied when full."""
+    """What ``make`` gives for a key. When this generation has CACHE_BYTES, it becomes the old one, from which
+    keys in use come back."""
 
-    def __init__(self, make, size=len) -> None:
-        self._make, self._size = make, size
+    def __init__(self, make) -> None:
+        self._make, self._old, self._bytes = make, {}, 0
 
     def __missing__(self, key):
-        made = self._make(key)
-        if self._size(key) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+        made = self._old.get(key)
+        if made is None:
+            made = self._make(key)
+        size = len(key) if isinstance(key, str) else 0
+        if size <= CACHE_CHARS:
+            if self._bytes >= CACHE_BYTES:
+                self._old, self._bytes = dict(self), 0
                 self.clear()
             self[key] = made
+            self._bytes += ENTRY_BYTES + 3 * size
         return made
 
 
@@ -72,6 +79,7 @@ class PieceVocabulary:
         self.ids = {p.piece: i for i, p in enumerate(spec.pieces) if p.type == kinds.NORMAL}
         self.byte_ids = {int(p.piece[1:-1], 16): i for i, p in enumerate(spec.pieces) if p.type == kinds.BYTE}
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else t.encode() for i, t in enumerate(self.text)]
         self.end_id = next(i for i, p in enumerate(spec.pieces) if p.piece == "</s>")
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
@@ -80,7 +88,10 @@ class PieceVocabulary:
         self.length = [len(t) for t in self.text]
         self.shorter = [self._prefix(t) for t in self.text]
         self.known = frozenset(c for piece in self.ids for c in piece)
-        self.pairs: dict[int, bool] = {}
+        self.pairs = _Cache(self._remerge)
+        alone = {p for p in self.ids if len(p) == 1}
+        if not self.known <= alone:
+            raise ValueError(f"characters that are in longer pieces only: {sorted(self.known - alone)[:10]}")
         if any(MARK in p.lstrip(MARK) for p in self.ids) or "\n" in self.known:
             raise ValueError("a piece has a space mark inside, or a line end")
         self._cut = re.compile(rf"{MARK}+(?:{_LETTER}+|(?:(?!{_LETTER})[^{MARK}])*)|{_LETTER}+|(?:(?!{_LETTER})[^{MARK}])+")
@@ -88,7 +99,6 @@ class PieceVocabulary:
             self._cut = re.compile(rf"{MARK}+[^{MARK}]*|[^{MARK}]+")  # pieces mix letters and others
         self.stretches = _Cache(self._encode_stretch)
         self.words = _Cache(self._encode_word)
-        self.decoded = _Cache(self._decode_word)
 
     def _prefix(self, text: str) -> int:
         """The longest piece that is a proper prefix of this one, -1 if none."""
@@ -110,14 +120,11 @@ class PieceVocabulary:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether re-merging gives the two tokens back; ``left`` -1 asks for the right one alone."""
-        key = left << 32 | right
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= PAIR_ENTRIES:
-                self.pairs.clear()
-            tokens = [self.text[i] for i in (left, right) if i >= 0]
-            found = self.pairs[key] = self.merge("".join(tokens)) == tokens
-        return found
+        return self.pairs[left << 32 | right]
+
+    def _remerge(self, key: int) -> bool:
+        tokens = [self.text[i] for i in (key >> 32, key & 0xFFFFFFFF) if i >= 0]
+        return self.merge("".join(tokens)) == tokens
 
     def _encode_known(self, text: str) -> list[int]:
         """Backtracking over a text all of whose characters are pieces."""
@@ -136,10 +143,8 @@ class PieceVocabulary:
         while at < size:
             last = out[-1] if out else -1
             while token >= 0:
-                if open_at[at + length[token]]:
-                    fits = pairs.get(last << 32 | token)
-                    if self.compatible(last, token) if fits is None else fits:
-                        break
+                if open_at[at + length[token]] and pairs[last << 32 | token]:
+                    break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
@@ -151,9 +156,9 @@ class PieceVocabulary:
                 at -= length[token]
         return out
 
-    def _encode_stretch(self, text: str) -> tuple[int, ...]:
+    def _encode_stretch(self, text: str) -> bytes:
         if self.known.issuperset(text):
-            return tuple(self._encode_known(text))
+            return array("i", self._encode_known(text)).tobytes()
         out: list[int] = []
         run = 0
         for k, c in enumerate(text):
@@ -164,13 +169,13 @@ class PieceVocabulary:
                 run = k + 1
         if run < len(text):
             out += self._encode_known(text[run:])
-        return tuple(out)
+        return array("i", out).tobytes()
 
     def _encode_word(self, word: str) -> bytes:
         """Ids (as int32 bytes) of a word without white space before it but for line ends: a space mark
         precedes it in the text, unless it starts with a line end."""
         marked = word if word[:1] == "\n" else MARK + word
-        return np.fromiter(chain.from_iterable(map(self.stretches.__getitem__, self._cut.findall(marked))), np.int32).tobytes()
+        return b"".join(map(self.stretches.__getitem__, self._cut.findall(marked)))
 
     def runs(self, text: str | None) -> list[bytes]:
         """Ids of a whole text in consecutive runs, each the int32 bytes of some tokens."""
@@ -178,22 +183,22 @@ class PieceVocabulary:
             return []
         spaced = text.replace("\n", " \n")
         if MARK in text or "  " in spaced or text[0] in " \n" or text[-1] == " ":
-            found = self._cut.findall(MARK + text.replace(" ", MARK))
-            return [np.array(self.stretches[x], np.int32).tobytes() for x in found]
+            return list(map(self.stretches.__getitem__, self._cut.findall(MARK + text.replace(" ", MARK))))
         return list(map(self.words.__getitem__, spaced.split(" ")))
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text, without an end id; none for an empty one."""
         return np.frombuffer(b"".join(self.runs(text)), np.int32).tolist()
 
-    def _decode_word(self, run: bytes) -> str:
-        return self._marked(np.frombuffer(run, np.int32).tolist())
-
-    def decode_runs(self, runs: list[bytes]) -> str:
-        """Text of consecutive runs of whole characters, as ``decode`` of all their ids."""
-        return "".join(map(self.decoded.__getitem__, runs)).removeprefix(MARK).replace(MARK, " ")
+    def decode(self, ids: list[int]) -> str:
+        """Text of ids; control ids give nothing, byte ids that are not UTF-8 give U+FFFD each."""
+        try:
+            text = b"".join(map(self.raw.__getitem__, ids)).decode()
+        except UnicodeDecodeError:
+            text = self._with_broken_bytes(ids)
+        return text.removeprefix(MARK).replace(MARK, " ")
 
-    def _marked(self, ids) -> str:
+    def _with_broken_bytes(self, ids: list[int]) -> str:
         parts: list[str] = []
         raw = bytearray()
         for i in ids:
@@ -209,10 +214,6 @@ class PieceVocabulary:
             parts.append(_utf8(raw))
         return "".join(parts)
 
-    def decode(self, ids) -> str:
-        """Text of ids; control ids give nothing, byte ids that are not UTF-8 give U+FFFD each."""
-        return self._marked(ids).removeprefix(MARK).replace(MARK, " ")
-
 
 def _utf8(raw: bytearray) -> str:
     try:
@@ -270,10 +271,10 @@ def encode_decode(
                 offsets, ids, decoded, size, stop = [0], [], [], 0, done
                 while stop < len(batch) and size < BATCH_CHARS:
                     text = batch.column(1)[stop].as_py() or ""
-                    runs = v.runs(text)
-                    ids += [*runs, end]
-                    offsets.append(offsets[-1] + (sum(map(len, runs)) + len(end)) // 4)
-                    decoded.append(v.decode_runs(runs))
+                    own = b"".join([*v.runs(text), end])
+                    ids.append(own)
+                    offsets.append(offsets[-1] + len(own) // 4)
+                    decoded.append(v.decode(np.frombuffer(own, np.int32).tolist()))
                     size += len(text)
                     stop += 1
                 values = pa.array(np.frombuffer(b"".join(ids), np.int32))
