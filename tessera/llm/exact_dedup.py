@@ -1,9 +1,9 @@
 """Operator 6: exact deduplication by 128-bit content hash with a byte comparison inside groups.
 
 Built from DataFrame functions only. Texts are read twice: once to hash them, once to compare the
-bytes of those whose hash occurs more than once. The comparison is an aggregation whose key is the
-text itself, so copies collapse before the shuffle and a group of any size meets as one row per map
-task; singletons never move. The last join is a plain equi-join of two shuffled inputs, so adaptive
+bytes of those whose hash occurs more than once, found by a bitmap of fixed size (few others pass it and
+only add groups of one). The comparison is an aggregation whose key is the text itself, so copies collapse before
+the shuffle and a group of any size meets as one row per map task. The last join is a plain equi-join of two shuffled inputs, so adaptive
 execution can split a hot group.
 """
 
@@ -12,12 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import checkpointed, lower_az
+from tessera.llm.shared import checkpointed, lower_az, maybe_among
 from tessera.session import table
 
-#: Repeated hashes are broadcast up to this many (16 bytes each); beyond it the join shuffles.
-BROADCAST_HASHES = 1_000_000
-
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
@@ -34,11 +31,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select("_id", lower_az(F.col("_t")).alias("_t")).withColumn("_h", F.unhex(F.md5("_t")))
     hashed = checkpointed(rows.select("_id", "_h", F.sha2("_t", 256).alias("_sha")))
     repeated = checkpointed(hashed.groupBy("_h").count().where("count > 1").select("_h"))
-    if repeated.count() <= BROADCAST_HASHES:
-        repeated = F.broadcast(repeated)
-    compared = rows.join(repeated, "_h", "left_semi").groupBy("_h", "_t").agg(
-        pick("_id").alias("keep_id"), F.count("*").alias("group_size")
-    )
+    compared = maybe_among(rows, "_h", repeated).groupBy("_h", "_t").agg(pick("_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = checkpointed(compared.select("_h", F.sha2("_t", 256).alias("_sha"), "keep_id", "group_size"))
     doubly = groups.groupBy("_h", "_sha").count().where("count > 1")
     if not doubly.isEmpty():

@@ -1,4 +1,4 @@
-"""Helpers of the corpus operators: checkpoints, text normalisation and word hashes of Arrow batches."""
+"""Helpers of the corpus operators: checkpoints, key filters, text normalisation and word hashes of Arrow batches."""
 
 from __future__ import annotations
 
@@ -10,26 +10,36 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import durable, shared_folder
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes hashed at once; numpy temporaries stay in cache and memory stays bounded.
 SLICE_BYTES = 1 << 20
 
-
-#: Where tables are shared when a session names no folder, as in tests.
-TEST_FOLDER = "/tmp/tessera-checkpoints"
+#: Bits of the bitmap behind ``maybe_among``: 8 MB, whatever the size of the input.
+FILTER_BITS = 1 << 26
+checkpointed = durable
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a test folder only where unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or TEST_FOLDER
+def marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` with ``__maybe``: false if the key is surely not among the ``wanted`` ones (a column of that name).
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the folder the cluster names; a test folder only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(TEST_FOLDER)
-    return df.checkpoint()
+    The wanted keys set bits of one bitmap, which Spark builds and broadcasts. Its size is fixed; the more keys
+    it holds, the more other rows pass, so an exact join of what passes must follow.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    places = wanted.select(at.alias("__at")).select(F.bitmap_bucket_number("__at").alias("__bucket"), F.bitmap_bit_position("__at").alias("__bit"))
+    bits = places.repartition("__bucket").groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits"))  # 2,048 rows at most
+    both = rows.withColumn("__at", at).withColumn("__bucket", F.bitmap_bucket_number("__at")).join(F.broadcast(bits), "__bucket", "left")
+    byte = F.expr("int(conv(hex(substring(__bits, int(bitmap_bit_position(__at) div 8) + 1, 1)), 16, 10))")
+    bit = F.expr("int(bitmap_bit_position(__at) % 8)")
+    both = both.withColumn("__byte", F.coalesce(byte, F.lit(0))).withColumn("__bit", bit)
+    return both.withColumn("__maybe", F.expr("shiftright(__byte, __bit) % 2 = 1")).drop("__at", "__bucket", "__bits", "__byte", "__bit")
+
+
+def maybe_among(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows that ``marked`` lets pass: all whose key is wanted, and few others."""
+    return marked(rows, key, wanted).where("__maybe").drop("__maybe")
 
 
 def lower_az(text: Column) -> Column:
