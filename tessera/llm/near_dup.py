@@ -6,10 +6,15 @@ the same shingle set collapse into one class before anything else, so groups of
 row. Bands of registers propose candidates; the collision-corrected register agreement estimates the
 similarity; what the estimate can't rule out is confirmed on the full shingle sets.
 
-No bucket is expanded into all its pairs. First every member is held against its bucket's smallest id
-only. Confirmed links form components, and a bucket whose members are in one component is done. In the
-buckets that stay open, sketches are compared in blocks inside the tasks, and only pairs of different
-components that the estimate can't rule out leave them, each in the first band it shares.
+No bucket is expanded into all its pairs. In each round, a bucket has one leader, drawn anew, and the members
+of other components than the leader's are held against it. Confirmed links form components, and a bucket whose
+members are in one component is done. Rounds go on while they close a good part of what is open: many members
+that are alike are soon in one component. In the buckets that then stay open, unlike members share a band by
+chance; their sketches are compared in blocks inside the tasks, and only pairs of different components that
+the estimate can't rule out leave them, each in the first band it shares.
+
+Sets are told by a 128-bit sum of their shingles' 64-bit hashes, and links are confirmed on the full sets of
+these hashes: two of the (say) 10^4 shingles of a compared pair are confused with a chance of 3e-12.
 """
 
 from __future__ import annotations
@@ -22,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import checkpointed, mix, shingle_set, word_hashes
-from tessera.session import table
+from tessera.llm.shared import checkpointed, maybe_among, mix, shingle_set, word_hashes
+from tessera.session import stored, table
 
 BITS = 9
 REGISTERS = 1 << BITS
@@ -34,8 +39,8 @@ BANDS, ROWS = 40, 4
 DEVIATIONS = 4.5
 #: Sketches compared with one another in one group; a larger bucket is dealt out in pairs of blocks.
 BLOCK = 2048
-#: Ids sent to every task to pick out the texts to confirm; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Rounds of leaders go on while what is open shrinks at least to this share.
+SHRINKS = 0.8
 
 _rng = np.random.Generator(np.random.PCG64(5))
 #: Where an empty register takes its value from: the first filled one in its own random sequence.
@@ -211,10 +216,7 @@ def _open_pairs(members: DataFrame, threshold: float) -> DataFrame:
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """``rep`` and its whole sorted ``shingles`` for the wanted documents."""
-    rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("_t"))
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    rows = rows.join(wanted, "rep", "left_semi")
+    rows = maybe_among(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("_t")), "rep", wanted).join(wanted, "rep", "left_semi")
     schema = T.StructType([T.StructField("rep", _kind(rows, "rep")), T.StructField("shingles", T.ArrayType(T.LongType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,10 +242,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (the smallest node reachable) of every node of the edges (a, b).
 
     Labels spread to neighbours as minima, then jump to the label's own label, so the number of rounds
-    grows with the logarithm of a component's diameter. Each round is cut by a checkpoint.
+    grows with the logarithm of a component's diameter. Each round is a written table.
     """
     both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
+    last = None
     while True:
         near = (
             both.join(labels.select(F.col("node").alias("b"), "component"), "b")
@@ -252,12 +255,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
         spread = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("now"))
         jump = labels.select(F.col("node").alias("now"), F.col("component").alias("far"))
-        spread = checkpointed(spread.join(jump, "now").select("node", "was", F.least("now", "far").alias("component")))
-        labels = spread.select("node", "component")
+        spread = stored(spread.join(jump, "now").select("node", "was", F.least("now", "far").alias("component")), replaces=last)
+        labels, last = spread.select("node", "component"), spread
         if spread.where("was <> component").isEmpty():
             return labels
 
 
+def _labelled(members: DataFrame, components: DataFrame) -> DataFrame:
+    """Members (band, rep, size) with their component; one without links is its own."""
+    return members.select("band", "rep", "size").join(components, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75
 ) -> DataFrame:
@@ -278,25 +286,30 @@ def near_duplicates(
         drawn.where("n > 0 AND _id IS NOT NULL").groupBy("n", "k1", "k2").agg(F.min("_id").alias("rep"), F.min_by("sig", "_id").alias("sig"))
     )
     bands = _bands(reps)
-    buckets = checkpointed(
-        bands.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    )
-    members = checkpointed(bands.join(buckets, "band"))
-    star = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    star = checkpointed(_plausible(star, reps, threshold))
-    in_open = members.select("rep").distinct()
-    sets = checkpointed(_full_sets(docs, checkpointed(in_open), id_col, text_col, words))
-    links = checkpointed(_confirmed(star, sets, percent))
-    first = connected_components(links).toDF("rep", "comp")
-    placed = checkpointed(members.join(first, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")))
-    still = checkpointed(placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band"))
-    candidates = placed.join(still, "band").select("band", "rep", "comp", "size").join(reps.select("rep", "n", "sig"), "rep")
-    rest = checkpointed(_open_pairs(candidates, threshold).distinct())
-    links = links.union(_confirmed(rest, sets, percent))
-    components = connected_components(links)
-    named = reps.join(components, reps["rep"] == components["node"], "left").select(
-        "n", "k1", "k2", F.coalesce("component", "rep").alias("component_id")
-    )
+    buckets = checkpointed(bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))
+    placed = checkpointed(bands.join(buckets, "band").withColumn("comp", F.col("rep")))
+    sets = checkpointed(_full_sets(docs, checkpointed(placed.select("rep").distinct()), id_col, text_col, words))
+    links = reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    components = links.toDF("rep", "comp")
+    last = None
+    while True:
+        leader = F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(last or 0))).alias("leader")
+        still = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), leader).where("lo <> hi")
+        opened = stored(placed.join(still.select("band", "leader"), "band"))
+        size = opened.count()
+        if size == 0 or last is not None and size >= SHRINKS * last:
+            break
+        last = size
+        star = opened.where("comp <> leader.comp").select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct()
+        links = stored(links.union(_confirmed(checkpointed(_plausible(star, reps, threshold)), sets, percent)))
+        components = connected_components(links).toDF("rep", "comp")
+        placed = _labelled(opened, components)
+    if size:
+        candidates = opened.select("band", "rep", "comp", "size").join(reps.select("rep", "n", "sig"), "rep")
+        found = checkpointed(_confirmed(checkpointed(_open_pairs(candidates, threshold).distinct()), sets, percent))
+        if not found.isEmpty():
+            components = connected_components(links.union(found)).toDF("rep", "comp")
+    named = reps.join(components, "rep", "left").select("n", "k1", "k2", F.coalesce("comp", "rep").alias("component_id"))
     named = checkpointed(named)
     found = drawn.select("_id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id"))
