@@ -1,12 +1,13 @@
 """Operator 7: toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols (insult, learnt insult, threat verb, target, negation, report, other). Small deterministic
-transducers rewrite the symbols of one clause: negation and reported speech tame what follows them,
-the target transducer tells directed insults and threats from loose ones. Their composition is one
-machine; what it emits for each clause is counted per document, and the weights of the emissions are a
-logistic regression on the labelled training rows. Only the class of the clause match that a word ends up in
-has a weight; but loose insults, threat verbs and learnt insults are classes too, so that these words score
-without a target, unless a negation or report tames them.
+Words become symbols: insult, learnt insult, threat verb, intent, pronoun, determiner, negation, report, other. Small
+deterministic transducers, each with its own arcs, read the symbols of one clause: negation and reported speech
+tame the insults and verbs behind them; the threat transducer asks for a verb and an object, and knows intent
+before it; the insult transducer asks for a target, which is a pronoun, a noun phrase (it is opened by a
+determiner) or a bare subject, before the insult in its clause or, but for the last, close behind it. Their
+composition is one machine. Only matched clause patterns are emitted: a word that stands alone, learnt or not, or
+begins a clause without target counts for nothing. Emissions are summed over the
+clauses of a document, and the weights of the emitting arcs are a logistic regression on labelled training rows.
 
 The lexicon has a fixed part and a learnt one: words and word beginnings that training rows marked toxic
 hold far more often than the others. Texts are read in the tasks that scan them; only counts move on.
@@ -15,6 +16,7 @@ hold far more often than the others. Texts are read in the tasks that scan them;
 from __future__ import annotations
 
 from collections.abc import Callable, Hashable, Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -33,32 +35,42 @@ LEXICON = {
     "dummkopf trottel abschaum widerlich wertlos erbärmlich versager dumm blöd ekelhaft drecksack "
     "imbécile crétin débile ordure minable dégoûtant raclure abruti connard salaud "
     "imbécil estúpido estúpida basura patético patética asqueroso asquerosa inútil escoria payaso perdedor",
-    "T": "kill hurt destroy beat stab shoot strangle punish töten verletzen vernichten schlagen erschießen "
+    "V": "kill hurt destroy beat stab shoot strangle punish töten verletzen vernichten schlagen erschießen "
     "tuer frapper détruire étrangler matar golpear destruir apuñalar",
-    "Y": "you your yours yourself yall thee they them their those du dich dir dein deine ihr euch sie "
-    "tu toi te ton ta vous votre usted ustedes tú vosotros ellos",
+    "M": "will shall should must gonna going want wanna werde werden soll sollte will muss vais va veux faut "
+    "voy vamos va quiero hay",
+    "P": "you your yours yourself yall thee he him his she her they them their du dich dir dein deine ihr euch er ihm ihn sie "
+    "tu toi te ton ta vous votre il elle ils elles lui leur usted ustedes tú vosotros ellos ella él le les",
+    "D": "the a an this that these those my our der die das den dem des ein eine einen einem einer dieser diese "
+    "le la les l' un une des du ce cette ces el los las una unos unas ese esa este esta",
     "N": "not no never isn't aren't wasn't don't doesn't nicht kein keine nie niemals pas jamais aucun nunca jamás ningún",
     "R": "said says wrote writes called calls quoted claimed alleges reported sagte schrieb nannte zitierte "
     "écrit appelé cité dijo escribió llamó citó",
 }
-OTHER, NEAR, TAMED = "O", 4, 3
-#: What the composed machine can emit besides nothing, in the order of the features.
-EMITTED = ("insult", "directed_insult", "threat", "directed_threat", "negated", "reported", "learnt")
+OTHER = "O"
+#: Words that a target may follow an insult by, an object its verb, and a verb the intent; words that a negation reaches.
+NEAR, TAMED = 4, 3
+#: What the composed machine emits, by symbol, in the order of the features.
+EMITTED = {
+    "A": "insult_pronoun", "B": "insult_noun", "C": "insult_subject", "a": "learnt_pronoun", "b": "learnt_noun", "c": "learnt_subject",
+    "T": "threat_intended", "t": "threat", "n": "negated", "r": "reported",
+}
 #: Weights (bias first, then for each emission: its presence, its level) where no training rows exist.
-PRIOR = (-3.0, 2.5, 1.0, 3.0, 1.0, 0.0, 0.2, 2.5, 1.0, -0.5, 0.0, 0.3, 0.2, 0.0, 0.5)
+PRIOR = (-3.0, 3.0, 1.0, 2.5, 1.0, 2.0, 0.5, 2.0, 0.5, 1.5, 0.5, 1.0, 0.5, 3.5, 1.0, 2.5, 1.0, -0.5, 0.0, 0.2, 0.0)
 #: A word or beginning (of so many bytes) is learnt if at least this share of the toxic rows have it, and
 #: its share among them is so many times that among the others. At most (mean forms a row / share) forms
 #: pass the first test, so the learnt lexicon is bounded whatever the input's size.
 BEGINNINGS, MIN_SHARE, MIN_ROWS, RATIO = range(3, 13), 0.01, 5, 20
-BROADCAST_LABELS = 1_000_000
+#: Training labels used, about, drawn evenly by a hash of the id; with fewer, all are.
+FIT_ROWS = 200_000
 THRESHOLD = 0.3
 LEVELS = 8
 
 
 class Transducer:
-    """A deterministic transducer: ``step(state, symbol)`` gives (state, emitted symbol)."""
+    """A deterministic transducer: ``step(state, symbol)`` gives (state, emitted symbols, as a string)."""
 
-    def __init__(self, start: Hashable, step: Callable) -> None:
+    def __init__(self, start: Hashable, step: Callable[[Hashable, str], tuple[Hashable, str]]) -> None:
         self.start, self.step = start, step
 
     def then(self, second: Transducer) -> Transducer:
@@ -66,62 +78,91 @@ class Transducer:
 
         def step(state, symbol):
             mine, out = self.step(state[0], symbol)
-            other, out = second.step(state[1], out)
-            return (mine, other), out
+            theirs, said = state[1], ""
+            for s in out:
+                theirs, more = second.step(theirs, s)
+                said += more
+            return (mine, theirs), said
 
         return Transducer((self.start, second.start), step)
 
-    def table(self, alphabet: str) -> tuple[list[dict[str, tuple[int, str]]], int]:
-        """All arcs reachable from the start over an alphabet, states numbered from 0."""
-        number, rows, k = {self.start: 0}, [], 0
-        order = [self.start]
-        while k < len(order):
-            arcs = {}
-            for symbol in alphabet:
-                state, out = self.step(order[k], symbol)
-                if state not in number:
-                    number[state] = len(order)
-                    order.append(state)
-                arcs[symbol] = (number[state], out)
-            rows.append(arcs)
-            k += 1
-        return rows, 0
-
-
-def _negation(left: int, symbol: str):
-    if symbol == "N":
-        return TAMED, symbol
-    if left and symbol in "ITS":
-        return 0, "n"
-    return max(0, left - 1), symbol
-
-
-def _report(seen: bool, symbol: str):
-    if symbol == "R":
-        return True, symbol
-    return seen, "r" if seen and symbol in "ITS" else symbol
-
-
-def _target(state: tuple[int, int, int], symbol: str):
-    """State: how long a target, a loose insult and a loose threat stay near."""
-    target, insult, threat = (max(0, k - 1) for k in state)
-    near = state[0] > 0
-    if symbol == "Y":
-        out = "t" if state[2] else "d" if state[1] else OTHER
-        return (NEAR, 0, 0), out
-    if symbol == "I":
-        return (target, 0 if near else NEAR, threat), "D" if near else "I"
-    if symbol == "T":
-        return (target, insult, NEAR), "T"
-    return (target, insult, threat), symbol if symbol in "nrS" else OTHER
-
-
-#: S: learnt insult; I, D: insult, loose or at a target before it; d: the target came after; T: threat verb; t: its target came.
-_FEATURE = {"I": [(0, 1)], "D": [(1, 1)], "d": [(0, -1), (1, 1)], "T": [(2, 1)], "t": [(2, -1), (3, 1)], "n": [(4, 1)], "r": [(5, 1)], "S": [(6, 1)]}
+    def arcs(self) -> Callable[[Hashable, str], tuple[Hashable, str]]:
+        """``step`` with arcs kept once they are made; there are finitely many."""
+        return cache(self.step)
+
+    def run(self, symbols: str) -> str:
+        state, out = self.start, ""
+        for s in symbols:
+            state, more = self.step(state, s)
+            out += more
+        return out
+
+
+CORE = "ILV"
+
+
+def negation() -> Transducer:
+    """A core word among the TAMED words behind a negation becomes ``n``."""
+
+    def step(left: int, symbol: str):
+        if symbol == "N":
+            return TAMED, symbol
+        return max(0, left - 1), "n" if left and symbol in CORE else symbol
+
+    return Transducer(0, step)
+
+
+def report() -> Transducer:
+    """A core word behind a verb of reported speech becomes ``r``."""
+    return Transducer(False, lambda seen, symbol: (seen or symbol == "R", "r" if seen and symbol in CORE else symbol))
+
+
+def threat() -> Transducer:
+    """A threat verb whose object (pronoun or noun phrase) is one of the next NEAR words emits ``t``, or ``T`` if intent
+    was one of the NEAR words before it. Everything but the verb is passed on."""
+
+    def step(state: tuple[int, int, bool], symbol: str):
+        intent, verb, meant = max(0, state[0] - 1), max(0, state[1] - 1), state[2]
+        if symbol == "M":
+            return (NEAR, verb, meant), symbol
+        if symbol == "V":
+            return (intent, NEAR, state[0] > 0), OTHER
+        if symbol in "PD" and state[1]:
+            return (intent, 0, False), ("T" if meant else "t") + symbol
+        return (intent, verb, meant and verb > 0), symbol
+
+    return Transducer((0, 0, False), step)
+
+
+def insult() -> Transducer:
+    """An insult (``I``, learnt ``L``) with a target emits ``A`` (``a``) at a pronoun, else ``B`` (``b``) at a noun
+    phrase, else ``C`` (``c``) at any other word as its subject. The target stands anywhere before it in the clause; a
+    pronoun or noun phrase may also be one of the next NEAR words. Of insults that wait for a target, the last
+    counts. Other emissions are passed on, words are not."""
+
+    def at(kind: str, who: str) -> str:
+        return {"IP": "A", "ID": "B", "IO": "C", "LP": "a", "LD": "b", "LO": "c"}[kind + who]
+
+    def step(state: tuple[str, str, int], symbol: str):
+        who, kind, left = state
+        if symbol in "tT":
+            return state, symbol  # comes beside the word
+        if left == 0:
+            kind = ""
+        if symbol == OTHER:
+            return (who or OTHER, kind, max(0, left - 1)), ""
+        if symbol in "PD":
+            known = "P" if "P" in (who, symbol) else "D"
+            return (known, "", 0), at(kind, symbol) if kind else ""
+        if symbol in "IL":
+            return ((who, "", 0), at(symbol, who)) if who else ((who, symbol, NEAR), "")
+        return (who, kind, max(0, left - 1)), symbol if symbol in "nr" else ""
+
+    return Transducer(("", "", 0), step)
 
 
 def grammar() -> Transducer:
-    return Transducer(0, _negation).then(Transducer(False, _report)).then(Transducer((0, 0, 0), _target))
+    return negation().then(report()).then(threat()).then(insult())
 
 
 _ASCII = np.arange(256)
@@ -213,16 +254,20 @@ def _form_rows(rows: DataFrame, only: np.ndarray | None = None) -> DataFrame:
     return counted.groupBy("form").agg(F.sum("n").alias("n"))
 
 
-def learn_forms(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> np.ndarray:
-    """Hashes of the words and beginnings that mark toxic training rows (see BEGINNINGS)."""
+def training_labels(labels: DataFrame, id_col: str, label_col: str, rows: int = FIT_ROWS) -> DataFrame:
+    """``_label_id``, ``_y`` of the labels that may be learnt from: about ``rows`` of them, drawn by a hash of the id."""
     known = labels.select(F.col(id_col).alias("_label_id"), (F.col(label_col).cast("int") > 0).alias("_y"))
-    known = known.where(F.col("_y").isNotNull() & ~held_out("_label_id"))
+    known = known.where(F.col("_y").isNotNull() & F.col("_label_id").isNotNull() & ~held_out("_label_id"))
+    share = rows / max(1, known.count())
+    return known if share >= 1 else known.where(F.pmod(F.xxhash64("_label_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
+def learn_forms(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+    """Hashes of the words and beginnings that mark toxic training rows (see BEGINNINGS); ``known`` is bounded."""
     sizes = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     if not sizes.get(True) or not sizes.get(False):
         return np.zeros(0, np.uint64)
-    if sum(sizes.values()) <= BROADCAST_LABELS:
-        known = F.broadcast(known)
-    rows = docs.select(id_col, text_col).join(known, F.col(id_col) == F.col("_label_id"))
+    rows = docs.select(id_col, text_col).join(F.broadcast(known), F.col(id_col) == F.col("_label_id"))
     toxic, clean = (rows.where(side).select(id_col, text_col) for side in (F.col("_y"), ~F.col("_y")))
     least = max(MIN_ROWS, MIN_SHARE * sizes[True])
     often = {r["form"]: r["n"] for r in _form_rows(toxic).where(F.col("n") >= least).collect()}
@@ -237,7 +282,9 @@ def learn_forms(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
 def clause_counter(lexicon: dict[str, str], learnt: np.ndarray) -> Callable[[pa.RecordBatch], np.ndarray]:
     """A function that counts each emission of the grammar over all clauses of the texts in a batch's second column."""
     keys, symbols = _lexicon_table(lexicon)
-    arcs, start = grammar().table("ITSYNR" + OTHER)
+    machine = grammar()
+    step, start = machine.arcs(), machine.start
+    feature = {symbol: k for k, symbol in enumerate(EMITTED)}
     among = _Among(learnt)
 
     def count(data: np.ndarray, starts: np.ndarray, out: np.ndarray) -> None:
@@ -247,10 +294,10 @@ def clause_counter(lexicon: dict[str, str], learnt: np.ndarray) -> Callable[[pa.
             return
         symbol = np.full(len(words), OTHER)
         for _, word, hashes in chain([(at, np.arange(len(words)), words)], forms) if len(learnt) else ():
-            symbol[word[among(hashes)]] = "S"
+            symbol[word[among(hashes)]] = "L"
         where = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
         symbol = np.where(keys[where] == words, symbols[where], symbol)
-        core = np.flatnonzero((symbol == "I") | (symbol == "T") | (symbol == "S"))
+        core = np.flatnonzero(np.isin(symbol, list(CORE)))
         if not len(core):
             return
         row = np.searchsorted(starts, at, "right") - 1
@@ -259,10 +306,10 @@ def clause_counter(lexicon: dict[str, str], learnt: np.ndarray) -> Callable[[pa.
         left, right = np.concatenate([[0], edge]), np.concatenate([edge, [len(at)]])
         for k in np.unique(np.searchsorted(left, core, "right") - 1):
             state = start
-            for s in symbol[left[k] : right[k]]:
-                state, emitted = arcs[state][s]
-                for feature, step in _FEATURE.get(emitted, ()):
-                    out[row[left[k]], feature] += step
+            for s in symbol[left[k] : right[k]].tolist():
+                state, emitted = step(state, s)
+                for e in emitted:
+                    out[row[left[k]], feature[e]] += 1
 
     def counts(batch: pa.RecordBatch) -> np.ndarray:
         out = np.zeros((len(batch), len(EMITTED)), np.int64)
@@ -277,20 +324,20 @@ def clause_counts(
     docs: DataFrame, id_col: str, text_col: str, lexicon: dict[str, str] = LEXICON, learnt: np.ndarray | None = None
 ) -> DataFrame:
     """The id and one count per emission of the grammar over all clauses of the whole text."""
-    schema = T.StructType([docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in EMITTED)])
+    schema = T.StructType([docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in EMITTED.values())])
     marks = learnt if learnt is not None else np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = clause_counter(lexicon, marks)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in counter(batch).T)], [id_col, *EMITTED])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in counter(batch).T)], [id_col, *EMITTED.values()])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def _features() -> list[Column]:
     """Presence and log2 level of each count: bounded small integers, so that training rows group."""
-    levels = [F.least(F.ceil(F.log2(F.greatest(F.col(c), F.lit(0)) + 1)), F.lit(LEVELS)).cast("int") for c in EMITTED]
+    levels = [F.least(F.ceil(F.log2(F.greatest(F.col(c), F.lit(0)) + 1)), F.lit(LEVELS)).cast("int") for c in EMITTED.values()]
     return [x.alias(f"f{2 * k + j}") for k, v in enumerate(levels) for j, x in enumerate(((v > 0).cast("int"), v))]
 
 
@@ -326,33 +373,34 @@ def toxicity(
 ) -> DataFrame:
     """One row per input row: id, ``held_out``, ``score`` (0 to 1), ``predicted`` and the clause counts.
 
-    The weights are fitted on all labelled rows that are not held out, grouped by their few feature
-    values, so the driver sees a bounded table however many labels there are. Null labels are left out;
-    a document labelled twice counts twice; without any training row the documented PRIOR holds. Null
+    The weights are fitted on labelled rows that are not held out (FIT_ROWS of them at most, about), grouped by
+    their few feature values. Null labels and labels without an id are left out; a document labelled twice counts
+    twice; without any training row the documented PRIOR holds. A text of any length is read whole, in pieces that
+    end with a clause. Null
     and empty texts have no clause and get the score of a text without matches. Repeated ids are all
     scored; only the named columns are read, so others may clash by name.
     """
-    learnt = learn_forms(docs, labels, id_col, text_col, label_col)
+    known = checkpointed(training_labels(labels, id_col, label_col))
+    learnt = learn_forms(docs, known, id_col, text_col)
     counts = checkpointed(clause_counts(docs, id_col, text_col, lexicon, learnt))
-    weights = _fitted(counts, labels, id_col, label_col)
+    weights = _fitted(counts, known, id_col)
     total = sum((F.lit(w) * f for w, f in zip(weights[1:], _features(), strict=True)), F.lit(weights[0]))
     return (
         counts.withColumn("score", 1 / (1 + F.exp(-total)))
         .withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-        .select(id_col, held_out(id_col).alias("held_out"), "score", "predicted", *EMITTED)
+        .select(id_col, held_out(id_col).alias("held_out"), "score", "predicted", *EMITTED.values())
     )
 
 
-def _fitted(counts: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> list[float]:
-    """Weights (bias first) from the clause counts of the labelled rows that are not held out."""
-    known = labels.select(F.col(id_col).alias("_label_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isNotNull())
-    train = counts.where(~held_out(id_col)).join(known, F.col(id_col) == F.col("_label_id"))
+def _fitted(counts: DataFrame, known: DataFrame, id_col: str) -> list[float]:
+    """Weights (bias first) from the clause counts of the training rows."""
+    train = counts.join(F.broadcast(known), F.col(id_col) == F.col("_label_id"))
     names = [f"f{k}" for k in range(2 * len(EMITTED))]
     grouped = train.select(*_features(), F.col("_y")).groupBy(*names, "_y").count().collect()
     if not grouped:
         return list(PRIOR)
     rows = np.array([[r[c] for c in names] for r in grouped], float)
-    return fit(rows, np.array([float(r["_y"] > 0) for r in grouped]), np.array([float(r["count"]) for r in grouped]))
+    return fit(rows, np.array([float(r["_y"]) for r in grouped]), np.array([float(r["count"]) for r in grouped]))
 
 
 def drop_toxic(
@@ -369,12 +417,10 @@ def drop_toxic(
     As ``toxicity``, but the weights are fitted on the labelled rows alone and whole rows are then filtered in
     the tasks that read them, so that no text is shuffled.
     """
-    learnt = learn_forms(docs, labels, id_col, text_col, label_col)
-    ids = checkpointed(labels.select(id_col).distinct())
-    if ids.count() <= BROADCAST_LABELS:
-        ids = F.broadcast(ids)
-    labelled = docs.select(id_col, text_col).join(ids, id_col, "left_semi")
-    weights = np.array(_fitted(clause_counts(labelled, id_col, text_col, lexicon, learnt), labels, id_col, label_col))
+    known = checkpointed(training_labels(labels, id_col, label_col))
+    learnt = learn_forms(docs, known, id_col, text_col)
+    labelled = docs.select(id_col, text_col).join(F.broadcast(known.select(F.col("_label_id").alias(id_col)).distinct()), id_col, "left_semi")
+    weights = np.array(_fitted(clause_counts(labelled, id_col, text_col, lexicon, learnt), known, id_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = clause_counter(lexicon, learnt)
