@@ -1,13 +1,19 @@
 """Operator 4: main text of web pages by two-pass block rules.
 
-A page becomes a list of blocks with their length, link density and stop-word density. What the markup
-itself calls something else than the article (menus, footers, adverts, forms, scripts, comments, ...) is
-left out before the rules. The first pass decides the clear blocks: link-dense ones are bad, long ones rich
-in stop words good. The second pass lets every ambiguous or short block take the label of its nearest decided
-neighbours. Where a page names its article (``article``, ``main``), the blocks in it are judged among
-themselves, and a block there without a decided neighbour is good.
-
-Pages are independent: each is read whole in the task that holds it, and nothing shuffles.
+A page becomes a list of blocks with their length, link density and stop-word density. Only elements that can't be
+text of an article are left out before the rules (``nav``, ``footer``, ``aside``, ``form``, ``script`` and the like, hidden
+ones, and a ``header`` outside the article); where one stood, the list has a bad block without text.
+
+The first pass decides the clear blocks: link-dense ones are bad, long ones rich in stop words good. A page without a
+good block takes the blocks of its richest container as good. In the second pass every other block (short, or poor in stop
+words) inherits the label of its nearest decided neighbours: those in the smallest element around it that holds a
+decided block; headings look ahead. Of a good and a bad one the nearer counts; of two as near, the good one if
+it is a sibling.
+
+Names in ``class`` and ``id`` are no rule of their own: readers' comments and adverts can be prose like the article's, so
+a block in an element that is named as such can't be good by the rules alone. A name counts if all its words say so.
+
+Pages are independent: each is read whole in the task that holds it, in time linear in its length, and nothing shuffles.
 """
 
 from __future__ import annotations
@@ -35,20 +41,25 @@ STOP_WORDS = frozenset(
     el los las una y en que por con para no se su del al lo como más pero sus le ya o este sí porque esta
     entre cuando muy sin sobre también""".split()
 )
-#: Characters under which a block is short, and from which one rich in stop words is good.
-SHORT, LONG = 70, 200
-#: Stop-word density of a good block, and of one that may be good; link density of a bad one.
-STOP_HIGH, STOP_LOW, LINKS = 0.30, 0.15, 0.5
+#: Characters under which a block is short.
+LONG = 200
+#: Stop-word density of a good block; link density of a bad one.
+STOPS, LINKS = 0.2, 0.5
 
 _ASIDE_TAGS = frozenset(
     "head title script style noscript template nav footer aside form button select textarea iframe object svg menu dialog audio video canvas".split()
 )
 _ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Words of a class or id that name something beside the article, and words that may stand with them.
 _ASIDE_NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr
     notice popup modal overlay newsletter subscribe subscription nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar
-    widget footer masthead topbar social share sharing related recommended recommendations pagination pager comment comments
-    disqus respond replies login signup searchbox skip copyright""".split()
+    footer masthead topbar social share sharing related recommended recommendations pagination pager comment comments
+    disqus respond replies login signup searchbox copyright""".split()
+)
+_NEUTRAL_NAMES = frozenset(
+    """area bar block box button buttons container content form header inner item items links list panel posts section slot text
+    thread title unit user widget wrap wrapper""".split()
 )
 _MAIN_TAGS = frozenset(("article", "main"))
 _BLOCK_TAGS = frozenset(
@@ -59,8 +70,8 @@ _BLOCK_TAGS = frozenset(
 _VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Contents of these are text up to their own end tag, whatever it looks like.
-_RAW = re.compile(r"</(?:script|style|textarea|title|xmp|iframe|noembed|noframes)\b", re.I)
 _RAW_TAGS = frozenset("script style textarea title xmp iframe noembed noframes".split())
+_RAW = {tag: re.compile(rf"</{tag}\b", re.I) for tag in _RAW_TAGS}
 _TOKEN = re.compile(
     r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)
     |<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+)(?:>|\Z)|</[^>]*+>""",
@@ -73,39 +84,62 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass
 class Block:
-    """A block's text (white space joined), its link characters, place and, in time, its label."""
+    """A block's text (white space joined), its link characters, its container and, in time, its label."""
 
-    text: str
+    text: str  # empty where something was left out
     link_chars: int
     heading: bool
-    inside: bool  # in the page's named article
-    listed: bool  # in a list or table
+    container: int
     label: str = ""
 
 
-def _names_aside(tag: str, attributes: str) -> tuple[bool, bool]:
-    """(left out of the article, names the article) by a start tag's attributes."""
-    aside = main = False
+@dataclass
+class Page:
+    """Blocks in order, and of each container its parent (-1: none), first block, end, and whether it is named as the
+    article or as something beside it."""
+
+    blocks: list[Block]
+    parent: list[int]
+    first: list[int]
+    end: list[int]
+    named: list[str]  # "main", "aside" or ""
+
+
+def _aside_name(value: str) -> bool:
+    """Whether one of the names in a class or id consists of words that name something beside the article."""
+    for name in value.split():
+        words = {w.lower() for w in _NAME.findall(name)}
+        if words and not words.isdisjoint(_ASIDE_NAMES) and words <= _ASIDE_NAMES | _NEUTRAL_NAMES:
+            return True
+    return False
+
+
+def _attributes(attributes: str) -> tuple[bool, str]:
+    """(left out, name) by a start tag's attributes."""
+    out, named = False, ""
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name in ("class", "id"):
-            words = {w.lower() for w in _NAME.findall(value)}
-            aside |= not words.isdisjoint(_ASIDE_NAMES) and tag not in ("html", "body")
+            if not named and _aside_name(value):
+                named = "aside"
         elif name == "role":
-            aside |= value.lower() in _ASIDE_ROLES
-            main |= value.lower() == "main"
+            out |= value.lower() in _ASIDE_ROLES
+            if value.lower() == "main":
+                named = "main"
         elif name == "style":
-            aside |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+            out |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         else:
-            aside |= name == "hidden" or value.lower() == "true"
-    return aside, main
+            out |= name == "hidden" or value.lower() == "true"
+    return out, named
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, without what its markup leaves out of the article."""
-    out: list[Block] = []
+def parse(page: str) -> Page:
+    """The page's blocks and containers."""
+    blocks: list[Block] = []
+    parent, first, ends, names = [-1], [0], [0], [""]
+    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, container, left out, in an article
+    depth: dict[str, int] = {}  # open elements by tag
     pieces: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: tag, left out, in the article
     link = 0
     heading = False
 
@@ -115,16 +149,20 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(p for p, _ in pieces)).split())
             if text:
                 linked = sum(len("".join(html.unescape(p).split())) for p, in_link in pieces if in_link)
-                listed = any(t in ("li", "td", "th", "dd", "dt") for t, _, _ in stack)
-                out.append(Block(text, linked, heading, bool(stack) and stack[-1][2], listed))
+                blocks.append(Block(text, linked, heading, stack[-1][1]))
             pieces.clear()
         heading = False
 
+    def pop() -> None:
+        tag, own, _, _ = stack.pop()
+        depth[tag] -= 1
+        ends[own] = len(blocks)
+
     at = 0
     while at < len(page):
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
-        if text and not (stack and stack[-1][1]):
+        if text and not stack[-1][2]:
             pieces.append((text, link > 0))
         if not m:
             break
@@ -136,92 +174,138 @@ def blocks(page: str) -> list[Block]:
         if block:
             flush()
             link = 0
-        if tag == "br":
+        if tag == "br" and not stack[-1][2]:
             pieces.append((" ", False))
         if m[1]:
             if tag == "a":
                 link = max(0, link - 1)
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-            if k >= 0 and (block or not any(t in _BLOCK_TAGS for t, _, _ in stack[k + 1 :])):
-                if not block and stack[-1][1] != stack[k][1]:
-                    flush()
-                del stack[k:]
+            if depth.get(tag):
+                while stack[-1][0] != tag:
+                    if not block and stack[-1][0] in _BLOCK_TAGS:
+                        break  # an inline end tag closes no block
+                    pop()
+                else:
+                    if stack[-1][2] and not block:
+                        flush()
+                    pop()
             continue
         if tag == "a":
             link += 1
         if tag in _VOID_TAGS or m[3].endswith("/") and tag in ("svg", "path"):
             continue
-        if block and stack and stack[-1][0] in ("p", *_HEADINGS):
-            stack.pop()  # a block ends an open paragraph
-        elif tag in ("li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == tag:
-            stack.pop()
-        out_before, in_article = stack[-1][1:] if stack else (False, False)
-        aside, main = _names_aside(tag, m[3]) if m[3].strip() else (False, False)
-        is_main = main or tag in _MAIN_TAGS
-        if tag == "header":
-            aside |= not in_article
-        aside |= tag in _ASIDE_TAGS
-        if block or aside:
-            if aside and not out_before and not block:
-                flush()
-            stack.append((tag, out_before or aside, in_article or is_main and not (out_before or aside)))
+        if block and stack[-1][0] in ("p", *_HEADINGS) or tag in ("li", "dt", "dd", "td", "th", "tr", "option") and stack[-1][0] == tag:
+            pop()  # a block ends an open paragraph, an item ends the item before it
+        _, own, out_before, in_article = stack[-1]
+        out, named = _attributes(m[3]) if m[3].strip() else (False, "")
+        if tag in _MAIN_TAGS:
+            named = "main"
+        out |= tag in _ASIDE_TAGS or tag == "header" and not in_article
+        if tag in ("html", "body"):
+            out, named = False, ""
+        if block or out:
+            if out and not out_before:
+                if not block:
+                    flush()
+                blocks.append(Block("", 0, False, own, "bad"))
+            parent.append(own)
+            first.append(len(blocks))
+            ends.append(len(blocks))
+            names.append(named)
+            stack.append((tag, len(parent) - 1, out_before or out, in_article or named == "main"))
+            depth[tag] = depth.get(tag, 0) + 1
             heading = tag in _HEADINGS
         if tag in _RAW_TAGS:
-            end = next((e for e in _RAW.finditer(page, at) if e[0][2:].lower() == tag), None)
+            end = _RAW[tag].search(page, at)
             at = end.start() if end else len(page)
     flush()
-    return out
+    while len(stack) > 1:
+        pop()
+    ends[0] = len(blocks)
+    return Page(blocks, parent, first, ends, names)
 
 
 def _first_pass(block: Block, stop_words: frozenset[str]) -> str:
-    density = block.link_chars / max(1, len(block.text.replace(" ", "")))
-    if density > LINKS:
+    if not block.text:
         return "bad"
-    if len(block.text) < SHORT:
-        return "bad" if block.link_chars and block.listed else "short"
+    if block.link_chars > LINKS * len(block.text.replace(" ", "")):
+        return "bad"
+    if len(block.text) < LONG or block.heading:
+        return "short"
     words = _WORD.findall(block.text.lower())
-    stops = sum(w in stop_words for w in words) / max(1, len(words))
-    if stops >= STOP_HIGH:
-        return "good" if len(block.text) >= LONG else "near"
-    if stops >= STOP_LOW or block.inside:
-        return "near"
-    return "bad"
+    return "good" if sum(w in stop_words for w in words) >= STOPS * len(words) else "poor"
+
+
+def _inherited(page: Page, k: int, left: int, right: int, around: int) -> str:
+    """The label that block ``k`` takes from the decided blocks ``left`` and ``right`` of it within container ``around``."""
+    near = [x for x in (left, right) if page.first[around] <= x < page.end[around]]
+    if page.blocks[k].heading and right in near:
+        return page.blocks[right].label
+    if not near:
+        return "bad"
+    if len(near) == 1 or left + right != 2 * k:
+        return page.blocks[min(near, key=lambda x: abs(x - k))].label
+    above = page.parent[page.blocks[k].container]
+    return "good" if any(page.blocks[x].label == "good" and page.parent[page.blocks[x].container] == above for x in near) else "bad"
 
 
-def classify(page_blocks: list[Block], stop_words: frozenset[str] = STOP_WORDS) -> list[Block]:
+def classify(page: Page, stop_words: frozenset[str] = STOP_WORDS) -> list[Block]:
     """The blocks of the main text. Both passes; labels are left in the blocks."""
-    named = [b for b in page_blocks if b.inside]
-    scope = named or page_blocks
-    for b in page_blocks:
-        b.label = "bad"
-    first = [_first_pass(b, stop_words) for b in scope]
-    decided = [k for k, label in enumerate(first) if label in ("good", "bad")]
-    after = 0
-    for k, b in enumerate(scope):
-        while after < len(decided) and decided[after] < k:
-            after += 1
-        if first[k] in ("good", "bad"):
-            b.label = first[k]
+    blocks, parent, named = page.blocks, page.parent, list(page.named)
+    for c in range(1, len(parent)):  # a container is named as its nearest named one around it; parents come first
+        named[c] = named[c] or named[parent[c]]
+    for b in blocks:
+        b.label = _first_pass(b, stop_words)
+        if b.label == "good" and named[b.container] == "aside":
+            b.label = "bad"
+    if not any(b.label == "good" for b in blocks):
+        richest = _richest(page, named)
+        for b in blocks:
+            if b.label in ("short", "poor") and b.container in richest:
+                b.label = "good"
+    decided = [k for k, b in enumerate(blocks) if b.label in ("good", "bad")]
+    # of each container the smallest one around it, or itself, that holds a decided block
+    around, at = [0] * len(parent), 0
+    count = [0]
+    for b in blocks:
+        count.append(count[-1] + (b.label in ("good", "bad")))
+    for c in range(1, len(parent)):
+        around[c] = c if count[page.end[c]] > count[page.first[c]] else around[parent[c]]
+    labels = []
+    for k, b in enumerate(blocks):
+        while at < len(decided) and decided[at] < k:
+            at += 1
+        if b.label in ("good", "bad"):
+            labels.append(b.label)
             continue
-        left = decided[after - 1] if after else None
-        right = decided[after] if after < len(decided) else None
-        near = {first[x] for x in (left, right) if x is not None}
-        if not near:
-            b.label = "good"
-        elif len(near) == 1:
-            b.label = near.pop()
-        elif k - left != right - k and first[k] == "short":
-            b.label = first[left if k - left < right - k else right]
-        else:
-            b.label = "good"  # one good neighbour is enough for a block that may be good, and in a tie
-        if b.label == "bad" and not b.link_chars and (b.inside or b.heading and right is not None and first[right] == "good"):
-            b.label = "good"  # the page calls it part of its article, or it heads a good block
-    return [b for b in scope if b.label == "good"]
+        left, right = decided[at - 1] if at else -1, decided[at] if at < len(decided) else len(blocks)
+        label = _inherited(page, k, left, right, around[b.container])
+        labels.append("bad" if named[b.container] == "aside" else label)
+    for b, label in zip(blocks, labels, strict=True):
+        b.label = label
+    return [b for b in blocks if b.label == "good" and b.text]
+
+
+def _richest(page: Page, named: list[str]) -> set[int]:
+    """The container, with all in it, that holds the most characters of undecided text directly or in its paragraphs;
+    one that the page names as its article comes first, one that it names as something else last."""
+    parent, size = page.parent, [0] * len(page.parent)
+    for b in page.blocks:
+        if b.label in ("short", "poor"):
+            size[b.container] += len(b.text) - b.link_chars
+            if parent[b.container] >= 0:
+                size[parent[b.container]] += len(b.text) - b.link_chars
+    rank = {"main": 2, "": 1, "aside": 0}
+    best = max(range(len(size)), key=lambda c: (size[c] > 0, rank[named[c]], size[c], -c))
+    inside = {best} if size[best] else set()
+    for c in range(best + 1, len(parent)):
+        if parent[c] in inside and named[c] != "aside":
+            inside.add(c)
+    return inside
 
 
 def main_text(page: str | None, stop_words: frozenset[str] = STOP_WORDS) -> str:
     """Main text of one page: its good blocks in page order, an empty line between them."""
-    return "\n\n".join(b.text for b in classify(blocks(page), stop_words)) if page else ""
+    return "\n\n".join(b.text for b in classify(parse(page), stop_words)) if page else ""
 
 
 def extract(pages: DataFrame, html_col: str = "html", stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:
