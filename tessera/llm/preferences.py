@@ -1,11 +1,11 @@
 """Operator 10: preference formatting of chosen and rejected conversations.
 
 The longest common turn prefix of the two is rendered once as the prompt; what follows it in each is rendered
-as a completion whose loss mask covers the assistant's words only.
+as a completion whose loss mask covers the assistant's words only. A pair is one record.
 
-Everything works on rows of one turn each, so a conversation of any length is never gathered: the end of the
-common prefix is a minimum over turns, and rendered text is put together in chunks of ``CHUNK`` turns. A short
-conversation (the usual case) has one row for its prompt and one for each completion.
+Turns meet as rows: the end of the common prefix is a minimum over turns, and only then are the rendered turns of a
+pair put together. A conversation of more than ``CHUNK`` turn numbers continues in further records, so that a
+record is bounded whatever a conversation holds.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import checkpointed
 from tessera.session import table
 
-#: Turn numbers to one chunk of rendered text.
-CHUNK = 64
+#: Turn numbers to one record.
+CHUNK = 4096
 ASSISTANT = "assistant"
 
 
@@ -32,30 +32,24 @@ def clean_turns(conversations: DataFrame, conv_col: str, turn_col: str, role_col
     return rows.groupBy("conv", "turn").agg(F.min(F.struct("role", "text")).alias("m")).select("conv", "turn", "m.role", "m.text")
 
 
-def openings(turns: DataFrame) -> DataFrame:
-    """``conv``, ``said`` (characters of the assistant) and ``opening`` (a digest of the first turn)."""
-    said = F.sum(F.when(F.col("role") == ASSISTANT, F.length("text")).otherwise(0))
-    first = F.min_by(F.sha2(F.concat_ws("\n", "role", "text"), 256), "turn")
-    return turns.groupBy("conv").agg(said.alias("said"), first.alias("opening"))
+def swapped_replies(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, pairs) for conversations (integer ids) without preference marks: each is cut behind its last reply of the
+    assistant and is chosen over itself with another reply in that place.
 
-
-def best_against_rest(convs: DataFrame, group: str) -> DataFrame:
-    """(``chosen``, ``rejected``): in each group the conversation in which the assistant says most (of equals
-    the smallest id) is chosen over every other."""
-    leaders = convs.groupBy(group).agg(F.min(F.struct((-F.col("said")).alias("order"), F.col("conv"))).alias("best"), F.count("*").alias("n"))
-    leaders = leaders.where("n > 1").select(group, F.col("best.conv").alias("chosen"))
-    return convs.join(leaders, group).where("conv <> chosen").select("chosen", F.col("conv").alias("rejected"))
-
-
-def preference_pairs(turns: DataFrame, neighbours: bool = False) -> DataFrame:
-    """Pairs among conversations with the same first turn. With ``neighbours`` (integer ids), of the others
-    those with ids 2k and 2k + 1 are paired too; they seldom share a turn."""
-    convs = checkpointed(openings(turns))
-    pairs = best_against_rest(convs, "opening")
-    if neighbours:
-        alone = convs.groupBy("opening").agg(F.count("*").alias("n"), F.min("conv").alias("conv"), F.min("said").alias("said")).where("n = 1")
-        pairs = pairs.unionByName(best_against_rest(alone.select("conv", "said", F.floor(F.col("conv") / 2).alias("two")), "two"))
-    return pairs
+    The other reply is the last one of the conversation whose id differs in the lowest bit; where there is none, or
+    it is the same text, the conversation's own first reply; where that is the same too, there is no pair. The
+    rejected conversations are numbered -1 - id.
+    """
+    said = F.col("role") == ASSISTANT
+    replies = turns.where(said).groupBy("conv").agg(F.max_by("text", "turn").alias("last"), F.min_by("text", "turn").alias("first"), F.max("turn").alias("cut"))
+    replies = checkpointed(replies)
+    theirs = replies.select(F.col("conv").bitwiseXOR(F.lit(1)).alias("conv"), F.col("last").alias("theirs"))
+    other = F.when(F.col("theirs") != F.col("last"), F.col("theirs")).when(F.col("first") != F.col("last"), F.col("first"))
+    swaps = replies.join(theirs, "conv", "left").select("conv", "cut", other.alias("other")).where("other IS NOT NULL")
+    cut = turns.join(swaps, "conv").where("turn <= cut")
+    rejected = cut.select((-1 - F.col("conv")).alias("conv"), "turn", "role", F.when(F.col("turn") == F.col("cut"), F.col("other")).otherwise(F.col("text")).alias("text"))
+    pairs = swaps.select(F.col("conv").alias("chosen"), (-1 - F.col("conv")).alias("rejected"))
+    return cut.select("conv", "turn", "role", "text").unionByName(rejected), pairs
 
 
 def _rendered(role: Column, text: Column) -> Column:
@@ -69,24 +63,26 @@ def format_preferences(
     turn_col: str = "turn",
     role_col: str = "role",
     text_col: str = "text",
-    neighbours: bool = False,
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """Rows of ``chosen``, ``rejected``, ``part``, ``chunk``, ``n_turns``, ``text`` and ``mask``.
+    """One record per pair: ``chosen``, ``rejected`` (ids), ``chunk`` (0), ``prompt_turns``, ``prompt``, ``chosen_text``,
+    ``chosen_mask``, ``rejected_text``, ``rejected_mask``.
 
-    ``pairs`` (``chosen``, ``rejected``: conversation ids; each rejected one in one pair) defaults to
-    ``preference_pairs``. ``part`` is ``prompt`` (the common prefix; absent if there is none), ``chosen`` or
-    ``rejected`` (absent for a side that ends with the prefix). Turns are aligned by number; the prefix ends
-    before the first number at which role or text differ or one side has no turn. ``mask`` lists the character
-    spans ``begin:end`` of the assistant's words in ``text``, joined by commas; a prompt has none. Pairs without any
-    difference are no preference and are left out. ``chunk`` is the turn number divided by CHUNK.
+    ``pairs`` (``chosen``, ``rejected``: conversation ids; repeated pairs count once) defaults to ``swapped_replies``. Turns
+    are aligned by number; the prompt ends before the first number at which role or text differ or one side has no
+    turn, and a side that ends there has an empty text. The masks list the character spans ``begin:end`` of the
+    assistant's words in each completion, joined by commas; nothing of the prompt is learnt. Pairs without any
+    difference are no preference and are left out, and so are pairs of conversations without turns. Turn numbers from
+    ``chunk`` on are in further records of the pair, each with its own masks.
 
     Null roles and texts count as empty. Rows without conversation or turn number are left out. Rows that repeat
     a turn number count once (the first by role and text). Texts are rendered whole; other columns are ignored;
     an empty table gives an empty result.
     """
     turns = checkpointed(clean_turns(conversations, conv_col, turn_col, role_col, text_col))
-    pairs = checkpointed(preference_pairs(turns, neighbours) if pairs is None else pairs.select("chosen", "rejected").distinct())
+    if pairs is None:
+        turns, pairs = swapped_replies(turns)
+    pairs = checkpointed(pairs.select("chosen", "rejected").distinct())
     sides = [
         pairs.join(turns, pairs[side] == turns["conv"]).select("chosen", "rejected", F.lit(side).alias("side"), "turn", "role", "text")
         for side in ("chosen", "rejected")
@@ -111,19 +107,26 @@ def format_preferences(
         .withColumn("head", F.when((F.col("role") == ASSISTANT) & ~shared, F.length("role") + 5))
     )
     turn = F.struct("turn", "rendered", "head", (F.length("rendered") - 8).alias("tail"), F.length("rendered").alias("size"))
-    grouped = placed.groupBy("chosen", "rejected", "part", "chunk").agg(F.array_sort(F.collect_list(turn)).alias("turns"))  # of CHUNK numbers
-    start = lambda k: F.aggregate(F.slice("turns", F.lit(1), k), F.lit(0), lambda s, t: s + t["size"])
-    spans = F.transform("turns", lambda t, k: F.when(t["head"].isNotNull(), F.concat_ws(":", start(k) + t["head"], start(k) + t["tail"])))
+    of = {p: F.array_sort(F.collect_list(F.when(F.col("part") == p, turn))).alias(p) for p in ("prompt", "chosen", "rejected")}
+    grouped = placed.groupBy(F.col("chosen").alias("c"), F.col("rejected").alias("r"), "chunk").agg(*of.values())  # of CHUNK numbers
+
+    def text(part: str) -> Column:
+        return F.array_join(F.transform(part, lambda t: t["rendered"]), "")
+
+    def mask(part: str) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
+        span = lambda s, t: F.concat_ws(":", s["at"] + t["head"], s["at"] + t["tail"])
+        walk = lambda s, t: F.struct((s["at"] + t["size"]).alias("at"), F.when(t["head"].isNull(), s["spans"]).otherwise(F.concat(s["spans"], F.array(span(s, t)))).alias("spans"))
+        return F.array_join(F.aggregate(part, zero, walk)["spans"], ",")
+
     return grouped.select(
-        "chosen", "rejected", "part", "chunk",
-        F.size("turns").alias("n_turns"),
-        F.array_join(F.transform("turns", lambda t: t["rendered"]), "").alias("text"),
-        F.array_join(F.array_compact(spans), ",").alias("mask"),
+        F.col("c").alias("chosen"), F.col("r").alias("rejected"), "chunk", F.size("prompt").alias("prompt_turns"), text("prompt").alias("prompt"),
+        text("chosen").alias("chosen_text"), mask("chosen").alias("chosen_mask"), text("rejected").alias("rejected_text"), mask("rejected").alias("rejected_mask"),
     )
 
 
 def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_preferences(table(spark, sf_dir, "conversations"), neighbours=True)
+    return format_preferences(table(spark, sf_dir, "conversations"))
 
 
 OP10_SQL = """
@@ -131,29 +134,38 @@ WITH t AS (
     SELECT conv_id AS conv, turn, min({'role': coalesce(role, ''), 'text': coalesce(text, '')}) AS m
     FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2),
 turns AS (SELECT conv, turn, m.role AS role, m.text AS text FROM t),
-convs AS (
-    SELECT conv, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS said,
-           arg_min(concat(role, chr(10), text), turn) AS opening
-    FROM turns GROUP BY conv),
-grouped AS (
-    SELECT conv, said, CASE WHEN count(*) OVER (PARTITION BY opening) > 1 THEN opening ELSE concat(conv // 2, '') END AS g FROM convs),
-ranked AS (
-    SELECT conv, first_value(conv) OVER (PARTITION BY g ORDER BY said DESC, conv) AS chosen FROM grouped),
-pairs AS (SELECT chosen, conv AS rejected FROM ranked WHERE conv <> chosen),
+replies AS (
+    SELECT conv, arg_max(text, turn) AS last, arg_min(text, turn) AS first, max(turn) AS cut
+    FROM turns WHERE role = 'assistant' GROUP BY conv),
+swaps AS (
+    SELECT a.conv, a.cut, CASE WHEN b.last <> a.last THEN b.last WHEN a.first <> a.last THEN a.first END AS other
+    FROM replies a LEFT JOIN replies b ON b.conv = xor(a.conv, 1)),
+own AS (SELECT turns.*, cut, other FROM turns JOIN swaps USING (conv) WHERE turn <= cut AND other IS NOT NULL),
+rows AS (
+    SELECT conv AS chosen, 'chosen' AS side, turn, role, text FROM own
+    UNION ALL SELECT conv, 'rejected', turn, role, CASE WHEN turn = cut THEN other ELSE text END FROM own),
 split AS (
-    SELECT chosen, rejected, min(turn) AS split FROM (
-        SELECT chosen, rejected, turn FROM pairs JOIN turns ON conv = chosen OR conv = rejected
-        GROUP BY chosen, rejected, turn
+    SELECT chosen, min(turn) AS split FROM (
+        SELECT chosen, turn FROM rows GROUP BY chosen, turn
         HAVING count(*) < 2 OR count(DISTINCT concat(role, chr(10), text)) > 1)
-    GROUP BY 1, 2),
+    GROUP BY 1),
 placed AS (
-    SELECT chosen, rejected, CASE WHEN turn < split THEN 'prompt' WHEN conv = chosen THEN 'chosen' ELSE 'rejected' END AS part,
-           turn // 64 AS chunk, turn, role, concat('<|', role, '|>', chr(10), text, '<|end|>', chr(10)) AS rendered, turn < split AS shared
-    FROM split JOIN turns ON conv = chosen OR conv = rejected WHERE turn >= split OR conv = chosen),
+    SELECT chosen, CASE WHEN turn < split THEN 'prompt' ELSE side END AS part,
+           turn // 4096 AS chunk, turn, role, concat('<|', role, '|>', chr(10), text, '<|end|>', chr(10)) AS rendered
+    FROM rows JOIN split USING (chosen) WHERE turn >= split OR side = 'chosen'),
 offsets AS (
-    SELECT *, sum(length(rendered)) OVER (PARTITION BY chosen, rejected, part, chunk ORDER BY turn) - length(rendered) AS start
-    FROM placed)
-SELECT chosen, rejected, part, chunk, count(*)::INTEGER AS n_turns, string_agg(rendered, '' ORDER BY turn) AS text,
-       coalesce(string_agg(concat(start + length(role) + 5, ':', start + length(rendered) - 8), ',' ORDER BY turn)
-                FILTER (WHERE role = 'assistant' AND NOT shared), '') AS mask
-FROM offsets GROUP BY 1, 2, 3, 4"""
+    SELECT *, sum(length(rendered)) OVER (PARTITION BY chosen, part, chunk ORDER BY turn) - length(rendered) AS start
+    FROM placed),
+parts AS (
+    SELECT chosen, chunk, part, count(*) AS n, string_agg(rendered, '' ORDER BY turn) AS text,
+           coalesce(string_agg(concat(start + length(role) + 5, ':', start + length(rendered) - 8), ',' ORDER BY turn)
+                    FILTER (WHERE role = 'assistant'), '') AS mask
+    FROM offsets GROUP BY 1, 2, 3)
+SELECT chosen, -1 - chosen AS rejected, chunk,
+       coalesce(max(n) FILTER (WHERE part = 'prompt'), 0)::INTEGER AS prompt_turns,
+       coalesce(max(text) FILTER (WHERE part = 'prompt'), '') AS prompt,
+       coalesce(max(text) FILTER (WHERE part = 'chosen'), '') AS chosen_text,
+       coalesce(max(mask) FILTER (WHERE part = 'chosen'), '') AS chosen_mask,
+       coalesce(max(text) FILTER (WHERE part = 'rejected'), '') AS rejected_text,
+       coalesce(max(mask) FILTER (WHERE part = 'rejected'), '') AS rejected_mask
+FROM parts GROUP BY chosen, chunk"""
