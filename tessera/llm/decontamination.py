@@ -7,7 +7,8 @@ again, finding runs by Karp-Rabin hashes at shrinking lengths. An item is leaked
 enough of it, in whatever order its passages stand in the document.
 
 The benchmark is the query set. It is read in blocks of bounded size, each block's index is broadcast in its
-turn, and every document is held against every block; documents never shuffle.
+turn, and every document is held against every block; documents never shuffle. An item of fewer words than a seed
+is leaked by any document that holds it, as it stands; items that say only "yes" should not be in the benchmark.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import checkpointed, grams, token_windows, word_hashes
+from tessera.llm.shared import grams, token_windows, word_hashes
 from tessera.session import table
 
 MIN_MATCH, COVERAGE = 5, 0.5
@@ -172,11 +174,7 @@ def leaks(
     document rows are each reported, items with equal texts too; null ids are carried through. An empty table
     gives an empty result. Other columns, whatever their names, are ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    items = benchmark.select(F.col(item_col).alias("_item"), F.col(item_text_col).alias("_t")).where("_t <> ''")
-    size = items.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
     schema = T.StructType(
         [
             T.StructField(id_col, docs.schema[id_col].dataType),
@@ -186,43 +184,71 @@ def leaks(
             T.StructField("words", T.IntegerType()),
         ]
     )
-    parts = []
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("_item", "_t"), F.lit(blocks)) == block).toArrow().combine_chunks()
-        sent = spark.sparkContext.broadcast(seed_index(own.column(0).to_pylist(), own.column(1), min_match))
-        item_type = own.schema.field(0).type
+    out = None
+    for sent, item_type in _blocks(benchmark, item_col, item_text_col, min_match, block_bytes):
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent, item_type=item_type) -> Iterator[pa.RecordBatch]:
-            index = sent.value
             for batch in batches:
-                row_of, out = [], []
-                for first, offsets, hashes in word_hashes(batch.column(1)):
-                    for (row, item), runs in index.items_at(hashes, offsets).items():
-                        words = index.words[item]
-                        doc = _covered(runs, hashes, row)
-                        if len(doc) < coverage * len(words):
-                            continue
-                        tiles = greedy_tiles(doc, words, min(min_match, len(words)))
-                        marked = sum(n for n, _, _ in tiles)
-                        if marked >= coverage * len(words):
-                            row_of.append(first + row)
-                            out.append((index.ids[item], marked / len(words), len(tiles), marked))
-                columns = list(zip(*out, strict=True)) or [[], [], [], []]
+                found = list(_leaks_in(batch.column(1), sent.value, min_match, coverage))
+                columns = list(zip(*found, strict=True)) or [[], [], [], [], []]
                 kinds = (item_type, pa.float64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row_of, pa.int64())), *map(pa.array, columns, kinds)], [f.name for f in schema]
-                )
+                own = batch.column(0).take(pa.array(columns[0], pa.int64()))
+                yield pa.RecordBatch.from_arrays([own, *map(pa.array, columns[1:], kinds)], [f.name for f in schema])
 
         found = rows.mapInArrow(scan, schema)
-        parts.append(found if blocks == 1 else checkpointed(found))
-        if blocks > 1:
-            sent.unpersist()
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        out = found if out is None else out.unionByName(found)
     return out
 
 
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, min_match: int, block_bytes: int) -> Iterator[tuple[Broadcast, pa.DataType]]:
+    """The seed index of each block of the benchmark, sent to the workers, and the type of an item's id."""
+    items = benchmark.select(F.col(item_col).alias("_item"), F.col(item_text_col).alias("_t")).where("_t <> ''")
+    size = items.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / block_bytes))
+    for block in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("_item", "_t"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        index = seed_index(own.column(0).to_pylist(), own.column(1), min_match)
+        yield benchmark.sparkSession.sparkContext.broadcast(index), own.schema.field(0).type
+
+
+def _leaks_in(texts: pa.Array, index: SeedIndex, min_match: int, coverage: float) -> Iterator[tuple[int, object, float, int, int]]:
+    """(row, item, share covered, tiles, words) of each item that one of the texts leaks."""
+    for first, offsets, hashes in word_hashes(texts):
+        for (row, item), runs in index.items_at(hashes, offsets).items():
+            words = index.words[item]
+            doc = _covered(runs, hashes, row)
+            if len(doc) < coverage * len(words):
+                continue
+            tiles = greedy_tiles(doc, words, min(min_match, len(words)))
+            marked = sum(n for n, _, _ in tiles)
+            if marked >= coverage * len(words):
+                yield first + row, index.ids[item], marked / len(words), len(tiles), marked
+
+
+def without_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    min_match: int = MIN_MATCH,
+    coverage: float = COVERAGE,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that leak no item (see ``leaks``). Rows are judged one by one in the tasks that
+    read them, whatever their ids; the blocks of the benchmark filter in turn, in one scan."""
+    for sent, _ in _blocks(benchmark, item_col, item_text_col, min_match, block_bytes):
+
+        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(len(batch), bool)
+                keep[[row for row, *_ in _leaks_in(batch.column(text_col), sent.value, min_match, coverage)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row per document id that leaks an item: id, ``contaminated``, ``covered`` (the largest share) and
     ``items`` (the leaked items, in order, with their shares and tiles)."""
