@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from tessera.llm import decontamination, exact_dedup, html_text, katz, licenses, near_dup, pieces, preferences, resampling, toxicity
+from tessera.llm import decontamination, exact_dedup, html_text, katz, licenses, near_dup, pieces, preferences, resampling, shared, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, words string, `_t` string"
@@ -146,15 +146,41 @@ def test_katz_equals_a_dictionary_model_whatever_is_listed(spark, docs):
         assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want])
 
 
+LONG_TEXT = "the cat and the dog are in the house with all of their friends and it is a good day for them. " * 4
+
+
 def test_html_rules():
-    page = """<html><head><title>t</title><style>p{}</style></head><body><nav><a href=1>Home</a></nav><div class="cookie-notice">We use cookies</div>
+    page = f"""<html><head><title>t</title><style>p{{}}</style></head><body><nav><a href=1>Home</a></nav><div class="cookie-notice">We use cookies</div>
     <article><h1>Head &amp; line</h1><p>First <b>bold</b>
-    words&nbsp;here.<p>Short.<div class="ad">Buy the best of it now</div><p>Last</p><ul><li><a href=2>more links</a></li></ul>
-    <section id="comments"><p>I am the first to say that this is it.</p></section></article><form>mail <input></form><footer>&copy; us</footer><script>var a = "</p>";</script>"""
-    assert html_text.main_text(page) == "Head & line\n\nFirst bold words here.\n\nShort.\n\nLast"
-    long = "the cat and the dog are in the house with all of their friends and it is a good day for them. " * 4
-    assert html_text.main_text(f"<div><a href=1>one</a> <a href=2>two</a></div><div>{long}</div><div>Short one</div>") == f"{long.strip()}\n\nShort one"
+    words&nbsp;here.<p>Short.<div class="ad">Buy the best of it now</div><p>{LONG_TEXT}</p><ul><li><a href=2>more links</a></li></ul>
+    <section id="comments"><p>{LONG_TEXT}</p></section></article><form>mail <input></form><footer>&copy; us</footer><script>var a = "</p>";</script>"""
+    assert html_text.main_text(page) == f"Head & line\n\nFirst bold words here.\n\nShort.\n\n{LONG_TEXT.strip()}"
+    assert html_text.main_text(f"<div><a href=1>one</a> <a href=2>two</a></div><div>{LONG_TEXT}</div><div>Short one</div>") == f"{LONG_TEXT.strip()}\n\nShort one"
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>x</nav>") == ""
+    assert html_text.main_text("<article><h1>A</h1><p>Few words.</p></article><footer>x</footer>") == "A\n\nFew words."
+
+
+def test_html_rules_without_markup_names():
+    menu = "".join(f"<li><a href=/{k}>place {k}</a></li>" for k in range(5))
+    page = f"<body><div><ul>{menu}</ul></div><div>Buy it now.</div><div><h2>Head</h2><p>Begins short.</p><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p><p>Ends.</p></div><div><ul>{menu}</ul></div></body>"
+    assert html_text.main_text(page) == f"Head\n\nBegins short.\n\n{LONG_TEXT.strip()}\n\n{LONG_TEXT.strip()}\n\nEnds."
+
+
+def test_html_names_that_only_hold_such_words():
+    t = LONG_TEXT.strip()
+    page = f"""<article><h1>Head</h1><p class="notice-of-motion">{t}</p><h2 id="related-work">Related work</h2><p>{t}</p><div class="share-price">Price 4.</div></article>"""
+    assert html_text.main_text(page) == f"Head\n\n{t}\n\nRelated work\n\n{t}\n\nPrice 4."
+    assert html_text.main_text(f'<div class="login-history">{t}</div>') == t
+    assert html_text.main_text(f'<div class="layout with-sidebar"><article class="post comments-open"><p>{t}</p></article></div>') == t
+
+
+def test_html_deep_and_long_pages():
+    import time
+
+    began = time.perf_counter()
+    assert html_text.main_text("<div>" * 100_000 + LONG_TEXT) == LONG_TEXT.strip()
+    assert len(html_text.main_text(f"<p>{LONG_TEXT}" * 5000)) > 5000 * 300
+    assert time.perf_counter() - began < 20  # about 3 s alone; quadratic work would take minutes
 
 
 def test_extract_keeps_rows_and_columns(spark):
@@ -178,6 +204,42 @@ def test_near_duplicates_against_all_pairs(spark, docs, nothing):
     assert near_dup.near_duplicates(nothing).count() == 0
 
 
+def test_key_filter_loses_nothing(spark):
+    rows = spark.range(50_000).selectExpr("id AS k", "'x' AS __maybe_not")
+    wanted = spark.range(0, 50_000, 7).toDF("k")
+    passed = shared.maybe_among(rows, "k", wanted)
+    assert passed.join(wanted, "k").count() == wanted.count() and passed.count() < wanted.count() + 50 and passed.columns == rows.columns
+    assert shared.maybe_among(rows, "k", wanted.limit(0)).count() == 0
+    assert shared.marked(rows, "k", wanted).count() == 50_000
+
+
+def test_near_duplicates_with_tiny_blocks_and_many_rounds(spark):
+    rng = random.Random(9)
+    common = [f"c{k}" for k in range(120)]
+    texts = []
+    for group in range(6):  # groups that share half of their words with all others, so that buckets hold several
+        own = [f"g{group}w{k}" for k in range(rng.choice([20, 60, 120]))]
+        for _ in range(10):
+            copy = common + own
+            copy[rng.randrange(len(copy))] = "z"
+            texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    was = near_dup.BLOCK, near_dup.SHRINKS
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(words, texts)]
+    label = list(range(len(sets)))
+    for _ in range(6):
+        for i in range(len(sets)):
+            for j in range(i):
+                if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+    try:
+        for near_dup.BLOCK, near_dup.SHRINKS in ((4, 0.0), (2048, 0.99)):
+            got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()}
+            assert [got[i] for i in range(len(sets))] == label
+    finally:
+        near_dup.BLOCK, near_dup.SHRINKS = was
+
+
 def test_exact_dedup(spark, docs, nothing):
     got = {r.doc_id: r for r in exact_dedup.exact_dedup(docs, keep="max").collect()}
     assert (got[0].keep_id, got[0].group_size, got[0].kept, got[12].kept) == (12, 2, False, True)
@@ -187,22 +249,84 @@ def test_exact_dedup(spark, docs, nothing):
     assert exact_dedup.exact_dedup(nothing).count() == 0
 
 
+def test_toxicity_machine_equals_its_parts_in_turn():
+    rng = random.Random(8)
+    parts, whole = [toxicity.negation(), toxicity.report(), toxicity.threat(), toxicity.insult()], toxicity.grammar()
+    step = whole.arcs()
+    for _ in range(3000):
+        clause = "".join(rng.choices("ILVMPDNRO", weights=[3, 2, 2, 2, 2, 2, 1, 1, 5], k=rng.randrange(1, 25)))
+        said = clause
+        for part in parts:
+            said = part.run(said)
+        state, out = whole.start, ""
+        for symbol in clause:
+            state, more = step(state, symbol)
+            out += more
+        assert out == said == brute_clause(clause), clause
+
+
+def brute_clause(clause):
+    """What a clause emits, from the positions of its symbols alone."""
+    tame, out = {}, {}
+    for k, s in enumerate(clause):
+        if s in "ILV":
+            negated = "N" in clause[max(0, k - 3) : k]
+            tame[k] = "r" if "R" in clause[:k] and not negated else "n" if negated else ""
+    verbs = [k for k, s in enumerate(clause) if s == "V" and not tame[k]]
+    mode, done, who, wait = 4, set(), "", None  # insults: strongest target so far, and the one that waits
+    for k, s in enumerate(clause):
+        said = ""
+        if s in "PD":
+            near = [v for v in verbs if v not in done and k - v <= mode and v < k]
+            if near and near[-1] == max(v for v in verbs if v < k):
+                said += "T" if any(clause[j] == "M" for j in range(max(0, near[-1] - mode), near[-1])) else "t"
+                done |= set(near)
+            if wait is not None and k - wait <= mode:
+                said += {"IP": "A", "ID": "B", "LP": "a", "LD": "b"}[clause[wait] + s]
+            wait, who = None, "P" if "P" in (who, s) else "D"
+        elif s in "IL" and not tame[k]:
+            if who:
+                said, wait = {"IP": "A", "ID": "B", "IO": "C", "LP": "a", "LD": "b", "LO": "c"}[s + who], None
+            else:
+                wait = k
+        elif tame.get(k):
+            said = tame[k]
+        elif s in "OV" and not who:
+            who = "O"
+        out[k] = said
+    return "".join(out.values())
+
+
 def test_toxicity_grammar_and_filter(spark, nothing):
-    rows = [(0, "You are a worthless idiot.", "", ""), (1, "The sky is blue.", "", ""), (2, None, "", ""), (3, "You are not an idiot.", "", "")]
-    docs = spark.createDataFrame(rows, DOCS)
+    texts = [
+        "You are a worthless idiot.", "The sky is blue.", None, "You are not an idiot.", "idiot", "I will destroy you!", "He said you are an idiot.",
+        "", "a b. " * 500_000 + "You idiot.", "You are a worthless idiot.",
+    ]
+    docs = spark.createDataFrame([(k, t, "score", "") for k, t in enumerate(texts)], "doc_id long, text string, score string, predicted string")
+    docs = docs.union(docs.where("doc_id = 0"))
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
-    assert got[0].directed_insult and got[0].predicted == 1 and got[1].predicted == got[2].predicted == 0
-    assert got[3].negated and got[3].score < got[0].score
+    assert got[0].insult_pronoun == 2 and got[0].predicted == got[9].predicted == 1 and got[1].predicted == got[2].predicted == 0
+    assert got[3].negated and got[3].score < got[0].score and got[6].reported and got[6].score < got[0].score
+    assert got[4].score == got[2].score == got[7].score and got[8].insult_pronoun == 1  # a word alone is no clause
+    assert got[5].threat_intended == 1 and got[5].predicted == 1
     kept = toxicity.drop_toxic(docs, labels)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
+    assert toxicity.toxicity(docs, labels).count() == docs.count()
     assert toxicity.toxicity(nothing, labels).count() == 0
 
 
+def test_toxicity_learns_from_a_bounded_sample(spark):
+    labels = spark.range(20_000).selectExpr("id AS doc_id", "cast(id % 10 = 0 AS int) AS toxic")
+    every = toxicity.training_labels(labels, "doc_id", "toxic").count()
+    some = toxicity.training_labels(labels, "doc_id", "toxic", rows=2000).count()
+    assert 14_000 < every < 16_000 and 1800 < some < 2200
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"  # sf0.01 has 94 held-out labels, too few for a share
     got = toxicity.op7_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
-    assert (got.predicted == got.toxic).mean() > 0.95
+    assert (got.predicted == got.toxic).mean() > 0.98 and got[got.toxic == 1].predicted.mean() > 0.85
 
 
 def test_licenses(spark, nothing):
@@ -258,19 +382,104 @@ def test_preferences_prompt_and_masks(spark):
     turns = [
         (1, 0, "user", "hi"), (1, 1, "assistant", "yes, and more"), (2, 0, "user", "hi"), (2, 1, "assistant", "no"), (2, 1, "assistant", "no"),
         (3, 0, "user", "hi"), (3, 1, "assistant", "yes, and more"), (4, 0, "user", None), (5, None, "user", "x"), (None, 0, "user", "hi"),
+        (1, 2, "user", "and?"), (1, 3, "assistant", "ok"),
     ]
-    got = preferences.format_preferences(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
-    by = {r.part: r for r in got}
-    assert len(got) == 3 and {(r.chosen, r.rejected) for r in got} == {(1, 2)}  # 3 equals the chosen one: no preference
-    assert by["prompt"].text == "<|user|>\nhi<|end|>\n" and by["prompt"].mask == ""
-    begin, end = map(int, by["rejected"].mask.split(":"))
-    assert by["rejected"].text[begin:end] == "no"
+    df = spark.createDataFrame([(*t, "x", "y") for t in turns], "conv_id long, turn long, role string, text string, chosen string, prompt string")
+    pairs = spark.createDataFrame([(1, 2), (1, 2), (3, 1), (1, 1), (2, 4)], "chosen long, rejected long")
+    got = {(r.chosen, r.rejected): r for r in preferences.format_preferences(df, pairs).collect()}
+    assert set(got) == {(1, 2), (3, 1), (2, 4)}  # 1 against itself is no preference
+    one = got[1, 2]
+    assert (one.prompt_turns, one.prompt) == (1, "<|user|>\nhi<|end|>\n")
+    spans = lambda text, mask: [text[int(b) : int(e)] for b, e in (x.split(":") for x in mask.split(",") if x)]
+    assert spans(one.rejected_text, one.rejected_mask) == ["no"] and spans(one.chosen_text, one.chosen_mask) == ["yes, and more", "ok"]
+    assert got[3, 1].prompt_turns == 2 and (got[3, 1].chosen_text, got[3, 1].chosen_mask) == ("", "")
+    assert spans(got[3, 1].rejected_text, got[3, 1].rejected_mask) == ["ok"] and got[2, 4].prompt_turns == 0
+    assert preferences.format_preferences(df.limit(0)).count() == preferences.format_preferences(df.limit(0), pairs).count() == 0
+
+
+def test_preferences_swap_the_last_reply(spark):
+    turns = [(0, 0, "user", "a"), (0, 1, "assistant", "A"), (0, 2, "user", "left out"), (1, 0, "user", "b"), (1, 1, "assistant", "B"), (6, 0, "user", "c"), (6, 1, "assistant", "C"), (6, 2, "user", "d"), (6, 3, "assistant", "D"), (8, 0, "assistant", "E"), (10, 0, "user", "f")]
+    got = {r.chosen: r for r in preferences.format_preferences(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+    assert {k: (r.prompt_turns, r.chosen_text[14:15], r.rejected_text[14:15], r.rejected) for k, r in got.items()} == {0: (1, "A", "B", -1), 1: (1, "B", "A", -2), 6: (3, "D", "C", -7)}
+    long = [(0, k, ("user", "assistant")[k % 2], f"t{k}") for k in range(300)] + [(1, 0, "user", "q"), (1, 1, "assistant", "other")]
+    df = spark.createDataFrame(long, "conv_id long, turn long, role string, text string")
+    whole, parts = (preferences.format_preferences(df, chunk=c).where("chosen = 0").orderBy("chunk").collect() for c in (4096, 64))
+    assert len(whole) == 1 and whole[0].prompt_turns == 299 and len(parts) == 5
+    assert "".join(r.prompt for r in parts) == whole[0].prompt and parts[-1].rejected_text == whole[0].rejected_text
+
+
+def brute_pipeline(rows, toxic, items, sp):
+    """The stages in plain Python over rows (place, doc_id, text), given the scored toxic rows: place to ids."""
+    rows = [r for r in rows if r[0] not in toxic]
+    last: dict = {}
+    for _, i, t in rows:
+        key = tuple(lower(t))
+        last[key] = max(last.get(key, (False, 0)), (i is not None, i or 0))
+    rows = [r for r in rows if (r[1] is not None, r[1] or 0) == last[tuple(lower(r[2]))]]
+    sets = {i: ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}) if (w := words(t)) else set() for _, i, t in rows if i is not None}
+    holds: dict = {}
+    for i, s in sets.items():
+        for x in s:
+            holds.setdefault(x, []).append(i)
+    label = {i: i for i in sets}
+    links = {(i, j) for own in holds.values() for i in own for j in own if i < j}
+    links = [(i, j) for i, j in links if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    for _ in range(len(links)):
+        before = dict(label)
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            break
+    rows = [r for r in rows if r[1] is None or label[r[1]] == r[1]]
+
+    def leaks(t):
+        own = words(t)
+        grams = {tuple(own[k : k + n]) for n in {min(5, len(x)) for x in items} for k in range(len(own) - n + 1)}
+        for x in items:
+            n = min(5, len(x))
+            if any(tuple(x[k : k + n]) in grams for k in range(len(x) - n + 1)):
+                tiles = decontamination.greedy_tiles(*(np.array([abs(hash(w)) for w in side], np.uint64) for side in (own, x)), n)
+                if sum(m for m, _, _ in tiles) >= 0.5 * len(x):
+                    return True
+        return False
+
+    rows = [r for r in rows if not leaks(r[2])]
+    return sorted((i is not None, i or 0, tuple([*sp.encode(t or ""), 2])) for _, i, t in rows)
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    import corpus_pipeline
+    import sentencepiece
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first, leak = docs.orderBy("doc_id").first(), spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    odd = [(None, first.text), (None, None), (900_001, None), (900_002, ""), (None, f"x {leak} y"), (900_003, first.text), (900_003, "another text here with this id"), (900_003, "another text here with this id"), (900_004, "w " * 200_000)]
+    more = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in odd], docs.schema)
+    docs.unionByName(more).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    scored = toxicity.toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 1").select("doc_id").collect()
+    bad = {r.doc_id for r in scored}
+    rows = [(k, r.doc_id, r.text) for k, r in enumerate(docs.collect())]
+    assert 5 < len(bad) < 60
+    items = [w for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if (w := words(r.text))]
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    want = brute_pipeline(rows, {k for k, i, _ in rows if i in bad}, items, sp)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, tuple(r.ids)) for r in got) == want
+    kept = corpus_pipeline.drop_copies(spark, docs, SF)
+    assert kept.columns == docs.columns and kept.count() < docs.count()
 
 
-def test_pipeline_stage_by_stage(spark):
+def test_pipeline_of_an_empty_table(spark, tmp_path):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    out = corpus_pipeline.run(spark, SF).toPandas()
-    assert corpus_pipeline.drop_copies(spark, docs, SF).columns == docs.columns
-    assert 0 < len(out) < docs.count() and out.doc_id.is_unique and (out.n_tokens == out.ids.map(len)).all()
+    spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
