@@ -1,29 +1,37 @@
 """The corpus pipeline: toxic documents, copies, near copies and leaked benchmark items go; the rest is encoded.
 
 Each stage is a function of (spark, docs, sf_dir). ``docs`` is what its predecessor kept, with the columns of
-``documents``; all stages but the last return those columns. Rows keep their column values. A row without an id
-passes the stages that drop by id.
+``documents``; all stages but the last return those columns. Rows keep their column values, null and empty
+texts are clean documents, and an empty table gives an empty result.
+
+Toxic rows and leaks are told in the tasks that read them, row by row. Copies go by id and text digest, so that a
+row without an id goes too if a copy with an id stays, and rows that share an id but not the text are judged apart.
+Near copies go by id alone: ids are taken as unique there, a row without an id stays, and rows that repeat id
+and text (equal in all the pipeline looks at) share their fate.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, exact_dedup, near_dup, pieces, toxicity
-from tessera.llm.shared import checkpointed, shared_folder
-from tessera.session import table
+from tessera.llm.shared import checkpointed, lower_az, marked
+from tessera.session import delete, shared_folder, table
+
 
+def _without(docs: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is not among the keys in ``dropped`` (column ``__key``).
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is not among ``dropped`` (``doc_id``). Up to BROADCAST_IDS ids, counted
-    first, are broadcast, so that texts stay where they are; more are joined by a shuffle."""
-    ids = checkpointed(dropped.select("doc_id").where("doc_id IS NOT NULL").distinct())
-    if ids.count() <= near_dup.BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+    Most rows are told by a bitmap of fixed size in the tasks that read them; those it can't clear are joined
+    by a shuffle, few while the bitmap is sparse.
+    """
+    keys = checkpointed(dropped.where("__key IS NOT NULL").distinct())
+    rows = marked(docs.withColumn("__key", key), "__key", keys)
+    clear = rows.where("NOT __maybe").select(*docs.columns)
+    return clear.union(rows.where("__maybe").join(keys, "__key", "left_anti").select(*docs.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,17 +41,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the largest id."""
-    return _without(docs, exact_dedup.exact_dedup(docs, keep="max").where("NOT kept"))
+    copies = exact_dedup.exact_dedup(docs, keep="max").where("NOT kept")
+    own = F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2(lower_az(F.coalesce("text", F.lit(""))), 256))
+    return _without(docs, own, copies.select(F.concat_ws(":", F.col("doc_id").cast("string"), "text_sha256").alias("__key")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked near copies: the smallest id."""
-    return _without(docs, near_dup.near_duplicates(docs).where("NOT kept"))
+    return _without(docs, F.col("doc_id"), near_dup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__key")))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return _without(docs, decontamination.leaks(docs, table(spark, sf_dir, "benchmark")))
+    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,12 +74,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read again. A stage's
+    folder is deleted when the next one is written; the last one, which the result reads, is the caller's."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    last = None
     for name, stage in STAGES:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last is not None:
+            delete(spark, last)
+        last = path
     return docs
-
