@@ -3,22 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: First match wins, on lower-cased text.
-FAMILY_RULES = (("bit", "bit"), ("cipher", "cipher"), ("equation", "equation"), ("gravity", "gravity"), ("numeral", "numeral"), ("unit", "unit"))
+#: Fixed values: (family, alternatives); the first family counts of which all words of an alternative occur in the lower-cased text.
+FAMILY_RULES = (
+    ("bit_manipulation", (("bit manipulation",), ("8-bit binary",))),
+    ("cipher", (("secret encryption",), ("decrypt",))),
+    ("numeral", (("numeral system",),)),
+    ("unit_conversion", (("unit", "convert"),)),
+    ("gravity", (("gravitational constant",), ("falling distance",))),
+    ("equation", (("transformation rules is applied to equations",), ("determine the result for",))),
+)
+Rules = Sequence[tuple[str, Sequence[Sequence[str]]]]
 
 
-def infer_family(text: Column, rules: Sequence[tuple[str, str]] = FAMILY_RULES, otherwise: str = "unknown") -> Column:
-    """The family of the first rule whose words occur in the text."""
-    lower, out = F.lower(F.coalesce(text, F.lit(""))), F.lit(otherwise)
-    for words, family in reversed(list(rules)):
-        out = F.when(F.contains(lower, F.lit(words)), family).otherwise(out)
+def first_rule(text: Column, rules: Rules, otherwise: Column) -> Column:
+    """The name of the first rule that holds for the lower-cased text: all words of one of its alternatives occur."""
+    lower, out = F.lower(F.coalesce(text, F.lit(""))), otherwise
+    for name, alternatives in reversed(list(rules)):
+        every = [reduce(and_, (F.contains(lower, F.lit(w)) for w in words)) for words in alternatives]
+        out = F.when(reduce(or_, every), name).otherwise(out)
     return out
 
 
+def infer_family(text: Column, rules: Rules = FAMILY_RULES, otherwise: str = "unknown") -> Column:
+    """The family of a text by ordered rules; null counts as empty."""
+    return first_rule(text, rules, F.lit(otherwise))
+
+
 #: Phrases that announce an answer. The first phrase that occurs decides, by its last occurrence.
 ANSWER_PHRASES = (
     r"The final answer is:\s*([^\n]+)",
@@ -45,7 +61,7 @@ def final_answer(text: Column, lower: bool = False) -> Column:
     r"""The normalised answer of a text, empty if it has none.
 
     Where ``\boxed{`` occurs, the last segment that isn't blank decides, cut at its last brace. Else an announcing
-    phrase, else the last number, else the last line without its label.
+    phrase, else the last number, else the last line that is more than a label, without it, else the whole text.
     """
     text = F.coalesce(text, F.lit(""))
     last = lambda a: F.try_element_at(a, F.lit(-1))
@@ -55,16 +71,29 @@ def final_answer(text: Column, lower: bool = False) -> Column:
     boxed = F.coalesce(last(F.filter(segments, lambda x: stripped(x) != "")), last(segments))
     phrases = [last(F.regexp_extract_all(text, F.lit("(?i)" + phrase), 1)) for phrase in ANSWER_PHRASES]
     number = last(F.regexp_extract_all(text, F.lit(r"(-?\d+(?:\.\d+)?)"), 1))
-    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0B\x0C]"), lambda x: stripped(F.regexp_replace(stripped(x), ANSWER_LABEL, "")))
-    return normalize_answer(F.coalesce(boxed, *phrases, number, last(F.filter(lines, lambda x: x != ""))), lower)
+    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"), lambda x: stripped(F.regexp_replace(stripped(x), ANSWER_LABEL, "")))
+    return normalize_answer(F.coalesce(boxed, *phrases, number, last(F.filter(lines, lambda x: x != "")), text), lower)
+
+
+def shown_answer(text: Column) -> Column:
+    """Trimmed and lower-cased, as tables of answers show it; null and NaN become empty."""
+    plain = F.lower(stripped(F.coalesce(text.cast("string"), F.lit(""))))
+    return F.when(plain == "nan", "").otherwise(plain)
 
 
-def training_answer(answer: Column, style: str = "raw") -> Column:
-    """The target text: the answer as it is (``raw``) or in a box (``boxed``)."""
-    if style not in ("raw", "boxed"):
+def training_answer(answer: Column, style: str = "raw", prompt: Column | None = None) -> Column:
+    """The target text: the answer as it is (``raw``), in a box (``boxed``), or in a box behind the prompt's cipher trace
+    where it has one (``short_trace_boxed``)."""
+    if style not in ("raw", "boxed", "short_trace_boxed"):
         raise ValueError(f"unknown answer style {style!r}")
     plain = stripped(F.coalesce(answer.cast("string"), F.lit("")))
-    return plain if style == "raw" else F.concat(F.lit("\\boxed{"), normalize_answer(plain, lower=False), F.lit("}"))
+    if style == "raw":
+        return plain
+    boxed = F.concat(F.lit("\\boxed{"), normalize_answer(plain, lower=False), F.lit("}"))
+    if style == "boxed":
+        return boxed
+    trace = cipher_trace(F.lit("") if prompt is None else F.coalesce(prompt, F.lit("")), plain)
+    return F.coalesce(F.concat(trace, F.lit("\nFinal: "), boxed), boxed)
 
 
 def prompt_text(system: str, prompt: Column) -> Column:
@@ -73,7 +102,7 @@ def prompt_text(system: str, prompt: Column) -> Column:
 
 def training_text(system: str, prompt: Column, answer: Column, style: str = "raw") -> Column:
     """The prompt and its target, one text."""
-    return F.concat(prompt_text(system, prompt), training_answer(answer, style))
+    return F.concat(prompt_text(system, prompt), training_answer(answer, style, prompt))
 
 
 def point_label(code: Column, step: Column) -> Column:
@@ -156,7 +185,23 @@ def to_boolean(text: Column) -> Column:
 
 
 def run_slug(name: Column, size: int = 18) -> Column:
-    """Lower-case letters and digits joined by dashes, at most ``size`` characters; "run" if nothing is left."""
+    """Lower-case letters and digits joined by dashes, cut to ``size`` characters; "run" if nothing is left."""
     slug = F.btrim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+", "-"), F.lit("-"))
-    cut = F.btrim(F.substring(slug, 1, size), F.lit("-"))
-    return F.when(cut == "", "run").otherwise(cut)
+    return F.when(slug == "", "run").otherwise(F.substring(slug, 1, size))
+
+
+#: Fixed values: (code, alternatives) on the lower-cased name and method; the score that has a code of its own.
+CODE_RULES = (
+    ("04-s4", (("s4",), ("attention_expand",))),
+    ("02-raw-full", (("raw_full",), ("active_02",))),
+    ("00-raw-1024", (("lora_score_0_62",),)),
+    ("smol", (("smol",),)),
+)
+SCORE_CODE = (0.62, "00-raw-1024")
+
+
+def experiment_code(name: Column, method: Column, score: Column) -> Column:
+    """The code of the first rule that holds, else the run's slug. The score's code stands before the last rule."""
+    text = F.concat_ws(" ", F.coalesce(name, F.lit("")), F.coalesce(method, F.lit("")))
+    last = first_rule(text, CODE_RULES[-1:], run_slug(name))
+    return first_rule(text, CODE_RULES[:-1], F.when(score == SCORE_CODE[0], SCORE_CODE[1]).otherwise(last))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import values
 from tessera.operators import signals
 
 
@@ -39,6 +43,10 @@ def outer_lines(entries: DataFrame) -> DataFrame:
     return entries.groupBy("image").agg(low.alias("low"), high.alias("high"))
 
 
+#: Weights of votes, separation and outerness in a pair's score.
+PAIR_WEIGHTS = (0.4, 0.3, 0.3)
+
+
 def rho_profile(entries: DataFrame) -> DataFrame:
     """(image, rho, votes, theta): the strongest entry of each rho."""
     best = F.max_by("theta", F.struct("votes", -F.col("theta")))
@@ -53,7 +61,7 @@ def spaced_candidates(entries: DataFrame, gap: int, most: int) -> DataFrame:
     return picks.join(profile, ["image", "rho"])
 
 
-def pair_scores(candidates: DataFrame, accumulation: float = 0.4, separation: float = 0.3, outerness: float = 0.3) -> DataFrame:
+def pair_scores(candidates: DataFrame, accumulation: float = PAIR_WEIGHTS[0], separation: float = PAIR_WEIGHTS[1], outerness: float = PAIR_WEIGHTS[2]) -> DataFrame:
     """Unordered pairs of an image's candidates (a bounded number) with their score, best first by ``place``.
 
     The score weighs the weaker line's share of the most votes, the distance as a share of the widest, and how near
@@ -81,3 +89,103 @@ def nearest_bin(value: Column, first: float, step: float, bins: int) -> Column:
     """The bin of a uniform grid nearest to a value; halfway the lower one, beyond the ends the last one."""
     place = F.ceil((value - first) / step - 0.5)
     return F.greatest(F.lit(0), F.least(F.lit(bins - 1), place)).cast("long")
+
+
+def family_separation(families: DataFrame) -> DataFrame:
+    """``sep``: the distance of a family's two lines as a share of the image's width along the family's normal, 0 to 1; -1
+    without both. Columns: height, width, reference (degrees), and low, high (segments: arrays of two points)."""
+    middle = lambda s: values.projected((F.col(f"{s}")[0]["x"] + F.col(f"{s}")[1]["x"]) / 2, (F.col(f"{s}")[0]["y"] + F.col(f"{s}")[1]["y"]) / 2, F.col("reference"))
+    bounds = values.projected_bounds(F.col("height"), F.col("width"), F.col("reference"))
+    span = bounds["high"] - bounds["low"]
+    span = F.when(span > 0, span).otherwise(1.0)
+    sep = values.clipped(F.abs(middle("high") - middle("low")) / span, 0.0, 1.0)
+    return families.withColumn("sep", F.coalesce(F.when(F.col("low").isNotNull() & F.col("high").isNotNull(), sep), F.lit(-1.0)))
+
+
+def hybrid_families(by_votes: DataFrame, by_score: DataFrame) -> DataFrame:
+    """Of an image's two families (image, sep, ...) the wider one, ``source`` says which; of equals that by votes."""
+    both = by_votes.withColumn("source", F.lit("global")).unionByName(by_score.withColumn("source", F.lit("score")))
+    rank = F.struct("sep", (F.col("source") == "global").cast("int"))
+    return both.groupBy("image").agg(F.max_by(F.struct(*both.columns), rank).alias("_f")).select("_f.*")
+
+
+def perpendicular_centre(dominant: Column, reference: Column | None = None) -> Column:
+    """The direction across the dominant one, or across its family's reference where there is one."""
+    anchor = dominant if reference is None else F.coalesce(reference, dominant)
+    return values.wrapped_degrees(anchor + 90)
+
+
+def nearest_entry(entries: DataFrame, target: float, least: int = 0, absolute: bool = False) -> DataFrame:
+    """An image's entry of at least ``least`` votes nearest to a target angle (with ``absolute`` by absolute angle); then the most votes, the smallest rho."""
+    theta = F.abs("theta") if absolute else F.col("theta")
+    rank = F.struct(F.abs(theta - target), -F.col("votes"), F.col("rho"), F.col("theta"))
+    return entries.where(F.col("votes") >= least).groupBy("image").agg(F.min_by(F.struct("theta", "rho", "votes"), rank).alias("_e")).select("image", "_e.*")
+
+
+def rho_slice(votes: DataFrame, theta: int, least: float) -> DataFrame:
+    """(image, rho, votes, log_votes, strong) of the entries at one angle; strong ones have ``least`` of the image's most votes."""
+    top = votes.groupBy("image").agg(F.max("votes").alias("_top"))
+    own = votes.where(F.col("theta") == theta).join(top, "image")
+    return own.select("image", "rho", "votes", F.log1p("votes").alias("log_votes"), (F.col("votes") >= F.lit(float(least)) * F.col("_top")).alias("strong"))
+
+
+def angle_votes(points: DataFrame, theta: float, first: float, step: float, bins: int) -> DataFrame:
+    """(image, bin, votes) of points (image, x, y) at one angle (degrees); places beyond the ends count in the last bins."""
+    place = values.clipped(F.rint((values.projected(F.col("x"), F.col("y"), F.lit(float(theta))) - first) / step), 0.0, float(bins - 1))
+    return points.groupBy("image", place.cast("long").alias("bin")).agg(F.count("*").alias("votes"))
+
+
+def smoothed_votes(votes: DataFrame, sigma_rho: float, sigma_theta: float, reach: float = 4.0) -> DataFrame:
+    """(image, theta, rho, smooth): votes under a Gaussian in both directions, cut at ``reach`` deviations. Each entry
+    sends its weighted votes to its neighbours, one direction after the other, and sums are made before they move."""
+
+    def spread(df: DataFrame, column: str, sigma: float) -> DataFrame:
+        if sigma <= 0:
+            return df
+        far = int(reach * sigma + 0.5)
+        weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-far, far + 1)]
+        kernel = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(w / sum(weights)).alias("w")) for k, w in zip(range(-far, far + 1), weights, strict=True)))
+        sent = df.withColumn("_k", F.explode(kernel)).withColumn(column, F.col(column) + F.col("_k.k"))
+        return sent.groupBy("image", "theta", "rho").agg(F.sum(F.col("smooth") * F.col("_k.w")).alias("smooth"))
+
+    start = votes.select("image", "theta", "rho", F.col("votes").cast("double").alias("smooth"))
+    return spread(spread(start, "rho", sigma_rho), "theta", sigma_theta)
+
+
+#: The bounds of a grid, two of the dominant family and two across it.
+BOUNDS = ("D_min", "D_max", "P_min", "P_max")
+
+
+def bounds_side_by_side(bounds: DataFrame, selectors: list[str]) -> DataFrame:
+    """(image, label, one column a selector) of bounds (image, selector, label, rho): all four labels of each image, "-" where missing."""
+    labels = F.explode(F.array(*map(F.lit, BOUNDS))).alias("label")
+    every = bounds.select("image").distinct().select("image", labels)
+    picked = [F.max(F.when(F.col("selector") == s, F.col("rho").cast("string"))).alias(s) for s in selectors]
+    found = bounds.groupBy("image", "label").agg(*picked)
+    return every.join(found, ["image", "label"], "left").fillna("-", selectors)
+
+
+def labelled_pairs(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Pairs (image, rho_a, rho_b, ...) with the names of both candidates (image, rho, name); an unknown one is null."""
+    for side in ("a", "b"):
+        own = candidates.select("image", F.col("rho").alias(f"rho_{side}"), F.col("name").alias(f"name_{side}"))
+        pairs = pairs.join(own, ["image", f"rho_{side}"], "left")
+    return pairs
+
+
+def window_candidates(votes: DataFrame, peaks: DataFrame, centre: float, rho_reach: float, theta: float, theta_reach: float) -> DataFrame:
+    """Entries of a window in rho and angle, ``is_peak`` tells those that are peaks (image, theta, rho)."""
+    near = votes.where(values.within_windows((F.col("rho"), centre, rho_reach), (F.col("theta"), theta, theta_reach)))
+    known = peaks.select("image", "theta", "rho", F.lit(True).alias("is_peak")).distinct()
+    return near.join(known, ["image", "theta", "rho"], "left").withColumn("is_peak", F.coalesce("is_peak", F.lit(False)))
+
+
+def boundary_grid(votes: DataFrame, ratio: float, tolerance: float) -> DataFrame:
+    """(image, label, theta, rho, votes): the outer lines of the dominant family and of the family across it."""
+    strong = strong_entries(votes, ratio)
+    found = []
+    for letter, turned in (("D", 0.0), ("P", 90.0)):
+        ends = outer_lines(family(strong, tolerance, turned))
+        for end, name in (("low", "min"), ("high", "max")):
+            found.append(ends.select("image", F.lit(f"{letter}_{name}").alias("label"), f"{end}.*"))
+    return reduce(DataFrame.unionByName, found)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +32,56 @@ def values_at_step(log: DataFrame, keys: Sequence[str], step: str, order: str, c
     return log.groupBy(*keys, step).agg(F.coalesce(*last).cast("double").alias("value"))
 
 
-def rates(evaluations: DataFrame, keys: Sequence[str], correct: str = "correct") -> DataFrame:
-    """(keys, n, matches, percent) of a 0/1 column; a null counts as wrong, an empty group has no row."""
+def rates(evaluations: DataFrame, keys: Sequence[str], correct: str = "correct", groups: DataFrame | None = None) -> DataFrame:
+    """(keys, n, matches, percent) of a 0/1 column; a null counts as wrong. With ``groups`` (keys), each of them has a row,
+    with 0 where it is empty."""
     n, matches = F.count("*"), F.coalesce(F.sum(F.col(correct).cast("long")), F.lit(0))
-    return evaluations.groupBy(*keys).agg(n.alias("n"), matches.alias("matches"), (100.0 * matches / n).alias("percent"))
+    found = evaluations.groupBy(*keys).agg(n.alias("n"), matches.alias("matches"), (100.0 * matches / n).alias("percent"))
+    return found if groups is None else groups.select(*keys).distinct().join(found, list(keys), "left").fillna(0, ["n", "matches", "percent"])
+
+
+def outcomes(df: DataFrame, status: Column, names: Sequence[str]) -> DataFrame:
+    """One row: how many rows have each of the outcomes."""
+    return df.agg(*(F.count_if(status == n).alias(n) for n in names))
+
+
+def contrasts(value: Column, inside: Column, least: float = 1e-8) -> list[Column]:
+    """Means of a value inside and outside of a mask, and their ratio."""
+    a, b = F.avg(F.when(inside, value)), F.avg(F.when(~inside, value))
+    return [a.alias("inside"), b.alias("outside"), (a / F.greatest(b, F.lit(least))).alias("ratio")]
+
+
+def mean_iou(df: DataFrame, keys: Sequence[str], truth: str, logits: str, classes: int) -> DataFrame:
+    """(keys, mean_iou): intersection over union of each class, averaged over those that occur; the prediction is the first
+    largest logit."""
+    guess = F.array_position(logits, F.array_max(logits)) - 1
+    rows = df.select(*keys, F.col(truth).alias("_t"), guess.alias("_g"))
+    both = [F.count_if((F.col("_t") == k) & (F.col("_g") == k)) for k in range(classes)]
+    either = [F.count_if((F.col("_t") == k) | (F.col("_g") == k)) for k in range(classes)]
+    found = rows.groupBy(*keys).agg(F.array(*(F.when(e > 0, b / e) for b, e in zip(both, either, strict=True))).alias("_i"))
+    seen = F.array_compact("_i")
+    return found.select(*keys, (F.aggregate(seen, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(seen), F.lit(0))).alias("mean_iou"))
+
+
+def photometric(predicted: Column, truth: Column) -> Column:
+    """How far two pictures' means and (population) deviations are apart, together."""
+    return F.abs(F.avg(predicted) - F.avg(truth)) + F.abs(F.stddev_pop(predicted) - F.stddev_pop(truth))
+
+
+def discovered(sources: Sequence[tuple[str, DataFrame]], key: str) -> DataFrame:
+    """Records of one kind from several sources, the most trusted first: ``key``, ``sources`` (names that have it) and each
+    other column's value from the first source in which it is not null."""
+    names = [n for n, _ in sources]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (df.withColumn("_source", F.lit(k)) for k, (_, df) in enumerate(sources)))
+    others = [c for c in rows.columns if c not in (key, "_source")]
+    firsts = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_source"))).alias(c) for c in others]
+    seen = F.transform(F.array_sort(F.collect_set("_source")), lambda k: F.get(F.array(*map(F.lit, names)), k))
+    return rows.groupBy(key).agg(seen.alias("sources"), *firsts)
+
+
+def summary_row(config: Column, fields: Sequence[tuple[str, Sequence[str]]]) -> list[Column]:
+    """Columns from a map of settings: of each field the first of its keys that is set; a missing one is null."""
+    return [F.coalesce(*(F.try_element_at(config, F.lit(k)) for k in keys)).alias(name) for name, keys in fields]
 
 
 def preferred(evaluations: DataFrame, keys: Sequence[str], phases: Sequence[str], order: str, other: int = 5) -> DataFrame:

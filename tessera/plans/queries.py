@@ -158,7 +158,7 @@ def answer_functions(spark: SparkSession, d: str) -> DataFrame:
         answers.final_answer(raw).alias("final"),
         answers.final_answer(F.col("text")).alias("plain"),
         F.md5(answers.normalize_answer(raw)).alias("normalized"),
-        answers.infer_family(F.col("text"), (("einen", "a"), ("the", "b"), ("que", "c"))).alias("family"),
+        answers.infer_family(F.col("text"), (("a", (("einen",),)), ("b", (("the",),)), ("c", (("que",),)))).alias("family"),
         answers.run_slug(F.col("text")).alias("slug"),
     )
 
@@ -171,7 +171,7 @@ def coerce_values(spark: SparkSession, d: str) -> DataFrame:
 
 def dft_magnitude(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    return e.select("vec_id", F.posexplode(signals.dft_magnitude(F.col("x"), 8)).alias("k", "m")).select("vec_id", F.col("k").cast("long").alias("k"), F.round("m", 5).alias("magnitude"))
+    return e.select("vec_id", F.posexplode(signals.dft_magnitude(F.col("x"), 64)).alias("k", "m")).select("vec_id", F.col("k").cast("long").alias("k"), F.round("m", 5).alias("magnitude"))
 
 
 def _series_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -188,7 +188,7 @@ def snr_gain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def xcorr_align(spark: SparkSession, d: str) -> DataFrame:
-    return signals.best_lag(_series_pairs(spark, d), 4).withColumn("lag", F.col("lag").cast("long"))
+    return _series_pairs(spark, d).select("series", signals.best_lag(F.col("a"), F.col("b"), 4).cast("long").alias("lag"))
 
 
 def resample_linear(spark: SparkSession, d: str) -> DataFrame:
@@ -295,14 +295,14 @@ ORACLES = {
     "coerce_values": """SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN try_cast(json_extract_string(props, '$.k') AS DOUBLE) END AS number,
         lower(json_extract_string(props, '$.k')) IN ('true', '1', 'yes') AS flag FROM events""",
     "dft_magnitude": """WITH r AS (SELECT vec_id, k, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) - 1 AS i, len(embedding) AS n
-            FROM embeddings, range(8) t(k))
+            FROM embeddings, range(64) t(k))
         SELECT vec_id, k, round(sqrt(pow(sum(v * cos(-2 * pi() * k * i / n)), 2) + pow(sum(v * sin(-2 * pi() * k * i / n)), 2)), 5) AS magnitude FROM r GROUP BY 1, 2""",
     "snr_gain": f"""WITH {_PAIRS}, r AS (SELECT series, unnest(a) AS a, unnest(b) AS b FROM s)
         SELECT series, round(10 * log10((sum(a * a) + 1e-12) / (sum((a - b) * (a - b)) + 1e-12)), 5) AS snr_db,
                round(regr_slope(a, b), 5) AS gain, round(regr_intercept(a, b), 5) AS shift FROM r GROUP BY 1""",
-    "xcorr_align": f"""WITH {_PAIRS}, r AS (SELECT series, lag, unnest(a) AS x, generate_subscripts(a, 1) AS i, b FROM s, range(-4, 5) t(lag)),
-        q AS (SELECT series, lag, round(sum(CASE WHEN i + lag BETWEEN 1 AND len(b) THEN x * b[i + lag] ELSE 0 END), 6) AS score FROM r GROUP BY 1, 2)
-        SELECT series, arg_max(lag, (score, -lag)) AS lag, max(score) AS score FROM q GROUP BY 1""",
+    "xcorr_align": f"""WITH {_PAIRS}, m AS (SELECT series, a, b, list_avg(a) AS ma, list_avg(b) AS mb, len(a) AS n FROM s),
+        q AS (SELECT series, lag, list_sum(list_transform(range(greatest(1, 1 - lag), least(n, n - lag) + 1), lambda j: (a[j] - ma) * (b[j + lag] - mb))) AS score FROM m, range(-4, 5) t(lag))
+        SELECT series, arg_max(lag, (score, -lag)) AS lag FROM q GROUP BY 1""",
     "resample_linear": """WITH r AS (SELECT vec_id, k, embedding::DOUBLE[] AS x, k * (len(embedding) - 1) / 15.0 AS p FROM embeddings, range(16) t(k))
         SELECT vec_id, k, round(x[floor(p)::INT + 1] + (x[least(floor(p)::INT + 2, len(x))] - x[floor(p)::INT + 1]) * (p - floor(p)), 5) AS v FROM r""",
     "gap_fill": f"""WITH {_HOURLY}, g AS (SELECT event_type, hour, CASE WHEN hour % 3 <> 0 THEN v END AS v FROM h),

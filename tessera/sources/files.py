@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators import tables
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, columns: Sequence[str] | None = None) -> DataFrame:
     """A CSV with header and declared types; of ``columns`` those that exist are kept, and only they are parsed."""
@@ -34,8 +37,51 @@ def listed_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def first_fraction(df: DataFrame, order: str, fraction: float) -> DataFrame:
-    """The first ``floor(rows * fraction)`` rows by an order column, cut by the exact rank."""
-    return df.orderBy(order).limit(int(df.count() * fraction))
+    """The first ``floor(rows * fraction)`` rows by a column of distinct values."""
+    return tables.first_rows(df, [order], int(df.count() * fraction))
+
+
+def first_existing(spark: SparkSession, paths: Sequence[str]) -> str | None:
+    """The first of a few candidate paths that exists in its file system, None if none does."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return next((p for p in paths if fs(p).getFileSystem(conf).exists(fs(p))), None)
+
+
+def numbered_folders(spark: SparkSession, path: str, glob: str = "*", most: int | None = None) -> DataFrame:
+    """(``id``, ``files``) of the sub-folders named by digits, in numeric order, the first ``most`` of them."""
+    files = listed_files(spark, path, glob).where(F.col("label").rlike("^[0-9]+$"))
+    found = files.groupBy(F.col("label").alias("id")).agg(F.count("*").alias("files")).orderBy(F.length(F.ltrim("id", F.lit("0"))), F.ltrim("id", F.lit("0")), "id")
+    return found if most is None else found.limit(most)
+
+
+def read_json_config(spark: SparkSession, path: str) -> dict:
+    """One JSON document as a dict; {} where there is no file. For configurations, which are small."""
+    if first_existing(spark, [path]) is None:
+        return {}
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def write_json_config(spark: SparkSession, path: str, config: dict) -> None:
+    """Writes one small JSON document as the one part of a folder of text."""
+    text = json.dumps(config, indent=2, ensure_ascii=False, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def artifacts(spark: SparkSession, path: str, wanted: dict[str, Sequence[str]]) -> DataFrame:
+    """(``artifact``, ``path``): of each wanted artifact the first of its candidate relative paths below ``path`` that exists."""
+    rows = [(name, k, rel) for name, rels in wanted.items() for k, rel in enumerate(rels)]
+    candidates = spark.createDataFrame(rows, "artifact string, place int, rel string")
+    files = listed_files(spark, path).select("path")
+    found = files.join(F.broadcast(candidates), F.endswith(F.col("path"), F.concat(F.lit(path.rstrip("/").removeprefix("file:") + "/"), F.col("rel"))))
+    return found.groupBy("artifact").agg(F.min_by("path", "place").alias("path"))
+
+
+def refuse_existing(spark: SparkSession, path: str) -> str:
+    """The path itself if nothing is there; an error if something is."""
+    if first_existing(spark, [path]) is not None:
+        raise FileExistsError(path)
+    return path
 
 
 def read_json_documents(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
