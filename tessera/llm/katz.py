@@ -127,22 +127,29 @@ class _PairTable:
 def good_turing(of: dict[int, int]) -> np.ndarray:
     """Discounts of counts 0 to RELIABLE from the numbers of types seen r times.
 
-    Katz' formula where the numbers allow it; where a number is missing or the formula leaves (0, 1], all
-    those counts are discounted by the share of singletons instead, which keeps every discount in (0, 1).
+    Katz' formula on the numbers as they are, where that gives discounts in (0, 1); else on numbers smoothed by a
+    log-linear fit (simple Good-Turing), whose slope is kept under -1, as it must be. A fit of fewer than two numbers
+    takes the slope -2.
     """
-    n = [0, *(of.get(r, 0) for r in range(1, RELIABLE + 2))]
-    out = np.ones(RELIABLE + 1)
-    if n[1]:
-        top = (RELIABLE + 1) * n[RELIABLE + 1] / n[1]
-        for r in range(1, RELIABLE + 1):
-            out[r] = ((r + 1) * n[r + 1] / (r * n[r]) - top) / (1 - top) if n[r] and top < 1 else -1
-    if not ((out[1:] > 0) & (out[1:] <= 1)).all() or (out[1:] == 1).all():
-        seen = max(1, sum(r * k for r, k in of.items() if r <= RELIABLE))
-        share = min(0.9, max(0.1, n[1] / seen))
-        out[1:] = [1 - share / (r + 1) for r in range(1, RELIABLE + 1)]
+    n = np.array([0, *(of.get(r, 0) for r in range(1, RELIABLE + 2))], float)
+    out = _katz(n)
+    if out is None:
+        r = np.flatnonzero(n)
+        slope = min(np.polyfit(np.log(r), np.log(n[r]), 1)[0], -1.05) if len(r) > 1 else -2.0
+        out = _katz(np.array([0.0, *(float(k) ** slope for k in range(1, RELIABLE + 2))]))
     return out
 
 
+def _katz(n: np.ndarray) -> np.ndarray | None:
+    """Katz' discounts, None where one of them is not in (0, 1)."""
+    if not n[1:].all():
+        return None
+    top = (RELIABLE + 1) * n[RELIABLE + 1] / n[1]
+    r = np.arange(1, RELIABLE + 1)
+    out = ((r + 1) * n[2:] / (r * n[1:-1]) - top) / (1 - top) if top < 1 else np.zeros(RELIABLE)
+    return np.concatenate([[1.0], out]) if ((out > 0) & (out < 1)).all() else None
+
+
 def _discounted(counts: np.ndarray, discounts: np.ndarray) -> np.ndarray:
     return counts * np.where(counts <= RELIABLE, discounts[np.minimum(counts, RELIABLE).astype(np.int64)], 1.0)
 
@@ -227,7 +234,8 @@ def _weights(n: np.ndarray, kept: np.ndarray, after: np.ndarray) -> tuple[np.nda
     seen = np.maximum(n, 1)
     left = 1 - after  # probability, without a history, of what was not seen after this one
     full = left <= 1e-9
-    reserve = np.where(full, 0.0, np.maximum(1 - kept / seen, 1 / (seen + 1)))
+    # a history whose counts are all reliable keeps nothing back: its denominator grows by one, as is usual
+    reserve = np.where(full, 0.0, np.where(kept < seen - 1e-9, 1 - kept / seen, 1 / (seen + 1)))
     gain = np.where(n > 0, (1 - reserve) / np.maximum(kept / seen, 1e-300), 0.0)
     return gain, np.where(n > 0, reserve / np.where(full, 1.0, left), 1.0)
 
