@@ -2,8 +2,8 @@
 
 Built from DataFrame functions only. A file's segments are its lines that speak of a licence, the blank-line
 separated paragraphs around such lines, and its whole text if it has such a line or is named as a licence
-file. A file whose whole text matches a template is a licence file, and so is one that is named as the text of a
-licence (LICENSE, COPYING) if any of its segments matches. Each segment is a
+file. A file whose whole text matches the body of a licence (a template of many terms) is a licence file, and so is one
+that is named as the text of a licence (LICENSE, COPYING) if any of its segments matches; a notice alone covers its own file only. Each segment is a
 sparse TF-IDF vector; its cosine to every template is a join on shared terms and a sum. Document frequencies
 of all terms are counted over all files. A file without a licence of its own
 takes that of the nearest ancestor directory in which a licence file stands, by a join on directory paths.
@@ -63,6 +63,8 @@ FILE_NAME = r"(?i)(^|/)(un)?licen[cs]e|(^|/)copying|(^|/)notice(\.[a-z]+)?$"
 DECLARING = r"(?i)(^|/)(?![^/]*\.(c|cc|cpp|h|hpp|cs|css|go|java|js|json|kt|php|pl|py|rb|rs|scala|sh|sql|swift|ts|xml|ya?ml)$)((un)?licen[cs]es?|copying)([-_.][^/]*)?$"
 #: Segments of at least this cosine to a template bear its licence.
 THRESHOLD = 0.7
+#: Distinct terms from which a template is the body of a licence.
+BODY_TERMS = 40
 #: Places in which the files of one directory meet its licence.
 SHARES = 32
 #: Terms in at least one of so many files have their weights broadcast: at most as many as these files have terms.
@@ -137,6 +139,7 @@ def license_scan(
     rows = files.select(F.col(id_col).alias("_id"), F.coalesce(path, F.lit("")).alias("path"), text.alias("text"))
     vectors = template_vectors(spark, templates)
     vocabulary = sorted({r["term"] for r in vectors.select("term").distinct().collect()})  # of the templates, not of the files
+    bodies = [r["template"] for r in vectors.groupBy("template").count().where(F.col("count") >= BODY_TERMS).collect()]
     total = files.count()
     counts = rows.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     counts = checkpointed(counts)
@@ -166,7 +169,7 @@ def license_scan(
         .agg(F.round(F.sum("p.x") / F.sqrt("square"), 4).alias("cosine"))
         .where(F.col("cosine") >= threshold)
         .groupBy("_id")
-        .agg(F.min(_rank()).alias("best"), F.min(F.when(F.col("whole"), _rank())).alias("whole_best"))
+        .agg(F.min(_rank()).alias("best"), F.min(F.when(F.col("whole") & F.col("template").isin(bodies), _rank())).alias("whole_best"))
         .select("_id", *_unranked("best"), F.col("whole_best").isNotNull().alias("licence_file"))
     )
     best = checkpointed(best)
