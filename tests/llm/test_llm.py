@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, exact_dedup, html_text, katz, licenses, near_dup, pieces, preferences, resampling, shared, toxicity
 
@@ -134,12 +135,13 @@ def test_katz_equals_a_dictionary_model_whatever_is_listed(spark, docs):
         if h not in pair:
             return alone.get(w, unseen)
         n, kept = sum(pair[h].values()), sum(map(of_pair, pair[h].values()))
-        reserve = max(1 - kept / n, 1 / (n + 1))
+        reserve = 1 - kept / n if kept < n - 1e-9 else 1 / (n + 1)
         if w in pair[h]:
             return (1 - reserve) * of_pair(pair[h][w]) / kept
         return reserve * alone.get(w, unseen) / (1 - sum(alone[x] for x in pair[h]))
 
-    assert sum(p("w1", w) for w in word) + p("w1", "never") == pytest.approx(1)
+    for h in [None, *list(pair)[:40]]:  # every history sums to 1 over the words and the one unseen type
+        assert sum(p(h, w) for w in word) + p(h, "never") == pytest.approx(1)
     want = sorted((i or -1, sum(np.log10(p(h, w)) for h, w in zip(t, t[1:], strict=False))) for i, t in rows)
     for shortlist in (0, 20, 200, 1 << 18):
         got = sorted((r.doc_id or -1, r.score) for r in katz.katz_scores(docs, shortlist=shortlist).collect())
@@ -149,6 +151,16 @@ def test_katz_equals_a_dictionary_model_whatever_is_listed(spark, docs):
 LONG_TEXT = "the cat and the dog are in the house with all of their friends and it is a good day for them. " * 4
 
 
+def test_good_turing_discounts():
+    n = {1: 1000, 2: 300, 3: 140, 4: 80, 5: 50, 6: 34}
+    top = 6 * n[6] / n[1]
+    want = [((r + 1) * n[r + 1] / (r * n[r]) - top) / (1 - top) for r in range(1, 6)]
+    assert katz.good_turing(n)[1:] == pytest.approx(want)
+    for odd in ({1: 5}, {}, {1: 3, 2: 9, 5: 1}, {7: 4}, {1: 10, 2: 10, 3: 10, 4: 10, 5: 10, 6: 10}):
+        got = katz.good_turing(odd)[1:]
+        assert ((got > 0) & (got < 1)).all() and (np.diff(got) > 0).all()
+
+
 def test_html_rules():
     page = f"""<html><head><title>t</title><style>p{{}}</style></head><body><nav><a href=1>Home</a></nav><div class="cookie-notice">We use cookies</div>
     <article><h1>Head &amp; line</h1><p>First <b>bold</b>
@@ -336,11 +348,48 @@ def test_licenses(spark, nothing):
     ]
     df = spark.createDataFrame([(k, *f, 0.5) for k, f in enumerate(files)], "id long, path string, text string, cosine double")
     got = {r.id: (r.license, r.origin) for r in licenses.license_scan(df, "id", df["path"]).collect()}
-    top = ("CC-BY-NC-4.0", "inherited")  # a licence file at the top covers what nothing nearer does
-    assert got == {0: ("MIT", "file"), 1: ("MIT", "inherited"), 2: ("Apache-2.0", "file"), 3: ("MIT", "inherited"), 4: top, 5: ("CC-BY-NC-4.0", "file")}
+    none = (None, "none")  # a notice in a file without a name covers nothing else
+    assert got == {0: ("MIT", "file"), 1: ("MIT", "inherited"), 2: ("Apache-2.0", "file"), 3: ("MIT", "inherited"), 4: none, 5: ("CC-BY-NC-4.0", "file")}
+    again = df.union(df).union(spark.createDataFrame([(None, "a/n.c", "Licensed under CC BY-NC 4.0.", 0.5), (50, "a/e.c", "", 0.5), (51, "a/long.c", "word " * 200_000 + "\nReleased under the MIT License.", 0.5)], df.schema))
+    rows = licenses.license_scan(again, "id", again["path"]).collect()
+    assert len(rows) == 15 and {(r.license, r.origin) for r in rows if r.id in (None, 50)} == {("MIT", "inherited")}
+    assert {(r.license, r.origin) for r in rows if r.id == 51} == {("MIT", "file")} and {r.license for r in rows if r.id == 2} == {"Apache-2.0"}
     assert licenses.license_scan(nothing, "doc_id", nothing["words"]).count() == 0
 
 
+def test_licenses_against_plain_cosines(spark):
+    """Every file's best licence and cosine from its segments, worked out in plain Python."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    reworded = ["This project is released under the MIT License", "these pages: Licensed under the Apache License Version 2.0, all of them", "a license of no kind", "copyright me"]
+    docs = docs.union(spark.createDataFrame([(10_000 + k, t) for k, t in enumerate(reworded)], docs.schema))
+    terms = lambda t: [x for x in re.split("[^a-z0-9]+", t) if x]
+    texts = {r.doc_id: re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "") for r in docs.collect()}
+    df: dict = {}
+    for t in texts.values():
+        for x in set(terms(t)):
+            df[x] = df.get(x, 0) + 1
+    weight = lambda t: {x: terms(t).count(x) * (np.log((1 + len(texts)) / (1 + df.get(x, 0))) + 1) for x in set(terms(t))}
+    size = lambda v: np.sqrt(sum(x * x for x in v.values()))
+    templates = [(name, weight(t.lower())) for name, t in licenses.TEMPLATES]
+    want = {}
+    for i, t in texts.items():
+        if not re.search(licenses.CUE, t):
+            continue
+        parts = {t, *(x for x in t.split("\n") if re.search(licenses.CUE, x)), *(x for x in re.split(r"\n[ \t]*\n", t) if re.search(licenses.CUE, x))}
+        found = []
+        for part in parts:
+            v = weight(part)
+            for name, w in templates:
+                cosine = round(sum(x * w.get(k, 0) for k, x in v.items()) / (size(v) * size(w)), 4)
+                if cosine >= licenses.THRESHOLD:
+                    found.append((-cosine, name))
+        if found:
+            want[i] = min(found)
+    got = {r.doc_id: (-r.cosine, r.license) for r in licenses.license_scan(docs, "doc_id", F.lit("x")).where("origin = 'file'").collect()}
+    assert set(got) == set(want) and 10_000 in want and 10_002 not in want
+    assert all(got[i][1] == want[i][1] and got[i][0] == pytest.approx(want[i][0], abs=2e-4) for i in want)
+
+
 def test_licenses_weigh_every_word_by_its_files(spark):
     texts = ["These tools were released under the MIT License."] + ["Released under the MIT License."] * 20 + ["these tools were made"] * 1979
     df = spark.createDataFrame([(k, f"d{k}/x", t) for k, t in enumerate(texts)], "id long, path string, text string")
