@@ -45,6 +45,12 @@ def pyramid_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return images.reconstructed(differences, smallest).withColumn("v", F.round("v", 5) + F.lit(0.0))
 
 
+def pyramid_details(spark: SparkSession, d: str) -> DataFrame:
+    """What the smaller level, brought back to size, leaves of each pixel."""
+    differences, _ = images.laplacian_levels(_grid(spark, d), 1)
+    return differences[0].withColumn("v", F.round(F.col("v") + 1e-8, 5) + F.lit(0.0))
+
+
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
     found = images.components(_mask(spark, d))
     return images.boxes(found, ["image", "component"]).withColumn("fill", F.round("fill", 6))
@@ -127,7 +133,7 @@ def mlp_predictions(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        stencil_3x3, grey_closing, ink_removal, pyramid_down, pyramid_round_trip, connected_components, corner_points, radial_profile, block_correction,
+        stencil_3x3, grey_closing, ink_removal, pyramid_down, pyramid_round_trip, pyramid_details, connected_components, corner_points, radial_profile, block_correction,
         hough_threshold, hough_dominant_family, hough_pairs, nearest_bin, feature_scaling, pca_variance, lr_grid, svm_predictions, mlp_predictions,
     )
 }
@@ -156,6 +162,10 @@ ORACLES = {
         SELECT image, y, x, round(1 - greatest(lo.v - g.v, 0), 6) AS v FROM g JOIN lo USING (image, y, x)""",
     "pyramid_down": f"WITH {_GRID}, {_DOWN}",
     "pyramid_round_trip": f"WITH {_GRID} SELECT image, y, x, round(v, 5) AS v FROM g",
+    "pyramid_details": f"""WITH {_GRID}, small AS ({'WITH ' + _DOWN.replace('round(sum(a.v * w) / sum(w), 5)', 'sum(a.v * w) / sum(w)')}),
+        k AS (SELECT unnest([-2, -1, 0, 1, 2]) AS d, unnest([1, 4, 6, 4, 1]) AS w),
+        r AS (SELECT image, y * 2 + d AS y, x, sum(v * w) / sum(w) AS v FROM small, k GROUP BY 1, 2, 3), u AS (SELECT image, y, x * 2 + d AS x, sum(v * w) / sum(w) AS v FROM r, k GROUP BY 1, 2, 3)
+        SELECT g.image, g.y, g.x, round(g.v - coalesce(u.v, 0) + 1e-8, 5) + 0.0::DOUBLE AS v FROM g LEFT JOIN u USING (image, y, x)""",
     "connected_components": f"""WITH RECURSIVE {_GRID}, m AS (SELECT image, y, x, y * 2147483648 + x AS id FROM g WHERE v % 5 < 3),
         r AS (SELECT image, y, x, id AS c FROM m UNION
               SELECT m.image, m.y, m.x, r.c FROM r JOIN m ON m.image = r.image AND abs(m.y - r.y) <= 1 AND abs(m.x - r.x) <= 1 AND m.id <> r.c),

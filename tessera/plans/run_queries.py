@@ -62,7 +62,7 @@ def run_values_at_step(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pivot_runs(spark: SparkSession, d: str) -> DataFrame:
-    return runs.side_by_side(_evaluations(spark, d), "item", ("r0", "r1", "r2"), ("phase", "correct"), "event_id")
+    return runs.side_by_side(_evaluations(spark, d), "item", [f"r{k}" for k in range(6)], ("phase", "correct"), "event_id")
 
 
 def metadata_explode(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +72,7 @@ def metadata_explode(spark: SparkSession, d: str) -> DataFrame:
 
 
 def missing_names(spark: SparkSession, d: str) -> DataFrame:
-    suppliers = table(spark, d, "supplier").select(F.col("s_nationkey").alias("key"))
+    suppliers = table(spark, d, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("key"))
     return runs.missing_names(suppliers, table(spark, d, "nation").select(F.col("n_nationkey").alias("key")), "key")
 
 
@@ -109,15 +109,15 @@ def custom_rank_sort(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pad_truncate(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", tables.sized(F.slice(F.col("embedding").cast("array<double>"), 1, F.expr("cast(pmod(vec_id, 9) AS INT)")), 6).alias("v"))
+    e = table(spark, d, "embeddings").select("vec_id", tables.sized(F.slice(F.col("embedding").cast("array<double>"), 1, F.expr("cast(pmod(vec_id, 65) AS INT)")), 48).alias("v"))
     rows = e.select(F.posexplode("v").alias("i", "value"), "vec_id")
     return rows.select(F.concat_ws("_", "vec_id", "i", F.lit("II")).alias("id"), "value")
 
 
 def argmax_onehot(spark: SparkSession, d: str) -> DataFrame:
-    v = F.slice(F.col("embedding").cast("array<double>"), 1, 3)
+    v = F.col("embedding").cast("array<double>")
     best = (F.array_position(v, F.array_max(v)) - 1).alias("code")
-    return table(spark, d, "embeddings").select("vec_id", best).select("vec_id", *tables.one_hot("code", [0, 1, 2]))
+    return table(spark, d, "embeddings").select("vec_id", best).select("vec_id", *tables.one_hot("code", list(range(64))))
 
 
 def weighted_centroid(spark: SparkSession, d: str) -> DataFrame:
@@ -153,10 +153,30 @@ def cipher_trace(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", answers.cipher_trace(prompt, F.lit("")).alias("trace"))
 
 
+def cipher_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Known pairs, unknown letters with and without an answer to fall back on, a clash, no pairs, another text."""
+    key, seg = F.col("c_custkey"), F.lower("c_mktsegment")
+    rule = "secret encryption rules\n"
+    prompts = [
+        F.concat(F.lit(rule + "- ab cd -> xy "), seg, F.lit("\ndecrypt the following text: cd ba.")), rule + "ab -> xy\ndecrypt the following text: ba zz",
+        rule + "ab -> xy\nac -> zy\ndecrypt the following text: ab", rule + "decrypt the following text: ab", "ab -> xy\ndecrypt the following text: ab", rule + "ab -> xy\nab -> xyz\nDecrypt the following text: ab",
+    ]
+    prompt = F.lit(None).cast("string")
+    for k, text in enumerate(prompts):
+        prompt = F.when(key % 7 == k, F.lit(text) if isinstance(text, str) else text).otherwise(prompt)
+    gold = F.when(key % 2 == 0, F.concat(F.lit("first "), seg))
+    return table(spark, d, "customer").select("c_custkey", answers.cipher_trace(prompt, gold).alias("trace"))
+
+
+def coerced_flags(spark: SparkSession, d: str) -> DataFrame:
+    text = F.get(F.array(*map(F.lit, (" true", "Yes", "1", "no", "0", "NaN", " 2.50 ", "1e3", "x1", ""))), F.pmod("event_id", F.lit(11)).cast("int"))
+    return table(spark, d, "events").select("event_id", answers.to_number(text).alias("number"), answers.to_boolean(text).alias("flag"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        inner_merge, group_size, distinct_values, dedupe_precedence, run_rates, run_points, run_latest, run_values_at_step, pivot_runs, metadata_explode,
+        cipher_cases, coerced_flags, inner_merge, group_size, distinct_values, dedupe_precedence, run_rates, run_points, run_latest, run_values_at_step, pivot_runs, metadata_explode,
         missing_names, masked_mae, dice_overlap, first_differences, percent_limit, custom_rank_sort, pad_truncate, argmax_onehot, weighted_centroid,
         sft_text, final_answers, coalesce_keys, cipher_trace,
     )
@@ -166,6 +186,10 @@ _EVALUATIONS = """e AS (SELECT event_id, 'r' || (user_id % 6) AS run, day(ts)::B
     CASE WHEN value > 100 THEN value END AS high, CASE WHEN value <= 100 THEN value END AS low FROM events)"""
 
 ORACLES = {
+    "cipher_cases": """SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'Trace: cd->' || lower(c_mktsegment) || '; ba->yx.'
+        WHEN 1 THEN 'Trace: ba->yx; zz->' || CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE '??' END || '.' WHEN 5 THEN 'Trace: ab->xyz.' END AS trace FROM customer""",
+    "coerced_flags": """SELECT event_id, [NULL, NULL, 1, NULL, 0, NULL, 2.5, 1000, NULL, NULL, NULL][event_id % 11 + 1]::DOUBLE AS number,
+        [true, true, true, false, false, false, false, false, false, false, NULL][event_id % 11 + 1] AS flag FROM events""",
     "inner_merge": """WITH l AS (SELECT doc_id AS key, nullif(quality, 0) AS grade, toxic, quality FROM labels)
         SELECT a.key, a.grade, a.toxic, b.quality AS again FROM l a JOIN l b ON a.key IS NOT DISTINCT FROM b.key AND a.grade IS NOT DISTINCT FROM b.grade""",
     "group_size": "SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2, 3",
@@ -180,11 +204,11 @@ ORACLES = {
     "run_values_at_step": f"""WITH {_EVALUATIONS} SELECT run, step, coalesce(arg_max(high, event_id) FILTER (WHERE high IS NOT NULL),
         arg_max(low, event_id) FILTER (WHERE low IS NOT NULL)) AS value FROM e GROUP BY 1, 2""",
     "pivot_runs": f"WITH {_EVALUATIONS} SELECT item, "
-    + ", ".join(f"arg_max({c}, event_id) FILTER (WHERE run = '{r}') AS \"{r} {c}\"" for r in ("r0", "r1", "r2") for c in ("phase", "correct"))
+    + ", ".join(f"arg_max({c}, event_id) FILTER (WHERE run = '{r}') AS \"{r} {c}\"" for r in (f"r{k}" for k in range(6)) for c in ("phase", "correct"))
     + " FROM e GROUP BY 1",
     "metadata_explode": """SELECT event_id, 'all' AS family, value FROM events UNION ALL
         SELECT event_id, unnest(json_keys(props)), json_extract(props, '$.k')::DOUBLE FROM events""",
-    "missing_names": "SELECT n_nationkey AS key FROM nation EXCEPT SELECT s_nationkey FROM supplier",
+    "missing_names": "SELECT n_nationkey AS key FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000",
     "masked_mae": """SELECT l_linestatus, round(avg(abs(l_discount - l_tax)) FILTER (WHERE l_returnflag = 'R'), 8) AS inside,
         round(avg(abs(l_discount - l_tax)) FILTER (WHERE l_returnflag <> 'R'), 8) AS outside, round(avg((l_returnflag = 'R')::INT), 8) AS share, NULL::DOUBLE AS nothing FROM lineitem GROUP BY 1""",
     "dice_overlap": """SELECT l_linenumber, round(2 * sum(p * y) / (sum(p + y) + 1e-6), 8) AS dice, round(sum(abs(p - y) * l_quantity) / (sum(l_quantity) + 1e-6), 8) AS weighted_l1
@@ -193,9 +217,8 @@ ORACLES = {
         SELECT run, quantile_cont(gap, 0.5)::DOUBLE AS median_gap FROM g GROUP BY 1""",
     "percent_limit": "SELECT o_orderkey FROM orders QUALIFY row_number() OVER (ORDER BY o_orderkey) <= floor(count(*) OVER () * 0.03::DOUBLE)",
     "custom_rank_sort": "SELECT o_orderkey, CASE o_orderpriority WHEN '5-LOW' THEN 0 WHEN '1-URGENT' THEN 1 ELSE 999 END::BIGINT AS rank FROM orders",
-    "pad_truncate": """SELECT concat(vec_id, '_', i, '_II') AS id, CASE WHEN i < vec_id % 9 THEN embedding[i + 1]::DOUBLE ELSE 0 END AS value FROM embeddings, range(6) t(i)""",
-    "argmax_onehot": """SELECT vec_id, (c = 0)::INT AS code_0, (c = 1)::INT AS code_1, (c = 2)::INT AS code_2 FROM (
-        SELECT vec_id, list_position(embedding[1:3], list_max(embedding[1:3])) - 1 AS c FROM embeddings)""",
+    "pad_truncate": """SELECT concat(vec_id, '_', i, '_II') AS id, CASE WHEN i < vec_id % 65 THEN embedding[i + 1]::DOUBLE ELSE 0 END AS value FROM embeddings, range(48) t(i)""",
+    "argmax_onehot": "SELECT vec_id, " + ", ".join(f"(c = {k})::INT AS code_{k}" for k in range(64)) + " FROM (SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS c FROM embeddings)",
     "weighted_centroid": """SELECT event_type, x, CASE WHEN sum(p * p) > 0.05::DOUBLE THEN round(sum(p * p * y) / (sum(p * p) + 1e-8), 6) END AS y FROM (
         SELECT event_type, event_id % 32 AS x, user_id % 50 AS y, value / 500 AS p FROM events) GROUP BY 1, 2""",
     "sft_text": """SELECT conv_id, turn, md5(concat('System:', chr(10), 'Answer in a box.', chr(10), chr(10), 'User:', chr(10), text, chr(10), chr(10), 'Assistant:', chr(10), '\\boxed{', conv_id, '}')) AS digest,

@@ -107,3 +107,42 @@ def test_models_separate_separable_classes(spark):
     for model in (learning.logistic(a), learning.linear_svm(train, 20), learning.perceptron(train, (5, 6, 3), 40)):
         assert learning.accuracy(learning.predicted(model, b if model.stages[0].__class__.__name__.startswith("Logistic") else test)) > 0.9
     assert learning.accuracy(test.withColumn("predicted", F.lit(0)).limit(0)) == 0.0
+
+
+def test_components_share_of_variance_equals_numpy(spark):
+    from tessera.plans import picture_queries
+
+    train, _ = picture_queries._features(spark, "/root/testdata/sf0.001")
+    x = np.array([list(r[0]) for r in train.select("features").collect()])
+    values = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    got = [r.share for r in picture_queries.pca_variance(spark, "/root/testdata/sf0.001").orderBy("k").collect()]
+    assert got == pytest.approx((values / values.sum())[:8].tolist(), rel=1e-5)
+
+
+def test_line_pairs_against_loops(spark):
+    from tessera.plans import picture_queries
+
+    votes = picture_queries._votes(spark, "/root/testdata/sf0.001").collect()
+    got = {r.image: (r.rho_a, r.rho_b, r.score) for r in picture_queries.hough_pairs(spark, "/root/testdata/sf0.001").collect()}
+    for image in {r.image for r in votes}:
+        best: dict = {}
+        for r in votes:
+            if r.image == image and (r.votes, -r.theta) > best.get(r.rho, (0, 0)):
+                best[r.rho] = (r.votes, -r.theta)
+        rhos = sorted(best)
+        height = [best[r][0] for r in rhos]
+        peaks = [r for k, r in enumerate(rhos) if (k == 0 or height[k] >= height[k - 1]) and (k == len(rhos) - 1 or height[k] >= height[k + 1])]
+        picks: list = []
+        for r in sorted(peaks, key=lambda r: (-best[r][0], r)):
+            if all(abs(r - q) >= 3 for q in picks):
+                picks.append(r)
+        picks = sorted(picks[:12])
+        top, wide = max(best[r][0] for r in picks), picks[-1] - picks[0]
+        found = []
+        for i, a in enumerate(picks):
+            for b in picks[i + 1 :]:
+                accum, sep = min(best[a][0], best[b][0]) / top, (b - a) / wide
+                outer = ((1 - (a - picks[0]) / wide) + (1 - (picks[-1] - b) / wide)) / 2
+                found.append((round(0.4 * accum + 0.3 * sep + 0.3 * outer, 9), outer, sep, accum, -a, -b))
+        score, *_, a, b = max(found)
+        assert got[image] == (-a, -b, pytest.approx(score, abs=1e-5))
