@@ -180,6 +180,20 @@ def window_candidates(votes: DataFrame, peaks: DataFrame, centre: float, rho_rea
     return near.join(known, ["image", "theta", "rho"], "left").withColumn("is_peak", F.coalesce("is_peak", F.lit(False)))
 
 
+def peaks(votes: DataFrame, reach_rho: int, reach_theta: int, ratio: float) -> DataFrame:
+    """Entries with at least ``ratio`` of their image's most votes that no entry around them exceeds, so many rho bins and
+    degrees away at most. Each strong entry asks its neighbours: cells of one reach on a side, nine to a question."""
+    strong = strong_entries(votes, ratio)
+    cell = lambda r, t: (F.floor(r / (reach_rho + 1)).alias("_r"), F.floor(t / (reach_theta + 1)).alias("_t"))
+    around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))).alias("_n")
+    asked = strong.select("*", *cell(F.col("rho"), F.col("theta"))).select("*", around)
+    asked = asked.withColumn("_r", F.col("_r") + F.col("_n.a")).withColumn("_t", F.col("_t") + F.col("_n.b")).drop("_n")
+    others = votes.select("image", *cell(F.col("rho"), F.col("theta")), F.col("rho").alias("_rho"), F.col("theta").alias("_theta"), F.col("votes").alias("_votes"))
+    near = (F.abs(F.col("rho") - F.col("_rho")) <= reach_rho) & (F.abs(F.col("theta") - F.col("_theta")) <= reach_theta)
+    best = asked.join(others, ["image", "_r", "_t"]).where(near).groupBy("image", "theta", "rho", "votes").agg(F.max("_votes").alias("_top"))
+    return best.where("_top <= votes").drop("_top")
+
+
 def boundary_grid(votes: DataFrame, ratio: float, tolerance: float) -> DataFrame:
     """(image, label, theta, rho, votes): the outer lines of the dominant family and of the family across it."""
     strong = strong_entries(votes, ratio)

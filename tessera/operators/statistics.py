@@ -53,6 +53,11 @@ def ordinal_codes(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct().withColumn("code", F.row_number().over(w) - 1)
 
 
+def category_codes(df: DataFrame, column: str) -> DataFrame:
+    """(value, code) of a column with few distinct values: their places in order, from 0."""
+    return df.where(F.col(column).isNotNull()).select(column).distinct().withColumn("code", F.row_number().over(Window.orderBy(column)) - 1)
+
+
 def histogram(df: DataFrame, bin_column: str, bins: int) -> DataFrame:
     """(bin, n, cdf) of integer bins 0 to bins - 1, empty ones included."""
     counted = df.groupBy(F.col(bin_column).cast("long").alias("bin")).agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans import more_queries, picture_queries, queries, run_queries
+from tessera.plans import more_queries, picture_queries, queries, run_queries, small_queries
 from tessera.session import table
 
 
@@ -32,13 +32,14 @@ def feature_join_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"feature_join_impute": feature_join_impute, **queries.QUERIES, **picture_queries.QUERIES, **run_queries.QUERIES, **more_queries.QUERIES}
+QUERIES = {"feature_join_impute": feature_join_impute, **queries.QUERIES, **picture_queries.QUERIES, **run_queries.QUERIES, **more_queries.QUERIES, **small_queries.QUERIES}
 
 ORACLES = {
     **queries.ORACLES,
     **picture_queries.ORACLES,
     **run_queries.ORACLES,
     **more_queries.ORACLES,
+    **small_queries.ORACLES,
     "feature_join_impute": """
         SELECT c_custkey, c_nationkey, c_acctbal,
                coalesce(o.n, 0)::BIGINT AS "ORD_n", coalesce(o.total, 0)::DOUBLE AS "ORD_total",

@@ -66,6 +66,19 @@ def test_snapshot_stream_is_an_upsert(spark, tmp_path):
     assert sorted((r.step, r.v) for r in spark.read.parquet(out).collect()) == [(1, 1.0), (2, 5.0), (3, 3.0)]
 
 
+def test_append_stream_writes_rows_once(spark, tmp_path):
+    from tessera.streaming.snapshots import append_sink
+
+    (tmp_path / "in").mkdir()
+    for rows in ([(1, "a"), (2, "b")], [(3, "c")]):
+        spark.createDataFrame(rows, "id int, v string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        query = append_sink(spark.readStream.schema("id int, v string").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state")
+        query.processAllAvailable()
+        query.stop()
+    got = files.read_csv(spark, f"{tmp_path}/out", "id int, v string")
+    assert sorted(map(tuple, got.collect())) == [(1, "a"), (2, "b"), (3, "c")]
+
+
 def test_rules_that_raise(spark):
     assert one(spark, values.alias(F.col("x"), {"s": "score"}), [(" S ",)]) == ["score"]
     for column, rows in ((values.alias(F.col("x"), {"s": "score"}), [("t",)]), (tables.strict_int("x"), [(None,)]), (tables.strict_int("x"), [("a",)])):
