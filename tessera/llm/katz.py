@@ -35,6 +35,8 @@ SHORTLIST = 1 << 18
 RELIABLE = 5
 #: Tokens packed together, and (about) tokens to one partition of the tables.
 SLICE_TOKENS, PART_TOKENS = 400_000, 1_000_000
+#: Folders of a stored table, however many partitions it has.
+FOLDERS = 256
 END = np.uint64(0x9D39247E33776D41)
 RARE, BEGIN, FIRST = 0, 1, 2  # class numbers: all that is not listed, the start of a text, then the shortlist
 _WIDTH = np.uint64(20)
@@ -265,15 +267,15 @@ _SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.string()), ("slice", pa.i
 
 
 def _store(df: DataFrame, name: str) -> str:
-    """Writes a table partitioned by ``part`` to the shared folder and returns its path."""
+    """Writes a table, its parts dealt over at most FOLDERS folders, to the shared folder and returns its path."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/katz-{uuid.uuid4().hex}/{name}"
-    df.write.partitionBy("part").parquet(path)
+    df.withColumn("folder", F.pmod("part", F.lit(FOLDERS))).write.partitionBy("folder").parquet(path)
     return path
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("kind string, keys binary, vals binary, part int").parquet(path)
+    return spark.read.schema("kind string, keys binary, vals binary, part int, folder int").parquet(path).drop("folder")
 
 
 def train(texts: DataFrame, text_col: str, shortlist: int = SHORTLIST) -> KatzModel:
