@@ -427,6 +427,40 @@ def test_resampling_keeps_the_largest_keys(spark, nothing):
     assert resampling.resample(docs, labels.limit(0)).where("kept").count() == docs.count()
 
 
+def test_resampling_weights_against_plain_counts(spark):
+    """Models and weights from single words' hashes, with null, empty, long, repeated texts and clashing columns."""
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    vocab = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choices(vocab, k=rng.randrange(1, 30))) for _ in range(60)] + [None, "", " \n", " ".join(rng.choices(vocab, k=40_000)), "W1 w2"]
+    rows = [(k, t, "x", 1.0) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[5], (None, "w3 w4", "x", 1.0)], "doc_id long, text string, kept string, log_weight double")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(3, 1), (7, None), (None, 1)], "doc_id long, quality int")
+    code = {w: next(h for _, _, h in shared.word_hashes(pa.array([w])))[0] for w in vocab}
+
+    def buckets(t):
+        own = words(t)
+        pairs = [shared.grams(np.array([code[a], code[b]], np.uint64), 2)[0] for a, b in zip(own, own[1:], strict=False)]
+        return [int(x % np.uint64(resampling.BUCKETS)) for x in [*(shared.grams(np.array([code[w]], np.uint64), 1)[0] for w in own), *pairs]]
+
+    import zlib
+
+    good = {k for k in range(40) if k % 2 and zlib.crc32(str(k).encode()) % 4 != 2}
+    raw, target = np.ones(resampling.BUCKETS), np.ones(resampling.BUCKETS)
+    every = [(r.doc_id, buckets(r.text)) for r in docs.collect()]
+    for i, found in every:
+        for b in found:
+            raw[b] += 1
+            target[b] += i in good
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    want = sorted((i is not None, i or 0, len(b), round(sum(ratio[x] for x in b), 6)) for i, b in every)
+    got = resampling.resample(docs, labels, fraction=0.5).collect()
+    found = sorted((r.doc_id is not None, r.doc_id or 0, r.n_features, round(r.log_weight, 6)) for r in got)
+    assert np.allclose(np.array(found, float), np.array(want, float), rtol=1e-6, atol=1e-5)
+    assert len({r.kept for r in got if r.doc_id == 5}) == 1 and 33 <= sum(r.kept for r in got) <= 35
+
+
 def test_preferences_prompt_and_masks(spark):
     turns = [
         (1, 0, "user", "hi"), (1, 1, "assistant", "yes, and more"), (2, 0, "user", "hi"), (2, 1, "assistant", "no"), (2, 1, "assistant", "no"),
