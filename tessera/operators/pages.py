@@ -93,3 +93,27 @@ def scores(contours: DataFrame, energy: DataFrame, mask: DataFrame, height: int,
     found = found.withColumn("penalty", values.outside_window(F.col("area"), weights.low, weights.high))
     gains = weights.edge * F.col("edge") + weights.movement * F.col("movement") + weights.fill * F.col("fill")
     return found.withColumn("score", gains - weights.border * F.col("border") - weights.area * F.col("penalty"))
+
+
+#: Leads by row and column of a recording, the strip below them, and its measures: heights in centimetres from the
+#: top, offsets of each row's zero line, widths in units.
+LEADS = (("I", "aVR", "V1", "V4"), ("II", "aVL", "V2", "V5"), ("III", "aVF", "V3", "V6"))
+STRIP = "II_rhythm"
+HEIGHT, TOP, ROW_HEIGHTS, STRIP_HEIGHT, OFFSETS = 21.5, 8.0, (3.0, 4.0, 3.5), 2.0, (1.0, 1.5, 1.0, 1.0)
+WIDTH, MARGIN, LEAD_WIDTH = 28.0, 1.5, 6.25
+
+
+def lead_regions(pictures: DataFrame) -> DataFrame:
+    """(image, lead, row, y0, y1, x0, x1, baseline) in pixels of pictures (image, height, width) by the physical layout. Every
+    measure is rounded (halves to even) before heights are added up."""
+    pixels = lambda cm: F.rint(F.lit(cm) * (F.col("height") / HEIGHT)).cast("long")
+    across = lambda units: F.rint(F.lit(units / WIDTH) * F.col("width")).cast("long")
+    top, cm, regions = pixels(TOP), TOP, []
+    for row, (size, offset) in enumerate(zip((*ROW_HEIGHTS, STRIP_HEIGHT), OFFSETS, strict=True)):
+        bottom, zero = top + pixels(size), pixels(cm + offset)
+        places = [(lead, across(MARGIN + c * LEAD_WIDTH), across(MARGIN + (c + 1) * LEAD_WIDTH)) for c, lead in enumerate(LEADS[row])] if row < len(LEADS) else [(STRIP, across(MARGIN), F.col("width") - across(MARGIN))]
+        for lead, left, right in places:
+            cells = (F.lit(lead).alias("lead"), F.lit(row + 1).alias("row"), top.alias("y0"), F.least(bottom, F.col("height")).alias("y1"), left.alias("x0"), F.least(right, F.col("width")).alias("x1"), zero.alias("baseline"))
+            regions.append(F.struct(*cells))
+        top, cm = bottom, cm + size
+    return pictures.select("image", F.inline(F.array(*regions)))

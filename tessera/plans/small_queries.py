@@ -126,6 +126,11 @@ def page_scores(spark: SparkSession, d: str) -> DataFrame:
     return found.select("image", *(F.round(c, 5).alias(c) for c in ("edge", "movement", "border", "fill", "area", "penalty", "score")))
 
 
+def lead_layout(spark: SparkSession, d: str) -> DataFrame:
+    sizes = table(spark, d, "part").select(F.col("p_partkey").alias("image"), (F.lit(1000) + F.col("p_partkey") * 7).cast("long").alias("height"), (F.lit(1500) + F.col("p_partkey") * 11).cast("long").alias("width"))
+    return pages.lead_regions(sizes)
+
+
 def group_maxima(spark: SparkSession, d: str) -> DataFrame:
     """Blank and flat pictures among the event types' grids."""
     g = _grid(spark, d).withColumn("v", F.when(F.col("image") == "click", 1.0).otherwise(F.col("v") / 500))
@@ -136,7 +141,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         inline_constants, dictionary_lookup, membership, skipped_failures, features_and_target, index_joined, best_setting, name_union, subset_test, mask_algebra, category_codes,
-        json_list_rows, padded_tokens, picked_components, energy_maps, bordered, vote_peaks, projection_profile, traced_line, page_scores, group_maxima,
+        json_list_rows, padded_tokens, picked_components, energy_maps, bordered, vote_peaks, projection_profile, traced_line, page_scores, lead_layout, group_maxima,
     )
 }
 
@@ -190,6 +195,13 @@ ORACLES = {
         s AS (SELECT *, CASE WHEN area < 0.3::DOUBLE THEN (0.3::DOUBLE - area) / 0.6::DOUBLE WHEN area > 0.9::DOUBLE THEN (area - 0.9::DOUBLE) / 0.6::DOUBLE ELSE 0 END AS penalty FROM k JOIN m USING (image))
         SELECT image, round(edge, 5) AS edge, round(movement, 5) AS movement, round(border, 5) AS border, round(fill, 5) AS fill, round(area, 5) AS area, round(penalty, 5) AS penalty,
                round(edge + movement + fill - border - penalty, 5) AS score FROM s""",
+    "lead_layout": """WITH s AS (SELECT p_partkey AS image, 1000 + p_partkey * 7 AS height, 1500 + p_partkey * 11 AS width FROM part),
+        r(row, size, sofar, zero) AS (VALUES (1, 3.0::DOUBLE, 0.0::DOUBLE, 9.0::DOUBLE), (2, 4.0, 3.0, 12.5), (3, 3.5, 7.0, 16.0), (4, 2.0, 10.5, 19.5)),
+        l(row, col, lead) AS (VALUES (1, 0, 'I'), (1, 1, 'aVR'), (1, 2, 'V1'), (1, 3, 'V4'), (2, 0, 'II'), (2, 1, 'aVL'), (2, 2, 'V2'), (2, 3, 'V5'), (3, 0, 'III'), (3, 1, 'aVF'), (3, 2, 'V3'), (3, 3, 'V6'), (4, 0, 'II_rhythm')),
+        h AS (SELECT s.*, r.row, r.zero, round_even(8 * (height / 21.5::DOUBLE), 0) + sum(round_even(size * (height / 21.5::DOUBLE), 0)) OVER w AS y1, round_even(size * (height / 21.5::DOUBLE), 0) AS own FROM s, r WINDOW w AS (PARTITION BY image ORDER BY row))
+        SELECT image, lead, row, (y1 - own)::BIGINT AS y0, least(y1, height)::BIGINT AS y1, round_even((1.5::DOUBLE + col * 6.25::DOUBLE) / 28 * width, 0)::BIGINT AS x0,
+               CASE WHEN row = 4 THEN width - round_even(1.5::DOUBLE / 28 * width, 0) ELSE least(width, round_even((1.5::DOUBLE + (col + 1) * 6.25::DOUBLE) / 28 * width, 0)) END::BIGINT AS x1, round_even(zero * (height / 21.5::DOUBLE), 0)::BIGINT AS baseline
+        FROM h JOIN l USING (row)""",
     "group_maxima": f"""WITH {_GRID}, q AS (SELECT image, CASE WHEN image = 'click' THEN 1 ELSE v / 500 END AS v FROM g)
         SELECT image, avg((v >= 0.99::DOUBLE)::INT) >= 0.995::DOUBLE OR stddev_pop(v) < 0.01::DOUBLE OR max(v) - min(v) < 0.02::DOUBLE AS flat FROM q GROUP BY 1""",
 }
