@@ -213,7 +213,7 @@ def low_pass(spark: SparkSession, d: str) -> DataFrame:
 
 def spectrogram(spark: SparkSession, d: str) -> DataFrame:
     x = _vectors(spark, d).select("vec_id", F.posexplode(spectra.spectrogram_db(F.col("x"), 16, 8)).alias("frame", "db"))
-    return x.select("vec_id", "frame", F.posexplode("db").alias("k", "db")).select("vec_id", F.col("frame").cast("long").alias("frame"), F.col("k").cast("long").alias("k"), F.round("db", 3).alias("db"))
+    return x.select("vec_id", "frame", F.posexplode("db").alias("k", "db")).select("vec_id", F.col("frame").cast("long").alias("frame"), F.col("k").cast("long").alias("k"), (F.round("db", 3) + 0.0).alias("db"))
 
 
 def wiener_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -431,7 +431,7 @@ ORACLES = {
     "spectrogram": f"""WITH {_X}, f AS (SELECT vec_id, frame, j, k, CASE WHEN frame * 8 + j - 8 BETWEEN 0 AND 63 THEN x[frame * 8 + j - 7] ELSE 0 END * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 16)) AS v FROM x, range(9) a(frame), range(16) b(j), range(9) c(k)),
         m AS (SELECT vec_id, frame, k, sqrt(pow(sum(v * cos(2 * pi() * k * j / 16)), 2) + pow(sum(v * sin(2 * pi() * k * j / 16)), 2)) AS m FROM f GROUP BY 1, 2, 3),
         l AS (SELECT vec_id, frame, k, 20 * log10(greatest(m, 1e-5)) - 20 * log10(greatest(max(m) OVER (PARTITION BY vec_id), 1e-5)) AS db FROM m)
-        SELECT vec_id, frame, k, round(greatest(db, -80), 3) AS db FROM l""",
+        SELECT vec_id, frame, k, round(greatest(db, -80), 3) + 0.0::DOUBLE AS db FROM l""",
     "lead_alignment": f"""WITH {_LEADS} SELECT id // 4 AS record, id % 4 AS lead, lag, n, round(dc, 5) + 0.0::DOUBLE AS dc, round(sqrt(err_power / n), 5) AS rmse, round(sig_power, 5) AS sig_power, round(err_power, 5) AS err_power FROM g""",
     "record_noise": f"WITH {_LEADS} SELECT id // 4 AS record, round(10 * log10((sum(sig_power) + 1e-12) / (sum(err_power) + 1e-12)), 4) AS snr_db FROM g GROUP BY 1",
     "decoded_leads": f"""WITH {_X}, m AS (SELECT vec_id, list_transform(x, lambda y: (0.5::DOUBLE - y) / 4 * 0.1::DOUBLE) AS v FROM x),
