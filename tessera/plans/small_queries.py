@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import images, lines, pages, runs, statistics, tables
+from tessera.operators import images, lines, pages, statistics, tables
 from tessera.plans.more_queries import _GROUPED, _votes
 from tessera.plans.picture_queries import _GRID, _grid, _mask
 from tessera.session import table
@@ -131,6 +131,17 @@ def lead_layout(spark: SparkSession, d: str) -> DataFrame:
     return pages.lead_regions(sizes)
 
 
+def renewed_items(spark: SparkSession, d: str) -> DataFrame:
+    """Expected documents without a usable mark: what has to be made again."""
+    usable = table(spark, d, "labels").where("quality IS NOT NULL AND toxic = 0").select("doc_id")
+    return tables.renewed(table(spark, d, "documents").select("doc_id"), usable, "doc_id")
+
+
+def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
+    keyed = table(spark, d, "orders").select("o_orderkey", tables.hash_order("o_orderkey", 42).alias("place"))
+    return tables.first_rows(keyed, ["place", "o_orderkey"], 300).select("o_orderkey")
+
+
 def group_maxima(spark: SparkSession, d: str) -> DataFrame:
     """Blank and flat pictures among the event types' grids."""
     g = _grid(spark, d).withColumn("v", F.when(F.col("image") == "click", 1.0).otherwise(F.col("v") / 500))
@@ -141,7 +152,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         inline_constants, dictionary_lookup, membership, skipped_failures, features_and_target, index_joined, best_setting, name_union, subset_test, mask_algebra, category_codes,
-        json_list_rows, padded_tokens, picked_components, energy_maps, bordered, vote_peaks, projection_profile, traced_line, page_scores, lead_layout, group_maxima,
+        json_list_rows, padded_tokens, picked_components, energy_maps, bordered, vote_peaks, projection_profile, traced_line, page_scores, lead_layout, renewed_items, seeded_sample, group_maxima,
     )
 }
 
@@ -202,6 +213,8 @@ ORACLES = {
         SELECT image, lead, row, (y1 - own)::BIGINT AS y0, least(y1, height)::BIGINT AS y1, round_even((1.5::DOUBLE + col * 6.25::DOUBLE) / 28 * width, 0)::BIGINT AS x0,
                CASE WHEN row = 4 THEN width - round_even(1.5::DOUBLE / 28 * width, 0) ELSE least(width, round_even((1.5::DOUBLE + (col + 1) * 6.25::DOUBLE) / 28 * width, 0)) END::BIGINT AS x1, round_even(zero * (height / 21.5::DOUBLE), 0)::BIGINT AS baseline
         FROM h JOIN l USING (row)""",
+    "renewed_items": "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels WHERE quality IS NOT NULL AND toxic = 0",
+    "seeded_sample": "SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey || '|42'), o_orderkey LIMIT 300",
     "group_maxima": f"""WITH {_GRID}, q AS (SELECT image, CASE WHEN image = 'click' THEN 1 ELSE v / 500 END AS v FROM g)
         SELECT image, avg((v >= 0.99::DOUBLE)::INT) >= 0.995::DOUBLE OR stddev_pop(v) < 0.01::DOUBLE OR max(v) - min(v) < 0.02::DOUBLE AS flat FROM q GROUP BY 1""",
 }
