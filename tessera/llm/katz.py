@@ -259,8 +259,21 @@ def _dealt(part: np.ndarray, keys: np.ndarray, *then: np.ndarray) -> Iterator[tu
 _PACKED = "part int, kind string, slice long, keys binary, vals binary"
 
 
+def _squeezed(raw: bytes) -> bytes:
+    """Its length and the bytes under zstd, which makes use of half-filled bytes, as the shuffle's codec doesn't."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else raw
+
+
+def _plain(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True) if raw else raw
+
+
 def _rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema)
+    return pa.RecordBatch.from_pylist([r | {c: _squeezed(r[c]) for c in ("keys", "vals")} for r in rows], schema)
+
+
+def _opened(row: dict) -> dict:
+    return row | {c: _plain(row[c]) for c in ("keys", "vals")}
 
 
 _SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.string()), ("slice", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())])
@@ -329,7 +342,7 @@ def train(texts: DataFrame, text_col: str, shortlist: int = SHORTLIST) -> KatzMo
             yield _rows(rows, _SCHEMA)
 
     def merge_pairs(group: pa.Table) -> pa.Table:
-        rows, part = group.select(["kind", "keys", "vals"]).to_pylist(), group.column("part")[0].as_py()
+        rows, part = list(map(_opened, group.select(["kind", "keys", "vals"]).to_pylist())), group.column("part")[0].as_py()
         out = []
         for kind in ("pairs", "second", "first"):
             own = [r for r in rows if r["kind"] == kind]
@@ -349,6 +362,7 @@ def train(texts: DataFrame, text_col: str, shortlist: int = SHORTLIST) -> KatzMo
         for batch in batches:
             n = np.zeros(RELIABLE + 2, np.int64)
             for kind, keys, vals in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, vals = _plain(keys), _plain(vals)
                 if kind == "pairs":
                     found = _unplanes(vals, np.uint32)
                 else:
@@ -365,6 +379,7 @@ def train(texts: DataFrame, text_col: str, shortlist: int = SHORTLIST) -> KatzMo
     def histories(batches):
         for batch in batches:
             for kind, raw, vals in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw, vals = _plain(raw), _plain(vals)
                 if kind == "pairs":
                     keys, n = _keys(raw), _unplanes(vals, np.uint32).astype(np.int64)
                     before, after = keys >> _WIDTH, probabilities.value[(keys & (LISTED - np.uint64(1))).astype(np.int64)]
@@ -442,51 +457,57 @@ def score(texts: DataFrame, model: KatzModel, id_col: str, text_col: str) -> Dat
         m = sent.value
         log_floor = math.log10(m.total + m.types + 1)
         rows = group.to_pylist()
-        stored = {r["kind"]: r for r in rows if r["kind"] in ("pairs", "second", "first", "histories")}
+        stored = {r["kind"]: _opened(r) for r in rows if r["kind"] in ("pairs", "second", "first", "histories")}
         none = {"keys": b"", "vals": b""}
         raw = stored.get("pairs", none)
         pairs, counts = _keys(raw["keys"]), _unplanes(raw["vals"], np.uint32).astype(np.int64)
         tables = {kind: _PairTable(*_pairs_of(*(stored.get(kind, none)[c] for c in ("keys", "vals")))) for kind in ("second", "first")}
         raw = stored.get("histories", none)
         first, (share, weight) = _keys(raw["keys"]), np.frombuffer(raw["vals"]).reshape(2, -1)
-        out = []
         with np.errstate(divide="ignore"):
             log_back, log_alone = np.log10(m.back), np.log10(m.alone)
-        for r in rows:
-            if r["kind"] == "documents":
-                out.append({"slice": r["slice"], "ids": r["keys"], "sums": r["vals"]})
-                continue
-            if not r["kind"].endswith("tokens"):
-                continue
+
+        def terms(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """(document, known, base, score) of each token of a row."""
+            r = _opened(r)
             if r["kind"] == "tokens":
                 keys, doc = _keys(r["keys"]), _unplanes(r["vals"], np.uint32)
                 at, has = _found(pairs, keys)
                 n = np.where(has, counts[at], 0) if len(pairs) else np.zeros(len(keys), np.int64)
                 h, w = (keys >> _WIDTH).astype(np.int64), (keys & (LISTED - np.uint64(1))).astype(np.int64)
                 factor, missed = m.gain[h] / np.maximum(m.history[h], 1), log_back[h] + log_alone[w]
+                hits = np.log10(np.where(n > 0, factor * _discounted(n, m.pair_discounts), 1.0))
+                return doc, np.zeros(len(doc)), np.zeros(len(doc)), np.where(n > 0, hits, missed)
+            key, other, doc = _pairs_of(r["keys"], r["vals"])
+            n, own = tables[r["kind"].split()[0]].count(key, other)
+            listed = other < LISTED
+            number = np.where(listed, other, 0).astype(np.int64)
+            if r["kind"] == "second tokens":  # of an unlisted history, "first tokens" has the rest
+                p = np.where(own > 0, m.shrink * _discounted(own, m.word_discounts) / max(m.total, 1), m.unseen)
+                factor = m.gain[number] / np.maximum(m.history[number], 1)
+                missed = np.where(listed, log_back[number], 0.0) + np.log10(p)
+                known, base = (own > 0).astype(float), np.log10(own + 1) - log_floor
             else:
-                key, other, doc = _pairs_of(r["keys"], r["vals"])
-                n, own = tables[r["kind"].split()[0]].count(key, other)
-                listed = other < LISTED
-                number = np.where(listed, other, 0).astype(np.int64)
-                if r["kind"] == "second tokens":  # of an unlisted history, "first tokens" has the rest
-                    p = np.where(own > 0, m.shrink * _discounted(own, m.word_discounts) / max(m.total, 1), m.unseen)
-                    factor = m.gain[number] / np.maximum(m.history[number], 1)
-                    missed = np.where(listed, log_back[number], 0.0) + np.log10(p)
-                else:
-                    at, has = _found(first, key)
-                    factor, back = (np.where(has, x[at], 1.0) if len(first) else np.ones(len(key)) for x in (share, weight))
-                    listed_word, listed = listed, np.ones(len(key), bool)
-                    with np.errstate(divide="ignore"):
-                        missed = np.log10(back) + np.where(listed_word, log_alone[number], 0.0)
-            sums = np.zeros((4, int(doc.max()) + 1))
-            seen = factor * _discounted(n, m.pair_discounts)
-            hits = np.log10(np.where(n > 0, seen, 1.0)) if r["kind"] == "tokens" else np.log10(np.where((n > 0) & listed, seen, 1.0))
-            sums[3] = np.bincount(doc, np.where(n > 0, hits, missed), sums.shape[1])
-            if r["kind"] == "second tokens":
-                sums[1] = np.bincount(doc, own > 0, sums.shape[1])
-                sums[2] = np.bincount(doc, np.log10(own + 1) - log_floor, sums.shape[1])
-            out.append({"slice": r["slice"], "ids": None, "sums": sums[1:].tobytes()})
+                at, has = _found(first, key)
+                factor, back = (np.where(has, x[at], 1.0) if len(first) else np.ones(len(key)) for x in (share, weight))
+                with np.errstate(divide="ignore"):
+                    missed = np.log10(back) + np.where(listed, log_alone[number], 0.0)
+                known = base = np.zeros(len(doc))
+                listed = np.ones(len(key), bool)
+            hits = np.log10(np.where((n > 0) & listed, factor * _discounted(n, m.pair_discounts), 1.0))
+            return doc, known, base, np.where(n > 0, hits, missed)
+
+        out, slices = [], {}
+        for r in rows:
+            if r["kind"] == "documents":
+                out.append({"slice": r["slice"], "ids": r["keys"], "sums": r["vals"]})
+            elif r["kind"].endswith("tokens"):
+                slices.setdefault(r["slice"], []).append(r)
+        for number, own in slices.items():  # one row a slice, of the documents that have tokens here
+            doc, *columns = map(np.concatenate, zip(*map(terms, own), strict=True))
+            docs, place = np.unique(doc, return_inverse=True)
+            known, base, total = (np.bincount(place, x, len(docs)) for x in columns)
+            out.append({"slice": number, "ids": None, "sums": _squeezed(_planes(docs.astype(np.uint32)) + _planes(known.astype(np.uint32)) + base.tobytes() + total.tobytes())})
         return pa.Table.from_pylist(out, pa.schema([("slice", pa.int64()), ("ids", pa.binary()), ("sums", pa.binary())]))
 
     result = T.StructType(
@@ -494,14 +515,15 @@ def score(texts: DataFrame, model: KatzModel, id_col: str, text_col: str) -> Dat
     )
 
     def total(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
+        rows = [r | {"sums": _plain(r["sums"])} for r in group.to_pylist()]
         head = next(r for r in rows if r["ids"] is not None)
-        ids = pa.ipc.open_stream(head["ids"]).read_all().column(0)
+        ids = pa.ipc.open_stream(_plain(head["ids"])).read_all().column(0)
         tokens, known, base = np.frombuffer(head["sums"]).reshape(3, -1)
         sums = np.stack([known, base, np.zeros(len(known))])
         for r in sorted((r for r in rows if r["ids"] is None), key=lambda r: r["sums"]):  # one order, whoever came first
-            part = np.frombuffer(r["sums"]).reshape(3, -1)
-            sums[:, : part.shape[1]] += part
+            n = len(r["sums"]) // 24
+            docs, known = (_unplanes(r["sums"][k * n : (k + 4) * n], np.uint32) for k in (0, 4))
+            sums[:, docs] += np.stack([known, *np.frombuffer(r["sums"][8 * n :]).reshape(2, -1)])
         return pa.table(
             {id_col: ids, "n_tokens": tokens.astype(np.int64), "n_known": np.rint(sums[0]).astype(np.int64), "base_score": sums[1], "score": sums[2]}
         )
