@@ -219,7 +219,7 @@ def spectrogram(spark: SparkSession, d: str) -> DataFrame:
 def wiener_pages(spark: SparkSession, d: str) -> DataFrame:
     e = _vectors(spark, d).select("vec_id", F.transform("x", lambda v: values.clipped(v / 4 + 0.5, 0.0, 1.0)).alias("clean"))
     e = e.withColumn("inked", F.transform("clean", lambda v: v * 0.5))
-    x = e.select("vec_id", F.posexplode(spectra.wiener_restored(F.col("clean"), F.col("inked"), F.col("inked"), F.lit(8), 1e-9)).alias("i", "v"))
+    x = e.select("vec_id", F.posexplode(spectra.wiener_restored(F.col("clean"), F.col("inked"), F.col("inked"), F.lit(8), 1e-15)).alias("i", "v"))
     return x.select("vec_id", F.col("i").cast("long").alias("i"), F.round("v", 4).alias("v"))
 
 
