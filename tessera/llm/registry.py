@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import collocations, decontamination, exact_dedup, html_text, katz, licenses, near_dup, pieces, preferences, resampling, toxicity
+from tessera.llm import collocations, decontamination, exact_dedup, html_text, katz, licenses, near_dup, packing, pieces, preferences, resampling, toxicity, whitening
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_resampling": resampling.op9_resampling,
     "op10_preferences": preferences.op10_preferences,
+    "op11_whitening": whitening.op11_whitening,
     "op12_collocations": collocations.op12_collocations,
+    "op13_packing": packing.op13_packing,
 }
 ORACLES = {"op6_exact_dedup": exact_dedup.OP6_SQL, "op10_preferences": preferences.OP10_SQL, "op12_collocations": collocations.OP12_SQL}
