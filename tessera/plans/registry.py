@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans import more_queries, picture_queries, queries, run_queries, small_queries
+from tessera.plans import more_queries, picture_queries, queries, run_queries, shape_queries, small_queries
 from tessera.session import table
 
 
@@ -32,12 +32,13 @@ def feature_join_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"feature_join_impute": feature_join_impute, **queries.QUERIES, **picture_queries.QUERIES, **run_queries.QUERIES, **more_queries.QUERIES, **small_queries.QUERIES}
+QUERIES = {"feature_join_impute": feature_join_impute, **queries.QUERIES, **picture_queries.QUERIES, **run_queries.QUERIES, **more_queries.QUERIES, **small_queries.QUERIES, **shape_queries.QUERIES}
 
 ORACLES = {
     **queries.ORACLES,
     **picture_queries.ORACLES,
     **run_queries.ORACLES,
+    **shape_queries.ORACLES,
     **more_queries.ORACLES,
     **small_queries.ORACLES,
     "feature_join_impute": """
