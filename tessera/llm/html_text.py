@@ -1,17 +1,21 @@
 """Operator 4: main text of web pages by two-pass block rules.
 
 A page becomes a list of blocks with their length, link density and stop-word density. Only elements that can't be
-text of an article are left out before the rules (``nav``, ``footer``, ``aside``, ``form``, ``script`` and the like, hidden
-ones, and a ``header`` outside the article); where one stood, the list has a bad block without text.
+text of an article are left out before the rules (``nav``, ``footer``, ``aside``, ``button``, ``script`` and the like, hidden
+ones, and a ``header`` outside the article). They leave no trace: blocks before and behind them are neighbours, and a button
+within a paragraph doesn't cut it. A ``form`` goes likewise, unless it holds most of the page's good text: then it is wrapped
+around the page and is no form.
 
-The first pass decides the clear blocks: link-dense ones are bad, long ones rich in stop words good. A page without a
+The first pass decides the clear blocks: long ones rich in stop words are good, link-dense ones bad. Within the article a
+link-dense paragraph decides nothing and inherits like a short one; elsewhere it is good only between two good siblings. A page without a
 good block takes the blocks of its richest container as good. In the second pass every other block (short, or poor in stop
 words) inherits the label of its nearest decided neighbours: those in the smallest element around it that holds a
 decided block; headings look ahead. Of a good and a bad one the nearer counts; of two as near, the good one if
 it is a sibling.
 
 Names in ``class`` and ``id`` are no rule of their own: readers' comments and adverts can be prose like the article's, so
-a block in an element that is named as such can't be good by the rules alone. A name counts if all its words say so.
+blocks in an element that is named as such are left out like a form's. A name counts if all its words say so; that of a
+paragraph or item within the article doesn't count against prose.
 
 Pages are independent: each is read whole in the task that holds it, in time linear in its length, and nothing shuffles.
 """
@@ -47,7 +51,7 @@ LONG = 200
 STOPS, LINKS = 0.2, 0.5
 
 _ASIDE_TAGS = frozenset(
-    "head title script style noscript template nav footer aside form button select textarea iframe object svg menu dialog audio video canvas".split()
+    "head title script style noscript template nav footer aside button select textarea iframe object svg menu dialog audio video canvas".split()
 )
 _ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of a class or id that name something beside the article, and words that may stand with them.
@@ -67,6 +71,7 @@ _BLOCK_TAGS = frozenset(
     h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption
     legend option title""".split()
 )
+_LEAF_TAGS = frozenset("p li dd blockquote pre h1 h2 h3 h4 h5 h6".split())
 _VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Contents of these are text up to their own end tag, whatever it looks like.
@@ -86,7 +91,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 class Block:
     """A block's text (white space joined), its link characters, its container and, in time, its label."""
 
-    text: str  # empty where something was left out
+    text: str
     link_chars: int
     heading: bool
     container: int
@@ -95,14 +100,16 @@ class Block:
 
 @dataclass
 class Page:
-    """Blocks in order, and of each container its parent (-1: none), first block, end, and whether it is named as the
-    article or as something beside it."""
+    """Blocks in order, and of each container its parent (-1: none), first block, end, whether it is named as the
+    article or as something beside it or is a form, and whether it is a paragraph or item within the article."""
 
     blocks: list[Block]
     parent: list[int]
     first: list[int]
     end: list[int]
-    named: list[str]  # "main", "aside" or ""
+    named: list[str]  # "main", "aside", "form" or ""
+    leaf: list[bool]
+    item: list[bool]  # of a list or table
 
 
 def _aside_name(value: str) -> bool:
@@ -136,7 +143,7 @@ def _attributes(attributes: str) -> tuple[bool, str]:
 def parse(page: str) -> Page:
     """The page's blocks and containers."""
     blocks: list[Block] = []
-    parent, first, ends, names = [-1], [0], [0], [""]
+    parent, first, ends, names, leaves, items = [-1], [0], [0], [""], [False], [False]
     stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, container, left out, in an article
     depth: dict[str, int] = {}  # open elements by tag
     pieces: list[tuple[str, bool]] = []
@@ -185,8 +192,6 @@ def parse(page: str) -> Page:
                         break  # an inline end tag closes no block
                     pop()
                 else:
-                    if stack[-1][2] and not block:
-                        flush()
                     pop()
             continue
         if tag == "a":
@@ -200,17 +205,17 @@ def parse(page: str) -> Page:
         if tag in _MAIN_TAGS:
             named = "main"
         out |= tag in _ASIDE_TAGS or tag == "header" and not in_article
+        if tag == "form" and named != "aside":
+            named = "form"
         if tag in ("html", "body"):
             out, named = False, ""
         if block or out:
-            if out and not out_before:
-                if not block:
-                    flush()
-                blocks.append(Block("", 0, False, own, "bad"))
             parent.append(own)
             first.append(len(blocks))
             ends.append(len(blocks))
             names.append(named)
+            leaves.append(in_article and tag in _LEAF_TAGS)
+            items.append(tag in ("li", "dd", "td", "th"))
             stack.append((tag, len(parent) - 1, out_before or out, in_article or named == "main"))
             depth[tag] = depth.get(tag, 0) + 1
             heading = tag in _HEADINGS
@@ -221,14 +226,12 @@ def parse(page: str) -> Page:
     while len(stack) > 1:
         pop()
     ends[0] = len(blocks)
-    return Page(blocks, parent, first, ends, names)
+    return Page(blocks, parent, first, ends, names, leaves, items)
 
 
 def _first_pass(block: Block, stop_words: frozenset[str]) -> str:
-    if not block.text:
-        return "bad"
     if block.link_chars > LINKS * len(block.text.replace(" ", "")):
-        return "bad"
+        return "linked"
     if len(block.text) < LONG or block.heading:
         return "short"
     words = _WORD.findall(block.text.lower())
@@ -248,15 +251,41 @@ def _inherited(page: Page, k: int, left: int, right: int, around: int) -> str:
     return "good" if any(page.blocks[x].label == "good" and page.parent[page.blocks[x].container] == above for x in near) else "bad"
 
 
+def _names(page: Page) -> list[str]:
+    """The name of each container: its own or that of its nearest named one around it (parents come first). A form that
+    holds most of the good text, or of all text on a page without any, has no name of its own."""
+    weigh = "good" if any(b.label == "good" and page.named[b.container] != "aside" for b in page.blocks) else ""
+    sums = [0]
+    for b in page.blocks:
+        sums.append(sums[-1] + (len(b.text) if b.label == weigh or not weigh and b.label != "linked" else 0))
+    named = list(page.named)
+    for c in range(len(named)):
+        around = named[page.parent[c]] if c else ""
+        if named[c] == "form" and (around == "aside" or 2 * (sums[page.end[c]] - sums[page.first[c]]) > sums[-1]):
+            named[c] = ""
+        named[c] = named[c] or around
+    return named
+
+
 def classify(page: Page, stop_words: frozenset[str] = STOP_WORDS) -> list[Block]:
     """The blocks of the main text. Both passes; labels are left in the blocks."""
-    blocks, parent, named = page.blocks, page.parent, list(page.named)
-    for c in range(1, len(parent)):  # a container is named as its nearest named one around it; parents come first
-        named[c] = named[c] or named[parent[c]]
+    blocks, parent = page.blocks, page.parent
     for b in blocks:
         b.label = _first_pass(b, stop_words)
-        if b.label == "good" and named[b.container] == "aside":
-            b.label = "bad"
+    named = _names(page)
+    for b in blocks:
+        name = named[b.container]
+        if name == "form" or name == "aside" and not (b.label == "good" and page.leaf[b.container] and named[parent[b.container]] != "aside"):
+            b.label = "out"
+        elif b.label == "linked" and name == "main" and not page.item[b.container]:
+            b.label = "short"
+    kept = [k for k, b in enumerate(blocks) if b.label != "out"]
+    place = lambda k: parent[blocks[k].container]
+    good = [b.label == "good" for b in blocks]
+    for i, k in enumerate(kept):
+        if blocks[k].label == "linked":
+            sides = kept[i - 1 : i] + kept[i + 1 : i + 2] if i else []
+            blocks[k].label = "good" if len(sides) == 2 and all(good[x] and place(x) == place(k) for x in sides) else "bad"
     if not any(b.label == "good" for b in blocks):
         richest = _richest(page, named)
         for b in blocks:
@@ -274,12 +303,11 @@ def classify(page: Page, stop_words: frozenset[str] = STOP_WORDS) -> list[Block]
     for k, b in enumerate(blocks):
         while at < len(decided) and decided[at] < k:
             at += 1
-        if b.label in ("good", "bad"):
+        if b.label in ("good", "bad", "out"):
             labels.append(b.label)
             continue
         left, right = decided[at - 1] if at else -1, decided[at] if at < len(decided) else len(blocks)
-        label = _inherited(page, k, left, right, around[b.container])
-        labels.append("bad" if named[b.container] == "aside" else label)
+        labels.append(_inherited(page, k, left, right, around[b.container]))
     for b, label in zip(blocks, labels, strict=True):
         b.label = label
     return [b for b in blocks if b.label == "good" and b.text]
@@ -294,11 +322,11 @@ def _richest(page: Page, named: list[str]) -> set[int]:
             size[b.container] += len(b.text) - b.link_chars
             if parent[b.container] >= 0:
                 size[parent[b.container]] += len(b.text) - b.link_chars
-    rank = {"main": 2, "": 1, "aside": 0}
+    rank = {"main": 2, "": 1, "aside": 0, "form": 0}
     best = max(range(len(size)), key=lambda c: (size[c] > 0, rank[named[c]], size[c], -c))
     inside = {best} if size[best] else set()
     for c in range(best + 1, len(parent)):
-        if parent[c] in inside and named[c] != "aside":
+        if parent[c] in inside and named[c] not in ("aside", "form"):
             inside.add(c)
     return inside
 

@@ -4,8 +4,7 @@ The longest common turn prefix of the two is rendered once as the prompt; what f
 as a completion whose loss mask covers the assistant's words only. A pair is one record.
 
 Turns meet as rows: the end of the common prefix is a minimum over turns, and only then are the rendered turns of a
-pair put together. A conversation of more than ``CHUNK`` turn numbers continues in further records, so that a
-record is bounded whatever a conversation holds.
+pair put together, in the order of their numbers, whatever these are.
 """
 
 from __future__ import annotations
@@ -16,8 +15,6 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import checkpointed
 from tessera.session import table
 
-#: Turn numbers to one record.
-CHUNK = 4096
 ASSISTANT = "assistant"
 
 
@@ -63,17 +60,15 @@ def format_preferences(
     turn_col: str = "turn",
     role_col: str = "role",
     text_col: str = "text",
-    chunk: int = CHUNK,
 ) -> DataFrame:
-    """One record per pair: ``chosen``, ``rejected`` (ids), ``chunk`` (0), ``prompt_turns``, ``prompt``, ``chosen_text``,
-    ``chosen_mask``, ``rejected_text``, ``rejected_mask``.
+    """One record per pair: ``chosen``, ``rejected`` (ids), ``prompt_turns``, ``prompt``, ``chosen_text``, ``chosen_mask``,
+    ``rejected_text``, ``rejected_mask``.
 
     ``pairs`` (``chosen``, ``rejected``: conversation ids; repeated pairs count once) defaults to ``swapped_replies``. Turns
     are aligned by number; the prompt ends before the first number at which role or text differ or one side has no
     turn, and a side that ends there has an empty text. The masks list the character spans ``begin:end`` of the
     assistant's words in each completion, joined by commas; nothing of the prompt is learnt. Pairs without any
-    difference are no preference and are left out, and so are pairs of conversations without turns. Turn numbers from
-    ``chunk`` on are in further records of the pair, each with its own masks.
+    difference are no preference and are left out, and so are pairs of conversations without turns.
 
     Null roles and texts count as empty. Rows without conversation or turn number are left out. Rows that repeat
     a turn number count once (the first by role and text). Texts are rendered whole; other columns are ignored;
@@ -102,13 +97,12 @@ def format_preferences(
         rows.join(split, ["chosen", "rejected"])
         .where(~shared | (F.col("side") == "chosen"))
         .withColumn("part", F.when(shared, "prompt").otherwise(F.col("side")))
-        .withColumn("chunk", F.floor(F.col("turn") / chunk))
         .withColumn("rendered", _rendered(F.col("role"), F.col("text")))
         .withColumn("head", F.when((F.col("role") == ASSISTANT) & ~shared, F.length("role") + 5))
     )
     turn = F.struct("turn", "rendered", "head", (F.length("rendered") - 8).alias("tail"), F.length("rendered").alias("size"))
     of = {p: F.array_sort(F.collect_list(F.when(F.col("part") == p, turn))).alias(p) for p in ("prompt", "chosen", "rejected")}
-    grouped = placed.groupBy(F.col("chosen").alias("c"), F.col("rejected").alias("r"), "chunk").agg(*of.values())  # of CHUNK numbers
+    grouped = placed.groupBy(F.col("chosen").alias("c"), F.col("rejected").alias("r")).agg(*of.values())  # the turns of one record
 
     def text(part: str) -> Column:
         return F.array_join(F.transform(part, lambda t: t["rendered"]), "")
@@ -120,7 +114,7 @@ def format_preferences(
         return F.array_join(F.aggregate(part, zero, walk)["spans"], ",")
 
     return grouped.select(
-        F.col("c").alias("chosen"), F.col("r").alias("rejected"), "chunk", F.size("prompt").alias("prompt_turns"), text("prompt").alias("prompt"),
+        F.col("c").alias("chosen"), F.col("r").alias("rejected"), F.size("prompt").alias("prompt_turns"), text("prompt").alias("prompt"),
         text("chosen").alias("chosen_text"), mask("chosen").alias("chosen_mask"), text("rejected").alias("rejected_text"), mask("rejected").alias("rejected_mask"),
     )
 
@@ -151,21 +145,21 @@ split AS (
     GROUP BY 1),
 placed AS (
     SELECT chosen, CASE WHEN turn < split THEN 'prompt' ELSE side END AS part,
-           turn // 4096 AS chunk, turn, role, concat('<|', role, '|>', chr(10), text, '<|end|>', chr(10)) AS rendered
+           turn, role, concat('<|', role, '|>', chr(10), text, '<|end|>', chr(10)) AS rendered
     FROM rows JOIN split USING (chosen) WHERE turn >= split OR side = 'chosen'),
 offsets AS (
-    SELECT *, sum(length(rendered)) OVER (PARTITION BY chosen, part, chunk ORDER BY turn) - length(rendered) AS start
+    SELECT *, sum(length(rendered)) OVER (PARTITION BY chosen, part ORDER BY turn) - length(rendered) AS start
     FROM placed),
 parts AS (
-    SELECT chosen, chunk, part, count(*) AS n, string_agg(rendered, '' ORDER BY turn) AS text,
+    SELECT chosen, part, count(*) AS n, string_agg(rendered, '' ORDER BY turn) AS text,
            coalesce(string_agg(concat(start + length(role) + 5, ':', start + length(rendered) - 8), ',' ORDER BY turn)
                     FILTER (WHERE role = 'assistant'), '') AS mask
-    FROM offsets GROUP BY 1, 2, 3)
-SELECT chosen, -1 - chosen AS rejected, chunk,
+    FROM offsets GROUP BY 1, 2)
+SELECT chosen, -1 - chosen AS rejected,
        coalesce(max(n) FILTER (WHERE part = 'prompt'), 0)::INTEGER AS prompt_turns,
        coalesce(max(text) FILTER (WHERE part = 'prompt'), '') AS prompt,
        coalesce(max(text) FILTER (WHERE part = 'chosen'), '') AS chosen_text,
        coalesce(max(mask) FILTER (WHERE part = 'chosen'), '') AS chosen_mask,
        coalesce(max(text) FILTER (WHERE part = 'rejected'), '') AS rejected_text,
        coalesce(max(mask) FILTER (WHERE part = 'rejected'), '') AS rejected_mask
-FROM parts GROUP BY chosen, chunk"""
+FROM parts GROUP BY chosen"""

@@ -186,6 +186,62 @@ def test_html_names_that_only_hold_such_words():
     assert html_text.main_text(f'<div class="layout with-sidebar"><article class="post comments-open"><p>{t}</p></article></div>') == t
 
 
+def test_html_keeps_the_article_whole():
+    t = LONG_TEXT.strip()
+    text = html_text.main_text
+    assert text(f"<article><p>{t}</p><aside>Ad</aside><p>Last line.</p></article>") == f"{t}\n\nLast line."
+    assert text(f"<p>{t}</p><p>One.</p><form>x</form><p>Two.</p><p>Three.</p>") == f"{t}\n\nOne.\n\nTwo.\n\nThree."
+    assert text(f"<p>Before <button>buy</button> after words.</p><p>{t}</p>") == f"Before after words.\n\n{t}"
+    assert text(f"<p>{t}</p><p><a href=1>See the full text of the bill</a></p><p>{t}</p>") == f"{t}\n\nSee the full text of the bill\n\n{t}"
+    assert text(f"<body><form><nav>x</nav><p>{t}</p><p>Two.</p></form></body>") == f"{t}\n\nTwo."
+    assert text("<form><p>Few.</p><p>Two.</p></form>") == "Few.\n\nTwo."
+    assert text(f'<article><p>{t}</p><p class="related">{t}</p></article>') == f"{t}\n\n{t}"
+    assert text(f'<article><p>{t}</p><div class="comments"><p>{t}</p><p>Nice.</p></div><p>End.</p></article>') == f"{t}\n\nEnd."
+    assert text(f"<div><p>{t}</p></div><form><p>{t[:150]}</p><input></form>") == t
+
+
+def test_html_planted_articles():
+    rng = random.Random(11)
+    stop = sorted(html_text.STOP_WORDS)
+    prose = lambda n: " ".join(rng.choice(stop) if rng.random() < 0.4 else f"word{rng.randrange(99)}" for _ in range(n)) + "."
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>Place {k}</a></li>" for k in range(6)) + "</ul>"
+    for _ in range(200):
+        inside, planted = [], []
+        for k in range(rng.randrange(3, 12)):
+            kind = rng.choice(["long", "long", "short", "linked", "button", "aside", "form", "heading"]) if k else "long"
+            words = prose(60 if kind == "long" else rng.randrange(2, 9))
+            if kind in ("long", "short"):
+                inside.append(f"<p>{words}</p>")
+            elif kind == "heading":
+                inside.append(f"<h2>{words}</h2>")
+            elif kind == "linked":
+                inside.append(f"<p>{words} <a href=x>{words}</a></p>")
+                words = f"{words} {words}"
+            elif kind == "button":
+                inside.append(f"<p>{words[:-1]} <button>Share it</button> again.</p>")
+                words = f"{words[:-1]} again."
+            else:
+                inside.append({"aside": f"<aside><p>{prose(50)}</p></aside>", "form": f"<form><label>{words}</label><input></form>"}[kind])
+                continue
+            planted.append(words)
+        inside.append(f"<p>{(end := prose(60))}</p>")
+        planted.append(end)
+        tag = rng.choice(["article", "div"])
+        page = f"<html><head><title>T</title></head><body><nav>{menu}</nav><div class='ad'>{prose(50)}</div><{tag}>{''.join(inside)}</{tag}><div>{menu}</div><footer>(c) us</footer></body></html>"
+        assert html_text.main_text(page) == "\n\n".join(planted), page
+
+
+def test_html_given_pages_equal_their_articles(spark):
+    import html as entities
+
+    tags = re.compile(r"(?i)</?(?:p|h\d|ul|ol|li|div|blockquote|table|tr|td|section|pre)\b[^>]*>")
+    inner = re.compile(r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>")
+    for r in spark.read.parquet(f"{SF}/../sf0.01/pages.parquet").collect():
+        article = re.search(r"(?s)<article>(.*?)</article>", r.html)[1]
+        blocks = (" ".join(entities.unescape(inner.sub(lambda m: " " if m[0].lower().startswith("<br") else "", b)).split()) for b in tags.split(article))
+        assert html_text.main_text(r.html) == "\n\n".join(b for b in blocks if b)
+
+
 def test_html_deep_and_long_pages():
     import time
 
@@ -484,11 +540,12 @@ def test_preferences_swap_the_last_reply(spark):
     turns = [(0, 0, "user", "a"), (0, 1, "assistant", "A"), (0, 2, "user", "left out"), (1, 0, "user", "b"), (1, 1, "assistant", "B"), (6, 0, "user", "c"), (6, 1, "assistant", "C"), (6, 2, "user", "d"), (6, 3, "assistant", "D"), (8, 0, "assistant", "E"), (10, 0, "user", "f")]
     got = {r.chosen: r for r in preferences.format_preferences(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
     assert {k: (r.prompt_turns, r.chosen_text[14:15], r.rejected_text[14:15], r.rejected) for k, r in got.items()} == {0: (1, "A", "B", -1), 1: (1, "B", "A", -2), 6: (3, "D", "C", -7)}
-    long = [(0, k, ("user", "assistant")[k % 2], f"t{k}") for k in range(300)] + [(1, 0, "user", "q"), (1, 1, "assistant", "other")]
-    df = spark.createDataFrame(long, "conv_id long, turn long, role string, text string")
-    whole, parts = (preferences.format_preferences(df, chunk=c).where("chosen = 0").orderBy("chunk").collect() for c in (4096, 64))
-    assert len(whole) == 1 and whole[0].prompt_turns == 299 and len(parts) == 5
-    assert "".join(r.prompt for r in parts) == whole[0].prompt and parts[-1].rejected_text == whole[0].rejected_text
+    for first in (0, 5000):  # whatever the numbers are, a pair is one record
+        long = [(0, first + k, ("user", "assistant")[k % 2], f"t{k}") for k in range(10_000)] + [(1, 0, "user", "q"), (1, 1, "assistant", "o" * 300_000)]
+        df = spark.createDataFrame(long, "conv_id long, turn long, role string, text string")
+        (whole,) = preferences.format_preferences(df).where("chosen = 0").collect()
+        assert whole.prompt_turns == 9_999 and whole.prompt == "".join(f"<|{r}|>\n{t}<|end|>\n" for _, _, r, t in long[:9_999])
+        assert len(whole.rejected_text) == 300_000 + 22 and whole.chosen_text == "<|assistant|>\nt9999<|end|>\n"
 
 
 def brute_pipeline(rows, toxic, items, sp):
