@@ -35,11 +35,11 @@ BATCH_CHARS = 1_000_000
 
 
 class _Cache(dict):
-    """What ``make`` gives for a key. When this generation has CACHE_BYTES, it becomes the old one, from which
+    """What ``make`` gives for a key. When this generation has ``most`` bytes, it becomes the old one, from which
     keys in use come back."""
 
-    def __init__(self, make) -> None:
-        self._make, self._old, self._bytes = make, {}, 0
+    def __init__(self, make, most: int) -> None:
+        self._make, self._most, self._old, self._bytes = make, most, {}, 0
 
     def __missing__(self, key):
         made = self._old.get(key)
@@ -47,7 +47,7 @@ class _Cache(dict):
             made = self._make(key)
         size = len(key) if isinstance(key, str) else 0
         if size <= CACHE_CHARS:
-            if self._bytes >= CACHE_BYTES:
+            if self._bytes >= self._most:
                 self._old, self._bytes = dict(self), 0
                 self.clear()
             self[key] = made
@@ -62,7 +62,7 @@ class PieceVocabulary:
     kept. Other settings raise ``ValueError`` instead of giving other results.
     """
 
-    def __init__(self, model: bytes) -> None:
+    def __init__(self, model: bytes, cache_bytes: int = CACHE_BYTES) -> None:
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as proto
 
@@ -88,7 +88,7 @@ class PieceVocabulary:
         self.length = [len(t) for t in self.text]
         self.shorter = [self._prefix(t) for t in self.text]
         self.known = frozenset(c for piece in self.ids for c in piece)
-        self.pairs = _Cache(self._remerge)
+        self.pairs = _Cache(self._remerge, cache_bytes)
         alone = {p for p in self.ids if len(p) == 1}
         if not self.known <= alone:
             raise ValueError(f"characters that are in longer pieces only: {sorted(self.known - alone)[:10]}")
@@ -97,8 +97,8 @@ class PieceVocabulary:
         self._cut = re.compile(rf"{MARK}+(?:{_LETTER}+|(?:(?!{_LETTER})[^{MARK}])*)|{_LETTER}+|(?:(?!{_LETTER})[^{MARK}])+")
         if any(len(self._cut.findall(p)) > 1 for p in self.ids):
             self._cut = re.compile(rf"{MARK}+[^{MARK}]*|[^{MARK}]+")  # pieces mix letters and others
-        self.stretches = _Cache(self._encode_stretch)
-        self.words = _Cache(self._encode_word)
+        self.stretches = _Cache(self._encode_stretch, cache_bytes)
+        self.words = _Cache(self._encode_word, cache_bytes)
 
     def _prefix(self, text: str) -> int:
         """The longest piece that is a proper prefix of this one, -1 if none."""
@@ -234,25 +234,27 @@ def _utf8(raw: bytearray) -> str:
         return "".join(out)
 
 
-_loaded: dict[bytes, PieceVocabulary] = {}
+_loaded: dict[tuple[bytes, int], PieceVocabulary] = {}
 
 
-def _vocabulary(model: bytes) -> PieceVocabulary:
+def _vocabulary(model: bytes, cache_bytes: int) -> PieceVocabulary:
     """One vocabulary, and so one cache, for each worker process."""
-    if model not in _loaded:
+    key = model, cache_bytes
+    if key not in _loaded:
         _loaded.clear()
-        _loaded[model] = PieceVocabulary(model)
-    return _loaded[model]
+        _loaded[key] = PieceVocabulary(model, cache_bytes)
+    return _loaded[key]
 
 
 def encode_decode(
-    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", add_end: bool = True
+    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", add_end: bool = True, cache_bytes: int = CACHE_BYTES
 ) -> DataFrame:
     """One row per input row: id, ``ids`` (array<int>) and ``decoded`` (the text those ids stand for).
 
     Null and empty texts have no ids but the end id (if ``add_end``) and decode to an empty text. Texts
     of any length are encoded whole. Rows with equal ids or texts are treated alike and all returned;
-    other columns are ignored. The model is a bounded file and is sent with the task.
+    other columns are ignored. The model is a bounded file and is sent with the task. A worker's three caches
+    take about twice ``cache_bytes`` each.
     """
     with open(model_path, "rb") as f:
         model = f.read()
@@ -263,7 +265,8 @@ def encode_decode(
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _vocabulary(sent.value)
+        pa.default_memory_pool().release_unused()  # of the tasks that this worker ran before
+        v = _vocabulary(sent.value, cache_bytes)
         end = np.array([v.end_id] if add_end else [], np.int32).tobytes()
         for batch in batches:
             done = 0
