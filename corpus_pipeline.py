@@ -58,7 +58,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids`` and the digests of ids and decoded text."""
-    encoded = pieces.encode_decode(docs, pieces.default_model())
+    # small caches: executors that ran the stages before have less room than those that only encode
+    encoded = pieces.encode_decode(docs, pieces.default_model(), cache_bytes=pieces.CACHE_BYTES // 3)
     return pieces.digests(encoded, also=("ids",))
 
 

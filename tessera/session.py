@@ -39,11 +39,14 @@ TEST_FOLDER = "/tmp/tessera-checkpoints"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it. A cluster must name one."""
+    """The folder that driver and executors share: what ``spark.checkpoint.dir`` names, or else the checkpoint folder that
+    the caller has set. A cluster must name one."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if context.getCheckpointDir() is not None:
+        return context.getCheckpointDir()
     if not (context.master or "").startswith("local") or (context.master or "").startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return TEST_FOLDER

@@ -30,6 +30,8 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", window: str = "
 
 def snapshot_sink(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str]) -> StreamingQuery:
     """Writes each batch over the partitions of its keys, so that a batch run twice leaves one result."""
+    if not isinstance(checkpoint, str) or isinstance(keys, str):
+        raise TypeError("checkpoint is a path, keys are a list of columns")
     return (
         stream.writeStream.foreachBatch(lambda df, _: write_snapshot(df, path, keys))
         .option("checkpointLocation", checkpoint)
