@@ -2,7 +2,7 @@
 
 A packing is an individual and its sequences are the genes. Crossover injects whole well-filled sequences of one
 parent into the other, removes the other's sequences that hold an injected piece, and best-fits the pieces that
-this displaces. Pieces are dealt by hash to blocks of bounded size. Each block is packed by several islands, tasks of
+this displaces, after these have taken the places of shorter ones where they fill a sequence better. Pieces are dealt by hash to blocks of bounded size. Each block is packed by several islands, tasks of
 their own, which send their elite to the next island of the block between epochs. Then sequences
 with room left are dealt anew, whole, to blocks with others, and evolve again; the old packing is among
 the first individuals there, so that no round loses ground.
@@ -13,8 +13,10 @@ from __future__ import annotations
 import json
 import math
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -156,7 +158,35 @@ def mutated(lengths: np.ndarray, bins: np.ndarray, capacity: int, rng: np.random
     return _placed(lengths, np.where(opened[bins], -1, bins), capacity, rng)
 
 
+def exchanged(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
+    """Fills sequences up: a loose piece takes the place of one or two shorter ones, which become loose, where it fits and
+    leaves less room. Loose pieces get shorter by that, so that the rest is easier to place."""
+    bins = _numbered(bins)
+    loose = sorted((int(lengths[i]), int(i)) for i in np.flatnonzero(bins < 0))
+    if not loose:
+        return bins
+    fill = np.bincount(bins[bins >= 0], lengths[bins >= 0], minlength=bins.max() + 1).astype(np.int64)
+    order = np.argsort(bins, kind="stable")
+    starts = np.searchsorted(bins[order], np.arange(len(fill) + 1))
+    for k in np.flatnonzero(fill < capacity).tolist():
+        own = [(int(lengths[i]), int(i)) for i in order[starts[k] : starts[k + 1]]]
+        room, best = capacity - int(fill[k]), (0, ())
+        for some in (*((x,) for x in own), *combinations(own, 2)):
+            size = sum(n for n, _ in some)
+            at = bisect_right(loose, (size + room, len(lengths))) - 1
+            if at >= 0 and loose[at][0] - size > best[0]:
+                best = loose[at][0] - size, (at, some)
+        if best[1]:
+            at, some = best[1]
+            bins[loose.pop(at)[1]] = k
+            for piece in some:
+                bins[piece[1]] = -1
+                insort(loose, piece)
+    return bins
+
+
 def _placed(lengths: np.ndarray, bins: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    bins = exchanged(lengths, bins, capacity)
     loose = np.flatnonzero(bins < 0)
     noise = rng.random(len(loose)) * rng.choice([1e-3, 0.02, 0.1]) + 1
     return best_fit(lengths, bins, loose[np.argsort(-lengths[loose] * noise, kind="stable")], capacity)
