@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import values
+from tessera.operators import ordered
 
 
 def long_series(df: DataFrame, key: str, array: str) -> DataFrame:
@@ -127,49 +128,42 @@ def expected_samples(lead: Column, rate: Column, rhythm: str = "II", long: float
 
 
 def gaps_filled(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """``filled``: linear between the neighbours that have a value, the nearest one beyond the ends."""
+    """``filled``: linear between the neighbours that have a value, the nearest one beyond the ends; null where a key has none."""
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v")))
-    before = F.last(known, True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(known, True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(0, Window.unboundedFollowing))
-    out = df.withColumn("_b", before).withColumn("_a", after)
-    share = (F.col(order) - F.col("_b.o")) / (F.col("_a.o") - F.col("_b.o"))
-    between = F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * share
-    filled = F.when(F.col(value).isNotNull(), F.col(value)).otherwise(F.coalesce(between, "_b.v", "_a.v"))
-    return out.withColumn("filled", filled).drop("_a", "_b")
+    out = ordered.nearest_known(df, keys, order, known)
+    share = (F.col(order) - F.col("before.o")) / (F.col("after.o") - F.col("before.o"))
+    between = F.col("before.v") + (F.col("after.v") - F.col("before.v")) * share
+    filled = F.when(F.col(value).isNotNull(), F.col(value)).otherwise(F.coalesce(between, "before.v", "after.v"))
+    return out.withColumn("filled", filled).drop("after", "before")
 
 
 def local_maxima(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Rows not below either neighbour; a missing neighbour does not count against a row."""
-    w = Window.partitionBy(*keys).orderBy(order)
     high = lambda x: F.coalesce(F.col(value) >= x, F.lit(True))
-    out = df.withColumn("_p", F.lag(value).over(w)).withColumn("_n", F.lead(value).over(w))
+    sides = {"_p": lambda w: F.lag(value).over(w), "_n": lambda w: F.lead(value).over(w)}
+    out = ordered.over_neighbours(df, keys, [order], 1, sides)
     return out.where(high(F.col("_p")) & high(F.col("_n"))).drop("_p", "_n")
 
 
 def runs_over(df: DataFrame, keys: list[str], order: str, over: Column, least: int) -> DataFrame:
     """(keys, first, last, n) of runs of at least ``least`` consecutive rows for which ``over`` holds."""
-    w = Window.partitionBy(*keys).orderBy(order)
     marked = df.withColumn("_over", F.coalesce(over, F.lit(False)))
-    changed = (~F.col("_over").eqNullSafe(F.lag("_over").over(w))).cast("int")
-    marked = marked.withColumn("_c", changed).withColumn("_run", F.sum("_c").over(w)).where("_over")
+    changed = lambda w: (~F.col("_over").eqNullSafe(F.lag("_over").over(w))).cast("int")
+    marked = ordered.running_sum(marked, keys, [order], changed, "_run").where("_over")
     runs = marked.groupBy(*keys, "_run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
     return runs.where(F.col("n") >= least).drop("_run")
 
 
-def moving(df: DataFrame, keys: list[str], order: str, value: Column, reach: int, how) -> Column:
-    """An aggregate over the rows at most ``reach`` away."""
-    return how(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-reach, reach))
+def moving(df: DataFrame, keys: list[str], order: str, value: Column, reach: int, how, name: str) -> DataFrame:
+    """``df`` with an aggregate over the rows at most ``reach`` away."""
+    return ordered.over_neighbours(df, keys, [order], reach, {name: lambda w: how(value).over(w.rowsBetween(-reach, reach))})
 
 
 def spaced_peaks(df: DataFrame, key: str, position: str, score: str, gap: int) -> DataFrame:
-    """(key, picks): positions by falling score (of equals the smallest), each at least ``gap`` from those before.
-
-    Greedy by nature: a fold over one group's positions, so groups should be of bounded size.
-    """
+    """(key, picks): positions by falling score (of equals the smallest), each at least ``gap`` from those before; an array of a key's picks."""
+    chosen = ordered.spaced(df.select(key, position, score), [key], position, score, gap)
     ranked = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(position).cast("long").alias("p"))))
-    pick = lambda done, e: F.when(F.forall(done, lambda d: F.abs(d - e["p"]) >= gap), F.concat(done, F.array(e["p"]))).otherwise(done)
-    grouped = df.groupBy(key).agg(ranked.alias("_r"))
-    return grouped.select(key, F.aggregate("_r", F.array().cast("array<bigint>"), pick).alias("picks"))
+    return chosen.groupBy(key).agg(F.transform(ranked, lambda e: e["p"]).alias("picks"))
 
 
 def hough_votes(points: DataFrame, angles: int, step: float) -> DataFrame:

@@ -91,18 +91,11 @@ def sized(values: Column, size: int) -> Column:
 
 
 def spacing(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """(keys, median_gap): median of the steps between neighbours, null for a single row.
+    """(keys, median_gap): exact median of the steps between neighbours, null for a single row."""
+    from tessera.operators import ordered  # which builds on this module
 
-    Rows are range-partitioned by key and order, so that a large group is sorted in several tasks; the first row of
-    a key in a partition takes the key's last value of the partitions before.
-    """
-    ranged = durable(df.select(*keys, order).repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()))
-    ends = ranged.groupBy("_part", *keys).agg(F.max(order).alias("_end"))
-    before = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_part"))).drop("_end")
-    own = F.lag(order).over(Window.partitionBy("_part", *keys).orderBy(order))
-    stepped = merged(ranged.withColumn("_own", own), before, ["_part", *keys])
-    gaps = stepped.withColumn("_gap", F.col(order) - F.coalesce("_own", "_before"))
-    return gaps.groupBy(*keys).agg(F.percentile("_gap", 0.5).alias("median_gap"))
+    gaps = ordered.over_neighbours(df.select(*keys, order), keys, [order], 1, {"_before": lambda w: F.lag(order).over(w)})
+    return ordered.quantiles(gaps.withColumn("_gap", F.col(order) - F.col("_before")), keys, "_gap", {"median_gap": 0.5})
 
 
 def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
@@ -151,14 +144,6 @@ def side_by_key(frames: Sequence[DataFrame], key: str) -> DataFrame:
     return reduce(lambda a, b: a.join(b, key, "full_outer"), frames)
 
 
-def described(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(name, mean, std, low, high, median) of columns in one pass; the deviation is the sample's."""
-    stats = {"mean": F.avg, "std": F.stddev_samp, "low": F.min, "high": F.max, "median": lambda c: F.percentile(c, 0.5)}
-    one = df.agg(*(how(c).cast("double").alias(f"{c}|{k}") for c in columns for k, how in stats.items()))
-    cells = F.array(*(F.struct(F.lit(c).alias("name"), *(F.col(f"`{c}|{k}`").alias(k) for k in stats)) for c in columns))
-    return one.select(F.inline(cells))
-
-
 def sorted_set(column: str, separator: str = ", ") -> Column:
     """The distinct values of a group (few) as sorted text."""
     return F.array_join(F.array_sort(F.collect_set(F.col(column).cast("string"))), separator)

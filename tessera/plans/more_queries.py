@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import answers, values
-from tessera.operators import lines, runs, signals, spectra, tables
+from tessera.operators import lines, ordered, runs, signals, spectra, tables
 from tessera.session import table
 
 
@@ -90,7 +90,7 @@ def tail_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def described_columns(spark: SparkSession, d: str) -> DataFrame:
-    found = tables.described(table(spark, d, "part"), ["p_size", "p_retailprice"])
+    found = ordered.described(table(spark, d, "part"), ["p_size", "p_retailprice"])
     return found.select("name", *(F.round(c, 4).alias(c) for c in ("mean", "std", "low", "high", "median")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import answers
-from tessera.operators import signals, statistics, tables
+from tessera.operators import ordered, signals, statistics, tables
 from tessera.session import table
 
 MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -121,9 +121,8 @@ def high_corr_columns(spark: SparkSession, d: str) -> DataFrame:
 
 def percentile_mad(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").select("l_linestatus", "l_quantity")
-    medians = li.groupBy("l_linestatus").agg(F.percentile("l_quantity", 0.5).alias("median"), F.percentile("l_quantity", 0.9).alias("p90"))
-    away = li.join(F.broadcast(medians), "l_linestatus").groupBy("l_linestatus", "median", "p90")  # as many rows as statuses
-    return away.agg(F.percentile(F.abs(F.col("l_quantity") - F.col("median")), 0.5).alias("mad"))
+    high = ordered.quantiles(li, ["l_linestatus"], "l_quantity", {"p90": 0.9})
+    return ordered.median_deviations(li, ["l_linestatus"], "l_quantity").join(high, "l_linestatus")
 
 
 def hist_match(spark: SparkSession, d: str) -> DataFrame:
@@ -215,13 +214,28 @@ def threshold_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rolling_close(spark: SparkSession, d: str) -> DataFrame:
-    rows = _hourly(spark, d).withColumn("hi", signals.moving(_hourly(spark, d), ["event_type"], "hour", F.col("v"), 1, F.max))
-    return rows.withColumn("closed", signals.moving(rows, ["event_type"], "hour", F.col("hi"), 1, F.min)).select("event_type", "hour", "closed")
+    rows = signals.moving(_hourly(spark, d), ["event_type"], "hour", F.col("v"), 1, F.max, "hi")
+    return signals.moving(rows, ["event_type"], "hour", F.col("hi"), 1, F.min, "closed").select("event_type", "hour", "closed")
 
 
 def spaced_peaks(spark: SparkSession, d: str) -> DataFrame:
     picks = signals.spaced_peaks(_hourly(spark, d), "event_type", "hour", "v", 6)
-    return picks.select("event_type", F.posexplode("picks").alias("rank", "hour"))
+    return picks.select("event_type", F.posexplode("picks").alias("rank", "hour")).withColumn("rank", F.col("rank").cast("long"))
+
+
+def spaced_users(spark: SparkSession, d: str) -> DataFrame:
+    """Each type's best twelve users by value at least 5 apart, those of number 7 and 8 in any case, made up to twelve from the others."""
+    e = table(spark, d, "events").groupBy("event_type", "user_id").agg(F.max("value").alias("v"))
+    forced = e.where("user_id IN (7, 8)").select("event_type", "user_id")
+    return ordered.spaced(e, ["event_type"], "user_id", "v", 5, count=12, refill=True, forced=forced)
+
+
+def events_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """Each event of a user with the user's last event of the first type until then."""
+    e = table(spark, d, "events")
+    first = e.agg(F.min("event_type").alias("t"))
+    right = e.join(first, e["event_type"] == first["t"]).groupBy("user_id", "ts").agg(F.max("event_id").alias("seen"))
+    return ordered.as_of(e.select("event_id", "user_id", "ts"), right, ["user_id"], "ts", ["seen"]).select("event_id", "user_id", "seen")
 
 
 def hough(spark: SparkSession, d: str) -> DataFrame:
@@ -236,7 +250,7 @@ QUERIES = {
         select_prefix, schema_reindex, label_case_precedence, semi_anti, train_valid_split, upsert_replace, group_sum, group_named_agg, value_counts,
         eval_grouping_sets, first_per_group, latest_value, extremes_tiebreak, mode_tiebreak, confusion_matrix, mask_scores, accuracy_mse_r2, zscore_sample,
         ordinal_codes, corr_matrix, high_corr_columns, percentile_mad, hist_match, hist2d, block_topn, topk_stable, answer_functions, coerce_values,
-        dft_magnitude, snr_gain, xcorr_align, resample_linear, gap_fill, local_maxima, threshold_runs, rolling_close, spaced_peaks, hough,
+        dft_magnitude, snr_gain, xcorr_align, resample_linear, gap_fill, local_maxima, threshold_runs, rolling_close, spaced_peaks, spaced_users, events_as_of, hough,
     )
 }
 
@@ -317,6 +331,22 @@ ORACLES = {
         SELECT event_type, min(hour) AS first, max(hour) AS last, count(*) AS n FROM r WHERE n >= 2 GROUP BY event_type, g HAVING count(*) >= 2""",
     "rolling_close": f"""WITH {_HOURLY}, m AS (SELECT event_type, hour, max(v) OVER (PARTITION BY event_type ORDER BY hour ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS hi FROM h)
         SELECT event_type, hour, min(hi) OVER (PARTITION BY event_type ORDER BY hour ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS closed FROM m""",
+    "spaced_peaks": f"""WITH RECURSIVE {_HOURLY}, r AS (
+            SELECT event_type, 0::BIGINT AS rank, arg_max(hour, (v, -hour)) AS hour, [arg_max(hour, (v, -hour))] AS done FROM h GROUP BY 1
+            UNION ALL
+            SELECT r.event_type, any_value(r.rank) + 1, arg_max(h.hour, (v, -h.hour)), list_append(any_value(done), arg_max(h.hour, (v, -h.hour)))
+            FROM r JOIN h USING (event_type) WHERE len(list_filter(done, lambda x: abs(x - h.hour) < 6)) = 0 GROUP BY 1)
+        SELECT event_type, rank, hour FROM r""",
+    "spaced_users": """WITH RECURSIVE e AS (SELECT event_type, user_id, max(value) AS v FROM events GROUP BY 1, 2),
+        f AS (SELECT event_type, list(user_id) AS done FROM e WHERE user_id IN (7, 8) GROUP BY 1),
+        r AS (SELECT DISTINCT e.event_type, NULL::BIGINT AS user_id, 0 AS rank, coalesce(done, []) AS done FROM e LEFT JOIN f USING (event_type)
+            UNION ALL
+            SELECT r.event_type, arg_max(e.user_id, (v, -e.user_id)), any_value(r.rank) + 1, list_append(any_value(done), arg_max(e.user_id, (v, -e.user_id)))
+            FROM r JOIN e USING (event_type) WHERE len(list_filter(done, lambda x: abs(x - e.user_id) < 5)) = 0 GROUP BY 1),
+        t AS (SELECT e.*, CASE WHEN e.user_id IN (7, 8) THEN 0 WHEN r.user_id IS NOT NULL THEN 1 ELSE 2 END AS tier FROM e LEFT JOIN r USING (event_type, user_id))
+        SELECT event_type, user_id, v FROM t QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY tier, v DESC, user_id) <= 12""",
+    "events_as_of": """WITH r AS (SELECT user_id, ts, max(event_id) AS seen FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY 1, 2)
+        SELECT e.event_id, e.user_id, r.seen FROM events e ASOF LEFT JOIN r ON e.user_id = r.user_id AND e.ts >= r.ts""",
     "hough": """WITH p AS (SELECT event_type AS image, (user_id % 64)::DOUBLE AS x, (event_id % 48)::DOUBLE AS y FROM events),
         v AS (SELECT image, theta, round((x * cos(theta * pi() / 12) + y * sin(theta * pi() / 12)) / 4 + 1e-7)::BIGINT AS rho, count(*) AS votes FROM p, range(12) t(theta) GROUP BY 1, 2, 3)
         SELECT image, theta, rho, votes FROM v QUALIFY row_number() OVER (PARTITION BY image ORDER BY votes DESC, theta, rho) <= 5""",
