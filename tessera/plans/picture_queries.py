@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import images, learning, lines, signals
+from tessera.operators import images, kernels, learning, lines, signals
 from tessera.session import table
 
 SIDE = 64
@@ -115,6 +115,21 @@ def pca_variance(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, float(s)) for k, s in enumerate(shares)], "k int, share double")
 
 
+def kernel_components(spark: SparkSession, d: str) -> DataFrame:
+    """Each training vector's places along four components of the cubic kernel, their signs left open."""
+    train, _ = _features(spark, d)
+    model = kernels.kernel_components(train.select("vec_id", "features"), "vec_id", 4, extra=76, tolerance=1e-7)
+    places = model.training().select(F.col("key").alias("vec_id"), F.posexplode("features").alias("component", "place"))
+    return places.select("vec_id", "component", F.round(F.abs("place"), 3).alias("place"))
+
+
+def kernel_machine_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Which label a machine with a kernel of degree 20 gives the held-out vectors."""
+    train, test = _features(spark, d)
+    machine = kernels.kernel_machine(train, "vec_id", kernels.Polynomial(20, 1.0, 1 / 640), landmarks=200, rounds=15, penalty=0.001)
+    return machine.predicted(test).select("vec_id", "label", "predicted")
+
+
 def lr_grid(spark: SparkSession, d: str) -> DataFrame:
     train, test = _features(spark, d)
     return learning.logistic_grid(train, test, (5, 20), (0.0, 0.1), (0.0,))
@@ -134,7 +149,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stencil_3x3, grey_closing, ink_removal, pyramid_down, pyramid_round_trip, pyramid_details, connected_components, corner_points, radial_profile, block_correction,
-        hough_threshold, hough_dominant_family, hough_pairs, nearest_bin, feature_scaling, pca_variance, lr_grid, svm_predictions, mlp_predictions,
+        hough_threshold, hough_dominant_family, hough_pairs, nearest_bin, feature_scaling, pca_variance, kernel_components, kernel_machine_predictions, lr_grid, svm_predictions, mlp_predictions,
     )
 }
 
