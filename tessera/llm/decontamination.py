@@ -37,25 +37,64 @@ BLOCK_BYTES = 32 << 20
 # --- greedy string tiling ----------------------------------------------------------------------
 
 
+def _before(words: np.ndarray, free: np.ndarray, at: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """The number among ``names`` of the word before each place; as many as there are names where it is marked, unknown or none."""
+    before = words[np.maximum(at - 1, 0)]
+    found = np.minimum(np.searchsorted(names, before), max(len(names) - 1, 0))
+    known = (at > 0) & (free[np.maximum(at - 1, 0)] > 0) & (names[found] == before) if len(names) else np.zeros(len(at), bool)
+    return np.where(known, found, len(names))
+
+
 def _matches(doc: np.ndarray, item: np.ndarray, doc_free: np.ndarray, item_free: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """Maximal runs (length, doc position, item position) of at least ``size`` unmarked equal words."""
+    """Maximal runs (length, doc position, item position) of at least ``size`` unmarked equal words.
+
+    Only pairs of places that begin a run are made: their windows agree and the words before them don't. So a text that
+    repeats itself has as many pairs as it has words, not as many as words times words.
+    """
     if size > min(len(doc), len(item)):
         return []
-    free = [np.flatnonzero(np.convolve(f, np.ones(size, np.int64), "valid") == size) for f in (doc_free, item_free)]
-    d, t = token_windows(doc, size)[free[0]], token_windows(item, size)[free[1]]
-    order = np.argsort(t, kind="stable")
-    left, right = np.searchsorted(t[order], d, "left"), np.searchsorted(t[order], d, "right")
-    out = []
-    for k in np.flatnonzero(right > left):
-        i = int(free[0][k])
-        for j in free[1][order[left[k] : right[k]]].tolist():
-            if i and j and doc_free[i - 1] and item_free[j - 1] and doc[i - 1] == item[j - 1]:
-                continue  # part of the run that starts one word earlier
-            n = 0
-            while i + n < len(doc) and j + n < len(item) and doc_free[i + n] and item_free[j + n] and doc[i + n] == item[j + n]:
-                n += 1
-            if n >= size:
-                out.append((n, i, j))
+    di, ti = (np.flatnonzero(np.convolve(f, np.ones(size, np.int64), "valid") == size) for f in (doc_free, item_free))
+    if not len(di) or not len(ti):
+        return []
+    seen, code = np.unique(token_windows(item, size)[ti], return_inverse=True)
+    window = token_windows(doc, size)[di]
+    at = np.minimum(np.searchsorted(seen, window), len(seen) - 1)
+    common = seen[at] == window
+    di, at = di[common], at[common]
+    names = np.unique(item)
+    wide = len(names) + 1
+    before = _before(item, item_free, ti, names)
+    order = np.lexsort((before, code))
+    ti, keys = ti[order], (code * wide + before)[order]
+    own = _before(doc, doc_free, di, names)
+    first, last = np.searchsorted(keys, at * wide), np.searchsorted(keys, (at + 1) * wide)
+    # of those, the ones behind the same word are parts of runs that begin earlier
+    low, high = np.searchsorted(keys, at * wide + own), np.searchsorted(keys, at * wide + own, "right")
+    low, high = (np.where(own == len(names), last, x) for x in (low, high))
+    pairs = []
+    for begin, end in ((first, low), (high, last)):
+        n = end - begin
+        j = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if n.sum() else np.zeros(0, np.int64)
+        pairs.append((np.repeat(di, n), ti[j]))
+    i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    n = _run_lengths(doc, item, doc_free, item_free, i, j)
+    good = n >= size
+    return list(zip(n[good].tolist(), i[good].tolist(), j[good].tolist(), strict=True))
+
+
+def _run_lengths(doc: np.ndarray, item: np.ndarray, doc_free: np.ndarray, item_free: np.ndarray, i: np.ndarray, j: np.ndarray, step: int = 64) -> np.ndarray:
+    """How many words agree and are unmarked from each pair of places on, STEP words at a time."""
+    out, left = np.zeros(len(i), np.int64), np.arange(len(i))
+    ahead = np.arange(step)
+    while len(left):
+        for part in np.array_split(left, max(1, len(left) // 20_000)):
+            d, t = (i[part] + out[part])[:, None] + ahead, (j[part] + out[part])[:, None] + ahead
+            inside = (d < len(doc)) & (t < len(item))
+            d, t = np.minimum(d, len(doc) - 1), np.minimum(t, len(item) - 1)
+            same = inside & (doc[d] == item[t]) & (doc_free[d] > 0) & (item_free[t] > 0)
+            out[part] += np.where(same.all(1), step, same.argmin(1))
+        left = left[(out[left] > 0) & (out[left] % step == 0) & (i[left] + out[left] < len(doc)) & (j[left] + out[left] < len(item))]
+        left = left[(doc[i[left] + out[left]] == item[j[left] + out[left]]) & (doc_free[i[left] + out[left]] > 0) & (item_free[j[left] + out[left]] > 0)]
     return out
 
 
@@ -77,10 +116,12 @@ def greedy_tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[in
             longest = max(n for n, _, _ in found)
             later = []
             for n, i, j in sorted(m for m in found if m[0] == longest):
-                if doc_free[i : i + n].all() and item_free[j : j + n].all():
+                if item_free[j] and item_free[j + n - 1] and doc_free[i : i + n].all() and item_free[j : j + n].all():
                     doc_free[i : i + n] = item_free[j : j + n] = 0
                     tiles.append((n, i, j))
-                else:
+                    if not item_free.any():
+                        return tiles
+                elif item_free[j : j + n].any():
                     later.append((n, i, j))
             # what is left of an occluded match counts as a shorter one
             found = [m for m in found if m[0] < longest] + [
@@ -103,26 +144,36 @@ def _unmarked(match: tuple[int, int, int], doc_free: np.ndarray, item_free: np.n
 
 @dataclass
 class SeedIndex:
-    """Items as word hashes, and by seed length: sorted distinct seeds with the items that hold each."""
+    """Items as word hashes, and by seed length: sorted distinct seeds, the items that hold each and how often."""
 
     ids: list
     words: list[np.ndarray]
-    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+    def items_at(self, hashes: np.ndarray, offsets: np.ndarray, coverage: float) -> Iterator[tuple[int, int, np.ndarray, int]]:
+        """(row, item, starts, length): places of the row's words at which seeds of the item stand.
 
-    def items_at(self, hashes: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
-        """(row, item) to the runs (start, length in words) of the row's words that are seeds of the item."""
-        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for length, (seeds, first, items) in self.by_length.items():
+        Items of which the row's seeds, however they stand, can't cover enough are left out before places are listed, so that a
+        stock phrase in many items costs a row its distinct seeds times the items, not its places.
+        """
+        sizes = np.array([len(w) for w in self.words] or [0], np.int64)
+        for length, (seeds, first, items, times) in self.by_length.items():
             windows = grams(hashes, length)
             at = np.flatnonzero(np.isin(windows, seeds))
             row = np.searchsorted(offsets, at, "right") - 1
             inside = at + length <= offsets[row + 1] if len(at) else np.zeros(0, bool)
             at, row = at[inside], row[inside]
             seed = np.searchsorted(seeds, windows[at])
-            for p, r, s in zip(at.tolist(), row.tolist(), seed.tolist(), strict=True):
-                for item in items[first[s] : first[s + 1]].tolist():
-                    found.setdefault((r, item), []).append((p, length))
-        return found
+            has = np.unique(row * len(seeds) + seed)
+            own_row, own_seed = np.divmod(has, len(seeds))
+            n = first[own_seed + 1] - first[own_seed]
+            where = np.repeat(first[own_seed] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+            pairs, inverse = np.unique(np.repeat(own_row, n) * len(self.words) + items[where], return_inverse=True)
+            most = np.bincount(inverse, times[where], minlength=len(pairs)) * length
+            for pair in pairs[most >= coverage * sizes[pairs % len(self.words)]].tolist():
+                r, item = divmod(pair, len(self.words))
+                lo, hi = np.searchsorted(row, [r, r + 1])
+                yield r, item, at[lo:hi][np.isin(windows[at[lo:hi]], grams(self.words[item], length))], length
 
 
 def seed_index(ids: list, texts: pa.Array, min_match: int) -> SeedIndex:
@@ -131,28 +182,24 @@ def seed_index(ids: list, texts: pa.Array, min_match: int) -> SeedIndex:
     by_length = {}
     for length in {min(min_match, len(w)) for w in words} - {0}:
         own = [k for k, w in enumerate(words) if min(min_match, len(w)) == length]
-        pairs = [(np.unique(grams(words[k], length)), k) for k in own]
-        seeds = np.concatenate([s for s, _ in pairs])
-        items = np.concatenate([np.full(len(s), k) for s, k in pairs])
+        pairs = [(*np.unique(grams(words[k], length), return_counts=True), k) for k in own]
+        seeds, times = (np.concatenate([p[x] for p in pairs]) for x in (0, 1))
+        items = np.concatenate([np.full(len(s), k) for s, _, k in pairs])
         order = np.argsort(seeds, kind="stable")
         distinct, first = np.unique(seeds[order], return_index=True)
-        by_length[length] = distinct, np.append(first, len(seeds)), items[order]
+        by_length[length] = distinct, np.append(first, len(seeds)), items[order], times[order]
     return SeedIndex(ids, words, by_length)
 
 
-def _covered(runs: list[tuple[int, int]], hashes: np.ndarray, at: int) -> np.ndarray:
-    """Words of a row under seed runs; a word that is in no text stands between runs that are apart.
+def _covered(starts: np.ndarray, length: int, hashes: np.ndarray, at: int) -> np.ndarray:
+    """Words of a row under seeds; a word that is in no text stands between runs that are apart.
 
     Every tile consists of seeds, so nothing outside the runs can be in one.
     """
-    parts, end = [], None
-    for start, length in sorted(runs):
-        if end is not None and start > end:
-            parts.append(np.array([at], np.uint64))
-        begin = start if end is None else max(start, end)
-        parts.append(hashes[begin : start + length])
-        end = start + length if end is None else max(end, start + length)
-    return np.concatenate(parts)
+    apart = np.flatnonzero(starts[1:] > starts[:-1] + length) + 1
+    begins, ends = starts[np.concatenate([[0], apart])], starts[np.concatenate([apart - 1, [len(starts) - 1]])] + length
+    parts = [x for b, e in zip(begins.tolist(), ends.tolist(), strict=True) for x in (hashes[b:e], np.array([at], np.uint64))]
+    return np.concatenate(parts[:-1])
 
 
 def leaks(
@@ -214,9 +261,9 @@ def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, min_match:
 def _leaks_in(texts: pa.Array, index: SeedIndex, min_match: int, coverage: float) -> Iterator[tuple[int, object, float, int, int]]:
     """(row, item, share covered, tiles, words) of each item that one of the texts leaks."""
     for first, offsets, hashes in word_hashes(texts):
-        for (row, item), runs in index.items_at(hashes, offsets).items():
+        for row, item, starts, length in index.items_at(hashes, offsets, coverage):
             words = index.words[item]
-            doc = _covered(runs, hashes, row)
+            doc = _covered(starts, length, hashes, row)
             if len(doc) < coverage * len(words):
                 continue
             tiles = greedy_tiles(doc, words, min(min_match, len(words)))

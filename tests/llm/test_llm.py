@@ -65,6 +65,22 @@ def test_greedy_tiles_against_naive_tiling():
         assert all(doc[i : i + n] == item[j : j + n] for n, i, j in got)
 
 
+def test_tiling_of_texts_that_repeat_themselves():
+    import time
+
+    import pyarrow as pa
+
+    same = lambda n: np.full(n, 7, np.uint64)
+    began = time.perf_counter()
+    assert decontamination.greedy_tiles(same(200_000), same(50), 5) == [(50, 0, 0)]
+    assert decontamination.greedy_tiles(same(200_000), np.concatenate([same(25), np.arange(100, 125, dtype=np.uint64)]), 5) == [(25, 0, 0)]
+    items = ["a " * 50, "x y z " * 20, "stock phrase of some length here " + " ".join(f"i{k}" for k in range(60))]
+    index = decontamination.seed_index([1, 2, 3], pa.array(items), 5)
+    texts = pa.array(["a " * 200_000, "x y z " * 50_000, "stock phrase of some length here . " * 5_000, None, ""])
+    assert [(row, item, covered) for row, item, covered, _, _ in decontamination._leaks_in(texts, index, 5, 0.5)] == [(0, 1, 1.0), (1, 2, 1.0)]
+    assert time.perf_counter() - began < 20  # some 4 s alone; work that grows with words times words would take minutes
+
+
 def test_decontamination_finds_reordered_passages(spark, docs, nothing):
     a, b = "alpha beta gamma delta epsilon zeta eta", "one1 two2 three3 four4 five5 six6"
     bench = spark.createDataFrame([(1, f"{a} {b}"), (2, None), (3, ""), (4, "tiny item")], "item_id long, text string")
@@ -257,6 +273,17 @@ def test_extract_keeps_rows_and_columns(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_near_duplicates_leave_no_tables_of_their_rounds(spark, docs):
+    from pathlib import Path
+
+    from tessera.session import shared_folder
+
+    tables = lambda: {p.name for p in Path(shared_folder(spark).removeprefix("file:")).glob("table-*")}
+    before = tables()
+    near_dup.near_duplicates(docs).count()
+    assert tables() <= before
+
+
 def test_near_duplicates_against_all_pairs(spark, docs, nothing):
     got = {r.doc_id: r for r in near_dup.near_duplicates(docs).collect()}
     text = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
