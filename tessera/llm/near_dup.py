@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.shared import checkpointed, maybe_among, mix, shingle_set, word_hashes
-from tessera.session import stored, table
+from tessera.session import delete, stored, table
 
 BITS = 9
 REGISTERS = 1 << BITS
@@ -258,6 +258,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         spread = stored(spread.join(jump, "now").select("node", "was", F.least("now", "far").alias("component")), replaces=last)
         labels, last = spread.select("node", "component"), spread
         if spread.where("was <> component").isEmpty():
+            labels.stored_at = spread.stored_at
             return labels
 
 
@@ -291,26 +292,33 @@ def near_duplicates(
     sets = checkpointed(_full_sets(docs, checkpointed(placed.select("rep").distinct()), id_col, text_col, words))
     links = reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
     components = links.toDF("rep", "comp")
-    last = None
+    last, done = None, []  # done: tables of the rounds
     while True:
         leader = F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(last or 0))).alias("leader")
         still = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), leader).where("lo <> hi")
         opened = stored(placed.join(still.select("band", "leader"), "band"))
+        done.append(opened.stored_at)
         size = opened.count()
         if size == 0 or last is not None and size >= SHRINKS * last:
             break
         last = size
         star = opened.where("comp <> leader.comp").select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct()
         links = stored(links.union(_confirmed(checkpointed(_plausible(star, reps, threshold)), sets, percent)))
-        components = connected_components(links).toDF("rep", "comp")
+        labels = connected_components(links)
+        done += [links.stored_at, labels.stored_at]
+        components = labels.toDF("rep", "comp")
         placed = _labelled(opened, components)
     if size:
         candidates = opened.select("band", "rep", "comp", "size").join(reps.select("rep", "n", "sig"), "rep")
         found = checkpointed(_confirmed(checkpointed(_open_pairs(candidates, threshold).distinct()), sets, percent))
         if not found.isEmpty():
-            components = connected_components(links.union(found)).toDF("rep", "comp")
+            labels = connected_components(links.union(found))
+            done.append(labels.stored_at)
+            components = labels.toDF("rep", "comp")
     named = reps.join(components, "rep", "left").select("n", "k1", "k2", F.coalesce("comp", "rep").alias("component_id"))
     named = checkpointed(named)
+    for path in done:
+        delete(docs.sparkSession, path)
     found = drawn.select("_id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id"))
     component = F.when(F.col("_id").isNotNull(), component)
