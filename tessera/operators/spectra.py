@@ -1,4 +1,4 @@
-"""Spectra and filters of array columns: numpy over Arrow batches, a row's whole signal at a time, nothing shuffles."""
+"""Spectra and filters of array columns: numpy over Arrow batches, signals of one length together, nothing shuffles."""
 
 from __future__ import annotations
 
@@ -13,12 +13,28 @@ from pyspark.sql import types as T
 _ARRAY = T.ArrayType(T.DoubleType())
 
 
+def _stacked(columns: list[pd.Series], how) -> pd.Series:
+    """``how`` of the matrices of all rows whose arrays have one length, a row a signal (nulls are NaN); null where an array is
+    null, and where ``how`` gives None for that length."""
+    rows: dict[tuple, list[int]] = {}
+    for k, own in enumerate(zip(*columns, strict=True)):
+        if all(v is not None for v in own):
+            rows.setdefault(tuple(len(v) if isinstance(v, np.ndarray) else v for v in own), []).append(k)
+    out: list = [None] * len(columns[0])
+    for at in rows.values():
+        found = how(*(np.stack([np.asarray(c.iloc[k], np.float64) for k in at]) for c in columns))
+        if found is not None:
+            for k, v in zip(at, found, strict=True):
+                out[k] = v
+    return pd.Series(out, dtype=object)
+
+
 def _each(how, kind: T.DataType = _ARRAY):
-    """A function of one array (as float64, nulls are NaN; a null array stays null) as a column function."""
+    """A function of stacked signals (rows by samples) as a function of an array column."""
 
     @F.pandas_udf(kind)
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else how(np.asarray(v, np.float64)))
+        return _stacked([values], how)
 
     return lambda column: run(column.cast("array<double>"))
 
@@ -27,10 +43,10 @@ def magnitudes(values: Column, bins: int = 1000) -> Column:
     """Magnitudes of the first ``bins`` Fourier coefficients, padded with 0 where the signal is shorter."""
 
     def how(v: np.ndarray) -> np.ndarray:
-        out = np.zeros(bins)
-        if len(v):
-            found = np.abs(np.fft.fft(v))[:bins]
-            out[: len(found)] = found
+        out = np.zeros((len(v), bins))
+        if v.shape[1]:
+            found = np.abs(np.fft.fft(v))[:, :bins]
+            out[:, : found.shape[1]] = found
         return out
 
     return _each(how)(values)
@@ -38,7 +54,7 @@ def magnitudes(values: Column, bins: int = 1000) -> Column:
 
 def positive_spectrum(values: Column) -> Column:
     """Magnitudes of the coefficients of frequencies from 0 up to (not including) half the rate."""
-    return _each(lambda v: np.abs(np.fft.fft(v))[: (len(v) + 1) // 2] if len(v) else v)(values)
+    return _each(lambda v: np.abs(np.fft.fft(v))[:, : (v.shape[1] + 1) // 2] if v.shape[1] else v)(values)
 
 
 def positive_frequencies(size: Column, rate: float) -> Column:
@@ -51,7 +67,7 @@ def envelope(values: Column) -> Column:
     """The magnitude of the analytic signal: negative frequencies are cancelled and positive ones doubled."""
 
     def how(v: np.ndarray) -> np.ndarray:
-        n = len(v)
+        n = v.shape[1]
         if not n:
             return v
         keep = np.zeros(n)
@@ -75,14 +91,12 @@ def low_pass_coefficients(order: int, cutoff: float) -> tuple[np.ndarray, np.nda
 
 
 def filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """The difference equation of (b, a) over a signal, from an initial state."""
-    z, out = state.astype(float).tolist() + [0.0], np.empty(len(x))
-    bs, as_, order = b.tolist(), a.tolist(), len(a) - 1
-    for k, v in enumerate(x.tolist()):
-        y = bs[0] * v + z[0]
-        for j in range(order):
-            z[j] = bs[j + 1] * v + z[j + 1] - as_[j + 1] * y
-        out[k] = y
+    """The difference equation of (b, a) along the last axis, from an initial state; signals of one length go step by step together."""
+    z, out = np.zeros((*x.shape[:-1], len(a))), np.empty(x.shape)
+    z[..., :-1] = state
+    for k in range(x.shape[-1]):
+        out[..., k] = b[0] * x[..., k] + z[..., 0]
+        z[..., :-1] = b[1:] * x[..., k, None] + z[..., 1:] - a[1:] * out[..., k, None]
     return out
 
 
@@ -94,12 +108,12 @@ def low_passed(values: Column, cutoff: float, rate: float, order: int = 3) -> Co
     edge = 3 * (order + 1)
 
     def how(v: np.ndarray) -> np.ndarray | None:
-        if len(v) <= edge:
+        if v.shape[1] <= edge:
             return None
-        x = np.concatenate([2 * v[0] - v[edge:0:-1], v, 2 * v[-1] - v[-2 : -edge - 2 : -1]])
+        x = np.concatenate([2 * v[:, :1] - v[:, edge:0:-1], v, 2 * v[:, -1:] - v[:, -2 : -edge - 2 : -1]], axis=1)
         for _ in range(2):
-            x = filtered(b, a, x, steady * x[0])[::-1]
-        return x[edge:-edge]
+            x = filtered(b, a, x, steady * x[:, :1])[:, ::-1]
+        return x[:, edge:-edge]
 
     return _each(how)(values)
 
@@ -110,13 +124,14 @@ def spectrogram_db(values: Column, frame: int = 2048, hop: int = 512, range_db:
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(frame) / frame)
 
     def how(v: np.ndarray) -> list:
-        if not len(v):
-            return []
-        padded = np.pad(v, frame // 2)
-        starts = np.arange(0, len(padded) - frame + 1, hop)
-        found = np.abs(np.fft.rfft(padded[starts[:, None] + np.arange(frame)] * window, axis=1))
-        level = 20 * np.log10(np.maximum(found, 1e-5)) - 20 * np.log10(max(found.max(), 1e-5))
-        return list(np.maximum(level, level.max() - range_db))
+        if not v.shape[1]:
+            return [[] for _ in v]
+        padded = np.pad(v, ((0, 0), (frame // 2, frame // 2)))
+        starts = np.arange(0, padded.shape[1] - frame + 1, hop)
+        found = np.abs(np.fft.rfft(padded[:, starts[:, None] + np.arange(frame)] * window))
+        top = found.max(axis=(1, 2), keepdims=True)
+        level = 20 * np.log10(np.maximum(found, 1e-5)) - 20 * np.log10(np.maximum(top, 1e-5))
+        return [list(x) for x in np.maximum(level, level.max(axis=(1, 2), keepdims=True) - range_db)]
 
     return _each(how, T.ArrayType(_ARRAY))(values)
 
@@ -129,13 +144,10 @@ def wiener_restored(clean: Column, inked: Column, page: Column, width: Column, k
 
     @F.pandas_udf(_ARRAY)
     def run(clean: pd.Series, inked: pd.Series, page: pd.Series, width: pd.Series) -> pd.Series:
-        out = []
-        for c, i, p, w in zip(clean, inked, page, width, strict=True):
-            if any(x is None for x in (c, i, p)):
-                out.append(None)
-                continue
-            x, y, z = (np.fft.fft2(np.asarray(v, float).reshape(-1, int(w))) for v in (c, i, p))
-            out.append(np.clip(np.fft.ifft2(x * np.conj(y) / (np.abs(y) ** 2 + k) * z).real, 0, 1).ravel())
-        return pd.Series(out)
+        def how(c: np.ndarray, i: np.ndarray, p: np.ndarray, w: np.ndarray) -> np.ndarray:
+            x, y, z = (np.fft.fft2(v.reshape(len(v), -1, int(w[0]))) for v in (c, i, p))
+            return np.clip(np.fft.ifft2(x * np.conj(y) / (np.abs(y) ** 2 + k) * z).real, 0, 1).reshape(len(c), -1)
+
+        return _stacked([clean, inked, page, width], how)
 
     return run(*(x.cast("array<double>") for x in (clean, inked, page)), width)

@@ -131,7 +131,7 @@ def flattened_sections(spark: SparkSession, d: str) -> DataFrame:
 def wide_array(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     wide = tables.widened(e, "embedding", 66, "e")
-    return wide.select("vec_id", *(F.round(F.col(f"e{k}").cast("double"), 6).alias(f"e{k}") for k in (0, 1, 31, 63, 64, 65)))
+    return wide.select("vec_id", *(F.round(F.col(f"e{k}").cast("double"), 6).alias(f"e{k}") for k in range(66)))
 
 
 # --- scalar functions -----------------------------------------------------------------------------
@@ -191,9 +191,9 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spectrum_bins(spark: SparkSession, d: str) -> DataFrame:
-    """The first thousand magnitudes, as sums of those that exist and of the padding, and the single ones that exist."""
+    """The first thousand magnitudes, padding included."""
     m = _vectors(spark, d).select("vec_id", spectra.magnitudes(F.col("x")).alias("m"))
-    return m.select("vec_id", F.size("m").alias("bins"), F.posexplode(F.slice("m", 1, 66)).alias("k", "v")).select("vec_id", F.col("bins").cast("long").alias("bins"), F.col("k").cast("long").alias("k"), F.round("v", 5).alias("magnitude"))
+    return m.select("vec_id", F.size("m").alias("bins"), F.posexplode("m").alias("k", "v")).select("vec_id", F.col("bins").cast("long").alias("bins"), F.col("k").cast("long").alias("k"), F.round("v", 5).alias("magnitude"))
 
 
 def positive_spectra(spark: SparkSession, d: str) -> DataFrame:
@@ -217,22 +217,23 @@ def spectrogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wiener_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of 8 by 8 under uneven ink; the filter of a clean and an inked picture is applied to the inked one turned upside down."""
     e = _vectors(spark, d).select("vec_id", F.transform("x", lambda v: values.clipped(v / 4 + 0.5, 0.0, 1.0)).alias("clean"))
-    e = e.withColumn("inked", F.transform("clean", lambda v: v * 0.5))
-    x = e.select("vec_id", F.posexplode(spectra.wiener_restored(F.col("clean"), F.col("inked"), F.col("inked"), F.lit(8), 1e-15)).alias("i", "v"))
+    e = e.withColumn("inked", F.transform("clean", lambda v, i: v * (0.4 + F.pmod(i * 7, F.lit(5)) * 0.15)))
+    x = e.select("vec_id", F.posexplode(spectra.wiener_restored(F.col("clean"), F.col("inked"), F.reverse("inked"), F.lit(8))).alias("i", "v"))
     return x.select("vec_id", F.col("i").cast("long").alias("i"), F.round("v", 4).alias("v"))
 
 
 def lead_alignment(spark: SparkSession, d: str) -> DataFrame:
     e = _vectors(spark, d)
-    pairs = e.select(F.col("vec_id").alias("record"), F.col("x").alias("p")).join(e.select((F.col("vec_id") - 1).alias("record"), F.slice("x", 1, 60).alias("t")), "record")
+    pairs = e.select(F.col("vec_id").alias("record"), F.col("x").alias("p")).join(e.select((F.col("vec_id") - 1).alias("record"), F.slice("x", F.lit(1), 64 - F.pmod("vec_id", F.lit(7))).alias("t")), "record")
     found = signals.lead_details(pairs.withColumn("lead", F.pmod("record", F.lit(4))).withColumn("record", F.floor(F.col("record") / 4)), ["record", "lead"], "p", "t", 25.0)
     return found.select("record", "lead", F.col("lag").cast("long").alias("lag"), F.col("n").cast("long").alias("n"), *((F.round(c, 5) + 0.0).alias(c) for c in ("dc", "rmse", "sig_power", "err_power")))
 
 
 def record_noise(spark: SparkSession, d: str) -> DataFrame:
     e = _vectors(spark, d)
-    pairs = e.select(F.col("vec_id").alias("record"), F.col("x").alias("p")).join(e.select((F.col("vec_id") - 1).alias("record"), F.slice("x", 1, 60).alias("t")), "record")
+    pairs = e.select(F.col("vec_id").alias("record"), F.col("x").alias("p")).join(e.select((F.col("vec_id") - 1).alias("record"), F.slice("x", F.lit(1), 64 - F.pmod("vec_id", F.lit(7))).alias("t")), "record")
     details = signals.lead_details(pairs.withColumn("lead", F.pmod("record", F.lit(4))).withColumn("record", F.floor(F.col("record") / 4)), ["record", "lead"], "p", "t", 25.0)
     return signals.signal_to_noise_over_leads(details, ["record"]).select("record", F.round("snr_db", 4).alias("snr_db"))
 
@@ -305,8 +306,8 @@ def pair_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mean_overlap(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select(F.pmod("vec_id", F.lit(7)).alias("image"), F.pmod("label", F.lit(4)).alias("truth"), F.slice("embedding", 1, 4).alias("logits"))
-    return runs.mean_iou(e, ["image"], "truth", "logits", 4).withColumn("mean_iou", F.round("mean_iou", 8))
+    e = table(spark, d, "embeddings").select(F.pmod("vec_id", F.lit(7)).alias("image"), F.pmod(F.col("label") * 5, F.lit(64)).alias("truth"), F.col("embedding").alias("logits"))
+    return runs.mean_iou(e, ["image"], "truth", "logits", 64).withColumn("mean_iou", F.round("mean_iou", 8))
 
 
 def picture_contrast(spark: SparkSession, d: str) -> DataFrame:
@@ -358,7 +359,7 @@ _BOUNDS = """c AS (SELECT image, theta, count(*) AS n FROM s GROUP BY 1, 2), d A
 _X = "x AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)"
 _DFT = _X + """, r AS (SELECT vec_id, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS i, len(x) AS n FROM x),
     w AS (SELECT vec_id, k, any_value(n) AS n, sum(v * cos(2 * pi() * k * i / n)) AS re, -sum(v * sin(2 * pi() * k * i / n)) AS im FROM r, range(64) t(k) GROUP BY 1, 2)"""
-_LEADS = _X + """, p AS (SELECT a.vec_id AS id, a.x[:60] AS p, b.x[:60] AS t FROM x a JOIN x b ON b.vec_id = a.vec_id + 1),
+_LEADS = _X + """, p AS (SELECT a.vec_id AS id, a.x[:64 - b.vec_id % 7] AS p, b.x[:64 - b.vec_id % 7] AS t FROM x a JOIN x b ON b.vec_id = a.vec_id + 1),
     m AS (SELECT id, p, t, list_avg(p) AS mp, list_avg(t) AS mt, len(p) AS n FROM p),
     l AS (SELECT id, lag, list_sum(list_transform(range(greatest(1, 1 - lag), least(n, n - lag) + 1), lambda j: (p[j] - mp) * (t[j + lag] - mt))) AS s FROM m, range(-5, 6) r(lag)),
     b AS (SELECT id, arg_max(lag, (s, -lag)) AS lag FROM l GROUP BY 1),
@@ -402,7 +403,7 @@ ORACLES = {
             {_U.format('l_orderkey', 'crop')} AS u FROM lineitem)
         SELECT l_orderkey, min(l_linenumber) AS l_linenumber FROM r WHERE run > u * total GROUP BY 1""",
     "flattened_sections": """SELECT s_suppkey, unnest(['hough_ratio', 'n_bins', 'mode']) AS key, unnest([s_suppkey::VARCHAR, '9', 'sobel']) AS value FROM supplier""",
-    "wide_array": "SELECT vec_id, " + ", ".join(f"round(embedding[{k + 1}]::DOUBLE, 6) AS e{k}" for k in (0, 1, 31, 63, 64, 65)) + " FROM embeddings",
+    "wide_array": "SELECT vec_id, " + ", ".join(f"round(embedding[{k + 1}]::DOUBLE, 6) AS e{k}" for k in range(66)) + " FROM embeddings",
     "intensity_functions": """WITH e AS (SELECT event_id, value / 100 - 0.5::DOUBLE AS x FROM events), p AS (SELECT *, greatest(1e-6, least(1 - 1e-6, 1 / (1 + exp(-x)))) AS p, greatest(0, least(1, x)) AS c FROM e)
         SELECT event_id, round(1 / (1 + exp(-x)), 6) AS sigmoid, round(pow(p / (1 - p), 2) / (1 + pow(p / (1 - p), 2)), 6) AS sharp, greatest(0, least(255, round_even(x * 255, 0)))::BIGINT AS byte,
                round(pow(c, 0.5::DOUBLE), 6) AS gamma, round(greatest(0::DOUBLE, least(1::DOUBLE, x + 1.5::DOUBLE * (x - 0.4::DOUBLE))), 6) AS unsharp,
@@ -423,7 +424,7 @@ ORACLES = {
     "page_regions": """WITH e AS (SELECT event_id, user_id, event_id % 60 AS x0, user_id % 50 AS y0, event_id % 9 * 90 AS w, user_id % 7 * 85 AS h FROM events)
         SELECT event_id, x0 > 10 AND y0 > 10 AND x0 + w < 789 AND y0 + h < 589 AND greatest(1, w) / greatest(1, h) >= 1.1::DOUBLE AND w * h > 0.08::DOUBLE * 480000 AS page,
                (event_id % 181 <= 10 OR event_id % 181 BETWEEN 170 AND 180) AND user_id % 256 >= 50 AND event_id * 7 % 256 >= 50 AS red FROM e""",
-    "spectrum_bins": f"WITH {_DFT} SELECT vec_id, 1000::BIGINT AS bins, k, round(sqrt(re * re + im * im), 5) AS magnitude FROM w UNION ALL SELECT vec_id, 1000, k, 0 FROM x, range(64, 66) t(k)",
+    "spectrum_bins": f"WITH {_DFT} SELECT vec_id, 1000::BIGINT AS bins, k, round(sqrt(re * re + im * im), 5) AS magnitude FROM w UNION ALL SELECT vec_id, 1000, k, 0 FROM x, range(64, 1000) t(k)",
     "positive_spectra": f"WITH {_DFT} SELECT vec_id, round(k * 500.0::DOUBLE / n, 5) AS frequency, round(sqrt(re * re + im * im), 5) AS magnitude FROM w WHERE k < (n + 1) // 2",
     "envelopes": f"""WITH {_DFT}, h AS (SELECT vec_id, k, CASE WHEN k = 0 OR k = 32 THEN 1 WHEN k < 32 THEN 2 ELSE 0 END / n AS g, re, im FROM w),
         z AS (SELECT vec_id, i, sum(g * (re * cos(2 * pi() * k * i / 64) - im * sin(2 * pi() * k * i / 64))) AS a, sum(g * (re * sin(2 * pi() * k * i / 64) + im * cos(2 * pi() * k * i / 64))) AS b FROM h, range(64) t(i) GROUP BY 1, 2)
@@ -452,8 +453,8 @@ ORACLES = {
             UNION ALL SELECT event_type, 'score', 30.0, abs(max(event_id * 3 % 53) - min(event_id % 61)) * cos(radians(30)) / (63 * cos(radians(30)) + 47 * sin(radians(30))) FROM events GROUP BY 1)
         SELECT image, arg_max(round(sep, 6), (sep, source = 'global')) AS sep, arg_max(reference, (sep, source = 'global')) AS reference, arg_max(source, (sep, source = 'global')) AS source FROM f GROUP BY 1""",
     "pair_names": """SELECT a.n_regionkey AS image, a.n_nationkey AS rho_a, a.n_nationkey + 1 AS rho_b, a.n_name AS name_a, b.n_name AS name_b FROM nation a LEFT JOIN nation b ON b.n_nationkey = a.n_nationkey + 1 AND b.n_regionkey = a.n_regionkey""",
-    "mean_overlap": """WITH e AS (SELECT vec_id % 7 AS image, label % 4 AS t, list_position(embedding[:4], list_max(embedding[:4])) - 1 AS g FROM embeddings),
-        c AS (SELECT image, k, count(*) FILTER (WHERE t = k AND g = k) AS b, count(*) FILTER (WHERE t = k OR g = k) AS u FROM e, range(4) r(k) GROUP BY 1, 2)
+    "mean_overlap": """WITH e AS (SELECT vec_id % 7 AS image, label * 5 % 64 AS t, list_position(embedding, list_max(embedding)) - 1 AS g FROM embeddings),
+        c AS (SELECT image, k, count(*) FILTER (WHERE t = k AND g = k) AS b, count(*) FILTER (WHERE t = k OR g = k) AS u FROM e, range(64) r(k) GROUP BY 1, 2)
         SELECT image, round(avg(b / u) FILTER (WHERE u > 0), 8) AS mean_iou FROM c GROUP BY 1""",
     "picture_contrast": """SELECT l_linenumber, round(i, 8) AS inside, round(o, 8) AS outside, round(i / greatest(o, 1e-8), 8) AS ratio, round(p, 8) AS photometric FROM (
         SELECT l_linenumber, avg(l_discount) FILTER (WHERE l_returnflag = 'R') AS i, avg(l_discount) FILTER (WHERE l_returnflag <> 'R') AS o, abs(avg(l_discount) - avg(l_tax)) + abs(stddev_pop(l_discount) - stddev_pop(l_tax)) AS p FROM lineitem GROUP BY 1)""",
@@ -465,5 +466,13 @@ ORACLES = {
         SELECT r.run, concat_ws(',', CASE WHEN s.run IS NOT NULL THEN 'zip' END, CASE WHEN c.run IS NOT NULL THEN 'dir' END, CASE WHEN o.run IS NOT NULL THEN 'metadata' END) AS sources, coalesce(c.name, o.name) AS name, round(coalesce(s.score, o.score), 2) AS score
         FROM r LEFT JOIN c ON c.run = r.run LEFT JOIN o ON o.run = r.run LEFT JOIN s ON s.run = r.run""",
     "settings_table": "SELECT event_id, event_id::VARCHAR AS rank, CASE WHEN event_id % 2 = 1 THEN '9' END AS length FROM events",
-    "wiener_pages": f"WITH {_X} SELECT vec_id, i, round(greatest(0::DOUBLE, least(1::DOUBLE, x[i + 1] / 4 + 0.5::DOUBLE)), 4) AS v FROM x, range(64) t(i)",
+    "wiener_pages": f"""WITH {_X}, c AS (SELECT vec_id, i, greatest(0::DOUBLE, least(1::DOUBLE, x[i + 1] / 4 + 0.5::DOUBLE)) AS c FROM x, range(64) t(i)),
+        p AS (SELECT vec_id, i, c, c * (0.4::DOUBLE + i * 7 % 5 * 0.15::DOUBLE) AS k FROM c),
+        q AS (SELECT p.*, lead(k, 63 - 2 * i::INT) OVER (PARTITION BY vec_id ORDER BY i) AS z FROM p),
+        f AS (SELECT vec_id, u, v, sum(c * cos(a)) AS cr, -sum(c * sin(a)) AS ci, sum(k * cos(a)) AS kr, -sum(k * sin(a)) AS ki, sum(z * cos(a)) AS zr, -sum(z * sin(a)) AS zi
+              FROM (SELECT *, 2 * pi() * (u * (i // 8) + v * (i % 8)) / 8 AS a FROM q, range(8) t(u), range(8) s(v)) GROUP BY 1, 2, 3),
+        h AS (SELECT vec_id, u, v, zr, zi, (cr * kr + ci * ki) / (kr * kr + ki * ki + 1e-3) AS hr, (ci * kr - cr * ki) / (kr * kr + ki * ki + 1e-3) AS hi FROM f),
+        g AS (SELECT vec_id, u, v, hr * zr - hi * zi AS gr, hr * zi + hi * zr AS gi FROM h)
+        SELECT vec_id, i, round(greatest(0, least(1, sum(gr * cos(a) - gi * sin(a)) / 64)), 4) AS v
+        FROM (SELECT *, 2 * pi() * (u * (i // 8) + v * (i % 8)) / 8 AS a FROM g, range(64) r(i)) GROUP BY 1, 2""",
 }

@@ -92,3 +92,36 @@ def read_json_documents(spark: SparkSession, path: str, schema: T.StructType | s
 def write_snapshot(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     """Replaces the partitions of the keys that ``df`` has and leaves the others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def resume_point(spark: SparkSession, path: str, step: int | None = None, prefix: str = "checkpoint-") -> tuple[str, int] | None:
+    """(path, step) of the checkpoint folder below ``path`` to go on from: that of the named step, which must be there, or else the
+    latest one; None where there is none yet."""
+    from tessera.sources.containers import latest_numbered  # which builds on this module
+
+    if step is not None:
+        named = f"{path.rstrip('/')}/{prefix}{step}"
+        if first_existing(spark, [named]) is None:
+            raise FileNotFoundError(named)
+        return named, step
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders = [(str(f.getPath()),) for f in files.listStatus(place) if f.isDirectory()] if files.exists(place) else []  # a folder a checkpoint
+    found = latest_numbered(spark.createDataFrame(folders, "path string"), prefix).first()
+    return (found["path"], found["number"]) if found else None
+
+
+def delete_broken(spark: SparkSession, broken: DataFrame) -> int:
+    """Deletes the files named in the column ``path`` one by one, and tells how many were there.
+
+    What has to be made again is then ``tables.renewed`` of the expected and the remaining keys. Paths are those of one store that every
+    executor reaches; a path that is gone already, or comes twice, counts once or not at all.
+    """
+    from tessera.session import delete
+
+    gone = 0
+    for r in broken.select("path").where("path IS NOT NULL").distinct().toLocalIterator():  # broken ones are few; names alone are held, a partition at a time
+        if first_existing(spark, [r["path"]]) is not None:
+            delete(spark, r["path"])
+            gone += 1
+    return gone

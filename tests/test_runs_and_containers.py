@@ -85,3 +85,29 @@ def test_file_names(spark, folder):
     paths = spark.createDataFrame([("out/step-9",), ("out/step-10/",), ("out/step-x",), ("out/other-99",)], "path string")
     assert containers.latest_numbered(paths, "step-").first().path == "out/step-10/"
     assert containers.latest_numbered(paths.where("path = 'out/step-x'"), "step-").count() == 0
+
+
+def test_resume_points(spark, tmp_path):
+    from tessera.sources.files import resume_point
+
+    assert resume_point(spark, str(tmp_path / "none")) is None and resume_point(spark, str(tmp_path)) is None
+    for step in (96, 193, 24):
+        (tmp_path / f"checkpoint-{step}").mkdir()
+    (tmp_path / "checkpoint-999").write_text("a file is no checkpoint")
+    path, step = resume_point(spark, str(tmp_path))
+    assert step == 193 and path.endswith("checkpoint-193")
+    assert resume_point(spark, str(tmp_path), 24)[1] == 24
+    with pytest.raises(FileNotFoundError):
+        resume_point(spark, str(tmp_path), 25)
+
+
+def test_broken_files_go_and_are_made_again(spark, tmp_path):
+    from tessera.operators.tables import renewed
+    from tessera.sources.files import delete_broken
+
+    for name in "abc":
+        (tmp_path / name).write_text(name)
+    broken = spark.createDataFrame([(str(tmp_path / "a"),), (str(tmp_path / "a"),), (str(tmp_path / "gone"),), (None,)], "path string")
+    assert delete_broken(spark, broken) == 1
+    left = spark.createDataFrame([(p.name,) for p in tmp_path.iterdir()], "k string")
+    assert sorted(r.k for r in renewed(spark.createDataFrame([(k,) for k in "abc"], "k string"), left, "k").collect()) == ["a"]
