@@ -8,6 +8,8 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import ordered
+
 
 def correlation(a: str, b: str) -> Column:
     """Pearson correlation of the rows where both are present; null without variance."""
@@ -48,14 +50,15 @@ def min_max(df: DataFrame, column: str) -> DataFrame:
 
 
 def ordinal_codes(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): distinct values by upper-cased text, nulls last."""
-    w = Window.orderBy(F.col(column).isNull(), F.upper(F.col(column).cast("string")), F.col(column))
-    return df.select(column).distinct().withColumn("code", F.row_number().over(w) - 1)
+    """(value, code): distinct values by upper-cased text, nulls last. They are numbered over range partitions, however many there are."""
+    keys = df.select(column).distinct().withColumn("_null", F.col(column).isNull()).withColumn("_upper", F.upper(F.col(column).cast("string")))
+    return ordered.ranked(keys, [], ["_null", "_upper", column]).select(column, F.col("_rank").alias("code"))
 
 
 def category_codes(df: DataFrame, column: str) -> DataFrame:
-    """(value, code) of a column with few distinct values: their places in order, from 0."""
-    return df.where(F.col(column).isNotNull()).select(column).distinct().withColumn("code", F.row_number().over(Window.orderBy(column)) - 1)
+    """(value, code): the distinct values' places in order, from 0, numbered over range partitions. Nulls have none."""
+    keys = df.where(F.col(column).isNotNull()).select(column).distinct()
+    return ordered.ranked(keys, [], [column]).select(column, F.col("_rank").alias("code"))
 
 
 def histogram(df: DataFrame, bin_column: str, bins: int) -> DataFrame:

@@ -99,7 +99,7 @@ def spacing(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """The first ``n`` rows by columns whose values together are distinct, however large ``n`` is.
+    """The first ``n`` rows by columns whose values together are distinct, however large ``n`` is; of a few ``orderBy`` and ``limit`` will do.
 
     Rows are range-partitioned; whole partitions are taken, and only the one in which the cut lies is ranked.
     """

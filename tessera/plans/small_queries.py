@@ -73,7 +73,7 @@ def mask_algebra(spark: SparkSession, d: str) -> DataFrame:
 
 def category_codes(spark: SparkSession, d: str) -> DataFrame:
     codes = statistics.category_codes(table(spark, d, "events"), "event_type")
-    return table(spark, d, "events").join(F.broadcast(codes), "event_type").select("event_id", "code")
+    return table(spark, d, "events").join(codes, "event_type").select("event_id", "code")
 
 
 def json_list_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -139,10 +139,10 @@ def renewed_items(spark: SparkSession, d: str) -> DataFrame:
 
 def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
     keyed = table(spark, d, "orders").select("o_orderkey", tables.hash_order("o_orderkey", 42).alias("place"))
-    return tables.first_rows(keyed, ["place", "o_orderkey"], 300).select("o_orderkey")
+    return keyed.orderBy("place", "o_orderkey").limit(300).select("o_orderkey")
 
 
-def group_maxima(spark: SparkSession, d: str) -> DataFrame:
+def flat_pictures(spark: SparkSession, d: str) -> DataFrame:
     """Blank and flat pictures among the event types' grids."""
     g = _grid(spark, d).withColumn("v", F.when(F.col("image") == "click", 1.0).otherwise(F.col("v") / 500))
     return images.flat(g)
@@ -152,7 +152,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         inline_constants, dictionary_lookup, membership, skipped_failures, features_and_target, index_joined, best_setting, name_union, subset_test, mask_algebra, category_codes,
-        json_list_rows, padded_tokens, picked_components, energy_maps, bordered, vote_peaks, projection_profile, traced_line, page_scores, lead_layout, renewed_items, seeded_sample, group_maxima,
+        json_list_rows, padded_tokens, picked_components, energy_maps, bordered, vote_peaks, projection_profile, traced_line, page_scores, lead_layout, renewed_items, seeded_sample, flat_pictures,
     )
 }
 
@@ -215,6 +215,6 @@ ORACLES = {
         FROM h JOIN l USING (row)""",
     "renewed_items": "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels WHERE quality IS NOT NULL AND toxic = 0",
     "seeded_sample": "SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey || '|42'), o_orderkey LIMIT 300",
-    "group_maxima": f"""WITH {_GRID}, q AS (SELECT image, CASE WHEN image = 'click' THEN 1 ELSE v / 500 END AS v FROM g)
+    "flat_pictures": f"""WITH {_GRID}, q AS (SELECT image, CASE WHEN image = 'click' THEN 1 ELSE v / 500 END AS v FROM g)
         SELECT image, avg((v >= 0.99::DOUBLE)::INT) >= 0.995::DOUBLE OR stddev_pop(v) < 0.01::DOUBLE OR max(v) - min(v) < 0.02::DOUBLE AS flat FROM q GROUP BY 1""",
 }

@@ -111,3 +111,42 @@ def test_broken_files_go_and_are_made_again(spark, tmp_path):
     assert delete_broken(spark, broken) == 1
     left = spark.createDataFrame([(p.name,) for p in tmp_path.iterdir()], "k string")
     assert sorted(r.k for r in renewed(spark.createDataFrame([(k,) for k in "abc"], "k string"), left, "k").collect()) == ["a"]
+
+
+def test_experiments_are_found_in_folders_and_bundles(spark, tmp_path):
+    from tessera.sources.experiments import discovered_experiments
+
+    def bundle(path, members):
+        with zipfile.ZipFile(path, "w") as z:
+            for name, text in members.items():
+                z.writestr(name, text)
+
+    def folder(path, members):
+        path.mkdir(parents=True)
+        for name, text in members.items():
+            (path / name).write_text(text)
+
+    sub = tmp_path / "submissions"
+    folder(sub / "first", {"metadata.json": '{"id": "m1", "method": "boxed", "hyperparams": {"r": 4}, "run_config": "none"}', "submission.csv": "id"})
+    folder(sub / "second", {"metadata.json": '{"experiment_name": "meta", "run_id": "r7"}', "trainer_log_history.csv": "step"})
+    bundle(sub / "second" / "b_diagnostics.zip", {"run_config.json": '{"experiment_name": "diagnostics"}'})
+    bundle(sub / "second" / "a_run_bundle.zip", {"deep/er/run_config.json": '{"experiment_name": "deeper"}', "x/run_config.json": '{"experiment_name": "inner"}', "x/probe_evolution.csv": "step"})
+    folder(tmp_path / "experiments" / "alpha", {"run_config.json": '{"experiment_name": "A", "prompt_experiment": "short"}'})
+    folder(tmp_path / "runs" / "beta", {"trainer_log_history.csv": "step"})
+    folder(tmp_path / "elsewhere" / "gamma", {"run_config.json": "{}"})
+    (tmp_path / "run_bundles").mkdir()
+    bundle(tmp_path / "run_bundles" / "c_run_bundle.zip", {"run_config.json": '{"prompt_experiment": "long"}'})
+    (tmp_path / "broken_run_bundle.zip").write_text("no archive")
+    bundle(tmp_path / "other.zip", {"run_config.json": "{}"})
+    got = {r.place: r for r in discovered_experiments(spark, str(tmp_path)).collect()}
+    assert {p: (r.source, r.name, r.method) for p, r in got.items()} == {
+        "submissions/first": ("submission archive", "m1", "boxed"),
+        "submissions/second": ("submission archive", "inner", "r7"),
+        "experiments/alpha": ("run folder", "A", "short"),
+        "runs/beta": ("run folder", "beta", None),
+        "run_bundles/c_run_bundle.zip": ("run bundle", "c", "long"),
+        "broken_run_bundle.zip": ("run bundle", "broken", None),
+    }
+    assert got["submissions/first"].config == '{"r":4}' and got["runs/beta"].config is None
+    assert got["submissions/second"].files == ["a_run_bundle.zip", "b_diagnostics.zip", "metadata.json", "probe_evolution.csv", "run_config.json", "trainer_log_history.csv"]
+    assert got["run_bundles/c_run_bundle.zip"].files == ["run_config.json"] and got["broken_run_bundle.zip"].files == []
