@@ -10,7 +10,9 @@ result; they are told by numbers, all other words by their 64-bit hashes. Pairs
 by the first, and a very frequent one over several partitions by the second. A pair with an unlisted second
 word stands in that word's partition, where its count is known too, and a pair with an unlisted first word
 (also) in that one's, with its backoff weight: so each term of a probability is found in one place. Tokens
-travel to the tables as sorted, packed arrays rather than rows; partial sums return packed by slice.
+travel to the tables as sorted, packed arrays rather than rows; partial sums return packed by slice. Tokens of a pair that
+makes up more than one in HEAD of all (so there are fewer than HEAD of them) don't travel: their counts are broadcast
+too, and the task that reads them scores them.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from tessera.session import table
 SHORTLIST = 1 << 18
 #: Good-Turing discounts apply to counts up to this; larger counts are taken as reliable.
 RELIABLE = 5
+#: A pair of more than one in so many tokens is scored where it is read.
+HEAD = 1 << 17
 #: Tokens packed together, and (about) tokens to one partition of the tables.
 SLICE_TOKENS, PART_TOKENS = 400_000, 1_000_000
 #: Folders of a stored table, however many partitions it has.
@@ -177,6 +181,8 @@ class KatzModel:
     history: np.ndarray  # by class: tokens after it in training
     gain: np.ndarray  # by class: factor of the discounted frequencies
     back: np.ndarray  # by class: backoff weight
+    head: np.ndarray  # keys of the very frequent pairs of listed words, ascending
+    head_counts: np.ndarray
     pairs_path: str
     histories_path: str
 
@@ -291,7 +297,7 @@ def _stored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("kind string, keys binary, vals binary, part int, folder int").parquet(path).drop("folder")
 
 
-def train(texts: DataFrame, text_col: str, shortlist: int = SHORTLIST) -> KatzModel:
+def train(texts: DataFrame, text_col: str, shortlist: int = SHORTLIST, head: int = HEAD) -> KatzModel:
     """Counts words and pairs over all the texts and normalises the backoff weights."""
     spark = texts.sparkSession
 
@@ -312,8 +318,8 @@ def train(texts: DataFrame, text_col: str, shortlist: int = SHORTLIST) -> KatzMo
         if listed + r["types"] > shortlist:
             break
         least, listed = r["least"], listed + r["types"]
-    head = words.where(F.col("c") >= least).toPandas()
-    hashes, own = head["w"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64)
+    most = words.where(F.col("c") >= least).toPandas()
+    hashes, own = most["w"].to_numpy(np.int64).view(np.uint64), most["c"].to_numpy(np.int64)
     order = np.argsort(hashes)
     hashes, own = hashes[order], own[order]
     parts = max(1, math.ceil(total / PART_TOKENS))
@@ -374,6 +380,18 @@ def train(texts: DataFrame, text_col: str, shortlist: int = SHORTLIST) -> KatzMo
     seen = _stored(spark, pairs_path).select("kind", "keys", "vals").mapInArrow(count_counts, "r long, types long")
     seen = {r["r"]: r["n"] for r in seen.groupBy("r").agg(F.sum("types").alias("n")).collect() if r["r"]}
     pair_discounts = good_turing(seen)
+
+    def frequent(batches):
+        for batch in batches:
+            for kind, keys, vals in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == "pairs":
+                    key, n = _keys(_plain(keys)), _unplanes(_plain(vals), np.uint32).astype(np.int64)
+                    top = n * head > total
+                    yield pa.RecordBatch.from_arrays([pa.array(key[top].view(np.int64)), pa.array(n[top])], ["k", "n"])
+
+    very = _stored(spark, pairs_path).select("kind", "keys", "vals").mapInArrow(frequent, "k long, n long").toPandas()  # fewer than ``head`` rows
+    order = np.argsort(very["k"].to_numpy(np.int64).view(np.uint64))
+    head_keys, head_counts = very["k"].to_numpy(np.int64).view(np.uint64)[order], very["n"].to_numpy(np.int64)[order]
     probabilities = spark.sparkContext.broadcast(alone)
 
     def histories(batches):
@@ -410,14 +428,14 @@ def train(texts: DataFrame, text_col: str, shortlist: int = SHORTLIST) -> KatzMo
     of_list = F.col("h").between(0, int(LISTED) - 1)
     others = sums.where(~of_list).withColumn("part", F.pmod(F.col("h"), F.lit(parts)).cast("int"))
     histories_path = _store(others.groupBy("part").applyInArrow(pack, _PACKED).select("kind", "keys", "vals", "part"), "histories")
-    head = sums.where(of_list).toPandas()
+    listed_sums = sums.where(of_list).toPandas()
     history, kept, after = (np.zeros(len(alone)) for _ in range(3))
     for out, name in ((history, "n"), (kept, "kept"), (after, "after")):
-        out[head["h"].to_numpy(np.int64)] = head[name].to_numpy(float)
+        out[listed_sums["h"].to_numpy(np.int64)] = listed_sums[name].to_numpy(float)
     gain, back = _weights(history, kept, after)
     return KatzModel(
         hashes, own, int(total), int(types), parts, salt, word_discounts, pair_discounts, alone, float(shrink), float(unseen),
-        history, gain, back, pairs_path, histories_path,
+        history, gain, back, head_keys, head_counts, pairs_path, histories_path,
     )
 
 
@@ -443,10 +461,16 @@ def score(texts: DataFrame, model: KatzModel, id_col: str, text_col: str) -> Dat
             ids = held.select([0]).rename_columns(["id"]).cast(id_schema)
             with pa.ipc.new_stream(sink, ids.schema) as out:
                 out.write_table(ids)
-            facts = np.stack([np.bincount(doc, minlength=len(begins)), np.bincount(doc, listed, len(begins)), np.bincount(doc, base, len(begins))])
-            yield _rows([{"part": number % m.parts, "kind": "documents", "slice": number, "keys": sink.getvalue().to_pybytes(), "vals": facts.astype(float).tobytes()}], _SCHEMA)
             both = np.flatnonzero(listed & (before < LISTED))
             keys = before[both] << _WIDTH | codes[both]
+            at, here = _found(m.head, keys)
+            own = np.zeros(len(tokens))  # scores of the very frequent pairs
+            if here.any():
+                h, n = (keys[here] >> _WIDTH).astype(np.int64), m.head_counts[at[here]]
+                own[both[here]] = np.log10(m.gain[h] / np.maximum(m.history[h], 1) * _discounted(n, m.pair_discounts))
+            both, keys = both[~here], keys[~here]
+            facts = np.stack([np.bincount(doc, x, len(begins)) for x in (None, listed, base, own)])
+            yield _rows([{"part": number % m.parts, "kind": "documents", "slice": number, "keys": sink.getvalue().to_pybytes(), "vals": facts.astype(float).tobytes()}], _SCHEMA)
             for p, own in _dealt(_part_of(before[both], codes[both], m.salt, m.parts), keys):
                 yield _rows([{"part": p, "kind": "tokens", "slice": number, **_pack(keys[own], doc[both[own]])}], _SCHEMA)
             for kind, at, key, other in _unlisted(before, codes):
@@ -518,8 +542,8 @@ def score(texts: DataFrame, model: KatzModel, id_col: str, text_col: str) -> Dat
         rows = [r | {"sums": _plain(r["sums"])} for r in group.to_pylist()]
         head = next(r for r in rows if r["ids"] is not None)
         ids = pa.ipc.open_stream(_plain(head["ids"])).read_all().column(0)
-        tokens, known, base = np.frombuffer(head["sums"]).reshape(3, -1)
-        sums = np.stack([known, base, np.zeros(len(known))])
+        tokens, *facts = np.frombuffer(head["sums"]).reshape(4, -1)
+        sums = np.stack(facts)
         for r in sorted((r for r in rows if r["ids"] is None), key=lambda r: r["sums"]):  # one order, whoever came first
             n = len(r["sums"]) // 24
             docs, known = (_unplanes(r["sums"][k * n : (k + 4) * n], np.uint32) for k in (0, 4))
@@ -539,15 +563,15 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(False))
 
 
-def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortlist: int = SHORTLIST) -> DataFrame:
+def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortlist: int = SHORTLIST, head: int = HEAD) -> DataFrame:
     """Trains on the documents that are not held out and scores all: id, ``held_out``, ``n_tokens``,
     ``n_known``, ``train_tokens``, ``base_score`` (add-one unigram), ``score`` (Katz, log10).
 
     Tokens are words between white space, lower-cased A-Z, and one end for each text; a null or empty text
     is its end alone. Texts are read whole, repeated rows all count, a null id is a training row, other
-    columns are ignored. Without any training row every word is the one unseen type. ``shortlist`` changes no result.
+    columns are ignored. Without any training row every word is the one unseen type. ``shortlist`` and ``head`` change no result.
     """
-    model = train(docs.where(~held_out(id_col)), text_col, shortlist)
+    model = train(docs.where(~held_out(id_col)), text_col, shortlist, head)
     return score(docs, model, id_col, text_col).select(
         id_col, held_out(id_col).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -159,8 +159,8 @@ def test_katz_equals_a_dictionary_model_whatever_is_listed(spark, docs):
     for h in [None, *list(pair)[:40]]:  # every history sums to 1 over the words and the one unseen type
         assert sum(p(h, w) for w in word) + p(h, "never") == pytest.approx(1)
     want = sorted((i or -1, sum(np.log10(p(h, w)) for h, w in zip(t, t[1:], strict=False))) for i, t in rows)
-    for shortlist in (0, 20, 200, 1 << 18):
-        got = sorted((r.doc_id or -1, r.score) for r in katz.katz_scores(docs, shortlist=shortlist).collect())
+    for shortlist, head in ((0, 1), (20, 1 << 40), (200, 300), (1 << 18, 1 << 17), (1 << 18, 1 << 40), (1 << 18, 1)):
+        got = sorted((r.doc_id or -1, r.score) for r in katz.katz_scores(docs, shortlist=shortlist, head=head).collect())
         assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want])
 
 
