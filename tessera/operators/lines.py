@@ -203,3 +203,36 @@ def boundary_grid(votes: DataFrame, ratio: float, tolerance: float) -> DataFrame
         for end, name in (("low", "min"), ("high", "max")):
             found.append(ends.select("image", F.lit(f"{letter}_{name}").alias("label"), f"{end}.*"))
     return reduce(DataFrame.unionByName, found)
+
+
+def chosen_grid(votes: DataFrame, pictures: DataFrame, ratio: float, tolerance: float, gap: int, most: int, step: float = 1.0) -> DataFrame:
+    """(image, label, theta, rho, votes, source): the two bounds of the dominant family and the two of the family across it.
+
+    Each family has two pairs of lines to choose from: ``global``, the outer ones of its entries of at least ``ratio`` of the most votes, and
+    ``score``, the best pair (see ``pair_scores``) of at most ``most`` peaks of all votes near its angle that are ``gap`` bins apart, and of the
+    outer entries, which are candidates in any case. The pair that is farther apart in the picture (pictures: image, height, width; ``step``: pixels a bin) is
+    taken, of equals the outer entries. A family without entries has no bounds.
+    """
+    strong = strong_entries(votes, ratio)
+    dominant = dominant_theta(strong)
+    found = []
+    for letter, turned in (("D", 0.0), ("P", 90.0)):
+        near = lambda df: df.join(dominant, "image").where(angle_distance(F.col("theta"), F.col("dominant") + turned) <= tolerance).drop("dominant")  # noqa: E731, B023
+        outer = outer_lines(near(strong))
+        forced = outer.select("image", F.explode(F.array("low", "high")).alias("_e")).select("image", "_e.*")
+        peaks_near = spaced_candidates(near(votes), gap, most).select("image", "theta", "rho", "votes")
+        candidates = rho_profile(peaks_near.unionByName(forced))
+        pair = best_pair(pair_scores(candidates)).drop("score")
+        for side, name in (("a", "low"), ("b", "high")):
+            line = candidates.select("image", F.col("rho").alias(f"rho_{side}"), F.struct("theta", "rho", "votes").alias(name))
+            pair = pair.join(line, ["image", f"rho_{side}"])
+
+        def placed(lines_of: DataFrame) -> DataFrame:
+            rows = lines_of.select("image", F.col("low").alias("low_line"), F.col("high").alias("high_line")).join(pictures, "image").join(dominant, "image")
+            ends = {e: values.box_points(F.col(f"{e}_line.rho") * step, F.radians(F.col(f"{e}_line.theta").cast("double")), F.col("height"), F.col("width")) for e in ("low", "high")}
+            return family_separation(rows.withColumn("reference", F.col("dominant") + turned).withColumns(ends))  # noqa: B023
+
+        chosen = hybrid_families(placed(outer), placed(pair))
+        for end, name in (("low", "min"), ("high", "max")):
+            found.append(chosen.select("image", F.lit(f"{letter}_{name}").alias("label"), f"{end}_line.*", "source"))
+    return reduce(DataFrame.unionByName, found)

@@ -273,6 +273,14 @@ def boundary_lines(spark: SparkSession, d: str) -> DataFrame:
     return lines.boundary_grid(_votes(spark, d), 0.6, 10.0)
 
 
+def chosen_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    """The boundary grid of each event type, each family by the selector whose lines are farther apart."""
+    votes = _votes(spark, d)
+    pictures = votes.select("image").distinct().withColumn("height", F.lit(48)).withColumn("width", F.lit(64))
+    found = lines.chosen_grid(votes, pictures, 0.6, 10.0, 3, 12)
+    return found.select("image", "label", F.col("theta").cast("long").alias("theta"), F.col("rho").cast("long").alias("rho"), "votes", "source")
+
+
 def selector_table(spark: SparkSession, d: str) -> DataFrame:
     wide, narrow = (lines.boundary_grid(_votes(spark, d), 0.6, t).withColumn("selector", F.lit(s)) for t, s in ((10.0, "wide"), (0.0, "narrow")))
     return lines.bounds_side_by_side(wide.unionByName(narrow).where("label <> 'P_min' OR selector = 'wide'"), ["wide", "narrow"])
@@ -345,7 +353,7 @@ QUERIES = {
         family_rules, final_answer_cases, training_answers, experiment_codes, labels_of_values, positional, outer_side_by_side, tail_rows, described_columns, group_texts, first_groups,
         holdout_split, category_draws, weighted_draw, flattened_sections, wide_array, intensity_functions, line_geometry, planning_functions, slices_of_arrays, page_regions,
         spectrum_bins, positive_spectra, envelopes, low_pass, spectrogram, wiener_pages, lead_alignment, record_noise, decoded_leads, rho_slices, angle_histogram, smoothed_accumulator,
-        seed_entries, boundary_lines, selector_table, window_entries, family_choice, pair_names, mean_overlap, picture_contrast, outcome_counts, guarded_rates, discovered_runs, settings_table,
+        seed_entries, boundary_lines, chosen_boundaries, selector_table, window_entries, family_choice, pair_names, mean_overlap, picture_contrast, outcome_counts, guarded_rates, discovered_runs, settings_table,
     )
 }
 

@@ -146,3 +146,85 @@ def test_line_pairs_against_loops(spark):
                 found.append((round(0.4 * accum + 0.3 * sep + 0.3 * outer, 9), outer, sep, accum, -a, -b))
         score, *_, a, b = max(found)
         assert got[image] == (-a, -b, pytest.approx(score, abs=1e-5))
+
+
+def test_chosen_grid_against_loops(spark):
+    import math
+
+    rng = np.random.default_rng(12)
+    rows = {}
+    for image in "abc":
+        for theta, rho in rng.integers(0, [36, 40], (260, 2)).tolist():
+            rows[image, theta * 5 - 90, rho + 1] = int(rng.integers(1, 8))
+        for rho in (4, 33):
+            rows[image, 10, rho] = rows[image, -80, rho] = 9
+    rows |= {("d", 10, 20): 9, ("d", 10, 3): 4, ("d", 15, 28): 5, ("d", 10, 24): 2}  # one strong line: only peaks below the threshold are apart
+    height, width, ratio, tolerance, gap, most, step = 50, 40, 0.9, 12.0, 3, 8, 1.5
+    votes = spark.createDataFrame([(*k, n) for k, n in rows.items()], "image string, theta long, rho long, votes long")
+    pictures = spark.createDataFrame([(i, height, width) for i in "abcd"], "image string, height int, width int")
+    got = {(r.image, r.label): (r.theta, r.rho, r.votes, r.source) for r in lines.chosen_grid(votes, pictures, ratio, tolerance, gap, most, step).collect()}
+
+    def middle(theta, rho, reference):
+        c, s, r = math.cos(math.radians(theta)), math.sin(math.radians(theta)), rho * step
+        points = []
+        for x, y, fits in ((0, r / s if abs(s) > 1e-8 else math.inf, height), (width - 1, (r - (width - 1) * c) / s if abs(s) > 1e-8 else math.inf, height)):
+            points += [(x, y)] if 0 <= y <= fits - 1 else []
+        for y, x in ((0, r / c if abs(c) > 1e-8 else math.inf), (height - 1, (r - (height - 1) * s) / c if abs(c) > 1e-8 else math.inf)):
+            points += [(x, y)] if 0 <= x <= width - 1 else []
+        distinct = [p for k, p in enumerate(points) if all(math.dist(p, q) >= 1e-6 for q in points[:k])][:2]
+        if len(distinct) < 2:
+            return None
+        (x0, y0), (x1, y1) = distinct
+        return (x0 + x1) / 2 * math.cos(math.radians(reference)) + (y0 + y1) / 2 * math.sin(math.radians(reference))
+
+    def separation(pair, reference):
+        ends = [middle(t, r, reference) for t, r, _ in pair]
+        if None in ends:
+            return -1.0
+        corners = [x * math.cos(math.radians(reference)) + y * math.sin(math.radians(reference)) for x in (0, width - 1) for y in (0, height - 1)]
+        return min(1.0, abs(ends[1] - ends[0]) / ((max(corners) - min(corners)) or 1.0))
+
+    away = lambda a, b: abs((a - b + 90) % 180 - 90)
+    sources = set()
+    for image in "abcd":
+        own = [(t, r, n) for (i, t, r), n in rows.items() if i == image]
+        strong = [e for e in own if e[2] >= ratio * max(n for _, _, n in own)]
+        count = {t: sum(x == t for x, _, _ in strong) for t, _, _ in strong}
+        dominant = min(count, key=lambda t: (-count[t], t))
+        for letter, turned in (("D", 0), ("P", 90)):
+            band, entries = ([e for e in some if away(e[0], dominant + turned) <= tolerance] for some in (own, strong))
+            if not entries:
+                continue
+            outer = [min(entries, key=lambda e: (e[1], -e[2], e[0])), max(entries, key=lambda e: (e[1], e[2], -e[0]))]
+
+            def strongest(some):
+                best = {}
+                for t, r, n in some:
+                    if r not in best or (n, -t) > (best[r][2], -best[r][0]):
+                        best[r] = (t, r, n)
+                return best
+
+            profile = strongest(band)
+            rhos = sorted(profile)
+            peaks = [r for k, r in enumerate(rhos) if all(profile[r][2] >= profile[q][2] for q in rhos[max(0, k - 1) : k + 2])]
+            picks = []
+            for r in sorted(peaks, key=lambda r: (-profile[r][2], r)):
+                if all(abs(r - q) >= gap for q in picks):
+                    picks.append(r)
+            candidates = strongest([profile[r] for r in picks[:most]] + outer)
+            rhos = sorted(candidates)
+            wide, top, scored = rhos[-1] - rhos[0], max(c[2] for c in candidates.values()), []
+            for k, a in enumerate(rhos):
+                for b in rhos[k + 1 :]:
+                    accum, sep = min(candidates[a][2], candidates[b][2]) / top, (b - a) / wide
+                    out = ((1 - (a - rhos[0]) / wide) + (1 - (rhos[-1] - b) / wide)) / 2
+                    scored.append((round(0.4 * accum + 0.3 * sep + 0.3 * out, 12), out, sep, accum, -a, -b))
+            choices = [("global", outer)]
+            if scored:
+                *_, a, b = max(scored)
+                choices.append(("score", [candidates[-a], candidates[-b]]))
+            source, pair = max(choices, key=lambda c: (round(separation(c[1], dominant + turned), 9), c[0] == "global"))
+            sources.add(source)
+            for line, name in zip(pair, ("min", "max"), strict=True):
+                assert got.pop((image, f"{letter}_{name}")) == (*line, source)
+    assert not got and sources == {"global", "score"}
