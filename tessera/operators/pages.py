@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import values
-from tessera.operators import images
+from tessera.operators import images, signals
 
 CELL = ("image", "y", "x")
 
@@ -57,6 +59,60 @@ def drawn(heights: DataFrame) -> DataFrame:
     return rounded.withColumn("_z", then).select("image", "x", F.explode(F.sequence(F.least("y", "_z"), F.greatest("y", "_z"))).alias("y"))
 
 
+def polyline(points: DataFrame, keys: Sequence[str], thickness: int = 1) -> DataFrame:
+    """(keys, x, y) pixels of the straight lines through points (keys, x: whole columns, distinct; y), column by column.
+
+    Each column is filled from the line's rounded height there to that at the next column, so that the line has no gaps; the last point
+    is a pixel. Pixels are repeated above (first) and below to the thickness. One line's points are ordered in one task; there are few.
+    """
+    nxt = F.lead(F.struct("x", "y")).over(Window.partitionBy(*keys).orderBy("x"))
+    legs = points.select(*keys, F.col("x").cast("long").alias("x"), F.col("y").cast("double").alias("y")).withColumn("_n", nxt)
+    last = F.coalesce(F.col("_n.x") - 1, F.col("x"))
+    cells = legs.withColumn("_x", F.explode(F.sequence(F.col("x"), last)))
+    at = lambda c: F.rint(F.round(F.when(F.col("_n").isNull(), F.col("y")).otherwise(F.col("y") + (F.col("_n.y") - F.col("y")) * (c - F.col("x")) / (F.col("_n.x") - F.col("x"))), 9)).cast("long")
+    a, b = at(F.col("_x")), at(F.col("_x") + 1)
+    above, below = thickness // 2, (thickness - 1) // 2
+    rows = F.sequence(F.least(a, b) - above, F.greatest(a, b) + below)
+    return cells.select(*keys, F.col("_x").alias("x"), F.explode(rows).alias("y")).distinct()
+
+
+def rasterised(series: DataFrame, regions: DataFrame, pictures: DataFrame, thickness: int = 1) -> DataFrame:
+    """(image, lead, y, x) pixels of signals (image, lead, i, mv) drawn into their regions (of ``lead_regions``) of pictures (image, height, width).
+
+    The samples from the first to the last known one are laid evenly over the region's columns, a millivolt is one centimetre
+    high, and what falls out of the picture is held at its border. Samples of one column are averaged; columns without one lie on the line between their
+    neighbours. Unknown samples (null or NaN) within are left out; a signal without known samples is not drawn. The strip takes lead ``II``.
+    """
+    known = series.where(F.col("mv").isNotNull() & ~F.isnan("mv"))
+    span = known.groupBy("image", "lead").agg(F.min("i").alias("_a"), F.max("i").alias("_b"))
+    strip = regions.withColumn("_lead", F.when(F.col("lead") == STRIP, "II").otherwise(F.col("lead"))).withColumnRenamed("lead", "_region").withColumnRenamed("_lead", "lead")
+    placed = known.join(span, ["image", "lead"]).join(strip, ["image", "lead"]).join(pictures, "image")
+    share = F.coalesce(F.try_divide(F.col("i") - F.col("_a"), F.col("_b") - F.col("_a")), F.lit(0.0))
+    x = F.col("x0") + (F.col("x1") - 1 - F.col("x0")) * share
+    y = values.mv_to_pixel(F.col("mv"), F.col("baseline"), F.col("height") / HEIGHT / 10)
+    held = lambda c, size: F.greatest(F.lit(0.0), F.least(F.col(size) - 1.0, c))
+    placed = placed.select("image", F.col("_region").alias("lead"), F.rint(held(x, "width")).cast("long").alias("x"), held(y, "height").alias("y"))
+    heights = placed.groupBy("image", "lead", "x").agg(F.rint(F.avg("y")).alias("y"))
+    return polyline(heights, ["image", "lead"], thickness).join(pictures, "image").where((F.col("y") >= 0) & (F.col("y") < F.col("height"))).select("image", "lead", "y", "x")
+
+
+def decoded_records(traced: DataFrame, regions: DataFrame, pictures: DataFrame, rate: float, mm_per_s: float = 25.0) -> DataFrame:
+    """(image, lead, i, mv): every lead of each picture at a sampling rate, from traced heights (image, lead, x, y).
+
+    A region's columns without a height count as its zero line; a region without any is a flat line. One lead's columns are put together in one
+    row, as many as its region is wide.
+    """
+    columns = regions.withColumn("x", F.explode(F.sequence(F.col("x0").cast("long"), F.col("x1").cast("long") - 1))).select("image", "lead", "x", "baseline")
+    known = traced.select("image", "lead", F.col("x").cast("long").alias("x"), F.col("y").cast("double").alias("y")).groupBy("image", "lead", "x").agg(F.avg("y").alias("y"))
+    full = columns.join(known, ["image", "lead", "x"], "left").join(pictures, "image")
+    full = full.withColumn("mv", values.pixel_to_mv(F.coalesce("y", F.col("baseline").cast("double")), F.col("baseline"), F.col("height") / HEIGHT / 10))
+    lines = full.groupBy("image", "lead", "width").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "mv"))), lambda e: e["mv"]).alias("mv"))
+    sizes = [r["width"] for r in lines.select("width").distinct().collect()]  # a rate a width of picture
+    done = [lines.where(F.col("width") == w).withColumn("mv", signals.resampled_at_rate(F.col("mv"), w / WIDTH * mm_per_s / 10, rate)) for w in sizes]
+    out = reduce(DataFrame.unionByName, done) if done else lines
+    return out.select("image", "lead", F.posexplode("mv").alias("i", "mv"))
+
+
 @dataclass(frozen=True)
 class PageWeights:
     """Weights of a page's score, and what a page is expected to be."""

@@ -131,6 +131,15 @@ def lead_layout(spark: SparkSession, d: str) -> DataFrame:
     return pages.lead_regions(sizes)
 
 
+def drawn_leads(spark: SparkSession, d: str) -> DataFrame:
+    """Twelve vectors each as the leads of a recording, drawn by its physical layout."""
+    names = [x for row in pages.LEADS for x in row]
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 12).alias("image"), F.get(F.array(*map(F.lit, names)), F.pmod("vec_id", F.lit(12)).cast("int")).alias("lead"), F.posexplode("embedding").alias("i", "mv"))
+    pictures = e.select("image").distinct().withColumn("height", F.lit(86)).withColumn("width", F.lit(112))
+    drawn = pages.rasterised(e.withColumn("mv", F.col("mv").cast("double") * 2), pages.lead_regions(pictures), pictures)
+    return drawn.groupBy("image", "lead").agg(F.count("*").alias("pixels"), F.sum("y").alias("ys"), F.sum(F.col("x") * F.col("y")).alias("xys"))
+
+
 def renewed_items(spark: SparkSession, d: str) -> DataFrame:
     """Expected documents without a usable mark: what has to be made again."""
     usable = table(spark, d, "labels").where("quality IS NOT NULL AND toxic = 0").select("doc_id")
@@ -152,7 +161,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         inline_constants, dictionary_lookup, membership, skipped_failures, features_and_target, index_joined, best_setting, name_union, subset_test, mask_algebra, category_codes,
-        json_list_rows, padded_tokens, picked_components, energy_maps, bordered, vote_peaks, projection_profile, traced_line, page_scores, lead_layout, renewed_items, seeded_sample, flat_pictures,
+        json_list_rows, padded_tokens, picked_components, energy_maps, bordered, vote_peaks, projection_profile, traced_line, page_scores, lead_layout, drawn_leads, renewed_items, seeded_sample, flat_pictures,
     )
 }
 

@@ -12,9 +12,12 @@ from pyspark.sql import types as T
 from tessera.operators import tables
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, columns: Sequence[str] | None = None) -> DataFrame:
-    """A CSV with header and declared types; of ``columns`` those that exist are kept, and only they are parsed."""
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, columns: Sequence[str] | None = None, strict: bool = False) -> DataFrame:
+    """A CSV with header and declared types; of ``columns`` those that exist are kept, and only they are parsed. With ``strict``
+    one that doesn't exist is an error."""
     df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    if strict and (unknown := [c for c in columns or () if c not in df.columns]):
+        raise ValueError(f"no columns {unknown}")
     return df if columns is None else df.select(*(c for c in columns if c in df.columns))
 
 

@@ -150,3 +150,13 @@ def test_experiments_are_found_in_folders_and_bundles(spark, tmp_path):
     assert got["submissions/first"].config == '{"r":4}' and got["runs/beta"].config is None
     assert got["submissions/second"].files == ["a_run_bundle.zip", "b_diagnostics.zip", "metadata.json", "probe_evolution.csv", "run_config.json", "trainer_log_history.csv"]
     assert got["run_bundles/c_run_bundle.zip"].files == ["run_config.json"] and got["broken_run_bundle.zip"].files == []
+
+
+def test_csv_column_subsets(spark, tmp_path):
+    from tessera.sources.files import read_csv
+
+    (tmp_path / "t.csv").write_text("a,b,c\n1,x,2.5\n")
+    read = lambda **k: read_csv(spark, str(tmp_path / "t.csv"), "a int, b string, c double", **k)
+    assert read(columns=["c", "z", "a"]).columns == ["c", "a"] and read(columns=["b"], strict=True).first().b == "x"
+    with pytest.raises(ValueError):
+        read(columns=["a", "z"], strict=True)

@@ -259,3 +259,63 @@ def test_local_equalisation(spark):
             want[y, x] = np.rint(round(mix, 9))
     sizes = spark.createDataFrame([("a", 22, 17)], "image string, height int, width int")
     assert (picture(warps.equalised(pixels(spark, image), sizes, tiles, limit), image.shape) == want).all()
+
+
+# --- leads -------------------------------------------------------------------------------------------
+
+
+def test_leads_are_drawn_and_decoded_again(spark):
+    from tessera.operators import pages
+
+    height, width, n = 430, 560, 250
+    leads = [x for row in pages.LEADS for x in row]
+    wave = {lead: [0.6 * math.sin(6.28 * i * (k + 2) / n) + 0.1 * k / 12 for i in range(n)] for k, lead in enumerate(leads)}
+    rows = [("p", lead, i, v if not (lead == "V2" and (i < 20 or i == 100)) else (None if i % 2 else float("nan"))) for lead, own in wave.items() for i, v in enumerate(own) if lead != "aVF"]
+    pictures = spark.createDataFrame([("p", height, width), ("empty", height, width)], "image string, height int, width int")
+    regions = pages.lead_regions(pictures)
+    series = spark.createDataFrame(rows, "image string, lead string, i int, mv double")
+    drawn = pages.rasterised(series, regions, pictures)
+    where = {r.lead: r for r in regions.where("image = 'p'").collect()}
+    got: dict = {}
+    for r in drawn.collect():
+        got.setdefault(r.lead, set()).add((r.y, r.x))
+    assert set(got) == {*leads, pages.STRIP} - {"aVF"}
+    scale = height / pages.HEIGHT
+    for lead, pixels_ in got.items():
+        box = where[lead]
+        own = [(i, v) for i, v in enumerate(wave["II" if lead == pages.STRIP else lead])]
+        if lead == "V2":
+            own = [(i, v) for i, v in own if not (i < 20 or i == 100)]
+        first, last = own[0][0], own[-1][0]
+        sums: dict = {}
+        for i, v in own:
+            sums.setdefault(round(box.x0 + (box.x1 - 1 - box.x0) * (i - first) / (last - first)), []).append(box.baseline - v * scale)
+        at = {x: float(np.rint(np.mean(ys))) for x, ys in sums.items()}
+        xs = sorted(at)
+        line = lambda x: int(np.rint(round(float(np.interp(x, xs, [at[k] for k in xs])), 9)))  # noqa: E731, B023
+        want = {(y, x) for x in range(xs[0], xs[-1]) for y in range(min(line(x), line(x + 1)), max(line(x), line(x + 1)) + 1)} | {(line(xs[-1]), xs[-1])}
+        assert pixels_ == want, lead
+    thick = pages.rasterised(series.where("lead = 'I'"), regions, pictures, thickness=3)
+    assert {(r.y, r.x) for r in thick.collect()} == {(y + d, x) for y, x in got["I"] for d in (-1, 0, 1)}
+
+    traced = drawn.groupBy("image", "lead", "x").agg(F.avg("y").alias("y"))
+    rate = 100.0
+    found: dict = {}
+    for r in pages.decoded_records(traced, regions, pictures, rate).orderBy("i").collect():
+        found.setdefault((r.image, r.lead), []).append(r.mv)
+    assert set(found) == {(p, lead) for p in ("p", "empty") for lead in [*leads, pages.STRIP]}
+    assert set(found["empty", "I"]) == {0.0} == set(found["p", "aVF"])
+    own = np.array(found["p", "I"])
+    seconds = (where["I"].x1 - where["I"].x0) / round(width / pages.WIDTH * 2.5)
+    assert len(own) == round(seconds * rate)
+    truth = np.interp(np.linspace(0, n - 1, len(own)), range(n), wave["I"])
+    assert np.abs(own - truth).mean() < 0.06
+
+
+def test_polyline_of_far_points(spark):
+    from tessera.operators import pages
+
+    df = spark.createDataFrame([("a", 0, 0.0), ("a", 4, 2.0), ("a", 5, 9.0), ("b", 7, 3.4)], "k string, x int, y double")
+    got = sorted((r.k, r.x, r.y) for r in pages.polyline(df, ["k"]).collect())
+    assert got == [("a", 0, 0), ("a", 1, 0), ("a", 1, 1), ("a", 2, 1), ("a", 2, 2), ("a", 3, 2), *(("a", 4, y) for y in range(2, 10)), ("a", 5, 9), ("b", 7, 3)]
+    assert pages.polyline(df.limit(0), ["k"]).count() == 0
