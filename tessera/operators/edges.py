@@ -11,6 +11,8 @@ from tessera.functions import values
 from tessera.operators import images
 from tessera.operators.pages import ACROSS, CELL, CURVED, DOWN
 
+#: Meetings of outlines' edges with rows in one task, at most as a mean.
+ROWS = 1 << 21
 #: The eight neighbours, as (dy, dx).
 AROUND = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
 
@@ -134,12 +136,16 @@ def rectangle(pictures: DataFrame, margin: float, points: int) -> DataFrame:
 def polygon_mask(contours: DataFrame) -> DataFrame:
     """(image, y, x): pixels inside closed outlines (image, k, y, x) or on them, joined from corner to corner by ``k`` and back to the first.
 
-    Each edge meets the rows it spans; a row's crossings, in order, are paired into intervals, between which every
-    other one is inside, also where the outline crosses or touches itself. Pixels on an edge always count. Points
-    with a null are left out; one point is its own outline. A picture's corners are ordered in one task, and a row's crossings are, which are as
-    few as its edges.
+    Each edge meets the rows it spans; between a row's crossings, in order, every other stretch is inside, also where the outline
+    crosses or touches itself. Pixels on an edge always count. A row's stretches are cut at those before them, so that
+    no pixel is met twice. Points with a null are left out; one point is its own outline. Pictures are dealt over so many tasks that each
+    has about ROWS meetings of edges and rows; a picture's corners are ordered in one task, and a row's crossings are.
     """
     points = contours.dropna(subset=["k", "y", "x"]).select("image", "k", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
+    heights = points.groupBy("image").agg((F.count("*") * (F.floor(F.max("y")) - F.ceil(F.min("y")) + 1)).alias("_n"))  # at most so many meetings
+    most = heights.agg(F.sum("_n")).first()[0] or 0
+    tasks = max(1, math.ceil(most / ROWS))
+    points = points.repartition(tasks, "image")  # a given number, which Spark doesn't lower by the size of the corners
     w = Window.partitionBy("image").orderBy("k", "y", "x")
     here, first = F.struct("y", "x"), F.first(F.struct("y", "x")).over(w)
     edges = points.withColumn("b", F.coalesce(F.lead(here).over(w), first)).withColumn("a", here).select("image", "a", "b")
@@ -148,11 +154,17 @@ def polygon_mask(contours: DataFrame) -> DataFrame:
     level = F.col("low.y") == F.col("high.y")
     at = F.col("low.x") + (F.col("y") - F.col("low.y")) * (F.col("high.x") - F.col("low.x")) / F.when(~level, F.col("high.y") - F.col("low.y"))
     rows = rows.withColumn("at", F.round(at, 9))
-    crossings = rows.where(~level & (F.col("y") < F.col("high.y")))
-    order = Window.partitionBy("image", "y").orderBy("at")
-    pairs = crossings.withColumn("n", F.row_number().over(order)).withColumn("to", F.lead("at").over(order)).where("n % 2 = 1")
-    spans = pairs.select("image", "y", F.col("at").alias("lo"), F.col("to").alias("hi"))
-    flat = rows.where(level).select("image", "y", F.least("low.x", "high.x").alias("lo"), F.greatest("low.x", "high.x").alias("hi"))
-    on = rows.where(~level).select("image", "y", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    every = spans.union(flat).union(on).withColumn("lo", F.ceil("lo")).withColumn("hi", F.floor("hi")).where("lo <= hi")
-    return every.select("image", "y", F.explode(F.sequence("lo", "hi")).alias("x")).distinct()
+    rows = rows.select(
+        "image",
+        "y",
+        F.when(level, F.least("low.x", "high.x")).otherwise(F.col("at")).alias("lo"),
+        F.when(level, F.greatest("low.x", "high.x")).otherwise(F.col("at")).alias("hi"),
+        (~level & (F.col("y") < F.col("high.y"))).cast("int").alias("_c"),
+    )
+    order = Window.partitionBy("image", "y").orderBy("lo")
+    before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = F.sum("_c").over(before) % 2 == 1  # up to what comes next
+    spans = rows.withColumn("_to", F.when(inside, F.lead("lo").over(order))).select("image", "y", F.ceil("lo").alias("lo"), F.floor(F.greatest("hi", "_to")).alias("hi"), F.col("lo").alias("_at"))
+    reached = F.max("hi").over(Window.partitionBy("image", "y").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("lo", F.greatest("lo", reached + 1)).where("lo <= hi")
+    return spans.select("image", "y", F.explode(F.sequence("lo", "hi")).alias("x"))

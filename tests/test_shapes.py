@@ -181,6 +181,18 @@ def test_polygon_masks(spark):
     assert len(found) == len(set(found))
 
 
+def test_polygon_masks_are_dealt_by_their_meetings(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, k, int(y), int(x)) for i in range(12) for k, (y, x) in enumerate(rng.integers(0, 13, (25, 2)))]
+    df = spark.createDataFrame(rows, "image int, k int, y int, x int")
+    whole = edges.polygon_mask(df)
+    monkeypatch.setattr(edges, "ROWS", 400)
+    dealt = edges.polygon_mask(df)
+    assert dealt.rdd.getNumPartitions() >= 9  # 12 outlines of 25 edges in 13 rows
+    assert "Aggregate" not in dealt._jdf.queryExecution().optimizedPlan().toString()  # no pixel is met twice
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, whole.collect()))
+
+
 # --- warps -------------------------------------------------------------------------------------------
 
 
