@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Samples that are transformed together.
+SAMPLES = 1 << 18
 _ARRAY = T.ArrayType(T.DoubleType())
 
 
@@ -21,11 +23,13 @@ def _stacked(columns: list[pd.Series], how) -> pd.Series:
         if all(v is not None for v in own):
             rows.setdefault(tuple(len(v) if isinstance(v, np.ndarray) else v for v in own), []).append(k)
     out: list = [None] * len(columns[0])
-    for at in rows.values():
-        found = how(*(np.stack([np.asarray(c.iloc[k], np.float64) for k in at]) for c in columns))
-        if found is not None:
-            for k, v in zip(at, found, strict=True):
-                out[k] = v
+    for length, whole in rows.items():
+        step = max(1, SAMPLES // max(1, *map(int, length)))
+        for at in (whole[k : k + step] for k in range(0, len(whole), step)):
+            found = how(*(np.stack([np.asarray(c.iloc[k], np.float64) for k in at]) for c in columns))
+            if found is not None:
+                for k, v in zip(at, found, strict=True):
+                    out[k] = v
     return pd.Series(out, dtype=object)
 
 
@@ -42,14 +46,8 @@ def _each(how, kind: T.DataType = _ARRAY):
 def magnitudes(values: Column, bins: int = 1000) -> Column:
     """Magnitudes of the first ``bins`` Fourier coefficients, padded with 0 where the signal is shorter."""
 
-    def how(v: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(v), bins))
-        if v.shape[1]:
-            found = np.abs(np.fft.fft(v))[:, :bins]
-            out[:, : found.shape[1]] = found
-        return out
-
-    return _each(how)(values)
+    found = _each(lambda v: np.abs(np.fft.fft(v))[:, :bins] if v.shape[1] else v)(values)  # padded by Spark, so that Python holds no padding
+    return F.concat(found, F.array_repeat(F.lit(0.0), F.lit(bins) - F.size(found)))
 
 
 def positive_spectrum(values: Column) -> Column:

@@ -160,3 +160,18 @@ def test_empty_groups_and_missing_bounds(spark):
     assert got == {"a": (2, 1, 50.0), "b": (0, 0, 0.0)}
     none = spark.createDataFrame([("i", 10, 20, 0.0, None, None)], "image string, height int, width int, reference double, low array<struct<x:double,y:double>>, high array<struct<x:double,y:double>>")
     assert lines.family_separation(none).first().sep == -1.0
+
+
+def test_magnitudes_are_padded_outside_python(spark, monkeypatch):
+    signals_ = [[], [1.0, 2.0, -1.0], [3.0], [1.0, 0.0, 2.0, 5.0, 1.0, 1.0], None, [2.0, 2.0, 7.0]]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(signals_)], "k int, v array<double>").coalesce(1)
+    monkeypatch.setattr(spectra, "SAMPLES", 4)
+    found = df.select("k", spectra.magnitudes(F.col("v"), 4).alias("m"))
+    assert "array_repeat" in found._jdf.queryExecution().analyzed().toString()
+    for r in found.collect():
+        v = signals_[r.k]
+        if v is None:
+            assert r.m is None
+        else:
+            want = np.abs(np.fft.fft(v))[:4] if v else np.zeros(0)
+            assert np.allclose(r.m, np.pad(want, (0, 4 - len(want))))
