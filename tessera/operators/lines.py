@@ -38,11 +38,17 @@ def family(entries: DataFrame, tolerance: float, turned: float = 0.0) -> DataFra
 
 def outer_lines(entries: DataFrame) -> DataFrame:
     """(image, low, high): the lines of least and of greatest rho; of equals the one with more votes."""
-    line = F.struct("theta", "rho", "votes")
-    low, high = F.min_by(line, F.struct("rho", -F.col("votes"), "theta")), F.max_by(line, F.struct("rho", "votes", -F.col("theta")))
+    low, high = _outer(F.lit(True))
     return entries.groupBy("image").agg(low.alias("low"), high.alias("high"))
 
 
+def _outer(inside: Column) -> tuple[Column, Column]:
+    """Aggregates of ``outer_lines`` over the entries for which ``inside`` holds; null without any."""
+    line = F.struct("theta", "rho", "votes")
+    low, high = F.struct("rho", -F.col("votes"), "theta"), F.struct("rho", "votes", -F.col("theta"))
+    return F.min_by(line, F.when(inside, low)), F.max_by(line, F.when(inside, high))
+
+
 #: Weights of votes, separation and outerness in a pair's score.
 PAIR_WEIGHTS = (0.4, 0.3, 0.3)
 
@@ -195,14 +201,16 @@ def peaks(votes: DataFrame, reach_rho: int, reach_theta: int, ratio: float) -> D
 
 
 def boundary_grid(votes: DataFrame, ratio: float, tolerance: float) -> DataFrame:
-    """(image, label, theta, rho, votes): the outer lines of the dominant family and of the family across it."""
+    """(image, label, theta, rho, votes): the outer lines of the dominant family and of the family across it, all found in one pass."""
     strong = strong_entries(votes, ratio)
+    near = strong.join(dominant_theta(strong), "image")
     found = []
     for letter, turned in (("D", 0.0), ("P", 90.0)):
-        ends = outer_lines(family(strong, tolerance, turned))
-        for end, name in (("low", "min"), ("high", "max")):
-            found.append(ends.select("image", F.lit(f"{letter}_{name}").alias("label"), f"{end}.*"))
-    return reduce(DataFrame.unionByName, found)
+        ends = _outer(angle_distance(F.col("theta"), F.col("dominant") + turned) <= tolerance)
+        found += [line.alias(f"{letter}_{name}") for line, name in zip(ends, ("min", "max"), strict=True)]
+    ends = near.groupBy("image").agg(*found)
+    rows = F.explode(F.array(*(F.struct(F.lit(label).alias("label"), F.col(label).alias("line")) for label in BOUNDS))).alias("_e")
+    return ends.select("image", rows).where("_e.line IS NOT NULL").select("image", "_e.label", "_e.line.*")
 
 
 def chosen_grid(votes: DataFrame, pictures: DataFrame, ratio: float, tolerance: float, gap: int, most: int, step: float = 1.0) -> DataFrame:

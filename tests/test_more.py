@@ -175,3 +175,11 @@ def test_magnitudes_are_padded_outside_python(spark, monkeypatch):
         else:
             want = np.abs(np.fft.fft(v))[:4] if v else np.zeros(0)
             assert np.allclose(r.m, np.pad(want, (0, 4 - len(want))))
+
+
+def test_boundary_grid_finds_all_lines_in_one_pass(spark):
+    rows = [("a", 0, 1, 9), ("a", 0, 5, 9), ("a", 90, 2, 8), ("a", 90, 7, 9), ("a", 45, 3, 9), ("a", 0, 2, 1), ("b", 30, 4, 5), ("b", 30, 6, 5)]
+    grid = lines.boundary_grid(spark.createDataFrame(rows, "image string, theta int, rho long, votes long"), 0.5, 5.0)
+    want = {("a", "D_min", 0, 1, 9), ("a", "D_max", 0, 5, 9), ("a", "P_min", 90, 2, 8), ("a", "P_max", 90, 7, 9), ("b", "D_min", 30, 4, 5), ("b", "D_max", 30, 6, 5)}
+    assert set(map(tuple, grid.collect())) == want
+    assert grid._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 4
