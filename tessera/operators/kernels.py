@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -200,9 +201,13 @@ class KernelMachine:
         """``df`` with ``features`` in the landmarks' space. Rows are compared with all landmarks in the task that holds them."""
         kernel, landmarks, turn = self.kernel, self.landmarks, self.turn
 
-        @F.pandas_udf("array<double>")
-        def place(features: pd.Series) -> pd.Series:
-            return pd.Series(list(kernel(np.stack(features.to_numpy()), landmarks) @ turn)) if len(features) else features
+        @F.arrow_udf("array<double>")
+        def place(features: pa.Array) -> pa.Array:
+            x = features.flatten().to_numpy(zero_copy_only=False).reshape(-1, landmarks.shape[1])
+            out = np.empty((len(x), turn.shape[1]))
+            for k in range(0, len(x), BLOCK):
+                out[k : k + BLOCK] = kernel(x[k : k + BLOCK], landmarks) @ turn
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
 
         return df.withColumn("features", place("features"))
 

@@ -52,3 +52,19 @@ def test_kernel_machine_tells_rings_apart(spark):
     assert {tuple(r.features) for r in found.collect()} == {tuple(r.features) for r in test.collect()}
     assert learning.accuracy(learning.predicted(learning.linear_svm(train, 30), test)) < 0.6
     assert machine.predicted(test.where(F.lit(False))).count() == 0
+
+
+def test_kernel_machine_maps_a_bounded_number_of_rows_at_once(spark):
+    from dataclasses import dataclass
+
+    @dataclass(frozen=True)
+    class Strict(kernels.Polynomial):
+        def __call__(self, x, y):
+            if len(x) > 1024:
+                raise ValueError(f"{len(x)} rows at once")
+            return (x @ y.T + 1.0) ** 2
+
+    x = np.random.default_rng(3).normal(size=(3000, 2))
+    machine = kernels.KernelMachine(Strict(2, 1.0, 1.0), x[:4], np.eye(4)[:, :3])
+    found = machine.mapped(frame(spark, x).coalesce(1)).orderBy("id").collect()
+    assert np.allclose([r.features for r in found], ((x @ x[:4].T + 1) ** 2)[:, :3])
