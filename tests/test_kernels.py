@@ -12,6 +12,28 @@ def frame(spark, x, labels=None):
     return spark.createDataFrame(rows, "id long, features array<double>, label int")
 
 
+def test_monomials_give_the_kernel():
+    x, y = np.random.default_rng(0).normal(size=(2, 7, 5))
+    for kernel in (kernels.Polynomial(1, 0.5), kernels.Polynomial(2, -1.0, 0.3), kernels.Polynomial(3), kernels.Polynomial(4, 0.0, 2.0)):
+        mx, my = (kernels._monomials(v, kernel.degree) for v in (x, y))
+        assert mx.shape[1] == kernel.monomials(5) and np.allclose(mx * kernel.weights(5) @ my.T, kernel(x, y))
+
+
+def test_kernel_components_by_monomials_and_by_blocks(spark, monkeypatch):
+    """Both ways agree; by monomials, what a round moves has nothing to do with the rows, which are placed where they are."""
+    x = np.random.default_rng(4).normal(size=(120, 3)) * [2.0, 1.2, 0.7]
+    df = frame(spark, x)
+    found = kernels.kernel_components(df, "id", 3)
+    monkeypatch.setattr(kernels, "MONOMIALS", 0)
+    blocks = kernels.kernel_components(df, "id", 3, block=50)
+    assert np.allclose(found.eigenvalues, blocks.eigenvalues)
+    for way in (lambda m: m.training(), lambda m: m.project(df, "id")):
+        a, b = (np.array([r.features for r in way(m).orderBy("key").collect()]) for m in (found, blocks))
+        assert np.allclose(np.abs(a), np.abs(b), atol=1e-4)
+    assert "Exchange" not in found.training()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in found.project(df, "id")._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("degree", [2, 3])
 def test_kernel_components_equal_numpy(spark, degree):
     rng = np.random.default_rng(degree)
