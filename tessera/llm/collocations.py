@@ -26,7 +26,7 @@ from tessera.session import delete, stored, table
 #: What passes them by chance is counted like the rest and falls short of the least count.
 BITS = 1 << 27
 #: Keys that a task holds before it sorts and counts them.
-KEYS = 4 << 20
+KEYS = 1 << 20
 #: A language's phrases are ranked in so many shares before they are ranked together.
 SHARES = 256
 #: Attempts to find ids without a clash; one fails with a probability of about (words of the corpus) * (frequent words) / 2^64.
@@ -204,8 +204,11 @@ _SIGN = np.uint64(1 << 63)
 
 
 def _key_rows(held: list[list[np.ndarray]], parts: int) -> pa.RecordBatch:
-    """part, k0 (the leading number, ordered as signed), k1 .., c of the keys held."""
-    key = packed([np.concatenate(x) for x in zip(*held, strict=True)])
+    """part, k0 (the leading number, ordered as signed), k1 .., c of the keys held, which are then held no more."""
+    ids = [np.concatenate(x) for x in zip(*held, strict=True)]
+    held.clear()
+    key = packed(ids)
+    del ids
     key, counts = run_lengths(key, np.ones(len(key[0]), np.int64))
     part = ((key[0] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     columns = [pa.array(part.astype(np.int32)), pa.array((key[0] ^ _SIGN).view(np.int64)), *(pa.array(k.view(np.int64)) for k in key[1:]), pa.array(counts)]
@@ -242,6 +245,7 @@ def phrases(texts: DataFrame, n: int, least: int, alphabet: np.ndarray, bitmaps:
     parts = shuffle_partitions(texts.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # of the tasks that this worker ran before
         held, size = [], 0
         ids, piece = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for run, _, goes_on in _runs(batches, alphabet):
@@ -263,7 +267,7 @@ def phrases(texts: DataFrame, n: int, least: int, alphabet: np.ndarray, bitmaps:
                 size += len(at)
             if size >= KEYS:
                 yield _key_rows(held, parts)
-                held, size = [], 0
+                size = 0
         if held:
             yield _key_rows(held, parts)
 

@@ -259,3 +259,16 @@ def test_crossover_keeps_well_filled_sequences():
 
 def test_cuts():
     assert [packing.cuts(n, 10) for n in (1, 10, 11, 20, 25)] == [[0, 1], [0, 10], [0, 1, 11], [0, 10, 20], [0, 5, 15, 25]]
+
+
+def test_collocation_keys_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    held = [[rng.integers(0, 1 << 20, collocations.KEYS // 4).astype(np.uint64) for _ in range(3)] for _ in range(4)]
+    tracemalloc.start()
+    found = collocations._key_rows(held, 4)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held == [] and sum(found["c"].to_pylist()) == collocations.KEYS
+    assert most < 150 << 20
